@@ -211,7 +211,7 @@ def s8_markdown_to_lines(spark, d):
 
 @query
 def s8_markdown_title(spark, d):
-    return v.markdown(spark, d).select("doc_id", text.markdown_title(F.col("md")).alias("title"))
+    return v.markdown(spark, d).select("doc_id", text.markdown_title("md").alias("title"))
 
 
 @query

@@ -9,39 +9,70 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.text import strip_spaces
+from pageloom.functions.binding import bind, let
 from pageloom.plans.scan import expand
 
-_PART = "array<struct<error:string,start:bigint,stop:bigint,single:boolean,open:boolean>>"
-_SPAN = "array<struct<lo:bigint,hi:bigint,back:boolean>>"
-
-
-def _number_error(text: Column) -> Column:
-    value = text.try_cast("bigint")
-    return F.when(~text.rlike("^[+]?[0-9]+$") | value.isNull(), F.lit("not a page number")).when(
-        value == 0, F.lit("page numbers start at 1")
-    )
-
-
-def _read_part(raw: Column) -> Column:
-    text = strip_spaces(raw)
-    dash = F.instr(text, "-")
-    before = strip_spaces(F.substr(text, F.lit(1), dash - 1))
-    after = strip_spaces(F.substr(text, dash + 1))
-    single = dash == 0
-    error = (
-        F.when(text == "", F.lit("empty segment"))
-        .when(single, _number_error(text))
-        .when(F.contains(after, F.lit("-")), F.lit("more than one dash"))
-        .when((before == "") & (after == ""), F.lit("bare dash"))
-        .when(before == "", _number_error(after))
-        .when(after == "", _number_error(before))
-        .otherwise(F.coalesce(_number_error(before), _number_error(after)))
-    )
-    start = F.when(single, text).when(before == "", F.lit("1")).otherwise(before).try_cast("bigint")
-    stop = F.when(single, text).when(after == "", F.lit(None)).otherwise(after).try_cast("bigint")
-    return F.struct(
-        error.alias("error"), start.alias("start"), stop.alias("stop"), single.alias("single"), (~single & (after == "")).alias("open")
+_SPANS = "array<struct<lo:bigint,hi:bigint,back:boolean>>"
+
+
+def _number_error(text: str) -> str:
+    return f"""CASE WHEN {text} NOT RLIKE r'^[+]?[0-9]+$' OR try_cast({text} AS BIGINT) IS NULL THEN 'not a page number'
+      WHEN try_cast({text} AS BIGINT) = 0 THEN 'page numbers start at 1' END"""
+
+
+_PART = let(
+    "split(piece, '-', 2)",
+    "ends",
+    f"""named_struct(
+      'error', CASE WHEN piece = '' THEN 'empty segment'
+        WHEN size(ends) = 1 THEN {_number_error('piece')}
+        WHEN contains(ends[1], '-') THEN 'more than one dash'
+        WHEN piece = '-' THEN 'bare dash'
+        WHEN ends[0] = '' THEN {_number_error('ends[1]')}
+        WHEN ends[1] = '' THEN {_number_error('ends[0]')}
+        ELSE coalesce({_number_error('ends[0]')}, {_number_error('ends[1]')}) END,
+      'start', try_cast(CASE WHEN ends[0] = '' THEN '1' ELSE ends[0] END AS BIGINT),
+      'stop', try_cast(CASE WHEN size(ends) = 1 THEN piece WHEN ends[1] <> '' THEN ends[1] END AS BIGINT),
+      'single', size(ends) = 1)""",
+)
+
+# the parts of an interval that an earlier one has not taken, in reading direction
+_REST = """transform(array(named_struct(
+      'below', named_struct('lo', piece.lo, 'hi', least(piece.hi, taken.lo - 1), 'back', piece.back),
+      'above', named_struct('lo', greatest(piece.lo, taken.hi + 1), 'hi', piece.hi, 'back', piece.back))),
+    cut -> filter(CASE WHEN piece.back THEN array(cut.above, cut.below) ELSE array(cut.below, cut.above) END, s -> s.lo <= s.hi))[0]"""
+
+_FIRST_SEEN = f"""CASE WHEN size(spans) < 2 THEN spans ELSE aggregate(spans, cast(array() AS {_SPANS}), (done, span) -> concat(done,
+    aggregate(done, array(span), (left, taken) -> flatten(transform(left, piece -> {_REST}))))) END"""
+
+
+def _record(spec: str, count: str) -> str:
+    text = rf"regexp_replace(regexp_replace({spec}, r'^\p{{IsWhite_Space}}+|\p{{IsWhite_Space}}+$', ''), r'\p{{IsWhite_Space}}*([,-])\p{{IsWhite_Space}}*', '$1')"
+    n = f"cast({count} AS BIGINT)"
+    outside = f"""get(filter(transform(parts, p -> CASE WHEN {n} = 0 OR p.start > {n} THEN p.start WHEN p.stop > {n} THEN p.stop END), v -> v IS NOT NULL), 0)"""
+    span = f"""named_struct('lo', least(p.start, coalesce(p.stop, {n})), 'hi', greatest(p.start, coalesce(p.stop, {n})), 'back', p.start > coalesce(p.stop, {n}))"""
+    spans = f"""cast(CASE WHEN every THEN CASE WHEN {n} > 0 THEN array(named_struct('lo', 1L, 'hi', {n}, 'back', false)) ELSE array() END
+      WHEN malformed IS NULL AND beyond IS NULL THEN transform(parts, p -> {span}) END AS {_SPANS})"""
+    printed = """CASE WHEN every THEN 'all' WHEN malformed IS NULL THEN array_join(transform(parts, p -> CASE WHEN p.single THEN cast(p.start AS STRING)
+      ELSE concat(cast(p.start AS STRING), '-', coalesce(cast(p.stop AS STRING), '')) END), ',') END"""
+    record = f"""named_struct(
+      'error', CASE WHEN malformed IS NOT NULL THEN 'InvalidPageRange' WHEN beyond IS NOT NULL THEN 'PageOutOfRange' END,
+      'detail', coalesce(malformed, concat('page ', cast(beyond AS STRING), ' of ', cast({n} AS STRING))),
+      'canonical', {printed}, 'spans', spans, 'unique_spans', {_FIRST_SEEN})"""
+    malformed = "CASE WHEN every THEN cast(NULL AS STRING) WHEN text = '' THEN 'range is empty' ELSE get(filter(parts, p -> p.error IS NOT NULL), 0).error END"
+    beyond = f"CASE WHEN NOT every AND malformed IS NULL THEN {outside} END"
+    return let(
+        text,
+        "text",
+        let(
+            "lower(text) = 'all'",
+            "every",
+            let(
+                f"transform(split(text, ','), piece -> {_PART})",
+                "parts",
+                let(malformed, "malformed", let(beyond, "beyond", let(spans, "spans", record))),
+            ),
+        ),
     )
 
 
@@ -50,90 +81,7 @@ def read_spec(df: DataFrame, spec: str = "spec", count: str = "page_count") -> D
 
     A malformed part anywhere is reported before any part that is out of range.
     """
-    text = strip_spaces(F.col(spec))
-    step1 = (
-        df.withColumn("__all", F.lower(text) == "all")
-        .withColumn("__blank", text == "")
-        .withColumn("__parts", F.transform(F.split(text, ","), _read_part).cast(_PART))
-    )
-    malformed = F.when(F.col("__blank"), F.lit("range is empty")).otherwise(
-        F.get(F.filter(F.col("__parts"), lambda p: p["error"].isNotNull()), F.lit(0))["error"]
-    )
-    step2 = step1.withColumn("__malformed", F.when(~F.col("__all"), malformed))
-    n = F.col(count).cast("bigint")
-
-    def too_far(p: Column) -> Column:
-        return F.when((n == 0) | (p["start"] > n), p["start"]).when(p["stop"] > n, p["stop"])
-
-    outside = F.get(F.filter(F.transform(F.col("__parts"), too_far), lambda v: v.isNotNull()), F.lit(0))
-    step3 = step2.withColumn("__outside", F.when(~F.col("__all") & F.col("__malformed").isNull(), outside))
-
-    def span(p: Column) -> Column:
-        end = F.coalesce(p["stop"], n)
-        return F.struct(
-            F.least(p["start"], end).alias("lo"), F.greatest(p["start"], end).alias("hi"), (p["start"] > end).alias("back")
-        )
-
-    whole = F.when(
-        n > 0,
-        F.array(F.struct(F.lit(1).cast("bigint").alias("lo"), n.alias("hi"), F.lit(False).alias("back"))),
-    ).otherwise(F.array())
-    good = F.col("__malformed").isNull() & F.col("__outside").isNull()
-    spans = F.when(F.col("__all"), whole.cast(_SPAN)).when(good, F.transform(F.col("__parts"), span).cast(_SPAN))
-    printed = F.when(F.col("__all"), F.lit("all")).when(
-        F.col("__malformed").isNull(),
-        F.array_join(
-            F.transform(
-                F.col("__parts"),
-                lambda p: F.when(p["open"], F.concat(p["start"].cast("string"), F.lit("-")))
-                .when(p["single"], p["start"].cast("string"))
-                .otherwise(F.concat_ws("-", p["start"].cast("string"), p["stop"].cast("string"))),
-            ),
-            ",",
-        ),
-    )
-    return (
-        step3.withColumn(
-            "error",
-            F.when(F.col("__malformed").isNotNull(), F.lit("InvalidPageRange")).when(
-                F.col("__outside").isNotNull(), F.lit("PageOutOfRange")
-            ),
-        )
-        .withColumn(
-            "detail",
-            F.coalesce(
-                F.col("__malformed"),
-                F.when(
-                    F.col("__outside").isNotNull(),
-                    F.concat(F.lit("page "), F.col("__outside").cast("string"), F.lit(" of "), n.cast("string")),
-                ),
-            ),
-        )
-        .withColumn("canonical", printed)
-        .withColumn("spans", spans)
-        .withColumn("unique_spans", _first_seen(F.col("spans")))
-        .drop("__all", "__blank", "__parts", "__malformed", "__outside")
-    )
-
-
-def _minus(piece: Column, taken: Column) -> Column:
-    """What is left of one interval without another, in the direction of reading."""
-    below = F.struct(piece["lo"].alias("lo"), F.least(piece["hi"], taken["lo"] - 1).alias("hi"), piece["back"].alias("back"))
-    above = F.struct(F.greatest(piece["lo"], taken["hi"] + 1).alias("lo"), piece["hi"].alias("hi"), piece["back"].alias("back"))
-    both = F.when(piece["back"], F.array(above, below)).otherwise(F.array(below, above))
-    return F.filter(both, lambda s: s["lo"] <= s["hi"])
-
-
-def _first_seen(spans: Column) -> Column:
-    def add(done: Column, span: Column) -> Column:
-        fresh = F.aggregate(
-            done,
-            F.array(span).cast(_SPAN),
-            lambda left, taken: F.flatten(F.transform(left, lambda p: _minus(p, taken))).cast(_SPAN),
-        )
-        return F.concat(done, fresh).cast(_SPAN)
-
-    return F.aggregate(spans, F.array().cast(_SPAN), add)
+    return bind(df, F.expr(_record(spec, count)))
 
 
 def span_length(spans: Column) -> Column:
@@ -157,14 +105,13 @@ def held_before(spans: Column, page: Column) -> Column:
 
 def place_of(spans: Column, page: Column) -> Column:
     """Position of ``page`` in the order the disjoint intervals are read."""
-    inside = (lambda s: (page >= s["lo"]) & (page <= s["hi"]))
     start = F.struct(F.lit(0).cast("bigint").alias("done"), F.lit(None).cast("bigint").alias("found"))
 
     def step(acc: Column, s: Column) -> Column:
         here = acc["done"] + F.when(s["back"], s["hi"] - page).otherwise(page - s["lo"]) + 1
         return F.struct(
             (acc["done"] + s["hi"] - s["lo"] + 1).alias("done"),
-            F.coalesce(acc["found"], F.when(inside(s), here)).alias("found"),
+            F.coalesce(acc["found"], F.when((page >= s["lo"]) & (page <= s["hi"]), here)).alias("found"),
         )
 
     return F.aggregate(spans, start, step)["found"]
@@ -172,7 +119,9 @@ def place_of(spans: Column, page: Column) -> Column:
 
 def expand_spans(df: DataFrame, spans: str, keep: list[str], *, width: int | None = None) -> DataFrame:
     """One row per named page: ``keep`` + (pos, page_no), pos from 1 in reading order."""
-    offsets = F.transform(F.col(spans), lambda s, i: span_length(F.slice(F.col(spans), F.lit(1), i)))
+    offsets = F.expr(
+        f"transform({spans}, (s, i) -> aggregate(slice({spans}, 1, i), 0L, (acc, t) -> acc + t.hi - t.lo + 1))"
+    )
     rows = df.select(*keep, F.explode(F.arrays_zip(F.col(spans).alias("span"), offsets.alias("offset"))).alias("z")).select(
         *keep, F.col("z.span").alias("span"), F.col("z.offset").alias("offset")
     )

@@ -91,7 +91,7 @@ def human_bytes(size: Column) -> Column:
     out = F.concat(size.cast("string"), F.lit(" B"))
     for power, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         scaled = value / F.lit(float(1024**power))
-        shown = F.concat(F.format_string("%.1f", scaled), F.lit(f" {unit}"))
+        shown = F.concat(F.format_string("%.1f", F.bround(scaled, 1)), F.lit(f" {unit}"))
         out = F.when(value >= F.lit(float(1024**power)), shown).otherwise(out)
     return out
 

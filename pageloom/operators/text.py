@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions import text as t
+from pageloom.functions.binding import let
 
 
 def extract_text(page_texts: DataFrame, picks: DataFrame) -> DataFrame:
@@ -69,103 +70,114 @@ def paginate(texts: DataFrame, width: int, per_page: int) -> DataFrame:
     )
 
 
-_RENDERED = "array<struct<line:string,code:boolean>>"
-
-
-def _plain_line(line: Column) -> Column:
-    """One line outside code: struct(kind, text), kind heading or line."""
-    left = t.strip_left(line)
-    heading = t.strip_inline(t.strip_right(F.regexp_replace(t.strip_spaces(F.regexp_replace(left, "^#+", "")), "#+$", "")))
-    quoted = F.regexp_replace(left, r"^(?:>\p{IsWhite_Space}*)+", "")
-    bare = F.regexp_replace(quoted, r"\p{IsWhite_Space}", "")
-    item = F.regexp_extract(quoted, r"(?s)^(?:[-*+] |[0-9]+\. \p{IsWhite_Space}*)(.*)$", 1)
-    is_item = quoted.rlike(r"^(?:[-*+] |[0-9]+\. )")
-    is_heading = left.rlike("^#+ ")
-    body = (
-        F.when(bare.rlike(r"^(?:\*{3,}|-{3,}|_{3,})$"), F.lit("- - -"))
-        .when(is_item, F.concat(F.lit("- "), t.strip_inline(item)))
-        .otherwise(t.strip_inline(t.strip_right(quoted)))
-    )
-    return F.struct(
-        (is_heading & (heading != "")).alias("heading"),
-        F.when(is_heading, heading).otherwise(body).alias("text"),
-        t.strip_spaces(line).rlike("^(?:=+|-+)$").alias("underline"),
-    )
-
-
-def _code_split(text: Column) -> Column:
-    """Alternating stretches of prose and fenced code, line by line; fence lines are dropped."""
-    fences = F.regexp_replace(t.newlines(text), r"(?m)^[^\S\n]*(?:```|~~~)[^\n]*$", "\u0001")
-    return F.split(fences, "\u0001")
-
-
-def _stretch_lines(stretch: Column, at: Column, count: Column) -> Column:
-    """Lines of a stretch without the line breaks that belonged to its fences."""
-    inner = F.regexp_replace(F.regexp_replace(stretch, F.when(at > 0, F.lit("^\n")).otherwise(F.lit("^(?!)")), F.lit("")),
-                             F.when(at < count - 1, F.lit("\n$")).otherwise(F.lit("(?!)$")), F.lit(""))
-    touching = (at > 0) & (at < count - 1) & (stretch == "\n")
-    edge = ((at == 0) & (count > 1) | (at > 0) & (at == count - 1)) & (stretch == "")
-    return F.when(touching | edge, F.array().cast("array<string>")).otherwise(F.split(inner, "\n"))
-
-
-def _prose(lines: Column, before: Column) -> Column:
-    """Rendered lines of a prose stretch; ``before`` tells whether text stands right above it."""
-    plain = F.transform(lines, _plain_line)
-
-    def carries(i: Column) -> Column:
-        above = F.get(plain, i - 1)
-        ok = ~above["heading"] & (above["text"] != "") & ~above["text"].startswith("- ")
-        return F.when(i == 0, before).otherwise(ok)
-
-    may = F.transform(plain, lambda p, i: F.when(p["underline"] & carries(i), F.lit("1")).otherwise(F.lit("0")))
-    # in a run of possible underlines every other one counts, from the first
-    chosen = F.regexp_replace(F.array_join(may, ""), "11", "10")
-
-    def hit(i: Column) -> Column:
-        return F.substring(chosen, 0, 1) if i is None else (F.substr(chosen, i + 1, F.lit(1)) == "1")
-
-    def out(p: Column, i: Column) -> Column:
-        blank = F.lit("")
-        lifted = (i < F.size(plain) - 1) & hit(i + 1)
-        one = F.when(p["heading"] | lifted, F.array(blank, p["text"], blank)).otherwise(F.array(p["text"]))
-        return F.when(hit(i), F.array().cast("array<string>")).otherwise(one)
-
-    flat = F.flatten(F.transform(plain, out))
-    return F.transform(flat, lambda s: F.struct(s.alias("line"), F.lit(False).alias("code"))).cast(_RENDERED)
-
+# SQL text of the Markdown rules; ``let`` computes each step once
+_SPACE = r"\p{IsWhite_Space}"
+
+
+def _inline_sql(text: str) -> str:
+    """Links keep their labels; emphasis, strike and code marks go."""
+    links = rf"regexp_replace(regexp_replace({text}, r'!\[([^\]]*)\](?:\([^)]*\))?', '$1'), r'\[([^\]]*)\](?:\([^)]*\))?', '$1')"
+    doubles = f"replace(replace(replace({links}, '**', ''), '__', ''), '~~', '')"
+    word, solid = r"[\p{L}\p{N}]", r"[^\p{IsWhite_Space}]"
+    return rf"regexp_replace({doubles}, r'`|(?<!{word})_|_(?!{word})|(?<={solid})\*|\*(?={solid})', '')"
+
+
+def _heading_sql(left: str) -> str:
+    body = rf"regexp_replace(regexp_replace({left}, r'^#+{_SPACE}*|{_SPACE}+$', ''), r'#+$', '')"
+    return _inline_sql(rf"regexp_replace({body}, r'{_SPACE}+$', '')")
+
+
+_LINE = let(
+    rf"regexp_replace(line, r'^{_SPACE}+', '')",
+    "left",
+    let(
+        rf"regexp_replace(left, r'^(?:>{_SPACE}*)+', '')",
+        "quoted",
+        let(
+            rf"left RLIKE r'^#+ '",
+            "atx",
+            let(
+                rf"""CASE WHEN atx THEN {_heading_sql('left')}
+                  WHEN regexp_replace(quoted, r'{_SPACE}', '') RLIKE r'^(?:\*{{3,}}|-{{3,}}|_{{3,}})$' THEN '- - -'
+                  WHEN quoted RLIKE r'^(?:[-*+] |[0-9]+\. )' THEN concat('- ', {_inline_sql(rf"regexp_replace(quoted, r'^(?:[-*+] |[0-9]+\. {_SPACE}*)', '')")})
+                  ELSE {_inline_sql(rf"regexp_replace(quoted, r'{_SPACE}+$', '')")} END""",
+                "text",
+                rf"named_struct('heading', atx AND text <> '', 'text', text, 'underline', left RLIKE r'^(?:=+|-+){_SPACE}*$')",
+            ),
+        ),
+    ),
+)
+
+# A fence line closes or opens code. Splitting at fences leaves prose at even places.
+_FENCED = r"split(regexp_replace(md, r'(?m)^[^\S\n]*(?:```|~~~)[^\n]*$', '\u0001'), '\u0001')"
+
+
+def _hollow(at: str) -> str:
+    """A fence pair without lines; prose goes on across it."""
+    return f"({at} % 2 = 1 AND coalesce(get(fenced, {at}) = '\\n' AND get(fenced, {at} + 1) <> '', false))"
+
+
+_PIECES = let(
+    _FENCED,
+    "fenced",
+    f"""split(array_join(transform(fenced, (p, i) -> concat(
+        CASE WHEN i = 0 OR {_hollow('i')} OR {_hollow('(i - 1)')} THEN '' ELSE '\\u0001' END,
+        CASE WHEN {_hollow('i')} THEN '' WHEN {_hollow('(i - 1)')} THEN substr(p, 2) ELSE p END)), ''), '\\u0001')""",
+)
+
+# line breaks next to a fence belong to the fence
+_LINES_OF = """CASE WHEN count > 1 AND (((at = 0 OR at = count - 1) AND piece = '') OR (at > 0 AND at < count - 1 AND piece = '\\n')) THEN cast(array() AS array<string>)
+  ELSE split(substr(piece, if(at > 0, 2, 1), length(piece) - if(at > 0, 1, 0) - if(at < count - 1, 1, 0)), '\\n') END"""
+
+# prose with the text standing directly above it when only fences lie between
+_PROSE = let(
+    f"transform(lines, line -> {_LINE})",
+    "plain",
+    let(
+        # an underline counts below text; in a run of underlines every other one does
+        """regexp_replace(array_join(transform(plain, (p, i) -> CASE WHEN p.underline AND
+             (CASE WHEN i = 0 THEN above ELSE NOT get(plain, i - 1).heading AND get(plain, i - 1).text <> '' AND NOT startswith(get(plain, i - 1).text, '- ') END)
+           THEN '1' ELSE '0' END), ''), '11', '10')""",
+        "marks",
+        """flatten(transform(plain, (p, i) -> CASE WHEN substr(marks, i + 1, 1) = '1' THEN cast(array() AS array<string>)
+             WHEN p.heading OR substr(marks, i + 2, 1) = '1' THEN array('', p.text, '') ELSE array(p.text) END))""",
+    ),
+)
+
+_MARKDOWN = let(
+    "regexp_replace(md_text, '\\\\r\\\\n?', '\\n')",
+    "md",
+    let(
+        _PIECES,
+        "pieces",
+        let(
+            "size(pieces)",
+            "count",
+            let(
+                f"""flatten(transform(pieces, (piece, at) -> {let(_LINES_OF, 'lines', f"""CASE WHEN at % 2 = 1 THEN transform(lines, line -> named_struct('line', line, 'code', true))
+                  ELSE transform({let('false', 'above', _PROSE)}, line -> named_struct('line', line, 'code', false)) END""")}))""",
+                "rendered",
+                """transform(filter(rendered, (r, i) -> r.code OR r.line <> '' OR i = 0 OR get(rendered, i - 1).line <> ''), r -> r.line)""",
+            ),
+        ),
+    ),
+)
 
-def markdown_lines(md: Column) -> Column:
-    """Array of plain lines for a Markdown text."""
-    pieces = _code_split(md)
-    count = F.size(pieces)
 
-    def render(stretch: Column, at: Column) -> Column:
-        lines = _stretch_lines(stretch, at, count)
-        code = F.transform(lines, lambda s: F.struct(s.alias("line"), F.lit(True).alias("code"))).cast(_RENDERED)
-        return F.when(at % 2 == 1, code).otherwise(_prose(lines, F.lit(False)))
+def markdown_to_lines(docs: DataFrame) -> DataFrame:
+    """Plain lines of Markdown documents: doc_id, line_no, text. ``docs``: doc_id, md.
 
-    rendered = F.flatten(F.transform(pieces, render))
-    kept = F.filter(
-        rendered,
-        lambda r, i: r["code"] | (r["line"] != "") | (i == 0) | (F.get(rendered, i - 1)["line"] != ""),
+    A text is one row, so fences, underlines and blank runs are settled inside it.
+    """
+    lines = F.expr(_MARKDOWN.replace("md_text", "source.md"))
+    return docs.alias("source").select("doc_id", F.posexplode(lines).alias("i", "text")).select(
+        "doc_id", (F.col("i") + 1).alias("line_no"), "text"
     )
-    return F.transform(kept, lambda r: r["line"])
 
 
-def markdown_title(md: Column) -> Column:
+def markdown_title(md: str) -> Column:
     """Text of the first ``#`` heading, fences not minded; NULL without one."""
-    heads = F.filter(F.split(t.newlines(md), "\n"), lambda s: t.strip_left(s).rlike("^#+ "))
-    texts = F.transform(
-        heads,
-        lambda s: t.strip_inline(
-            t.strip_right(F.regexp_replace(t.strip_spaces(F.regexp_replace(t.strip_left(s), "^#+", "")), "#+$", ""))
-        ),
-    )
-    return F.get(F.filter(texts, lambda s: s != ""), F.lit(0))
-
-
-def markdown_to_lines(docs: DataFrame) -> DataFrame:
-    """Plain lines of Markdown documents: doc_id, line_no, text. ``docs``: doc_id, md."""
-    return docs.select("doc_id", F.posexplode(markdown_lines(F.col("md"))).alias("i", "text")).select(
-        "doc_id", (F.col("i") + 1).alias("line_no"), "text"
+    left = rf"regexp_replace(line, r'^{_SPACE}+', '')"
+    return F.expr(
+        rf"get(filter(transform(filter(split(regexp_replace({md}, '\\r\\n?', '\n'), '\n'), line -> {left} RLIKE r'^#+ '), line -> {_heading_sql(left)}), t -> t <> ''), 0)"
     )

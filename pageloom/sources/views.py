@@ -7,6 +7,7 @@ DataFrame over the whole of them.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from pageloom.functions import ranges
 from pageloom.functions.text import lines_per_page, wrap_lines, wrap_width
@@ -17,8 +18,16 @@ WRAP = wrap_width(PAPER["a4"][0])
 PER_PAGE = lines_per_page(PAPER["a4"][1])
 
 
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A parquet table; its footer is read once per path, not at every use."""
+    path = f"{folder}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        _schemas[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[key]).parquet(path)
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:

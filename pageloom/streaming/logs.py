@@ -8,15 +8,17 @@ current state is the newest row of a group.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType, TimestampType
 
 from pageloom.operators.audit import job_state_columns, job_status_of
 from pageloom.plans.shared import new_path
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """A table's parquet files as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table's parquet files as a stream; times are read as instants, as watermarks need."""
+    fields = [StructField(f.name, TimestampType()) if f.dataType.typeName() == "timestamp_ntz" else f for f in schema.fields]
+    files = StructType(fields)
+    return spark.readStream.schema(files).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def _run(changes: DataFrame, keys: list[str], label: str) -> DataFrame:
@@ -35,7 +37,7 @@ def _run(changes: DataFrame, keys: list[str], label: str) -> DataFrame:
     )
     query.awaitTermination()
     values = [c for c in changes.columns if c not in keys]
-    saved = spark.read.schema(StructType(changes.schema.fields).add("batch", "int")).parquet(f"{out}/batch=*")
+    saved = spark.read.schema(StructType([*changes.schema.fields, StructField("batch", IntegerType())])).parquet(f"{out}/batch=*")
     return saved.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("s")).select(*keys, "s.*")
 
 
