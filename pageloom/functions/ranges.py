@@ -15,25 +15,34 @@ from pageloom.plans.scan import expand
 _SPANS = "array<struct<lo:bigint,hi:bigint,back:boolean>>"
 
 
-def _number_error(text: str) -> str:
-    return f"""CASE WHEN {text} NOT RLIKE r'^[+]?[0-9]+$' OR try_cast({text} AS BIGINT) IS NULL THEN 'not a page number'
-      WHEN try_cast({text} AS BIGINT) = 0 THEN 'page numbers start at 1' END"""
+def _number(text: str) -> str:
+    """A page number; only long digit strings need the slower checked cast."""
+    return f"""CASE WHEN {text} RLIKE r'^[+]?[0-9]{{1,18}}$' THEN cast({text} AS BIGINT)
+      WHEN {text} RLIKE r'^[+]?[0-9]+$' THEN try_cast({text} AS BIGINT) END"""
+
+
+def _number_error(number: str) -> str:
+    return f"CASE WHEN {number} IS NULL THEN 'not a page number' WHEN {number} = 0 THEN 'page numbers start at 1' END"
 
 
 _PART = let(
     "split(piece, '-', 2)",
     "ends",
-    f"""named_struct(
+    let(
+        f"transform(ends, e -> {_number('e')})",
+        "numbers",
+        f"""named_struct(
       'error', CASE WHEN piece = '' THEN 'empty segment'
-        WHEN size(ends) = 1 THEN {_number_error('piece')}
+        WHEN size(ends) = 1 THEN {_number_error('numbers[0]')}
         WHEN contains(ends[1], '-') THEN 'more than one dash'
         WHEN piece = '-' THEN 'bare dash'
-        WHEN ends[0] = '' THEN {_number_error('ends[1]')}
-        WHEN ends[1] = '' THEN {_number_error('ends[0]')}
-        ELSE coalesce({_number_error('ends[0]')}, {_number_error('ends[1]')}) END,
-      'start', try_cast(CASE WHEN ends[0] = '' THEN '1' ELSE ends[0] END AS BIGINT),
-      'stop', try_cast(CASE WHEN size(ends) = 1 THEN piece WHEN ends[1] <> '' THEN ends[1] END AS BIGINT),
+        WHEN ends[0] = '' THEN {_number_error('numbers[1]')}
+        WHEN ends[1] = '' THEN {_number_error('numbers[0]')}
+        ELSE coalesce({_number_error('numbers[0]')}, {_number_error('numbers[1]')}) END,
+      'start', CASE WHEN ends[0] = '' THEN 1L ELSE numbers[0] END,
+      'stop', CASE WHEN size(ends) = 1 THEN numbers[0] WHEN ends[1] <> '' THEN numbers[1] END,
       'single', size(ends) = 1)""",
+    ),
 )
 
 # the parts of an interval that an earlier one has not taken, in reading direction
@@ -118,14 +127,18 @@ def place_of(spans: Column, page: Column) -> Column:
 
 
 def expand_spans(df: DataFrame, spans: str, keep: list[str], *, width: int | None = None) -> DataFrame:
-    """One row per named page: ``keep`` + (pos, page_no), pos from 1 in reading order."""
+    """One row per named page: ``keep`` + (pos, page_no), pos from 1 in reading order.
+
+    ``df`` has page_count, which no interval is longer than.
+    """
     offsets = F.expr(
         f"transform({spans}, (s, i) -> aggregate(slice({spans}, 1, i), 0L, (acc, t) -> acc + t.hi - t.lo + 1))"
     )
-    rows = df.select(*keep, F.explode(F.arrays_zip(F.col(spans).alias("span"), offsets.alias("offset"))).alias("z")).select(
-        *keep, F.col("z.span").alias("span"), F.col("z.offset").alias("offset")
-    )
-    out = expand(rows, F.col("span.hi") - F.col("span.lo") + 1, "__i", spread=[*keep, "offset"], width=width)
+    rows = df.select(
+        *keep, "page_count", F.explode(F.arrays_zip(F.col(spans).alias("span"), offsets.alias("offset"))).alias("z")
+    ).select(*keep, "page_count", F.col("z.span").alias("span"), F.col("z.offset").alias("offset"))
+    length = F.col("span.hi") - F.col("span.lo") + 1
+    out = expand(rows, length, "__i", bound=F.col("page_count"), spread=[*keep, "offset"], width=width)
     page = F.when(F.col("span.back"), F.col("span.hi") - F.col("__i")).otherwise(F.col("span.lo") + F.col("__i"))
     return out.select(
         *keep, (F.col("offset") + F.col("__i") + 1).cast("int").alias("pos"), page.cast("int").alias("page_no")

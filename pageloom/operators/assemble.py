@@ -103,7 +103,7 @@ def split_every(docs: DataFrame, size: int, *, width: int | None = None) -> Data
     if size < 1:
         raise ValueError("InvalidPageRange: chunk size must be at least 1")
     counted = docs.select("doc_id", "page_count", F.ceil(F.col("page_count") / size).cast("int").alias("chunks"))
-    rows = expand(counted, F.col("chunks"), "__i", spread=["doc_id"], width=width)
+    rows = expand(counted, F.col("chunks"), "__i", bound=F.col("page_count"), spread=["doc_id"], width=width)
     return rows.select(
         "doc_id",
         (F.col("__i") + 1).cast("int").alias("chunk_no"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions import geometry as g
+from pageloom.functions.binding import bind
 from pageloom.functions.labels import fill_tokens
 from pageloom.operators.rejects import first_error, keep_good
 from pageloom.operators.selection import selected
@@ -27,6 +28,11 @@ def shown_box() -> g.Box:
     return g.choose(F.col("crop_inset").isNotNull() & clipped.has_area, clipped, media())
 
 
+def with_shown(pages: DataFrame) -> DataFrame:
+    """Add the edges of what each page shows as s_x0 to s_y1, worked out once."""
+    return bind(pages, F.struct(*[v.alias(f"s_{n}") for n, v in zip(("x0", "y0", "x1", "y1"), shown_box())]))
+
+
 def rotate(pages: DataFrame, specs: DataFrame, degrees: int) -> DataFrame:
     """Add ``degrees`` to the selected pages; a full turn removes the value."""
     if degrees % 90:
@@ -61,8 +67,8 @@ def crop(pages: DataFrame, specs: DataFrame, rect: g.Box) -> tuple[DataFrame, Da
 
 def crop_margins(pages: DataFrame, specs: DataFrame, *, top: float, bottom: float, left: float, right: float) -> tuple[DataFrame, DataFrame]:
     """Trim margins off what each page shows now, named for the displayed page."""
-    df = selected(pages, specs)
-    return _gated(df, g.inset(shown_box(), F.col("rotate"), top, bottom, left, right), "InvalidCropBox")
+    df = with_shown(selected(pages, specs))
+    return _gated(df, g.inset(g.named_box("s_"), F.col("rotate"), top, bottom, left, right), "InvalidCropBox")
 
 
 def set_mediabox(pages: DataFrame, specs: DataFrame, rect: g.Box) -> DataFrame:
@@ -99,7 +105,7 @@ def scale(pages: DataFrame, specs: DataFrame, paper: str, fit: str) -> DataFrame
 
 def halve(pages: DataFrame, direction: str, gap: float, swap: bool = False) -> tuple[DataFrame, DataFrame]:
     """Cut every page in two, at positions 2i-1 and 2i; the gap is dropped on both sides."""
-    s = shown_box()
+    pages, s = with_shown(pages), g.named_box("s_")
     if direction == "vertical":
         mid = (s.x0 + s.x1) / 2
         first, second = s._replace(x1=mid - gap), s._replace(x0=mid + gap)

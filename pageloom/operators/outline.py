@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pageloom.functions.binding import bind
 from pageloom.plans.graph import climb
 from pageloom.plans.scan import Running, running
 
@@ -137,40 +138,40 @@ def outline_export(tree: DataFrame, *, width: int | None = None) -> DataFrame:
     return ahead.select("doc_id", "idx", F.concat(head, F.repeat(F.lit("]}"), closers)).alias("fragment"))
 
 
-_ITEMS = "array<struct<title:string,page:int,children:string>>"
+def _list_type(depth: int) -> str:
+    inner = "string" if depth == 1 else _list_type(depth - 1)
+    return f"array<struct<title:string,page:int,children:{inner}>>"
+
+
+def _flat_sql(items: str, above: str, depth: int, max_depth: int) -> str:
+    """SQL text listing nested items in pre-order with a sortable path."""
+    x, i = f"x{depth}", f"i{depth}"
+    path = f"concat({above}, lpad(cast({i} + 1 AS STRING), 6, '0'))"
+    own = f"array(named_struct('path', {path}, 'depth', {depth}, 'title', {x}.title, 'page', {x}.page))"
+    if depth == max_depth:
+        return f"transform({items}, ({x}, {i}) -> {own}[0])"
+    below = _flat_sql(f"coalesce({x}.children, array())", f"concat({path}, '/')", depth + 1, max_depth)
+    return f"flatten(transform({items}, ({x}, {i}) -> concat({own}, {below})))"
 
 
 def outline_import(lists: DataFrame, *, max_depth: int) -> tuple[DataFrame, DataFrame]:
     """Nested JSON lists to flat rows: (items with a sortable ``path``, rejects).
 
     ``lists``: doc_id, page_count, json. A page outside the document refuses the whole
-    list; an empty list leaves no rows. Children stay text until their level is read.
+    list; an empty list leaves no rows. A list is one row and is read once.
     """
-    level = lists.select("doc_id", "page_count", F.lit("").alias("path"), F.col("json").alias("children"))
-    parts = []
-    for depth in range(1, max_depth + 1):
-        level = (
-            level.filter(F.col("children").isNotNull() & (F.col("children") != "[]"))
-            .select("doc_id", "page_count", "path", F.posexplode(F.from_json("children", _ITEMS)).alias("i", "item"))
-            .select(
-                "doc_id",
-                "page_count",
-                F.concat_ws("/", F.nullif(F.col("path"), F.lit("")), F.lpad((F.col("i") + 1).cast("string"), 6, "0")).alias("path"),
-                F.lit(depth).alias("depth"),
-                F.col("item.title").alias("title"),
-                F.col("item.page").alias("page"),
-                F.col("item.children").alias("children"),
-            )
-        )
-        parts.append(level.drop("children"))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    outside = (F.col("page") < 1) | (F.col("page") > F.col("page_count")) | F.col("page").isNull()
-    rejects = rows.filter(outside).groupBy("doc_id").agg(F.min_by("page", "path").alias("page")).select(
-        "doc_id", F.lit("PageOutOfRange").alias("error"), "page"
-    )
-    return rows.join(rejects, "doc_id", "left_anti").drop("page_count"), rejects
+    parsed = f"from_json(json, '{_list_type(max_depth)}')"
+    flat = bind(lists, F.struct(F.expr(_flat_sql(parsed, "''", 1, max_depth)).alias("items")))
+    checked = bind(
+        flat,
+        F.struct(
+            F.expr("get(filter(items, x -> x.page IS NULL OR x.page < 1 OR x.page > page_count), 0)").alias("bad")
+        ),
+    )
+    rejects = checked.filter(F.col("bad").isNotNull()).select(
+        "doc_id", F.lit("PageOutOfRange").alias("error"), F.col("bad.page").alias("page")
+    )
+    return checked.filter(F.col("bad").isNull()).select("doc_id", F.inline("items")), rejects
 
 
 MAX_HOPS = 16

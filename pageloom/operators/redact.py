@@ -76,6 +76,15 @@ def redact_area(runs: DataFrame, pages: DataFrame, rects: DataFrame, keys: list[
 
 def untouched(runs: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
     """Runs no rectangle reaches; what was reached is simply not in the output."""
+    named = rects.select(*keys, *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
+    if len(rects.select("rect_id").take(BROADCAST_RECTS + 1)) <= BROADCAST_RECTS:
+        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+        edge = lambda side, names: g.Box(*[F.col(f"{side}.{n}") for n in names])
+        meets = g.overlaps(edge("a", ("x0", "y0", "x1", "y1")), edge("b", ("r_x0", "r_y0", "r_x1", "r_y1")))
+        on = meets
+        for condition in same:
+            on = on & condition
+        return runs.alias("a").join(F.broadcast(named).alias("b"), on, "left_anti")
     hit = glyph_hits(runs, rects, keys).select("doc_id", "line_no").distinct()
     return runs.join(hit, ["doc_id", "line_no"], "left_anti")
 

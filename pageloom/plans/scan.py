@@ -150,19 +150,23 @@ def row_index(
     )
 
 
-def expand(df: DataFrame, length: Column, index: str, *, spread: list[str], width: int | None = None) -> DataFrame:
+def expand(
+    df: DataFrame, length: Column, index: str, *, bound: Column, spread: list[str], width: int | None = None
+) -> DataFrame:
     """One output row per 0 <= index < length.
 
-    Rows that expand to more than ``width`` are first cut into blocks and spread over
-    the cluster by hash, so no task writes out a long range alone.
+    Rows that may expand to more than ``width`` are first cut into blocks and spread over
+    the cluster by hash, so no task writes out a long range alone. ``bound`` is a cheap
+    column no length exceeds; the two paths are told apart by it before ``length`` is
+    worked out, so that is done once per row.
     """
     width = width or WIDTH
-    sized = df.withColumn("__len", length.cast("long")).filter(F.col("__len") > 0)
+    sized = df.withColumn("__len", length.cast("long"))
     names = [F.col(c) for c in df.columns]
-    short = sized.filter(F.col("__len") <= F.lit(width)).select(
+    short = sized.filter(bound <= F.lit(width)).filter(F.col("__len") > 0).select(
         *names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__len") - 1)).alias(index)
     )
-    blocks = sized.filter(F.col("__len") > F.lit(width)).select(
+    blocks = sized.filter(bound > F.lit(width)).filter(F.col("__len") > 0).select(
         *names,
         "__len",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__len") - 1) / F.lit(width)))).alias("__block"),
