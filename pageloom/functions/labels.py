@@ -95,7 +95,7 @@ def pdf_date(raw: Column) -> Column:
             F.lpad((total % 60).cast("string"), 2, "0"),
         ),
     ).otherwise(F.lit("+00:00"))
-    return F.when(valid, F.concat_ws(" ", F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), F.when(stamp.isNotNull(), offset)))
+    return F.when(valid, F.concat(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), offset))
 
 
 def color(spec: Column) -> Column:
