@@ -182,7 +182,7 @@ def a12_rescue_choice(spark, d):
 
 @query
 def s7_paginate_text(spark, d):
-    return text.paginate(v.table(spark, d, "documents"), v.WRAP, v.PER_PAGE)
+    return text.paginate(v.text_table(spark, d), v.WRAP, v.PER_PAGE)
 
 
 def _text_picks(spark, d):
@@ -381,7 +381,7 @@ def _nested_lists(spark, d):
         return F.when(i % 2 == 0, own)
 
     items = F.array_compact(F.transform(quoted, pair))
-    return v.table(spark, d, "documents").select(
+    return v.text_table(spark, d).select(
         "doc_id", F.lit(12).alias("page_count"), F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("json")
     )
 

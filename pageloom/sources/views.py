@@ -30,6 +30,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_schemas[key]).parquet(path)
 
 
+_small: dict[tuple[str, str], bool] = {}
+
+
+def spread(df: DataFrame, folder: str, name: str, key: str) -> DataFrame:
+    """Hash rows over all cores when the table behind them is one small file.
+
+    One file may be read by a single task, which then does all costly text work alone.
+    A table of many files, or one large enough to be cut, is left as it is.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    cores = context.defaultParallelism
+    path = f"{folder}/{name}.parquet"
+    seen = (context.applicationId, path)
+    if seen not in _small:
+        jvm = context._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        status = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(where)
+        _small[seen] = status.isFile() and status.getLen() < cores * (128 << 20)
+    return df.repartition(cores, key) if _small[seen] else df
+
+
 def docs(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as documents with a page count; orders without lines are empty documents."""
     counted = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
@@ -82,12 +104,16 @@ def with_spec(df: DataFrame) -> DataFrame:
 
 
 def specs(spark: SparkSession, folder: str) -> DataFrame:
-    return ranges.read_spec(with_spec(docs(spark, folder)))
+    return ranges.read_spec(with_spec(spread(docs(spark, folder), folder, "orders", "doc_id")))
+
+
+def text_table(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents"), folder, "documents", "doc_id")
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as wrapped line arrays: doc_id, lines, page_count."""
-    wrapped = table(spark, folder, "documents").select("doc_id", wrap_lines(F.col("text"), WRAP).alias("lines"))
+    wrapped = text_table(spark, folder).select("doc_id", wrap_lines(F.col("text"), WRAP).alias("lines"))
     return wrapped.withColumn("page_count", F.ceil(F.size("lines") / F.lit(float(PER_PAGE))).cast("int"))
 
 
@@ -382,7 +408,7 @@ def metadata_edits(spark: SparkSession, folder: str) -> DataFrame:
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     title = F.col("title")
     fence = "```"
-    return metadata(spark, folder).select(
+    return spread(metadata(spark, folder), folder, "documents", "doc_id").select(
         "doc_id",
         F.concat(
             F.lit("# "), title, F.lit(f"\n* item **one**\n\n\n{fence}\n# not a heading\n\n{fence}\n"), title,
