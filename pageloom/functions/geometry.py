@@ -74,20 +74,24 @@ def turned(rotation: Column) -> Column:
     return F.pmod(rotation, F.lit(360)).isin(90, 270)
 
 
-def inset(shown: Box, rotation: Column, top: float, bottom: float, left: float, right: float) -> Box:
-    """Trim margins named for the displayed page off the unrotated box."""
-    edges = {0: (left, bottom, right, top), 90: (top, left, bottom, right), 180: (right, top, left, bottom), 270: (bottom, right, top, left)}
+def stored_margins(rotation: Column, top: float, bottom: float, left: float, right: float) -> Column:
+    """Margins named for the displayed page as a struct of the stored edges e_x0 to e_y1."""
+    edges = {90: (top, left, bottom, right), 180: (right, top, left, bottom), 270: (bottom, right, top, left)}
+
+    def record(values: tuple[float, ...]) -> Column:
+        return F.struct(*[F.lit(float(v)).alias(f"e_{n}") for v, n in zip(values, ("x0", "y0", "x1", "y1"))])
+
     turn = F.pmod(rotation, F.lit(360))
+    return (
+        F.when(turn == 90, record(edges[90]))
+        .when(turn == 180, record(edges[180]))
+        .when(turn == 270, record(edges[270]))
+        .otherwise(record((left, bottom, right, top)))
+    )
 
-    def pick(i: int) -> Column:
-        return (
-            F.when(turn == 90, F.lit(float(edges[90][i])))
-            .when(turn == 180, F.lit(float(edges[180][i])))
-            .when(turn == 270, F.lit(float(edges[270][i])))
-            .otherwise(F.lit(float(edges[0][i])))
-        )
 
-    return Box(shown.x0 + pick(0), shown.y0 + pick(1), shown.x1 - pick(2), shown.y1 - pick(3))
+def inset(shown: Box, margins: Box) -> Box:
+    return Box(shown.x0 + margins.x0, shown.y0 + margins.y0, shown.x1 - margins.x1, shown.y1 - margins.y1)
 
 
 def fit_scale(fit: str, target_w: Column, target_h: Column, source_w: Column, source_h: Column) -> tuple[Column, Column]:

@@ -23,14 +23,13 @@ def crop_box() -> g.Box:
 
 
 def shown_box() -> g.Box:
-    """The crop box inside the media box where they overlap, else the media box."""
-    clipped = g.intersect(crop_box(), media())
-    return g.choose(F.col("crop_inset").isNotNull() & clipped.has_area, clipped, media())
+    """The crop box inside the media box where they overlap, else the media box.
 
-
-def with_shown(pages: DataFrame) -> DataFrame:
-    """Add the edges of what each page shows as s_x0 to s_y1, worked out once."""
-    return bind(pages, F.struct(*[v.alias(f"s_{n}") for n, v in zip(("x0", "y0", "x1", "y1"), shown_box())]))
+    The stored crop is the same inset on all edges, so one trimmed value gives the box.
+    """
+    inset = F.col("crop_inset")
+    trim = F.when(inset * 2 < F.least("page_w", "page_h"), F.greatest(inset, F.lit(0.0))).otherwise(0.0)
+    return g.Box(trim, trim, F.col("page_w") - trim, F.col("page_h") - trim)
 
 
 def rotate(pages: DataFrame, specs: DataFrame, degrees: int) -> DataFrame:
@@ -46,7 +45,7 @@ def rotate(pages: DataFrame, specs: DataFrame, degrees: int) -> DataFrame:
 
 
 def _gated(df: DataFrame, result: g.Box, error: str) -> tuple[DataFrame, DataFrame]:
-    named = df.select("doc_id", "page_no", "selected", *[v.alias(f"n_{n}") for n, v in zip(("x0", "y0", "x1", "y1"), result)])
+    named = bind(df, F.struct(*[v.alias(f"n_{n}") for n, v in zip(("x0", "y0", "x1", "y1"), result)]))
     bad = F.col("selected") & ~g.named_box("n_").has_area
     ok = keep_good(named, ["doc_id"], bad).filter("selected").select("doc_id", "page_no", *g.named_box("n_").columns())
     rejects = first_error(
@@ -67,8 +66,8 @@ def crop(pages: DataFrame, specs: DataFrame, rect: g.Box) -> tuple[DataFrame, Da
 
 def crop_margins(pages: DataFrame, specs: DataFrame, *, top: float, bottom: float, left: float, right: float) -> tuple[DataFrame, DataFrame]:
     """Trim margins off what each page shows now, named for the displayed page."""
-    df = with_shown(selected(pages, specs))
-    return _gated(df, g.inset(g.named_box("s_"), F.col("rotate"), top, bottom, left, right), "InvalidCropBox")
+    df = bind(selected(pages, specs), g.stored_margins(F.col("rotate"), top, bottom, left, right))
+    return _gated(df, g.inset(shown_box(), g.named_box("e_")), "InvalidCropBox")
 
 
 def set_mediabox(pages: DataFrame, specs: DataFrame, rect: g.Box) -> DataFrame:
@@ -105,7 +104,7 @@ def scale(pages: DataFrame, specs: DataFrame, paper: str, fit: str) -> DataFrame
 
 def halve(pages: DataFrame, direction: str, gap: float, swap: bool = False) -> tuple[DataFrame, DataFrame]:
     """Cut every page in two, at positions 2i-1 and 2i; the gap is dropped on both sides."""
-    pages, s = with_shown(pages), g.named_box("s_")
+    s = shown_box()
     if direction == "vertical":
         mid = (s.x0 + s.x1) / 2
         first, second = s._replace(x1=mid - gap), s._replace(x0=mid + gap)

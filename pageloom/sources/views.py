@@ -119,7 +119,8 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Wrapped lines: doc_id, line_no, page_no, text. A text is one row, so no shuffle is needed."""
-    return texts(spark, folder).select("doc_id", F.posexplode("lines").alias("i", "text")).select(
+    wrapped = wrap_lines(F.col("text"), WRAP)
+    return text_table(spark, folder).select("doc_id", F.posexplode(wrapped).alias("i", "text")).select(
         "doc_id",
         (F.col("i") + 1).alias("line_no"),
         (F.floor(F.col("i") / PER_PAGE) + 1).cast("int").alias("page_no"),
