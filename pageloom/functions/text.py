@@ -8,7 +8,6 @@ from pyspark.sql import Column, functions as F
 BULLETS = "•●◦▪▫■□‣⁃·\\-–"
 
 _SPACE = r"\p{IsWhite_Space}"
-_NOT_SPACE = rf"[^{_SPACE}]"
 
 
 def strip_spaces(text: Column) -> Column:
@@ -47,16 +46,6 @@ def escape_html(text: Column) -> Column:
     return out
 
 
-def strip_inline(text: Column) -> Column:
-    """Readable text of a Markdown line: links keep labels, emphasis and code marks go."""
-    out = F.regexp_replace(text, r"!\[([^\]]*)\](?:\([^)]*\))?", "$1")
-    out = F.regexp_replace(out, r"\[([^\]]*)\](?:\([^)]*\))?", "$1")
-    for mark in ("**", "__", "~~"):
-        out = F.replace(out, F.lit(mark), F.lit(""))
-    word = r"[\p{L}\p{N}]"
-    return F.regexp_replace(out, rf"`|(?<!{word})_|_(?!{word})|(?<={_NOT_SPACE})\*|\*(?={_NOT_SPACE})", "")
-
-
 def newlines(text: Column) -> Column:
     """CRLF and CR become LF."""
     return F.regexp_replace(text, "\r\n?", "\n")

@@ -7,9 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pageloom.functions import ranges
 from pageloom.functions.labels import fill_tokens
 from pageloom.functions.text import zero_pad
-from pageloom.operators.selection import selected
 from pageloom.plans.graph import walk_chain
-from pageloom.plans.scan import Running, expand, running
+from pageloom.plans.scan import WIDTH, Running, expand, running
 
 
 def offsets(inputs: DataFrame, keys: list[str], order: str, size: str, name: str, *, width: int | None = None) -> DataFrame:
@@ -118,8 +117,6 @@ def split_by_outline(pages: DataFrame, docs: DataFrame, starts: DataFrame, *, wi
     marks = starts.select("doc_id", F.col("page").alias("page_no")).distinct()
     first = marks.groupBy("doc_id").agg(F.min("page_no").alias("__first"))
     flagged = pages.select("doc_id", "page_no").join(marks.withColumn("__start", F.lit(1)), ["doc_id", "page_no"], "left")
-    from pageloom.plans.scan import WIDTH
-
     large = docs.filter(F.col("page_count") >= F.lit(width or WIDTH)).select("doc_id")
     summed = running(
         flagged, ["doc_id"], "page_no", {"__n": Running("sum", F.coalesce(F.col("__start"), F.lit(0)))}, large=large, width=width
@@ -283,8 +280,3 @@ def rescue_choice(versions: DataFrame) -> DataFrame:
         F.max_by(F.struct("version", "page_count"), F.struct(F.col("page_count"), -F.col("prio"))).alias("v")
     ).select("doc_id", "v.version", "v.page_count")
 
-
-__all__ = [
-    "arrange", "delete", "extract_names", "manifest", "merge", "merge_facts", "move", "offsets", "page_names",
-    "rescue_choice", "selected", "split_by_outline", "split_by_size", "split_every",
-]

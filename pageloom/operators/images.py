@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.functions.text import zero_pad  # noqa: F401
 from pageloom.plans.scan import Running, running
 
 # Target resolution by level, and when recompression is worth it.

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from pageloom.functions import ranges
+from pageloom.functions.binding import bind
 from pageloom.functions.text import lines_per_page, wrap_lines, wrap_width
 from pageloom.functions.geometry import PAPER
 from pageloom.plans.scan import row_index
@@ -113,8 +114,8 @@ def text_table(spark: SparkSession, folder: str) -> DataFrame:
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as wrapped line arrays: doc_id, lines, page_count."""
-    wrapped = text_table(spark, folder).select("doc_id", wrap_lines(F.col("text"), WRAP).alias("lines"))
-    return wrapped.withColumn("page_count", F.ceil(F.size("lines") / F.lit(float(PER_PAGE))).cast("int"))
+    wrapped = bind(text_table(spark, folder).select("doc_id", "text"), F.struct(wrap_lines(F.col("text"), WRAP).alias("lines")))
+    return wrapped.drop("text").withColumn("page_count", F.ceil(F.size("lines") / F.lit(float(PER_PAGE))).cast("int"))
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
