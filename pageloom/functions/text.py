@@ -15,14 +15,6 @@ def strip_spaces(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", "")
 
 
-def strip_left(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{_SPACE}+", "")
-
-
-def strip_right(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{_SPACE}+$", "")
-
-
 def is_blank(text: Column) -> Column:
     return ~text.rlike(rf"[^{_SPACE}]")
 
