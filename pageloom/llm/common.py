@@ -102,25 +102,26 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(folder, name))
 
 
-def bitmap(ids: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
-    """Bits of the hashed values of a column, built by an aggregation.
+def bitmap(places: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
+    """A bit set at each value (0 to bits - 1) of a column, built by an aggregation.
 
     At most ``bits / 64`` words reach the driver however many rows there are, so the
-    result may be broadcast. Readers may find foreign values in it, never miss one.
+    result may be broadcast. When values are hashes, readers may find foreign ones in
+    it, never miss one.
     """
-    place = F.pmod(F.xxhash64(column), F.lit(bits))
-    words_ = (
-        ids.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")).alias("b"))
-        .groupBy("w")
-        .agg(F.bit_or("b").alias("b"))
-        .collect()
-    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(column, F.lit(64)).cast("int"))
+    words_ = places.select(F.shiftright(column, 6).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
     out = np.zeros(bits // 64, dtype=np.int64)
     for row in words_:
         out[row.w] = row.b
     return out.view(np.uint64)
 
 
+def in_bitmap(known: np.ndarray, places: np.ndarray) -> np.ndarray:
+    places = places.astype(np.uint64)
+    return ((known[(places >> np.uint64(6)).astype(np.int64)] >> (places & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def groups_of_links(links: DataFrame) -> DataFrame:
     """(id, label) of every id in ``links`` (a, b): the smallest id it is connected with.
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm import setsketch
-from pageloom.llm.common import read
+from pageloom.llm import decontaminate, packing, preference, secrets, setsketch, token_counts
+from pageloom.llm.common import ids_crc_mod3, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -18,6 +18,34 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_simhash_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, d, "documents"), read(spark, d, "benchmark")).drop("mark")
+
+
+@query
+def op4_trigram_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read(spark, d, "documents")))
+
+
+@query
+def op7_pairwise_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    ranker = preference.learn(docs, read(spark, d, "labels"), where=ids_crc_mod3() != 1)
+    out = preference.scored(docs, ranker)
+    return out.select("doc_id", F.coalesce(ids_crc_mod3() == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_setsketch_near_dedup(spark: SparkSession, d: str) -> DataFrame:
     return setsketch.components(read(spark, d, "documents"))
+
+
+@query
+def op9_pre_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, d, "documents"))
+
+
+@query
+def op10_hierarchical_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(read(spark, d, "documents"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pageloom.llm.common import arrow_batches, bitmap, groups_of_links, in_arrow, mix, set_key, shingle_hashes, words
+from pageloom.llm.common import arrow_batches, bitmap, groups_of_links, in_arrow, in_bitmap, mix, set_key, shingle_hashes, words
 from pageloom.plans.shared import materialize
 
 REGISTERS = 128
@@ -19,6 +19,8 @@ OFFSET = 400
 #: Pairs stay candidates unless 0.75 is worse than the best fit by this much log-likelihood (five sigma).
 SLACK = 12.5
 PERCENT = 75
+#: Bits of the map of wanted ids: one MB, whatever the input.
+PLACES = 1 << 23
 
 _LOG = float(np.log(BASE))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -99,16 +101,12 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, hashes) of the wanted (node, doc_id): only their texts are shingled again and shuffled."""
-    bits = bitmap(wanted, "doc_id")
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    size = len(bits) * 64
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(PLACES)).alias("place")
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place), "place", PLACES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
         for batch in arrow_batches(batches):
-            place = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit = (known[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
-            rows = np.flatnonzero(hit)
+            rows = np.flatnonzero(in_bitmap(shared.value, batch.column(2).to_numpy(zero_copy_only=False)))
             if not len(rows):
                 continue
             nodes, sets = [], []
@@ -119,7 +117,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     sets.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    placed = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(size)).alias("place"))
+    placed = docs.where("doc_id is not null").select("doc_id", "text", place)
     return in_arrow(placed, run, "node long, hashes binary").join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
