@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm import decontaminate, packing, preference, secrets, setsketch, token_counts
+from pageloom.llm import decontaminate, extraction, multi_index, packing, preference, secrets, setsketch, token_counts
 from pageloom.llm.common import ids_crc_mod3, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,13 @@ def op9_pre_token_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op10_hierarchical_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read(spark, d, "documents"))
+
+
+@query
+def op1_inverted_multi_index(spark: SparkSession, d: str) -> DataFrame:
+    return multi_index.search(read(spark, d, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query
+def op5_tree_model_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return extraction.extract(read(spark, d, "pages"))
