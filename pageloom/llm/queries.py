@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pageloom.llm import decontaminate, extraction, multi_index, packing, preference, secrets, setsketch, token_counts
+from pageloom.llm import decontaminate, extraction, fixity, multi_index, packing, preference, preferences, secrets, setsketch, token_counts
 from pageloom.llm.common import ids_crc_mod3, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,59 @@ def op1_inverted_multi_index(spark: SparkSession, d: str) -> DataFrame:
 @query
 def op5_tree_model_extraction(spark: SparkSession, d: str) -> DataFrame:
     return extraction.extract(read(spark, d, "pages"))
+
+
+@query
+def op2_preference_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation is preferred to itself with the next one's last reply."""
+    turns = read(spark, d, "conversations")
+    pair = F.col("conv_id").alias("pair_id")
+    return preferences.format_preferences(turns.select(pair, "turn", "role", "text"), preferences.with_foreign_reply(turns).select(pair, "turn", "role", "text"))
+
+
+SQL["op2_preference_pairs"] = """
+WITH named AS (SELECT conv_id, turn, lower(role) AS role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+reply AS (SELECT conv_id, max(turn) AS last, max_by(text, turn) AS reply FROM named WHERE role = 'assistant' GROUP BY conv_id),
+a AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM named),
+b AS (SELECT n.conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM named n LEFT JOIN reply r USING (conv_id) WHERE last IS NULL OR turn < last
+ UNION ALL SELECT r.conv_id, r.last, 'assistant', coalesce(s.reply, '') FROM reply r JOIN reply s ON s.conv_id = r.conv_id + 1),
+diff AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, min(coalesce(a.turn, b.turn)) AS f FROM a FULL JOIN b ON a.pair_id = b.pair_id AND a.turn = b.turn
+ WHERE a.pair_id IS NULL OR b.pair_id IS NULL OR a.role <> b.role OR a.text <> b.text GROUP BY 1),
+parts AS (SELECT a.*, CASE WHEN f IS NULL OR turn < f THEN 'prompt' ELSE 'chosen' END AS part FROM a LEFT JOIN diff USING (pair_id)
+ UNION ALL SELECT b.*, 'rejected' FROM b JOIN diff USING (pair_id) WHERE turn >= f),
+shown AS (SELECT pair_id, part, turn, role, '<|im_start|>' || replace(role, '<|', '< |') || chr(10) AS head,
+ '<|im_start|>' || replace(role, '<|', '< |') || chr(10) || replace(text, '<|', '< |') || '<|im_end|>' || chr(10) AS piece FROM parts)
+SELECT pair_id, part, turn, role, piece, CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head) END AS loss_start,
+ CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(piece) - 1 END AS loss_end FROM shown
+"""
+
+
+def _damaged(pages: DataFrame) -> DataFrame:
+    """A replica with faults: of every 97 pages one has a changed character, one is cut off, one is lost."""
+    turn, n = F.col("page_id") % 97, F.length("html")
+    html = (
+        F.when(turn == 5, F.concat(F.substr("html", F.lit(1), F.floor(n / 2)), F.lit("#"), F.substr("html", F.floor(n / 2) + 2)))
+        .when(turn == 36, F.substr("html", F.lit(1), F.floor(n / 3)))
+        .otherwise(F.col("html"))
+    )
+    return pages.where(F.coalesce(turn != 71, F.lit(True))).select("page_id", "url", html.alias("html"))
+
+
+@query
+def op6_merkle_fixity(spark: SparkSession, d: str) -> DataFrame:
+    pages = read(spark, d, "pages")
+    return fixity.audit(pages, _damaged(pages))
+
+
+SQL["op6_merkle_fixity"] = """
+WITH both_ AS (
+ SELECT 'p' AS side, page_id, url, coalesce(html, '') AS html FROM pages
+ UNION ALL SELECT 'r', page_id, url, coalesce(CASE page_id % 97 WHEN 5 THEN substr(html, 1, CAST(floor(length(html) / 2) AS BIGINT)) || '#' || substr(html, CAST(floor(length(html) / 2) AS BIGINT) + 2)
+  WHEN 36 THEN substr(html, 1, CAST(floor(length(html) / 3) AS BIGINT)) ELSE html END, '') FROM pages WHERE page_id % 97 <> 71),
+records AS (SELECT side, page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+ || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) AS record FROM both_),
+hashed AS (SELECT side, page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS sha, CAST(floor(page_id / 1000) AS BIGINT) AS file_no FROM records),
+placed AS (SELECT *, CAST(sum(length) OVER (PARTITION BY side, file_no ORDER BY page_id ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset" FROM hashed)
+SELECT p.page_id, CASE WHEN r.page_id IS NULL THEN 'missing' ELSE 'corrupt' END AS status, p.file_no, p."offset", p.length, p.sha AS primary_sha256, r.sha AS replica_sha256
+FROM (SELECT * FROM placed WHERE side = 'p') p LEFT JOIN (SELECT * FROM placed WHERE side = 'r') r ON p.page_id = r.page_id WHERE r.page_id IS NULL OR r.sha <> p.sha
+"""
