@@ -23,19 +23,22 @@ VIEWS: dict[str, str] = {
     SELECT doc_id, unnest(generate_series(1, len(ps))) AS pno, unnest(ps) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents)))))""",
     "f2_docs": "SELECT doc_id, max(page_no) AS page_count FROM f2_lines GROUP BY doc_id",
     "f2_pages": "SELECT doc_id, page_no, string_agg(text, chr(10) ORDER BY line_no) AS text FROM f2_lines GROUP BY doc_id, page_no",
-    "f3_lines": """SELECT doc_id, line_no, tag, text, CAST(CASE tag WHEN 'h1' THEN 24 ELSE 12 END AS DOUBLE) AS size,
- CAST(CASE WHEN tag = 'li' THEN 96 WHEN line_no % 3 = 0 THEN 78 ELSE 72 END AS DOUBLE) AS x0,
+    "f3_lines": """SELECT doc_id, line_no, tag, CASE WHEN tag = 'li' AND line_no % 2 = 0 THEN '• ' || shown ELSE shown END AS text,
+ CAST(CASE WHEN tag = 'h1' THEN 24 WHEN tag = 'footer' THEN 9 WHEN tag = 'div' THEN 10 WHEN tag = 'p' AND line_no % 7 = 0 THEN 14 + (line_no // 7) % 8 ELSE 12 END AS DOUBLE) AS size,
+ CAST(CASE WHEN tag = 'li' AND line_no % 3 = 2 THEN 108 WHEN tag = 'li' THEN 96 WHEN line_no % 3 = 0 THEN 78 ELSE 72 END AS DOUBLE) AS x0,
  CAST(ceil(line_no / 5.0) AS INT) AS page_no, CAST(ceil(line_no / 3.0) AS INT) AS block_no FROM (
- SELECT page_id AS doc_id, CAST(unnest(generate_series(1, len(g1))) AS INT) AS line_no, unnest(g1) AS tag, trim(unnest(g2)) AS text FROM (
-  SELECT page_id, regexp_extract_all(html, '<(h1|p|li)>(?:<b>|<a [^>]*>)?([^<]*)', 1) AS g1, regexp_extract_all(html, '<(h1|p|li)>(?:<b>|<a [^>]*>)?([^<]*)', 2) AS g2 FROM pages))""",
+ SELECT page_id AS doc_id, CAST(unnest(generate_series(1, len(g1))) AS INT) AS line_no, unnest(g1) AS tag, trim(unnest(g2)) AS shown FROM (
+  SELECT page_id, regexp_extract_all(html, '<(h1|p|li|div|footer)(?: [^>]*)?>(?:<b>|<a [^>]*>)?([^<]*)', 1) AS g1, regexp_extract_all(html, '<(h1|p|li|div|footer)(?: [^>]*)?>(?:<b>|<a [^>]*>)?([^<]*)', 2) AS g2 FROM pages))""",
     "f3_seen": "SELECT * FROM f3_lines WHERE text <> ''",
     "w15_size": """SELECT doc_id, body FROM (SELECT doc_id, b AS body, row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, b DESC) AS k FROM (
  SELECT doc_id, round(size * 2) / 2 AS b, sum(greatest(length(text), 1)) AS w FROM f3_seen GROUP BY ALL)) WHERE k = 1""",
     "w15_left": """SELECT doc_id, page_no, e AS page_left FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY n DESC, e) AS k FROM (SELECT doc_id, page_no, round(x0) AS e, count(*) AS n FROM f3_seen GROUP BY ALL)) WHERE k = 1""",
-    "w15_line": """SELECT l.*, row_number() OVER (PARTITION BY l.doc_id, l.page_no, l.block_no ORDER BY line_no) AS k, l.size > s.body * 1.1 AS heading, 1 AS level, p.page_left,
+    "w15_level": """SELECT z.doc_id, b, least(row_number() OVER (PARTITION BY z.doc_id ORDER BY b DESC), 6) AS level
+ FROM (SELECT DISTINCT doc_id, round(size * 2) / 2 AS b FROM f3_seen) z JOIN w15_size s ON s.doc_id = z.doc_id WHERE b > body * 1.1""",
+    "w15_line": """SELECT l.*, row_number() OVER (PARTITION BY l.doc_id, l.page_no, l.block_no ORDER BY line_no) AS k, l.size > s.body * 1.1 AS heading, v.level, p.page_left,
  regexp_matches(l.text, '^[•●◦▪▫■□‣⁃·\\-–][ \\x{A0}]') AND trim(substr(l.text, 3)) <> '' AS bullet,
  regexp_replace(trim(CASE WHEN NOT (l.size > s.body * 1.1) AND regexp_matches(l.text, '^[•●◦▪▫■□‣⁃·\\-–][ \\x{A0}]') AND trim(substr(l.text, 3)) <> '' THEN substr(l.text, 3) ELSE l.text END), '[\\s\\x{A0}]+', ' ', 'g') AS shown
- FROM f3_seen l JOIN w15_size s ON s.doc_id = l.doc_id JOIN w15_left p ON p.doc_id = l.doc_id AND p.page_no = l.page_no""",
+ FROM f3_seen l JOIN w15_size s ON s.doc_id = l.doc_id JOIN w15_left p ON p.doc_id = l.doc_id AND p.page_no = l.page_no LEFT JOIN w15_level v ON v.doc_id = l.doc_id AND v.b = round(l.size * 2) / 2""",
     # block by block, line by line
     "w15_walk": """SELECT *, CASE WHEN heading THEN 'heading' WHEN bullet OR x0 >= page_left + size THEN 'item' ELSE 'paragraph' END AS kind, CASE WHEN heading THEN NULL WHEN bullet OR x0 >= page_left + size THEN x0 END AS anchor FROM w15_line WHERE k = 1
  UNION ALL SELECT l.*, CASE WHEN l.heading THEN 'heading' WHEN l.bullet THEN 'item' WHEN w.anchor IS NOT NULL AND l.x0 >= w.anchor + l.size * 0.5 THEN 'tail' WHEN l.x0 >= l.page_left + l.size THEN 'item' ELSE 'paragraph' END,
@@ -45,7 +48,7 @@ VIEWS: dict[str, str] = {
  CASE WHEN regexp_matches(html, '(?i) href="[^#"][^"]*"') THEN 'external reference' END, CASE WHEN page_id % 3 = 2 THEN 'no conformance claim' END, CASE WHEN page_id % 5 = 0 THEN 'font not embedded' END,
  CASE WHEN page_id % 3 = 0 AND page_id % 2 <> 0 THEN 'part 1 needs version 1.4' END, CASE WHEN page_id % 3 = 0 AND contains(lower(html), 'opacity') THEN 'part 1 forbids transparency' END], lambda x: x IS NOT NULL) AS issues FROM pages""",
     "f4_outline": """SELECT conv_id AS doc_id, CAST(turn + 1 AS INT) AS seq, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 3 END AS level,
- substr(text, 1, 24) AS title, CAST(turn + 1 AS INT) AS page FROM conversations""",
+ text AS title, CAST(turn + 1 AS INT) AS page FROM conversations""",
     "f4_docs": "SELECT conv_id AS doc_id, CAST(count(*) AS INT) AS page_count FROM conversations GROUP BY conv_id",
     # parents and subtree ends by plain comparison with every other item of the document
     "f4_links": """SELECT a.*, (SELECT max(b.seq) FROM f4_outline b WHERE b.doc_id = a.doc_id AND b.seq < a.seq AND b.level < a.level) AS pseq,
@@ -62,14 +65,16 @@ VIEWS: dict[str, str] = {
     "f5_num": """SELECT id, parent, tag, rot, CASE substr(id, 1, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 WHEN 'c' THEN 2 ELSE 3 END * 1000000000000 + CAST(substr(id, 2) AS BIGINT) AS num,
  CAST(substr(id, 2) AS BIGINT) AS key FROM f5_tree""",
     "f6_images": """SELECT p_partkey AS image_id, p_size * 40 AS px_w, p_size * 30 AS px_h, p_partkey % 10 = 0 AS masked,
- CASE p_partkey % 5 WHEN 0 THEN 'JPX' WHEN 1 THEN 'DCT' ELSE 'FLATE' END AS filter, CASE WHEN p_partkey % 7 = 0 THEN 'Indexed' ELSE 'DeviceRGB' END AS colorspace FROM part""",
-    "f6_placements": """SELECT l_partkey AS image_id, l_orderkey AS doc_id, l_quantity * 12 AS draw_w, l_quantity * 9 AS draw_h FROM lineitem
- WHERE l_linestatus = 'F' AND l_partkey % 3 <> 0""",
+ CASE p_partkey % 5 WHEN 0 THEN 'JPX' WHEN 1 THEN 'DCT' WHEN 2 THEN NULL ELSE 'FLATE' END AS filter,
+ CASE p_partkey % 7 WHEN 0 THEN 'Indexed' WHEN 1 THEN 'DeviceCMYK' WHEN 2 THEN 'DeviceGray' WHEN 3 THEN 'G' ELSE 'DeviceRGB' END AS colorspace, CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE 8 END AS bits FROM part""",
+    # JPEG is always read; raw and deflated samples need eight bits of gray or red, green and blue
+    "f6_readable": """SELECT *, CASE WHEN filter = 'DCT' THEN true WHEN filter = 'JPX' THEN false ELSE bits = 8 AND colorspace IN ('DeviceRGB', 'RGB', 'DeviceGray', 'G') END AS readable FROM f6_images""",
+    "f6_placements": """SELECT l_partkey AS image_id, l_orderkey AS doc_id, CASE WHEN l_linestatus = 'F' AND l_partkey % 3 <> 0 THEN l_quantity * 12 ELSE 0 END AS draw_w, CASE WHEN l_linestatus = 'F' AND l_partkey % 3 <> 0 THEN l_quantity * 9 ELSE 0 END AS draw_h FROM lineitem""",
     "f6_dpi": """SELECT i.image_id, px_w, px_h, greatest(px_w / (w / 72.0), px_h / (h / 72.0)) AS dpi FROM f6_images i
- JOIN (SELECT image_id, max(draw_w) AS w, max(draw_h) AS h FROM f6_placements GROUP BY image_id) m ON m.image_id = i.image_id""",
-    "f6_outcome": """SELECT i.image_id, i.px_w, i.px_h, d.dpi, CASE WHEN masked THEN 'mask' WHEN filter = 'JPX' THEN 'unsupported filter' WHEN colorspace = 'Indexed' THEN 'unsupported colour space'
+ JOIN (SELECT image_id, max(draw_w) AS w, max(draw_h) AS h FROM f6_placements GROUP BY image_id HAVING max(draw_w) > 0 AND max(draw_h) > 0) m ON m.image_id = i.image_id""",
+    "f6_outcome": """SELECT i.image_id, i.px_w, i.px_h, d.dpi, CASE WHEN masked THEN 'mask' WHEN filter = 'JPX' THEN 'unsupported filter' WHEN NOT readable THEN 'unsupported samples'
  WHEN greatest(i.px_w, i.px_h) <= 64 THEN 'tiny' WHEN d.dpi IS NULL THEN 'never drawn' WHEN d.dpi <= 72.0 * 1.15 THEN 'already small' ELSE 'recompress' END AS outcome
- FROM f6_images i LEFT JOIN f6_dpi d ON d.image_id = i.image_id""",
+ FROM f6_readable i LEFT JOIN f6_dpi d ON d.image_id = i.image_id""",
     "f7_runs": """SELECT doc_id, page_no, line_no, text, CAST(72 AS DOUBLE) AS x0, 72 + CAST(5.5 AS DOUBLE) * length(text) AS x1,
  CAST(769.89 AS DOUBLE) - CAST(13.2 AS DOUBLE) * ((line_no - 1) % 52) - 11 AS y0, CAST(769.89 AS DOUBLE) - CAST(13.2 AS DOUBLE) * ((line_no - 1) % 52) AS y1 FROM f2_lines WHERE text <> ''""",
     "f7_rects": """SELECT rect_id, page_no, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1
@@ -84,8 +89,8 @@ VIEWS: dict[str, str] = {
  WHERE event_id = (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id AND x.event_type = e.event_type)""",
     "f8_outcome": """SELECT v.doc_id, v.name, CASE WHEN f.name IS NULL THEN 'not_found' WHEN r.reason IS NULL THEN 'filled' ELSE 'unsupported' END AS outcome, r.reason FROM f8_values v
  LEFT JOIN f8_fields f ON f.doc_id = v.doc_id AND f.name = v.name
- LEFT JOIN LATERAL (SELECT CASE WHEN f.ftype = 'Sig' THEN 'signature fields cannot be filled' WHEN f.ftype = 'Tx' AND v.kind <> 'text' THEN 'a text field expects a string value'
-  WHEN f.ftype = 'Ch' AND v.kind <> 'text' THEN 'a choice field expects a string value' WHEN f.ftype = 'Ch' AND v.value NOT IN ('0', '1', '2') THEN '"' || v.value || '" is not one of the options (0, 1, 2)' END AS reason) r ON true""",
+ LEFT JOIN LATERAL (SELECT CASE WHEN f.ftype = 'Sig' THEN 'signature' WHEN f.ftype = 'Tx' AND v.kind <> 'text' THEN 'text wanted'
+  WHEN f.ftype = 'Ch' AND v.kind <> 'text' THEN 'option wanted' WHEN f.ftype = 'Ch' AND v.value NOT IN ('0', '1', '2') THEN 'no option ' || v.value || ' among: 0, 1, 2' END AS reason) r ON true""",
     "f9_edits": """SELECT event_id, ts, user_id AS doc_id, CAST(event_id % 7 + 1 AS INT) AS page_no,
  CASE event_type WHEN 'view' THEN 90 WHEN 'click' THEN 180 WHEN 'signup' THEN -90 WHEN 'purchase' THEN 270 ELSE 0 END AS degrees FROM events""",
     "f9_fold": """SELECT doc_id, page_no, CAST(((sum(degrees) % 360) + 360) % 360 AS INT) AS rotation FROM f9_edits GROUP BY doc_id, page_no HAVING ((sum(degrees) % 360) + 360) % 360 <> 0""",
@@ -113,8 +118,8 @@ VIEWS: dict[str, str] = {
  CASE WHEN lower(trim(spec)) = 'all' OR (ends_with(piece, '-') AND piece <> '-') THEN page_count WHEN contains(piece, '-') THEN TRY_CAST(split_part(piece, '-', 2) AS BIGINT) ELSE TRY_CAST(piece AS BIGINT) END AS b
  FROM (SELECT *, trim(unnest(string_split(trim(spec), ','))) AS piece, unnest(generate_series(1, len(string_split(trim(spec), ',')))) AS seg FROM f12_specs)""",
     "f12_bad": """SELECT doc_id, CASE WHEN bool_or(d IS NOT NULL) THEN 'InvalidPageRange' ELSE 'PageOutOfRange' END AS error,
- coalesce(arg_min(d, seg) FILTER (d IS NOT NULL), 'page ' || arg_min(o, seg) FILTER (o IS NOT NULL) || ' of ' || any_value(page_count)) AS detail FROM (
- SELECT *, CASE WHEN lower(trim(spec)) = 'all' THEN NULL WHEN piece = '' THEN 'empty segment' WHEN a IS NULL OR (b IS NULL AND NOT ends_with(piece, '-')) THEN 'not a page number' WHEN a = 0 OR piece = '0' THEN 'page numbers start at 1' END AS d,
+ coalesce(arg_min(d, seg) FILTER (d IS NOT NULL), arg_min(o, seg) FILTER (o IS NOT NULL) || ' > ' || any_value(page_count)) AS detail FROM (
+ SELECT *, CASE WHEN lower(trim(spec)) = 'all' THEN NULL WHEN piece = '' THEN 'empty part' WHEN a IS NULL OR (b IS NULL AND NOT ends_with(piece, '-')) THEN 'no number' WHEN a = 0 OR piece = '0' THEN 'zero' END AS d,
  CASE WHEN lower(trim(spec)) = 'all' THEN NULL WHEN page_count = 0 OR a > page_count THEN a WHEN b > page_count THEN b END AS o FROM f12_segs) WHERE d IS NOT NULL OR o IS NOT NULL GROUP BY doc_id""",
     "f12_sel": """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seg, i) AS INT) AS pos, CAST(a + sign(b - a) * i AS INT) AS page_no FROM (
  SELECT doc_id, seg, a, b, unnest(generate_series(0, abs(b - a))) AS i FROM f12_segs WHERE doc_id NOT IN (SELECT doc_id FROM f12_bad) AND page_count > 0)""",
@@ -128,11 +133,11 @@ VIEWS: dict[str, str] = {
     "f12_inset": """SELECT doc_id, page_no, selected, sx0 + CASE rotate WHEN 90 THEN 40 WHEN 180 THEN 250 WHEN 270 THEN 10 ELSE 300 END AS x0, sy0 + CASE rotate WHEN 90 THEN 300 WHEN 180 THEN 40 WHEN 270 THEN 250 ELSE 10 END AS y0,
  sx1 - CASE rotate WHEN 90 THEN 10 WHEN 180 THEN 300 WHEN 270 THEN 40 ELSE 250 END AS x1, sy1 - CASE rotate WHEN 90 THEN 250 WHEN 180 THEN 10 WHEN 270 THEN 300 ELSE 40 END AS y1 FROM f12_shown""",
     "f1_halves": """SELECT doc_id, page_no, coalesce(crop_inset, 0) AS x0, coalesce(crop_inset, 0) AS y0, page_w / 2 - 250 AS m0, page_w / 2 + 250 AS m1, page_w - coalesce(crop_inset, 0) AS x1, page_h - coalesce(crop_inset, 0) AS y1 FROM f1_pages""",
-    "f13_meta": """SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 40) AS title, source AS author, lang AS subject, CAST(NULL AS VARCHAR) AS keywords FROM documents""",
+    "f13_meta": """SELECT doc_id, split_part(text, chr(10), 1) AS title, source AS author, lang AS subject, CAST(NULL AS VARCHAR) AS keywords FROM documents""",
     "f13_edits": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'set' ELSE 'keep' END AS title_op, 'Untitled' AS title_val, CASE doc_id % 4 WHEN 1 THEN 'clear' ELSE 'keep' END AS author_op,
  CASE doc_id % 4 WHEN 2 THEN 'set' ELSE 'keep' END AS keywords_op, 'a,b' AS keywords_val FROM documents WHERE doc_id % 4 <> 3""",
     "f14_md": """SELECT doc_id, concat('# ', title, chr(10), '* item **one**', chr(10), chr(10), chr(10), repeat(chr(96), 3), chr(10), '# not a heading', chr(10), chr(10), repeat(chr(96), 3), chr(10), title, chr(10), '---', chr(10),
- '> quoted [label](http://x)', chr(10), chr(10), '---', chr(10), '1. snake_case 2 * 3') AS md FROM f13_meta""",
+ '> quoted [label](http://x)', chr(10), chr(10), '---', chr(10), '1. snake_case 2 * 3', chr(10), chr(10), substr(text, length(title) + 2)) AS md FROM f13_meta""",
 }
 
 SQL: dict[str, str] = {
@@ -171,7 +176,7 @@ SQL: dict[str, str] = {
     "s11_page_image_names": """SELECT s.doc_id, s.pos, concat('doc', s.doc_id, '-', lpad(CAST(s.page_no AS VARCHAR), CAST(length(CAST(d.page_count AS VARCHAR)) AS INT), '0'), '.png') AS name FROM f12_sel s JOIN f1_docs d ON d.doc_id = s.doc_id""",
     "s5_write_partitioned": """SELECT doc_id, CAST((page_no - 1) // 2 AS INT) AS chunk, count(*) AS pages, CAST(sum(image_id) AS BIGINT) AS image_sum FROM f1_pages GROUP BY doc_id, (page_no - 1) // 2""",
     "u4_lost_objects": """SELECT source AS doc_id, doc_id AS id FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id <> (SELECT max(doc_id) FROM documents e WHERE e.source = d.source)""",
-    "a12_rescue_choice": """SELECT doc_id, CASE WHEN page_count > least(page_count, 5) THEN 'rescanned' ELSE 'loaded' END AS version, page_count FROM f1_docs""",
+    "a12_rescue_choice": """SELECT l_orderkey AS doc_id, CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'rescanned' ELSE 'loaded' END AS version, CAST(count(*) AS INT) AS page_count FROM lineitem GROUP BY l_orderkey""",
     "s7_paginate_text": "SELECT doc_id, page_no, line_no, text FROM f2_lines",
     "s3_extract_text": """WITH sp AS (SELECT doc_id, page_count, CASE doc_id % 10 WHEN 0 THEN [1, page_count] WHEN 1 THEN [1, 3] WHEN 2 THEN [2, page_count] WHEN 3 THEN [1, 2] WHEN 4 THEN [3, 1] WHEN 7 THEN [9, page_count] END AS r FROM f2_docs),
  sel AS (SELECT doc_id, i + 1 AS pos, r[1] + sign(r[2] - r[1]) * i AS page_no FROM (SELECT *, unnest(generate_series(0, abs(r[2] - r[1]))) AS i FROM sp WHERE r IS NOT NULL AND greatest(r[1], r[2]) <= page_count)
@@ -184,11 +189,14 @@ SQL: dict[str, str] = {
   replace(replace(replace(replace(replace(trim(text, concat(' ', chr(9), chr(10), chr(13))), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;'), '</pre>', chr(10), '</section>', chr(10)) FROM f2_pages""",
     "s8_markdown_to_lines": r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '#+$', ''), '\*\*|__|~~|`', '', 'g'), '(\S)\*', '\1', 'g'), '\*(\S)', '\1', 'g') AS atx,
  regexp_replace(regexp_replace(regexp_replace(rtrim(title), '\*\*|__|~~|`', '', 'g'), '(\S)\*', '\1', 'g'), '\*(\S)', '\1', 'g') AS setext FROM f13_meta),
- u AS (SELECT doc_id, unnest(['', trim(atx), '', '- item one', '', '# not a heading', '', setext, '', 'quoted label', '', '- - -', '- snake_case 2 * 3']) AS line, unnest(generate_series(1, 13)) AS n FROM t)
+ rest AS (SELECT doc_id, unnest(ls) AS s, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, string_split(substr(text, length(split_part(text, chr(10), 1)) + 2), chr(10)) AS ls FROM documents)),
+ plain AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(rtrim(ltrim(s)), '\*\*|__|~~|`', '', 'g'), '(\S)\*', '\1', 'g'), '\*(\S)', '\1', 'g'), '(^|[^\p{L}\p{N}])_', '\1', 'g'), '_([^\p{L}\p{N}]|$)', '\1', 'g') AS line FROM rest),
+ more AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) + 14 AS n FROM (SELECT *, lag(line, 1, '') OVER (PARTITION BY doc_id ORDER BY i) AS before FROM plain) WHERE line <> '' OR before <> ''),
+ u AS (SELECT doc_id, line, n FROM more UNION ALL SELECT doc_id, '', 14 FROM t UNION ALL SELECT doc_id, unnest(['', trim(atx), '', '- item one', '', '# not a heading', '', setext, '', 'quoted label', '', '- - -', '- snake_case 2 * 3']) AS line, unnest(generate_series(1, 13)) AS n FROM t)
  SELECT doc_id, CAST(n AS INT) AS line_no, line AS text FROM u""",
     "s8_markdown_title": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(title), '#+$', ''), '\*\*|__|~~|`', '', 'g'), '(\S)\*', '\1', 'g'), '\*(\S)', '\1', 'g')) AS title FROM f13_meta""",
     "a17_size_by_page": "SELECT doc_id, page_no, CAST(strlen(text) AS BIGINT) AS bytes FROM f2_pages",
-    "p5_pages_with_text": "SELECT doc_id, page_no, count(*) AS text_lines FROM f3_lines WHERE tag = 'p' AND regexp_matches(text, '[^\\s\\x{A0}]') GROUP BY doc_id, page_no",
+    "p5_pages_with_text": "SELECT doc_id, page_no, count(*) AS text_lines FROM f3_lines WHERE regexp_matches(text, '[^\\s\\x{A0}]') GROUP BY doc_id, page_no",
     "p7_rotate_pages": "SELECT doc_id, page_no, nullif(CASE WHEN selected THEN (rotate + 90) % 360 ELSE rotate END, 0) AS rotate FROM f12_pages",
     "p8_crop_pages": """SELECT doc_id, page_no, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1 FROM f12_crop WHERE selected AND doc_id NOT IN (SELECT doc_id FROM f12_crop WHERE selected AND (x1 <= x0 OR y1 <= y0))""",
     "p8_crop_rejects": """SELECT doc_id, 'InvalidCropBox' AS error, 'page ' || min(page_no) AS detail FROM f12_crop WHERE selected AND (x1 <= x0 OR y1 <= y0) GROUP BY doc_id""",
@@ -223,13 +231,14 @@ SQL: dict[str, str] = {
     "w12_outline_add": """WITH a AS (SELECT d.doc_id, CAST(CASE WHEN d.doc_id % 5 = 0 THEN page_count ELSE t.idx + t.descendants + 1 END AS INT) AS spot, CASE WHEN d.doc_id % 5 = 0 THEN 1 ELSE t.level + 1 END AS level FROM f4_docs d LEFT JOIN f4_tree t ON t.doc_id = d.doc_id AND t.idx = d.doc_id % 5 - 1 WHERE d.doc_id % 5 = 0 OR t.idx IS NOT NULL)
  SELECT doc_id, spot AS idx, level, 'Added' AS title, 1 AS page FROM a UNION ALL SELECT t.doc_id, CASE WHEN t.idx >= spot THEN t.idx + 1 ELSE t.idx END, t.level, t.title, t.page FROM f4_tree t JOIN a ON a.doc_id = t.doc_id""",
     "w12_outline_add_rejects": "SELECT doc_id, 'NoSuchBookmark' AS error FROM f4_docs WHERE doc_id % 5 > page_count",
+    "w13_outline_remove_rejects": "SELECT doc_id, 'NoSuchBookmark' AS error FROM f4_docs WHERE doc_id % 5 >= page_count",
     "w13_outline_remove": """SELECT t.doc_id, CAST(row_number() OVER (PARTITION BY t.doc_id ORDER BY t.idx) - 1 AS INT) AS idx, t.level, t.title, t.page FROM f4_tree t JOIN f4_tree k ON k.doc_id = t.doc_id AND k.idx = k.doc_id % 5 WHERE t.idx < k.idx OR t.idx > k.idx + k.descendants""",
     "w14_outline_move": """WITH k AS (SELECT n.doc_id, n.idx AS i, n.descendants AS d, o.idx AS oi FROM f4_tree n LEFT JOIN f4_tree o ON o.doc_id = n.doc_id AND o.parent IS NOT DISTINCT FROM n.parent AND o.sibling = n.sibling - 1 WHERE n.idx = n.doc_id % 5)
  SELECT t.doc_id, CAST(row_number() OVER (PARTITION BY t.doc_id ORDER BY CASE WHEN oi IS NOT NULL AND t.idx BETWEEN i AND i + d THEN oi - 0.5 ELSE t.idx END, t.idx) - 1 AS INT) AS idx, t.level, t.title, t.page, oi IS NOT NULL AS moved FROM f4_tree t JOIN k ON k.doc_id = t.doc_id""",
     "s9_outline_export": """SELECT doc_id, idx, concat(CASE WHEN sibling > 1 THEN ',' ELSE '' END, '{"title":', to_json(title), ',"page":', page, ',"children":[', repeat(']}', CAST(greatest(depth - coalesce(lead(depth) OVER (PARTITION BY doc_id ORDER BY idx), 1) + 1, 0) AS INT))) AS fragment FROM f4_tree""",
     "s9_outline_import": """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS s, unnest(generate_series(1, len(ls))) AS i, len(ls) AS n FROM l)
- SELECT doc_id, CASE WHEN i % 2 = 1 THEN lpad(CAST((i + 1) // 2 AS VARCHAR), 6, '0') ELSE lpad(CAST(i // 2 AS VARCHAR), 6, '0') || '/000001' END AS path, CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END AS depth, substr(s, 1, 20) AS title, CAST(i AS INT) AS page FROM x WHERE n <= 12""",
-    "s9_outline_import_rejects": """SELECT doc_id, 'PageOutOfRange' AS error, 13 AS page FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 12""",
+ SELECT doc_id, CASE WHEN i % 2 = 1 THEN lpad(CAST((i + 1) // 2 AS VARCHAR), 10, '0') ELSE lpad(CAST(i // 2 AS VARCHAR), 10, '0') || '/0000000001' END AS path, CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END AS depth, s AS title, CAST(i AS BIGINT) AS page FROM x WHERE n <= 12""",
+    "s9_outline_import_rejects": """SELECT doc_id, 'PageOutOfRange' AS error, CAST(13 AS BIGINT) AS page FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 12""",
     "j1_outline_destinations": """WITH hop AS (SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN seq + 1 END AS up, CASE WHEN seq % 3 <> 0 THEN seq END AS page FROM f4_outline),
  walk AS (SELECT doc_id, seq AS start, seq AS at, 1 AS n FROM hop UNION ALL SELECT w.doc_id, w.start, h.up, n + 1 FROM walk w JOIN hop h ON h.doc_id = w.doc_id AND h.seq = w.at WHERE h.up IS NOT NULL AND n < 16),
  named AS (SELECT w.doc_id, w.start, h.page FROM walk w JOIN hop h ON h.doc_id = w.doc_id AND h.seq = w.at WHERE h.page IS NOT NULL),
@@ -256,14 +265,17 @@ SQL: dict[str, str] = {
  c AS (SELECT t.id, t.num, min(w.page) AS page FROM f5_num t LEFT JOIN w ON w.id = t.id GROUP BY t.id, t.num)
  SELECT id, CAST(page AS BIGINT) AS claimed_by, row_number() OVER (ORDER BY page NULLS LAST, CASE WHEN starts_with(id, 'n') THEN 0 ELSE 1 END, num) AS pos FROM c""",
     "a18_articles": """WITH n AS (SELECT conv_id AS doc_id, count(*) AS beads, max(turn) AS last FROM conversations GROUP BY conv_id)
- SELECT n.doc_id, c.turn AS thread_id, CASE WHEN c.turn = 0 THEN substr(c.text, 1, 24) ELSE 'Untitled' END AS title, n.beads, CAST(c.turn + 1 AS INT) AS first_page FROM n JOIN conversations c ON c.conv_id = n.doc_id AND c.turn <= 1""",
+ SELECT n.doc_id, c.turn AS thread_id, CASE WHEN c.turn = 0 THEN c.text ELSE 'Untitled' END AS title, n.beads, CAST(c.turn + 1 AS INT) AS first_page FROM n JOIN conversations c ON c.conv_id = n.doc_id AND c.turn <= 1""",
     "g2_chain_rank": "SELECT conv_id AS doc_id, turn AS node, turn + 1 AS pos FROM conversations",
     "a5_dedup_exact": "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents",
     "a5_rewrite_refs": """WITH c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents)
  SELECT l.quality AS src, coalesce(c.canonical, l.doc_id) AS dst, c.canonical <> l.doc_id AS moved, count(*) AS refs FROM labels l LEFT JOIN c ON c.doc_id = l.doc_id GROUP BY ALL""",
-    "a4_optimize_report": """WITH o AS (SELECT source, text, strlen(text) AS size, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS n FROM documents)
- SELECT source, CAST(sum(size) AS BIGINT) AS bytes_before, CAST(sum(CASE WHEN n = 1 THEN size ELSE 0 END) AS BIGINT) AS bytes_after, CAST(sum(CASE WHEN n > 1 THEN size ELSE 0 END) AS BIGINT) AS bytes_saved,
- round(CASE WHEN sum(size) = 0 THEN 0.0 ELSE sum(CASE WHEN n > 1 THEN size ELSE 0 END)::DOUBLE / sum(size) END, 4) AS ratio, CAST(sum(CASE WHEN n > 1 OR size = 0 THEN 1 ELSE 0 END) AS BIGINT) AS objects_removed, CAST(sum(CASE WHEN n > 1 AND size > 0 THEN 1 ELSE 0 END) AS BIGINT) AS duplicates FROM o GROUP BY source""",
+    "a4_optimize_report": """WITH o AS (SELECT source, text, doc_id IN (SELECT doc_id FROM labels) AS live, coalesce(strlen(text), 0) AS size FROM documents),
+ n AS (SELECT *, row_number() OVER (PARTITION BY source, text, live) AS n FROM o)
+ SELECT source, CAST(sum(size) AS BIGINT) AS bytes_before, CAST(sum(CASE WHEN live AND n = 1 THEN size ELSE 0 END) AS BIGINT) AS bytes_after, CAST(sum(CASE WHEN live AND n = 1 THEN 0 ELSE size END) AS BIGINT) AS bytes_saved,
+ round(CASE WHEN sum(size) = 0 THEN 0.0 ELSE sum(CASE WHEN live AND n = 1 THEN 0 ELSE size END)::DOUBLE / sum(size) END, 4) AS ratio, count(*) FILTER (NOT live OR n > 1 OR size = 0) AS objects_removed, count(*) FILTER (live AND n > 1 AND size > 0) AS duplicates, count(*) FILTER (NOT live) AS unreachable FROM n GROUP BY source""",
+    "a4_optimize_safe": """SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS bytes_before, CAST(sum(strlen(text)) AS BIGINT) AS bytes_after, CAST(0 AS BIGINT) AS bytes_saved, CAST(0 AS DOUBLE) AS ratio,
+ count(*) FILTER (coalesce(strlen(text), 0) = 0) AS objects_removed, CAST(0 AS BIGINT) AS duplicates, CAST(0 AS BIGINT) AS unreachable FROM documents GROUP BY source""",
     "a1_body_font_size": """SELECT doc_id, arg_max(b, struct_pack(w := w, b := b)) AS body FROM (SELECT doc_id, round(size * 2) / 2 AS b, sum(greatest(length(text), 1)) AS w FROM f3_lines GROUP BY ALL) GROUP BY doc_id""",
     "a2_heading_levels": """WITH z AS (SELECT doc_id, round(size * 2) / 2 AS b, sum(greatest(length(text), 1)) AS w FROM f3_lines GROUP BY ALL), y AS (SELECT *, first_value(b) OVER (PARTITION BY doc_id ORDER BY w DESC, b DESC) AS body FROM z)
  SELECT doc_id, b AS bucket, CAST(least(row_number() OVER (PARTITION BY doc_id ORDER BY b DESC), 6) AS INT) AS level FROM y WHERE b > body * 1.1""",
@@ -280,14 +292,18 @@ SQL: dict[str, str] = {
     "j5_redact_rejects": """SELECT d.doc_id, needle, 'TextNotFound' AS error FROM documents d CROSS JOIN (VALUES ('the'), ('est'), ('ou'), ('zzqx')) AS n(needle) WHERE NOT EXISTS (SELECT 1 FROM f7_runs r WHERE r.doc_id = d.doc_id AND contains(r.text, needle))""",
     "j6_redact_paths": """SELECT doc_id, rect_id, count(*) AS paths_removed FROM (SELECT *, CASE WHEN line_no % 2 = 0 THEN 2 ELSE 0 END AS g FROM f7_runs WHERE line_no % 7 <> 0) r JOIN (VALUES (1, 1, 60, 300, 600, 800), (2, 2, 71, 100, 300, 770)) AS q(rect_id, page_no, a0, b0, a1, b1) ON q.page_no = r.page_no
  WHERE x0 - g >= a0 AND y0 - g >= b0 AND x1 + g <= a1 AND y1 + g <= b1 GROUP BY doc_id, rect_id""",
-    "j9_verify_digest": """SELECT doc_id, doc_id % 7 IN (0, 6) OR (doc_id % 7 = 4 AND false) AS intact, CASE doc_id % 7 WHEN 1 THEN 'the byte range has 3 entries, not 4' WHEN 2 THEN 'the byte range points outside the file' WHEN 3 THEN 'no byte range' WHEN 4 THEN 'modified after signing' WHEN 5 THEN 'no recorded digest' ELSE 'digest matches' END AS reason FROM documents""",
+    "j9_verify_digest": """SELECT doc_id, doc_id % 7 IN (0, 6) OR (doc_id % 7 = 4 AND false) AS intact, CASE doc_id % 7 WHEN 1 THEN 'range of 3 numbers' WHEN 2 THEN 'range outside the content' WHEN 3 THEN 'no range' WHEN 4 THEN 'changed' WHEN 5 THEN 'no digest' ELSE 'equal' END AS reason FROM documents""",
     "j11_compare_pages": """SELECT pair_id, CAST(c AS INT) AS changed, 21 AS total, round(c * 100.0::DOUBLE / 21, 4) AS percent FROM (SELECT pair_id, len(list_filter(generate_series(0, 20), lambda p: abs(left_s[p * 3 + 1]::DOUBLE - right_s[p * 3 + 1]::DOUBLE) > 0.2 OR abs(left_s[p * 3 + 2]::DOUBLE - right_s[p * 3 + 2]::DOUBLE) > 0.2 OR abs(left_s[p * 3 + 3]::DOUBLE - right_s[p * 3 + 3]::DOUBLE) > 0.2)) AS c FROM f10_pairs)""",
     "a8_image_effective_dpi": "SELECT image_id, round(dpi, 4) AS dpi FROM f6_dpi",
     "a7_image_triage": "SELECT image_id, outcome, CASE WHEN outcome = 'recompress' THEN greatest(CAST(round(px_w * (72.0::DOUBLE / dpi)) AS INT), 1) END AS new_w, CASE WHEN outcome = 'recompress' THEN greatest(CAST(round(px_h * (72.0::DOUBLE / dpi)) AS INT), 1) END AS new_h FROM f6_outcome",
-    "a9_compress_report": "SELECT doc_id, outcome, count(*) AS images FROM (SELECT DISTINCT l_orderkey AS doc_id, l_partkey AS image_id FROM lineitem) u JOIN f6_outcome o ON o.image_id = u.image_id GROUP BY GROUPING SETS ((doc_id, outcome), (doc_id))",
+    "a9_compress_report": """WITH c AS (SELECT image_id, outcome, CAST(px_w AS BIGINT) * px_h * 3 AS b, CASE WHEN outcome = 'recompress' THEN CAST(greatest(CAST(round(px_w * (72.0::DOUBLE / dpi)) AS INT), 1) AS BIGINT) * greatest(CAST(round(px_h * (72.0::DOUBLE / dpi)) AS INT), 1) * 3 ELSE CAST(px_w AS BIGINT) * px_h * 3 END AS a FROM f6_outcome),
+ g AS (SELECT doc_id, outcome, count(*) AS images, CAST(sum(b) AS BIGINT) AS bytes_before, CAST(sum(a) AS BIGINT) AS bytes_after FROM (SELECT DISTINCT l_orderkey AS doc_id, l_partkey AS image_id FROM lineitem) u JOIN c ON c.image_id = u.image_id GROUP BY doc_id, outcome)
+ SELECT g.*, CAST(t.n AS BIGINT) AS examined, CAST(t.r AS BIGINT) AS recompressed FROM g JOIN (SELECT doc_id, sum(images) AS n, sum(CASE WHEN outcome = 'recompress' THEN images ELSE 0 END) AS r FROM g GROUP BY doc_id) t ON t.doc_id = g.doc_id""",
+    "a10_filter_report": """SELECT doc_id, count(*) AS images_examined, count(*) FILTER (NOT masked AND readable) AS usable, count(*) FILTER (masked) AS skipped_mask, count(*) FILTER (NOT masked AND NOT readable) AS skipped_samples
+ FROM (SELECT DISTINCT u.doc_id, p.image_id FROM f12_uniq u JOIN f1_pages p ON p.doc_id = u.doc_id AND p.page_no = u.page_no) x JOIN f6_readable i ON i.image_id = x.image_id GROUP BY doc_id""",
     "a10_filter_targets": """SELECT doc_id, image_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS ord FROM (SELECT u.doc_id, p.image_id, min(u.pos) AS pos FROM f12_uniq u JOIN f1_pages p ON p.doc_id = u.doc_id AND p.page_no = u.page_no GROUP BY u.doc_id, p.image_id)""",
     "s10_asset_manifest": """SELECT doc_id, image_id, CAST(n AS INT) AS n, concat('doc', doc_id, '-image-', n, CASE WHEN filter = 'DCT' THEN '.jpg' ELSE '.png' END) AS name FROM (
- SELECT doc_id, u.image_id, filter, row_number() OVER (PARTITION BY doc_id ORDER BY u.image_id) AS n FROM (SELECT DISTINCT l_orderkey AS doc_id, l_partkey AS image_id FROM lineitem) u JOIN f6_images i ON i.image_id = u.image_id WHERE filter <> 'JPX')""",
+ SELECT doc_id, u.image_id, filter, row_number() OVER (PARTITION BY doc_id ORDER BY u.image_id) AS n FROM (SELECT DISTINCT l_orderkey AS doc_id, l_partkey AS image_id FROM lineitem) u JOIN f6_readable i ON i.image_id = u.image_id WHERE readable)""",
     "a11_repair_audit": """SELECT *, wrong_length = 0 AND unreachable = 0 AND repeated = 0 AND NOT missing_root AS is_clean FROM (SELECT source AS doc_id, count(*) FILTER (n_chars <> strlen(text)) AS wrong_length, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS unreachable,
  count(*) - count(DISTINCT doc_id % 97) AS repeated, NOT bool_or(doc_id % 97 = 0) AS missing_root FROM documents GROUP BY source)""",
     "a11_last_definitions": "SELECT source AS doc_id, doc_id % 97 AS obj_no, max(doc_id) AS id FROM documents GROUP BY ALL",
@@ -298,7 +314,7 @@ SQL: dict[str, str] = {
     "p15_strip_identifying": """SELECT user_id AS doc_id, CAST(sum(CASE WHEN event_type <> 'signup' THEN len(json_keys(props)) ELSE 0 END) AS BIGINT) AS info_keys_removed, count(*) FILTER (event_type = 'signup') AS metadata_removed, sha256('key' || user_id) AS new_id FROM events GROUP BY user_id""",
     "p6_metadata_edit": """SELECT m.doc_id, nullif(CASE WHEN title_op = 'set' THEN title_val ELSE title END, '') AS title, CASE WHEN author_op = 'clear' THEN NULL ELSE author END AS author, subject, CASE WHEN keywords_op = 'set' THEN keywords_val ELSE keywords END AS keywords FROM f13_meta m LEFT JOIN f13_edits e ON e.doc_id = m.doc_id""",
     "a15_ocr_triage": """SELECT doc_id, count(*) AS pages, count(*) FILTER (t > 0) AS already_text, count(*) FILTER (t = 0) AS needed, count(*) FILTER (t = 0 AND h = 0) AS nothing_found FROM (
- SELECT doc_id, page_no, sum(CASE WHEN tag = 'p' THEN length(text) ELSE 0 END) AS t, sum(CASE WHEN tag = 'h1' THEN length(text) ELSE 0 END) AS h FROM f3_lines GROUP BY ALL) GROUP BY doc_id""",
+ SELECT doc_id, page_no, sum(CASE WHEN tag <> 'h1' THEN length(text) ELSE 0 END) AS t, sum(CASE WHEN tag = 'h1' THEN length(text) ELSE 0 END) AS h FROM f3_lines GROUP BY ALL) GROUP BY doc_id""",
     "a16_flatten_report": """SELECT doc_id, count(*) FILTER (b AND w) AS widgets_flattened, count(*) FILTER (b AND NOT w) AS annots_flattened, count(*) FILTER (NOT hidden AND NOT has_appearance AND subtype NOT IN ('Link', 'Popup')) AS skipped, count(DISTINCT CASE WHEN b THEN page_no END) AS pages_flattened, count(*) FILTER (w AND NOT hidden AND NOT has_appearance) = 0 AS form_removed
  FROM (SELECT *, NOT hidden AND has_appearance AS b, subtype = 'Widget' AS w FROM f9_annots) GROUP BY doc_id""",
     "a16_flatten_forms_only": """SELECT doc_id, count(*) FILTER (b AND w) AS widgets_flattened, CAST(0 AS BIGINT) AS annots_flattened, count(*) FILTER (w AND NOT hidden AND NOT has_appearance) AS skipped, count(DISTINCT CASE WHEN b AND w THEN page_no END) AS pages_flattened, count(*) FILTER (w AND NOT hidden AND NOT has_appearance) = 0 AS form_removed
@@ -312,13 +328,15 @@ SQL: dict[str, str] = {
     "t2_edit_log_stream": "SELECT doc_id, page_no, rotation FROM f9_fold",
     "j10_form_fill": "SELECT doc_id, name, outcome, reason FROM f8_outcome",
     "j10_form_report": "SELECT doc_id, count(*) FILTER (outcome = 'filled') AS filled, count(*) FILTER (outcome = 'not_found') AS not_found, count(*) FILTER (outcome = 'unsupported') AS unsupported FROM f8_outcome GROUP BY doc_id",
-    "j10_form_data": "SELECT event_id AS doc_id, 'name' AS name, 'text' AS kind, 'v' || event_id AS value FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'agree', 'bool', CASE WHEN event_id % 5 = 0 THEN 'true' ELSE 'false' END FROM events WHERE event_id % 5 IN (0, 4)",
-    "j10_form_data_rejects": """SELECT event_id AS doc_id, 'InvalidFormData' AS error, CASE event_id % 5 WHEN 1 THEN 'field "n": expected a string or a boolean, found a number' WHEN 2 THEN 'field "a": expected a string or a boolean, found null' ELSE 'the data must be a JSON object' END AS detail FROM events WHERE event_id % 5 IN (1, 2, 3)""",
+    "j10_form_data": "SELECT event_id AS doc_id, 'name' AS name, 'text' AS kind, event_type || event_id AS value FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'agree', 'bool', CASE WHEN event_id % 5 = 0 OR value > 10 THEN 'true' ELSE 'false' END FROM events WHERE event_id % 5 IN (0, 4)",
+    "j10_form_data_rejects": """SELECT event_id AS doc_id, 'InvalidFormData' AS error, CASE event_id % 5 WHEN 1 THEN 'value of k is number' WHEN 2 THEN 'value of a is null' ELSE 'not an object' END AS detail FROM events WHERE event_id % 5 IN (1, 2, 3)""",
     "j12_attachments_upsert": "SELECT user_id AS doc_id, event_type AS name, arg_max(props, event_id) AS payload, CAST(strlen(arg_max(props, event_id)) AS BIGINT) AS size FROM events GROUP BY user_id, event_type",
+    "j12_extract_found": """SELECT user_id AS doc_id, event_type AS name, props AS payload, CAST(strlen(props) AS BIGINT) AS size FROM events e WHERE event_type IN ('click', 'signup')
+ AND event_id = (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id AND x.event_type = e.event_type)""",
     "j12_extract_missing": """SELECT u.doc_id, n.name, 'NoSuchAttachment' AS error FROM (SELECT DISTINCT user_id AS doc_id FROM events) u CROSS JOIN (VALUES ('click'), ('signup'), ('nothing')) AS n(name) WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.doc_id AND e.event_type = n.name)""",
     "j13_layer_visibility": "SELECT user_id AS doc_id, event_type AS name, max(event_id) % 2 = 1 AS visible FROM events GROUP BY user_id, event_type",
     "j13_layer_rejects": """SELECT DISTINCT user_id AS doc_id, 'error' AS name, CASE WHEN EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type <> 'error') THEN 'NoSuchLayer' ELSE 'NoLayers' END AS error FROM events e WHERE event_type = 'error'""",
-    "u2_collect_signature_fields": "SELECT user_id AS doc_id, event_id AS obj, CASE WHEN value > 50 THEN 1 ELSE 2 END AS src, CASE WHEN value > 50 THEN 'form' ELSE 'page' END || event_id AS name FROM events WHERE event_type = 'purchase'",
+    "u2_collect_signature_fields": "SELECT user_id AS doc_id, event_id AS obj, CASE WHEN event_type = 'purchase' THEN 1 ELSE 2 END AS src, CASE WHEN event_type = 'purchase' THEN 'form' ELSE 'page' END || event_id AS name FROM events",
     "e_decode_text": "SELECT doc_id, md5(CASE WHEN doc_id % 3 = 2 THEN regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') ELSE text END) AS text_md5 FROM documents",
     "e_human_sizes": """SELECT doc_id, CASE WHEN z < 1024 THEN z || ' B' WHEN z < 1048576 THEN format('{:.1f} KB', z / 1024.0::DOUBLE) WHEN z < 1073741824 THEN format('{:.1f} MB', z / 1048576.0::DOUBLE) ELSE format('{:.1f} GB', z / 1073741824.0::DOUBLE) END AS size, CASE WHEN doc_id % 3 = 1 THEN '1 page' ELSE doc_id % 3 || ' pages' END AS pages FROM (SELECT doc_id, n_chars * n_chars AS z FROM documents)""",
     "e_pdf_dates": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' +05:30' WHEN 1 THEN strftime(o_orderdate, '%Y-%m-01 00:00:00') || ' +00:00' WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') || ' +00:00' END AS shown FROM orders""",

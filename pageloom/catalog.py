@@ -109,7 +109,7 @@ def w1_split_every(spark, d):
 
 
 def _outline(spark, d):
-    return outline.outline_tree(v.outline(spark, d), max_level=3)
+    return outline.outline_tree(v.outline(spark, d))
 
 
 def _outline_docs(spark, d):
@@ -139,7 +139,7 @@ _PATTERN = "{stem}-{index:0{width}d}of{width}_{pages}"
 def s4_split_manifest(spark, d):
     stem = F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     chunks = assemble.manifest(assemble.split_every(v.docs(spark, d), 2), _PATTERN, stem)
-    extract, _ = assemble.extract_names(v.specs(spark, d), "{stem}-extract-{pages}", stem)
+    extract = assemble.extract_names(v.specs(spark, d), "{stem}-extract-{pages}", stem)
     return chunks.unionByName(extract)
 
 
@@ -170,9 +170,12 @@ def u4_lost_objects(spark, d):
 
 @query
 def a12_rescue_choice(spark, d):
-    docs = v.docs(spark, d)
     counted = v.pages(spark, d).groupBy("doc_id").agg(F.max("page_no").alias("page_count"))
-    loaded = docs.select("doc_id", F.lit("loaded").alias("version"), F.least("page_count", F.lit(5)).alias("page_count"), F.lit(0).alias("prio"))
+    # what a damaged file still lists: the pages that were not sent back
+    listed = F.sum(F.when(F.col("l_returnflag") != "R", 1).otherwise(0)).cast("int")
+    loaded = v.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(listed.alias("page_count")).select(
+        "doc_id", F.lit("loaded").alias("version"), "page_count", F.lit(0).alias("prio")
+    )
     scanned = counted.select("doc_id", F.lit("rescanned").alias("version"), "page_count", F.lit(1).alias("prio"))
     return assemble.rescue_choice(loaded.unionByName(scanned))
 
@@ -224,8 +227,7 @@ def a17_size_by_page(spark, d):
 
 @query
 def p5_pages_with_text(spark, d):
-    lines = v.sized_lines(spark, d).filter(F.col("tag") == "p")
-    return text.pages_with_text(lines, "text").groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("text_lines"))
+    return text.pages_with_text(v.sized_lines(spark, d), "text").groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("text_lines"))
 
 
 @query
@@ -357,6 +359,11 @@ def w13_outline_remove(spark, d):
     return outline.outline_remove(_outline(spark, d), _picks(spark, d))[0]
 
 
+@query
+def w13_outline_remove_rejects(spark, d):
+    return outline.outline_remove(_outline(spark, d), _picks(spark, d))[1]
+
+
 @query
 def w14_outline_move(spark, d):
     return outline.outline_move(_outline(spark, d), _picks(spark, d), up=True)
@@ -369,7 +376,7 @@ def s9_outline_export(spark, d):
 
 def _nested_lists(spark, d):
     lines = F.filter(F.split("text", "\n"), lambda s: s != "")
-    quoted = F.transform(lines, lambda s: F.to_json(F.struct(F.substring(s, 1, 20).alias("title"))))
+    quoted = F.transform(lines, lambda s: F.to_json(F.struct(s.alias("title"))))
     head = lambda s: F.substr(s, F.lit(1), F.length(s) - 1)
 
     def pair(s, i):
@@ -388,12 +395,12 @@ def _nested_lists(spark, d):
 
 @query
 def s9_outline_import(spark, d):
-    return outline.outline_import(_nested_lists(spark, d), max_depth=4)[0]
+    return outline.outline_import(_nested_lists(spark, d))[0]
 
 
 @query
 def s9_outline_import_rejects(spark, d):
-    return outline.outline_import(_nested_lists(spark, d), max_depth=4)[1]
+    return outline.outline_import(_nested_lists(spark, d))[1]
 
 
 def _dest_name(number):
@@ -523,7 +530,7 @@ def _beads(spark, d):
     return t_.join(last, "conv_id").select(
         F.col("conv_id").alias("doc_id"), F.col("turn").alias("node"),
         F.when(F.col("turn") == F.col("last"), F.lit(0)).otherwise(F.col("turn") + 1).cast("long").alias("next"),
-        (F.col("turn") + 1).cast("int").alias("page"), F.substring("text", 1, 24).alias("title"),
+        (F.col("turn") + 1).cast("int").alias("page"), F.col("text").alias("title"),
     )
 
 
@@ -560,7 +567,13 @@ def a5_rewrite_refs(spark, d):
 
 @query
 def a4_optimize_report(spark, d):
-    return objects.optimize_report(_text_objects(spark, d), "source", F.col("text"))
+    listed = v.table(spark, d, "labels").select(F.col("doc_id").alias("id"))
+    return objects.optimize_report(_text_objects(spark, d), "source", F.col("text"), reachable_ids=listed)
+
+
+@query
+def a4_optimize_safe(spark, d):
+    return objects.optimize_report(_text_objects(spark, d), "source", F.col("text"), level="safe")
 
 
 # ---------------------------------------------------------------- structure
@@ -671,7 +684,7 @@ def a7_image_triage(spark, d):
 def a9_compress_report(spark, d):
     outcomes = images.triage(v.images(spark, d), v.placements(spark, d), "screen")
     uses = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("image_id"))
-    return images.compress_report(uses, outcomes)
+    return images.compress_report(uses, v.images(spark, d), outcomes)
 
 
 @query
@@ -679,6 +692,12 @@ def a10_filter_targets(spark, d):
     return images.filter_targets(selection.resolve_unique(v.specs(spark, d)), v.pages(spark, d).select("doc_id", "page_no", "image_id"))
 
 
+@query
+def a10_filter_report(spark, d):
+    uses = v.pages(spark, d).select("doc_id", "page_no", "image_id")
+    return images.filter_report(selection.resolve_unique(v.specs(spark, d)), uses, v.images(spark, d))
+
+
 @query
 def s10_asset_manifest(spark, d):
     uses = v.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("image_id"))
@@ -742,7 +761,7 @@ def p6_metadata_edit(spark, d):
 def a15_ocr_triage(spark, d):
     length = F.length("text")
     pages = v.sized_lines(spark, d).groupBy("doc_id", "page_no").agg(
-        F.sum(F.when(F.col("tag") == "p", length).otherwise(0)).alias("text_len"),
+        F.sum(F.when(F.col("tag") != "h1", length).otherwise(0)).alias("text_len"),
         F.sum(F.when(F.col("tag") == "h1", length).otherwise(0)).alias("found_len"),
     )
     return audit.ocr_triage(pages)
@@ -806,11 +825,11 @@ def j10_form_report(spark, d):
 def _form_rows(spark, d):
     key = F.col("event_id")
     body = (
-        F.when(key % 5 == 0, F.concat(F.lit('{"name": "v'), key.cast("string"), F.lit('", "agree": true}')))
-        .when(key % 5 == 1, F.lit('{"name": "x", "n": 3}'))
-        .when(key % 5 == 2, F.lit('{"a": null, "b": "y"}'))
-        .when(key % 5 == 3, F.lit("[1, 2]"))
-        .otherwise(F.lit('{"agree": false}'))
+        F.when(key % 5 == 0, F.concat(F.lit('{"name": "'), F.col("event_type"), key.cast("string"), F.lit('", "agree": true}')))
+        .when(key % 5 == 1, F.col("props"))
+        .when(key % 5 == 2, F.concat(F.lit('{"a": null, "b": "'), F.col("user_id").cast("string"), F.lit('"}')))
+        .when(key % 5 == 3, F.concat(F.lit("["), F.col("props"), F.lit("]")))
+        .otherwise(F.concat(F.lit('{"agree": '), (F.col("value") > 10).cast("string"), F.lit("}")))
     )
     return v.table(spark, d, "events").select(key.alias("doc_id"), body.alias("json"))
 
@@ -830,6 +849,13 @@ def j12_attachments_upsert(spark, d):
     return forms.attachments(v.attachments(spark, d))[0]
 
 
+@query
+def j12_extract_found(spark, d):
+    current, _ = forms.attachments(v.attachments(spark, d))
+    asked = v.table(spark, d, "events").select(F.col("user_id").alias("doc_id")).distinct().select("doc_id", F.explode(F.array(F.lit("click"), F.lit("signup"), F.lit("nothing"))).alias("name"))
+    return forms.extract_attachments(current, asked)[0]
+
+
 @query
 def j12_extract_missing(spark, d):
     current, _ = forms.attachments(v.attachments(spark, d))
@@ -854,8 +880,8 @@ def j13_layer_rejects(spark, d):
 
 @query
 def u2_collect_signature_fields(spark, d):
-    events = v.table(spark, d, "events").filter(F.col("event_type") == "purchase")
-    form = events.filter(F.col("value") > 50).select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("obj"), F.lit(1).alias("src"), F.concat(F.lit("form"), F.col("event_id").cast("string")).alias("name"))
+    events = v.table(spark, d, "events")
+    form = events.filter(F.col("event_type") == "purchase").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("obj"), F.lit(1).alias("src"), F.concat(F.lit("form"), F.col("event_id").cast("string")).alias("name"))
     page = events.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("obj"), F.lit(2).alias("src"), F.concat(F.lit("page"), F.col("event_id").cast("string")).alias("name"))
     return forms.signature_fields(form.unionByName(page))
 

@@ -22,7 +22,7 @@ def _number(text: str) -> str:
 
 
 def _number_error(number: str) -> str:
-    return f"CASE WHEN {number} IS NULL THEN 'not a page number' WHEN {number} = 0 THEN 'page numbers start at 1' END"
+    return f"CASE WHEN {number} IS NULL THEN 'no number' WHEN {number} = 0 THEN 'zero' END"
 
 
 _PART = let(
@@ -32,10 +32,10 @@ _PART = let(
         f"transform(ends, e -> {_number('e')})",
         "numbers",
         f"""named_struct(
-      'error', CASE WHEN piece = '' THEN 'empty segment'
+      'error', CASE WHEN piece = '' THEN 'empty part'
         WHEN size(ends) = 1 THEN {_number_error('numbers[0]')}
-        WHEN contains(ends[1], '-') THEN 'more than one dash'
-        WHEN piece = '-' THEN 'bare dash'
+        WHEN contains(ends[1], '-') THEN 'dashes'
+        WHEN piece = '-' THEN 'only a dash'
         WHEN ends[0] = '' THEN {_number_error('numbers[1]')}
         WHEN ends[1] = '' THEN {_number_error('numbers[0]')}
         ELSE coalesce({_number_error('numbers[0]')}, {_number_error('numbers[1]')}) END,
@@ -66,9 +66,9 @@ def _record(spec: str, count: str) -> str:
       ELSE concat(cast(p.start AS STRING), '-', coalesce(cast(p.stop AS STRING), '')) END), ',') END"""
     record = f"""named_struct(
       'error', CASE WHEN malformed IS NOT NULL THEN 'InvalidPageRange' WHEN beyond IS NOT NULL THEN 'PageOutOfRange' END,
-      'detail', coalesce(malformed, concat('page ', cast(beyond AS STRING), ' of ', cast({n} AS STRING))),
+      'detail', coalesce(malformed, concat(cast(beyond AS STRING), ' > ', cast({n} AS STRING))),
       'canonical', {printed}, 'spans', spans, 'unique_spans', {_FIRST_SEEN})"""
-    malformed = "CASE WHEN every THEN cast(NULL AS STRING) WHEN text = '' THEN 'range is empty' ELSE get(filter(parts, p -> p.error IS NOT NULL), 0).error END"
+    malformed = "CASE WHEN every THEN cast(NULL AS STRING) WHEN text = '' THEN 'nothing written' ELSE get(filter(parts, p -> p.error IS NOT NULL), 0).error END"
     beyond = f"CASE WHEN NOT every AND malformed IS NULL THEN {outside} END"
     return let(
         text,

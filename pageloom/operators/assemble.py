@@ -8,7 +8,7 @@ from pageloom.functions import ranges
 from pageloom.functions.labels import fill_tokens
 from pageloom.functions.text import zero_pad
 from pageloom.plans.graph import walk_chain
-from pageloom.plans.scan import WIDTH, Running, expand, running
+from pageloom.plans.scan import WIDTH, Running, expand, running, with_document
 
 
 def offsets(inputs: DataFrame, keys: list[str], order: str, size: str, name: str, *, width: int | None = None) -> DataFrame:
@@ -22,7 +22,7 @@ def merge(inputs: DataFrame, pages: DataFrame, *, width: int | None = None) -> D
     New page numbers are an offset per input plus the old number; pages are not ranked.
     """
     shifted = offsets(inputs, ["merge_id"], "input_ord", "page_count", "shift", width=width)
-    return pages.join(shifted.select("merge_id", "input_ord", "doc_id", "shift"), "doc_id").select(
+    return with_document(pages, shifted.select("merge_id", "input_ord", "doc_id", "page_count", "shift"), width=width).select(
         "merge_id", (F.col("shift") + F.col("page_no")).alias("page_no"), "doc_id", F.col("page_no").alias("source_page")
     )
 
@@ -50,7 +50,7 @@ def arrange(pages: DataFrame, picks: DataFrame, columns: list[str]) -> DataFrame
 
 def _with_spans(pages: DataFrame, specs: DataFrame) -> DataFrame:
     good = specs.filter(F.col("error").isNull()).select("doc_id", "page_count", "unique_spans")
-    return pages.select("doc_id", "page_no").join(good, "doc_id")
+    return with_document(pages.select("doc_id", "page_no"), good)
 
 
 def delete(pages: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,10 +84,9 @@ def move(pages: DataFrame, specs: DataFrame, before: Column) -> tuple[DataFrame,
     stay_before_target = F.col("__target") - 1 - ranges.held_before(spans, F.col("__target"))
     moved = stay_before_target + ranges.place_of(spans, page)
     stayed = page - ranges.held_before(spans, page) + F.when(page >= F.col("__target"), ranges.span_length(spans)).otherwise(0)
-    good = checked.filter(F.col("__error").isNull()).select("doc_id", "unique_spans", "__target")
+    good = checked.filter(F.col("__error").isNull()).select("doc_id", "page_count", "unique_spans", "__target")
     ok = (
-        pages.select("doc_id", "page_no")
-        .join(good, "doc_id")
+        with_document(pages.select("doc_id", "page_no"), good)
         .select(
             "doc_id",
             F.when(ranges.holds(spans, page), moved).otherwise(stayed).cast("int").alias("page_no"),
@@ -217,9 +216,6 @@ def _pack_large(pages: DataFrame, limit: int) -> DataFrame:
     )
 
 
-NAME_LIMIT = 4096
-
-
 def _tokens(index: Column, total: Column, stem: Column, pages: Column) -> list[tuple[str, Column]]:
     return [
         ("{index:0{width}d}", zero_pad(index, total)),
@@ -241,33 +237,26 @@ def manifest(chunks: DataFrame, pattern: str, stem: Column) -> DataFrame:
     )
 
 
-def extract_names(specs: DataFrame, pattern: str, stem: Column) -> tuple[DataFrame, DataFrame]:
-    """The one name of an extracted piece: ``{pages}`` is a span when unbroken, else a sorted list.
-
-    A list longer than any file name can be is refused instead of built.
-    """
+def extract_names(specs: DataFrame, pattern: str, stem: Column) -> DataFrame:
+    """The one name of an extracted piece: ``{pages}`` is a span when unbroken, else the sorted list, however long."""
     good = specs.filter(F.col("error").isNull() & (F.size("unique_spans") > 0))
     spans = F.array_sort("unique_spans")
     low, high = F.array_min(F.transform(spans, lambda s: s["lo"])), F.array_max(F.transform(spans, lambda s: s["hi"]))
     count = ranges.span_length(spans)
     unbroken = count == high - low + 1
-    too_long = ~unbroken & (count * 2 > NAME_LIMIT)
     listed = F.array_join(F.flatten(F.transform(spans, lambda s: F.sequence(s["lo"], s["hi"]))).cast("array<string>"), ",")
     shown = (
         F.when(unbroken & (low == high), low.cast("string"))
         .when(unbroken, F.concat(low.cast("string"), F.lit("-"), high.cast("string")))
-        .when(~too_long, listed)
+        .otherwise(listed)
     )
     one = F.lit(1)
-    ok = good.filter(~too_long).select(
-        "doc_id", one.alias("chunk_no"), fill_tokens(pattern, _tokens(one, one, stem, shown)).alias("name")
-    )
-    return ok, good.filter(too_long).select("doc_id", F.lit("NameTooLong").alias("error"))
+    return good.select("doc_id", one.alias("chunk_no"), fill_tokens(pattern, _tokens(one, one, stem, shown)).alias("name"))
 
 
 def page_names(picks: DataFrame, docs: DataFrame, stem: Column, extension: str) -> DataFrame:
     """One file name per picked page, padded to the digits of the document's page count."""
-    return picks.join(docs, "doc_id").select(
+    return with_document(picks, docs).select(
         "doc_id",
         "pos",
         F.concat(stem, F.lit("-"), zero_pad(F.col("page_no"), F.col("page_count")), F.lit(f".{extension}")).alias("name"),

@@ -20,15 +20,15 @@ def read_form_data(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     typed = pairs.withColumn("type", kind)
     word = (
         F.when(F.col("type") == "VOID", "null")
-        .when(F.col("type").startswith("ARRAY"), "an array")
-        .when(F.col("type").startswith("OBJECT"), "an object")
-        .otherwise("a number")
+        .when(F.col("type").startswith("ARRAY"), "list")
+        .when(F.col("type").startswith("OBJECT"), "object")
+        .otherwise("number")
     )
     wrong = typed.filter(~F.col("type").isin("STRING", "BOOLEAN"))
     rejects = wrong.groupBy("doc_id").agg(
-        F.min_by(F.concat(F.lit('field "'), F.col("name"), F.lit('": expected a string or a boolean, found '), word), "name").alias("detail")
+        F.min_by(F.concat(F.lit("value of "), F.col("name"), F.lit(" is "), word), "name").alias("detail")
     ).unionByName(
-        parsed.filter(F.col("v").isNull() | ~is_object).select("doc_id", F.lit("the data must be a JSON object").alias("detail"))
+        parsed.filter(F.col("v").isNull() | ~is_object).select("doc_id", F.lit("not an object").alias("detail"))
     ).select("doc_id", F.lit("InvalidFormData").alias("error"), "detail")
     ok = typed.join(rejects.select("doc_id"), "doc_id", "left_anti").select(
         "doc_id", "name", F.when(F.col("type") == "STRING", "text").otherwise("bool").alias("kind"), F.col("text").alias("value")
@@ -56,22 +56,22 @@ def form_fill(values: DataFrame, fields: DataFrame) -> DataFrame:
     text = F.col("kind") == "text"
 
     def not_in(listed: Column, what: str) -> Column:
-        return F.concat(F.lit('"'), F.col("value"), F.lit(f'" is not one of the {what} ('), _shown(listed), F.lit(")"))
+        return F.concat(F.lit(f"no {what} "), F.col("value"), F.lit(" among: "), _shown(listed))
 
     on = ~text & (F.col("value") == "true")
     reason = (
-        F.when(F.col("ftype").isNull(), F.lit("the field has no type"))
-        .when(F.col("ftype") == "Sig", F.lit("signature fields cannot be filled"))
-        .when(~F.col("ftype").isin("Tx", "Btn", "Ch"), F.concat(F.lit("unsupported field type "), F.col("ftype")))
-        .when((F.col("ftype") == "Tx") & ~text, F.lit("a text field expects a string value"))
-        .when((F.col("ftype") == "Btn") & (F.col("flags").bitwiseAND(PUSHBUTTON) != 0), F.lit("pushbutton fields have no value to set"))
+        F.when(F.col("ftype").isNull(), F.lit("untyped"))
+        .when(F.col("ftype") == "Sig", F.lit("signature"))
+        .when(~F.col("ftype").isin("Tx", "Btn", "Ch"), F.concat(F.lit("type "), F.col("ftype")))
+        .when((F.col("ftype") == "Tx") & ~text, F.lit("text wanted"))
+        .when((F.col("ftype") == "Btn") & (F.col("flags").bitwiseAND(PUSHBUTTON) != 0), F.lit("pushbutton"))
         .when(
             (F.col("ftype") == "Btn") & text & states.isNotNull() & ~F.array_contains(states, F.col("value")),
-            not_in(states, "choices"),
+            not_in(states, "choice"),
         )
-        .when((F.col("ftype") == "Btn") & on & (F.col("flags").bitwiseAND(RADIO) != 0), F.lit("a radio button needs its choice name as a string"))
-        .when((F.col("ftype") == "Ch") & ~text, F.lit("a choice field expects a string value"))
-        .when((F.col("ftype") == "Ch") & options.isNotNull() & ~F.array_contains(options, F.col("value")), not_in(options, "options"))
+        .when((F.col("ftype") == "Btn") & on & (F.col("flags").bitwiseAND(RADIO) != 0), F.lit("choice name wanted"))
+        .when((F.col("ftype") == "Ch") & ~text, F.lit("option wanted"))
+        .when((F.col("ftype") == "Ch") & options.isNotNull() & ~F.array_contains(options, F.col("value")), not_in(options, "option"))
     )
     joined = values.join(known, ["doc_id", "name"], "left").withColumn("__reason", F.when(F.col("__known"), reason))
     outcome = (
@@ -157,10 +157,10 @@ def verify_digest(signed: DataFrame, contents: DataFrame) -> DataFrame:
     )
     again = F.sha2(F.concat(F.substr(raw, o1 + 1, l1), F.substr(raw, o2 + 1, l2)), 256)
     reason = (
-        F.when(span.isNull(), "no byte range")
-        .when(F.size(span) != 4, F.concat(F.lit("the byte range has "), F.size(span).cast("string"), F.lit(" entries, not 4")))
-        .when(~inside, "the byte range points outside the file")
-        .when(F.col("digest").isNull(), "no recorded digest")
-        .when(again != F.col("digest"), "modified after signing")
+        F.when(span.isNull(), "no range")
+        .when(F.size(span) != 4, F.concat(F.lit("range of "), F.size(span).cast("string"), F.lit(" numbers")))
+        .when(~inside, "range outside the content")
+        .when(F.col("digest").isNull(), "no digest")
+        .when(again != F.col("digest"), "changed")
     )
-    return signed.join(contents, "doc_id").select("doc_id", reason.isNull().alias("intact"), F.coalesce(reason, F.lit("digest matches")).alias("reason"))
+    return signed.join(contents, "doc_id").select("doc_id", reason.isNull().alias("intact"), F.coalesce(reason, F.lit("equal")).alias("reason"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pageloom.plans.scan import Running, running
 
@@ -22,14 +22,24 @@ def effective_dpi(images: DataFrame, placements: DataFrame) -> DataFrame:
     )
 
 
+def _raw(filter_: Column) -> Column:
+    return filter_.isNull() | (filter_ == "FLATE")
+
+
+def decodable() -> Column:
+    """Whether the samples can be read: JPEG always; deflated or unfiltered ones if RGB or gray at eight bits."""
+    plain = F.coalesce(F.col("bits") == 8, F.lit(False)) & F.coalesce(F.col("colorspace").isin("DeviceRGB", "RGB", "DeviceGray", "G"), F.lit(False))
+    return F.coalesce(F.col("filter") == "DCT", F.lit(False)) | (_raw(F.col("filter")) & plain)
+
+
 def triage(images: DataFrame, placements: DataFrame, level: str) -> DataFrame:
     """First matching reason to leave an image alone, or its new pixel size."""
     target = TARGETS[level]
     dpi = effective_dpi(images, placements).select("image_id", "dpi")
     reason = (
         F.when(F.col("masked"), "mask")
-        .when(~F.col("filter").isin("DCT", "FLATE"), "unsupported filter")
-        .when(F.col("colorspace") == "Indexed", "unsupported colour space")
+        .when(~(_raw(F.col("filter")) | (F.col("filter") == "DCT")), "unsupported filter")
+        .when(~decodable(), "unsupported samples")
         .when(F.greatest("px_w", "px_h") <= TINY_EDGE, "tiny")
         .when(F.col("dpi").isNull(), "never drawn")
         .when(F.col("dpi") <= target * RESAMPLE_MARGIN, "already small")
@@ -45,17 +55,37 @@ def triage(images: DataFrame, placements: DataFrame, level: str) -> DataFrame:
     )
 
 
-def compress_report(uses: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Images examined per document by outcome, with a grand total per document (NULL outcome).
+def compress_report(uses: DataFrame, images: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Per document and outcome: images, samples before and after, in bytes; with the document's totals beside them.
 
-    ``uses``: doc_id, image_id.
+    ``uses``: doc_id, image_id; ``images`` has px_w and px_h. An image counts once per
+    document. Sizes are those of the decoded samples, three bytes a pixel.
     """
-    return (
-        uses.distinct()
-        .join(outcomes, "image_id")
-        .rollup("doc_id", "outcome")
-        .agg(F.count(F.lit(1)).alias("images"))
-        .filter(F.col("doc_id").isNotNull())
+    before = F.col("px_w").cast("long") * F.col("px_h") * 3
+    after = F.coalesce(F.col("new_w").cast("long") * F.col("new_h") * 3, before)
+    sized = images.join(outcomes, "image_id").select("image_id", "outcome", before.alias("before"), after.alias("after"))
+    by_outcome = (
+        uses.select("doc_id", "image_id").distinct().join(sized, "image_id").groupBy("doc_id", "outcome")
+        .agg(F.count(F.lit(1)).alias("images"), F.sum("before").alias("bytes_before"), F.sum("after").alias("bytes_after"))
+    )
+    total = W.partitionBy("doc_id")  # a row for each outcome at most
+    return by_outcome.select(
+        "*",
+        F.sum("images").over(total).alias("examined"),
+        F.sum(F.when(F.col("outcome") == "recompress", F.col("images")).otherwise(0)).over(total).alias("recompressed"),
+    )
+
+
+def filter_report(picks: DataFrame, uses: DataFrame, images: DataFrame) -> DataFrame:
+    """Per document: images on the picked pages, how many can be filtered, and how many are skipped by reason."""
+    used = picks.join(uses, ["doc_id", "page_no"]).select("doc_id", "image_id").distinct().join(images, "image_id")
+    mask = F.coalesce("masked", F.lit(False))
+    count = lambda test, name: F.sum(F.when(test, 1).otherwise(0)).cast("long").alias(name)
+    return used.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("images_examined"),
+        count(~mask & decodable(), "usable"),
+        count(mask, "skipped_mask"),
+        count(~mask & ~decodable(), "skipped_samples"),
     )
 
 
@@ -73,7 +103,7 @@ def filter_targets(picks: DataFrame, uses: DataFrame, *, width: int | None = Non
 
 def asset_manifest(uses: DataFrame, images: DataFrame, *, width: int | None = None) -> DataFrame:
     """Names of the extractable images per document in object order; skipped ones use no number."""
-    good = images.filter(F.col("filter").isin("DCT", "FLATE")).select("image_id", "filter")
+    good = images.filter(decodable()).select("image_id", "filter")
     written = uses.select("doc_id", "image_id").distinct().join(good, "image_id")
     numbered = running(written, ["doc_id"], "image_id", {"n": Running("sum", F.lit(1))}, width=width)
     ext = F.when(F.col("filter") == "DCT", "jpg").otherwise("png")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.plans.graph import climb, reachable, smallest_label, walk_chain
 from pageloom.plans.scan import Running, running
+from pageloom.plans.shared import materialize
 
-TREE_DEPTH = 64
-FORM_DEPTH = 32
+#: Fixed value: links a chain of issuers may have.
 ISSUERS = 10
 
 
@@ -18,7 +18,6 @@ def inherit(nodes: DataFrame, keys: list[str], attributes: list[str]) -> DataFra
         nodes.select(*keys, "id", F.col("parent").alias("up"), *attributes),
         keys,
         lambda near, far: {a: F.coalesce(near(a), far(a)) for a in attributes},
-        max_depth=TREE_DEPTH,
     ).drop("up")
 
 
@@ -68,10 +67,9 @@ def qualified_names(fields: DataFrame, keys: list[str]) -> DataFrame:
             "ok": near("ok") & far("ok"),
             "depth": near("depth") + far("depth"),
         },
-        max_depth=FORM_DEPTH * 2,
     )
     return (
-        named.filter(F.col("ok") & F.col("up").isNull() & (F.col("depth") <= FORM_DEPTH + 1))
+        named.filter(F.col("ok") & F.col("up").isNull())
         .groupBy(*keys, F.col("name").alias("qualified"))
         .agg(F.min_by("id", "ord").alias("id"))
     )
@@ -91,11 +89,14 @@ def prune(objects: DataFrame, refs: DataFrame, roots: DataFrame, keys: list[str]
 def exact_copies(objects: DataFrame, keys: list[str], content: Column) -> DataFrame:
     """Canonical id (the lowest) of every object: keys + (id, canonical).
 
-    Groups of copies are reduced to one row before anything is joined back.
+    Contents are hashed once, and only groups of several are joined back: both sides of
+    that join are written tables, so a hash that most objects share is split.
     """
-    marked = objects.select(*keys, "id", F.sha2(content.cast("binary"), 256).alias("__h"), F.octet_length(content).alias("__n"))
-    first = marked.groupBy(*keys, "__h", "__n").agg(F.min("id").alias("canonical"))
-    return marked.join(first, [*keys, "__h", "__n"]).select(*keys, "id", "canonical")
+    hashed = objects.select(*keys, "id", F.sha2(content.cast("binary"), 256).alias("__h"), F.octet_length(content).alias("__n"))
+    marked = materialize(hashed, "hashes")
+    groups = marked.groupBy(*keys, "__h", "__n").agg(F.min("id").alias("canonical"), F.count(F.lit(1)).alias("__m"))
+    first = materialize(groups.filter("__m > 1").drop("__m"), "copies")
+    return marked.join(first, [*keys, "__h", "__n"], "left").select(*keys, "id", F.coalesce("canonical", "id").alias("canonical"))
 
 
 def rewrite_refs(refs: DataFrame, copies: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,26 +107,36 @@ def rewrite_refs(refs: DataFrame, copies: DataFrame, keys: list[str]) -> DataFra
     )
 
 
-def optimize_report(objects: DataFrame, key: str, content: Column) -> DataFrame:
-    """Bytes before and after dropping empty objects and exact copies, per document."""
-    size = F.octet_length(content).cast("long")
-    distinct = objects.groupBy(key, F.sha2(content.cast("binary"), 256).alias("h")).agg(
-        F.count(F.lit(1)).alias("copies"), F.max(size).alias("size")
-    )
-    before, after = F.sum(F.col("copies") * F.col("size")), F.sum("size")
+def optimize_report(objects: DataFrame, key: str, content: Column, *, level: str = "full", reachable_ids: DataFrame | None = None) -> DataFrame:
+    """Bytes before and after, and objects removed, per document.
+
+    Level ``safe`` drops empty objects, and unreachable ones where ``reachable_ids``
+    (id) is given; ``full`` merges exact copies as well.
+    """
+    if level not in ("safe", "full"):
+        raise ValueError(f"InvalidLevel: {level}")
+    size = F.coalesce(F.octet_length(content), F.lit(0)).cast("long")
+    sized = objects.select(F.col(key), "id", size.alias("__size"), F.sha2(content.cast("binary"), 256).alias("__h"))
+    if reachable_ids is None:
+        sized = sized.withColumn("__kept", F.lit(True))
+    else:
+        known = reachable_ids.select("id", F.lit(True).alias("__kept")).distinct()
+        sized = sized.join(known, "id", "left").withColumn("__kept", F.coalesce("__kept", F.lit(False)))
+    one = F.col("__h") if level == "full" else F.concat_ws(":", "__h", F.when(F.col("__kept"), F.col("id").cast("string")))
+    distinct = sized.groupBy(key, "__kept", one.alias("h")).agg(F.count(F.lit(1)).alias("copies"), F.max("__size").alias("size"))
+    kept = F.col("__kept") & (F.col("size") > 0)
+    before, after = F.sum(F.col("copies") * F.col("size")), F.sum(F.when(kept, F.col("size")).otherwise(0))
     return distinct.groupBy(key).agg(
         before.alias("bytes_before"),
         after.alias("bytes_after"),
         F.greatest(before - after, F.lit(0)).alias("bytes_saved"),
         F.round(F.when(before == 0, 0.0).otherwise(F.greatest(before - after, F.lit(0)) / before), 4).alias("ratio"),
-        F.sum(F.when(F.col("size") == 0, F.col("copies")).otherwise(F.col("copies") - 1)).alias("objects_removed"),
-        F.sum(F.when(F.col("size") > 0, F.col("copies") - 1).otherwise(0)).alias("duplicates"),
+        F.sum(F.when(kept, F.col("copies") - 1).otherwise(F.col("copies"))).alias("objects_removed"),
+        F.sum(F.when(kept, F.col("copies") - 1).otherwise(0)).alias("duplicates"),
+        F.sum(F.when(~F.col("__kept"), F.col("copies")).otherwise(0)).alias("unreachable"),
     )
 
 
-MAX_BEADS = 100_000
-
-
 def articles(threads: DataFrame, beads: DataFrame) -> DataFrame:
     """Bead count around each chain and the page of its first bead.
 
@@ -141,7 +152,7 @@ def articles(threads: DataFrame, beads: DataFrame) -> DataFrame:
             "doc_id",
             "thread_id",
             F.coalesce("title", F.lit("Untitled")).alias("title"),
-            F.least("beads", F.lit(MAX_BEADS + 1)).alias("beads"),
+            "beads",
             "first_page",
         )
     )

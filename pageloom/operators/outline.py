@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.functions.binding import bind
 from pageloom.plans.graph import climb
 from pageloom.plans.scan import Running, running
+from pageloom.plans.shared import materialize
 
 
-def outline_tree(items: DataFrame, *, max_level: int, large: DataFrame | None = None, width: int | None = None) -> DataFrame:
+def outline_tree(items: DataFrame, *, max_level: int | None = None, large: DataFrame | None = None, width: int | None = None) -> DataFrame:
     """Parent, depth, sibling rank and descendant count of level-tagged items.
 
-    ``items``: doc_id, seq (from 1, no gaps), level 1..max_level, title, page. ``idx`` is
-    the pre-order number from 0.
+    ``items``: doc_id, seq (from 1, no gaps), level from 1, title, page. ``idx`` is the
+    pre-order number from 0. The deepest level in use is looked up unless it is given.
     """
+    if max_level is None:
+        max_level = items.agg(F.max("level")).first()[0] or 1
     seq, level = F.col("seq"), F.col("level")
     levels = range(1, max_level + 1)
     back = {f"__p{v}": Running("last", F.when(level == v, seq), inclusive=False) for v in levels}
@@ -138,43 +140,54 @@ def outline_export(tree: DataFrame, *, width: int | None = None) -> DataFrame:
     return ahead.select("doc_id", "idx", F.concat(head, F.repeat(F.lit("]}"), closers)).alias("fragment"))
 
 
-def _list_type(depth: int) -> str:
-    inner = "string" if depth == 1 else _list_type(depth - 1)
-    return f"array<struct<title:string,page:int,children:{inner}>>"
+def outline_import(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nested JSON lists of any depth to flat rows: (items with a sortable ``path``, rejects).
 
-
-def _flat_sql(items: str, above: str, depth: int, max_depth: int) -> str:
-    """SQL text listing nested items in pre-order with a sortable path."""
-    x, i = f"x{depth}", f"i{depth}"
-    path = f"concat({above}, lpad(cast({i} + 1 AS STRING), 6, '0'))"
-    own = f"array(named_struct('path', {path}, 'depth', {depth}, 'title', {x}.title, 'page', {x}.page))"
-    if depth == max_depth:
-        return f"transform({items}, ({x}, {i}) -> {own}[0])"
-    below = _flat_sql(f"coalesce({x}.children, array())", f"concat({path}, '/')", depth + 1, max_depth)
-    return f"flatten(transform({items}, ({x}, {i}) -> concat({own}, {below})))"
-
-
-def outline_import(lists: DataFrame, *, max_depth: int) -> tuple[DataFrame, DataFrame]:
-    """Nested JSON lists to flat rows: (items with a sortable ``path``, rejects).
-
-    ``lists``: doc_id, page_count, json. A page outside the document refuses the whole
-    list; an empty list leaves no rows. A list is one row and is read once.
+    ``lists``: doc_id, page_count, json. All items of a level are opened together, so
+    there are as many rounds as the deepest list has levels. Text that is not a list of
+    objects with a title and a page refuses the document (InvalidOutline), and so does a
+    page outside it (PageOutOfRange, with the first such page in pre-order). An empty
+    list leaves no rows.
     """
-    parsed = f"from_json(json, '{_list_type(max_depth)}')"
-    flat = bind(lists, F.struct(F.expr(_flat_sql(parsed, "''", 1, max_depth)).alias("items")))
-    checked = bind(
-        flat,
-        F.struct(
-            F.expr("get(filter(items, x -> x.page IS NULL OR x.page < 1 OR x.page > page_count), 0)").alias("bad")
-        ),
-    )
-    rejects = checked.filter(F.col("bad").isNotNull()).select(
-        "doc_id", F.lit("PageOutOfRange").alias("error"), F.col("bad.page").alias("page")
-    )
-    return checked.filter(F.col("bad").isNull()).select("doc_id", F.inline("items")), rejects
-
-
-MAX_HOPS = 16
+    shape = "array<variant>"
+    parsed = lists.select("doc_id", "page_count", F.try_parse_json("json").alias("v"))
+    level = parsed.select("doc_id", "page_count", F.lit("").alias("above"), F.lit(0).alias("depth"), F.try_variant_get("v", "$", shape).alias("list"))
+    levels: list[DataFrame] = []
+    broken = [level.filter(F.col("list").isNull()).select("doc_id", "above")]
+    while True:
+        opened = level.filter(F.size("list") > 0).select("doc_id", "page_count", "above", "depth", F.posexplode("list").alias("i", "x"))
+        children = F.try_variant_get("x", "$.children", shape)
+        has_children = F.schema_of_variant(F.try_variant_get("x", "$.children", "variant"))
+        items = opened.select(
+            "doc_id",
+            "page_count",
+            F.concat("above", F.lpad((F.col("i") + 1).cast("string"), 10, "0")).alias("path"),
+            (F.col("depth") + 1).alias("depth"),
+            F.when(F.schema_of_variant(F.try_variant_get("x", "$.title", "variant")) == "STRING", F.try_variant_get("x", "$.title", "string")).alias("title"),
+            F.when(F.schema_of_variant(F.try_variant_get("x", "$.page", "variant")) == "BIGINT", F.try_variant_get("x", "$.page", "bigint")).alias("page"),
+            F.when(has_children.isNull() | (has_children == "VOID"), F.array().cast(shape)).otherwise(children).alias("list"),
+        )
+        found = materialize(items, "outline")
+        if found.isEmpty():
+            break
+        levels.append(found)
+        bad = F.col("title").isNull() | F.col("page").isNull() | F.col("list").isNull()
+        broken.append(found.filter(bad).select("doc_id", F.col("path").alias("above")))
+        level = found.filter(F.size("list") > 0).select("doc_id", "page_count", F.concat("path", F.lit("/")).alias("above"), "depth", "list")
+    refused = broken[0]
+    for part in broken[1:]:
+        refused = refused.unionByName(part)
+    refused = refused.select("doc_id").distinct().select("doc_id", F.lit("InvalidOutline").alias("error"), F.lit(None).cast("bigint").alias("page"))
+    if not levels:
+        none = lists.limit(0).select("doc_id", F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit("").alias("title"), F.lit(0).cast("bigint").alias("page"))
+        return none, refused
+    rows = levels[0]
+    for part in levels[1:]:
+        rows = rows.unionByName(part)
+    outside = rows.filter((F.col("page") < 1) | (F.col("page") > F.col("page_count"))).join(refused, "doc_id", "left_anti")
+    beyond = outside.groupBy("doc_id").agg(F.min_by(rows["page"], rows["path"]).alias("page")).select("doc_id", F.lit("PageOutOfRange").alias("error"), "page")
+    rejects = materialize(refused.unionByName(beyond), "refused")
+    return rows.join(rejects, "doc_id", "left_anti").select("doc_id", "path", "depth", "title", "page"), rejects
 
 
 def outline_destinations(
@@ -183,8 +196,9 @@ def outline_destinations(
     """Page of every outline item; an item that does not resolve drops with its whole subtree.
 
     ``targets``: doc_id, idx, kind (page, number or name), page, name. ``dests``: doc_id,
-    name, source (direct or tree), kind, page, target. Names may lead to names; chains are
-    followed by pointer doubling, the direct table before the name tree.
+    name, source (direct or tree), kind, page, target. Names may lead to names; chains of
+    any length are followed by pointer doubling, the direct table before the name tree,
+    and a chain that loops does not resolve.
     """
     table = dests.groupBy("doc_id", "name").agg(
         F.min_by(F.struct("kind", "page", "target"), F.when(F.col("source") == "direct", 0).otherwise(1)).alias("d")
@@ -194,15 +208,13 @@ def outline_destinations(
         F.col("name").alias("id"),
         F.when(F.col("d.kind") == "name", F.col("d.target")).alias("up"),
         F.when(F.col("d.kind") != "name", F.col("d.page")).cast("int").alias("page"),
-        F.lit(1).alias("hops"),
     )
     ends = climb(
         nodes,
         ["doc_id"],
-        lambda near, far: {"page": far("page"), "hops": near("hops") + far("hops")},
-        max_depth=MAX_HOPS,
+        lambda near, far: {"page": far("page")},
     )
-    named = ends.filter(F.col("up").isNull() & (F.col("hops") < MAX_HOPS)).select(
+    named = ends.filter(F.col("up").isNull()).select(
         "doc_id", F.col("id").alias("name"), F.col("page").alias("__named")
     )
     counts = docs.select("doc_id", F.col("page_count").alias("__n"))

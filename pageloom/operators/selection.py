@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions import ranges
+from pageloom.plans.scan import with_document
 
 
 def resolve(specs: DataFrame, *, width: int | None = None) -> DataFrame:
@@ -30,9 +31,9 @@ def selected(pages: DataFrame, specs: DataFrame) -> DataFrame:
 
     The intervals travel as one array per document, so nothing is expanded.
     """
-    good = specs.filter(F.col("error").isNull() & (F.size("unique_spans") > 0)).select("doc_id", "unique_spans")
+    good = specs.filter(F.col("error").isNull() & (F.size("unique_spans") > 0)).select("doc_id", F.col("page_count").alias("__count"), "unique_spans")
     return (
-        pages.join(good, "doc_id")
+        with_document(pages, good, count="__count")
         .withColumn("selected", ranges.holds(F.col("unique_spans"), F.col("page_no")))
-        .drop("unique_spans")
+        .drop("unique_spans", "__count")
     )

@@ -24,8 +24,15 @@ def size_weights(lines: DataFrame) -> DataFrame:
     )
 
 
-def body_sizes(lines: DataFrame) -> DataFrame:
-    """The most used size per document; the larger wins a tie."""
+def body_sizes(lines: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """The most used size per document; the larger wins a tie. Documents of ``docs`` without lines get the default."""
+    found = _most_used(lines)
+    if docs is None:
+        return found
+    return docs.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("body", F.lit(DEFAULT_BODY)).alias("body"))
+
+
+def _most_used(lines: DataFrame) -> DataFrame:
     return size_weights(lines).groupBy("doc_id").agg(F.max_by("bucket", F.struct("weight", "bucket")).alias("body"))
 
 
@@ -79,28 +86,32 @@ def _chain(first: Column, second: Column) -> Column:
 FOLD_LINES = 1024
 
 
-def _with_anchor(stretches: DataFrame, keys: list[str], top_line: int, fold_lines: int) -> DataFrame:
+def _with_anchor(stretches: DataFrame, keys: list[str]) -> DataFrame:
     """Add the item anchor each stretch is entered with.
 
-    No stretch has one above it while all lines fit the first stretch. Otherwise the
-    effects of all stretches above are composed by a doubling prefix scan over joins.
+    Stretches are counted within their block (numbers may be missing where lines were
+    blank). The effects of all stretches above are composed by a doubling prefix scan
+    over joins, in as many rounds as the longest block needs.
     """
     none = F.lit(None).cast("double")
-    if top_line < fold_lines:
-        return stretches.withColumn("__entry", none)
+    counted = running(stretches.select(*keys, "__s"), keys, "__s", {"__k": Running("sum", F.lit(1))})
+    counted = materialize(stretches.join(counted, [*keys, "__s"]), "stretches")
+    top = counted.agg(F.max("__k")).first()[0] or 1
+    if top == 1:
+        return counted.withColumn("__entry", none)
     neutral = F.struct(F.lit(float("inf")).alias("keep"), none.alias("then")).cast(_STATE)
     effects = materialize(
-        stretches.select(*keys, "__s", F.aggregate("rows", neutral, lambda acc, r: _chain(acc, _effect(r))).alias("e")), "effects"
+        counted.select(*keys, "__k", F.aggregate("rows", neutral, lambda acc, r: _chain(acc, _effect(r))).alias("e")), "effects"
     )
     step = 1
-    while step <= top_line // fold_lines:
-        above = effects.select(*keys, (F.col("__s") + step).alias("__s"), F.col("e").alias("__above"))
-        joined = effects.join(above, [*keys, "__s"], "left")
+    while step < top:
+        above = effects.select(*keys, (F.col("__k") + step).alias("__k"), F.col("e").alias("__above"))
+        joined = effects.join(above, [*keys, "__k"], "left")
         both = F.when(F.col("__above").isNull(), F.col("e")).otherwise(_chain(F.col("__above"), F.col("e")))
-        effects = materialize(joined.select(*keys, "__s", both.alias("e")), "effects")
+        effects = materialize(joined.select(*keys, "__k", both.alias("e")), "effects")
         step *= 2
-    entries = effects.select(*keys, (F.col("__s") + 1).alias("__s"), F.col("e.then").alias("__entry"))
-    return stretches.join(entries, [*keys, "__s"], "left")
+    entries = effects.select(*keys, (F.col("__k") + 1).alias("__k"), F.col("e.then").alias("__entry"))
+    return counted.join(entries, [*keys, "__k"], "left")
 
 
 def classify(lines: DataFrame, *, fold_lines: int = FOLD_LINES) -> DataFrame:
@@ -145,7 +156,7 @@ def classify(lines: DataFrame, *, fold_lines: int = FOLD_LINES) -> DataFrame:
             ).alias("rows")
         )
     )
-    entered = _with_anchor(stretches, keys, lines.agg(F.max("line_no")).first()[0] or 0, fold_lines)
+    entered = _with_anchor(stretches, keys)
     entry = F.col("__entry")
 
     seen = "struct<anchor:double,out:array<struct<line_no:int,kind:string,level:int,text:string>>>"

@@ -29,6 +29,7 @@ def pages_to_html(page_texts: DataFrame, titles: DataFrame) -> DataFrame:
     Reading the fragments in ``seq`` order gives the document. Empty pages keep their
     section, so numbers hold. ``titles`` has doc_id, page_count, title.
     """
+    # fixed output format: readers look for these elements and ids
     title = t.escape_html(F.col("title"))
     head = F.concat(
         F.lit('<!DOCTYPE html>\n<html lang="en">\n<head>\n<meta charset="utf-8">\n<title>'),

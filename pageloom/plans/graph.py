@@ -74,22 +74,25 @@ def climb(
     keys: list[str],
     merge: Callable[[Callable[[str], Column], Callable[[str], Column]], dict[str, Column]],
     *,
-    max_depth: int,
+    max_depth: int | None = None,
 ) -> DataFrame:
     """Fold values along every node's chain of ``up`` links by pointer doubling.
 
     ``nodes`` has keys + (id, up) + value columns; ``merge(near, far)`` combines the
     values of a stretch with those of the stretch above it. log2(depth) rounds of
     joins on a unique key; finished nodes leave the join, so a shared root never
-    becomes a hot key of missing links.
+    becomes a hot key of missing links. Without ``max_depth`` chains of any length are
+    followed; a node whose chain runs into a loop keeps an ``up`` link.
     """
     values = [c for c in nodes.columns if c not in (*keys, "id", "up")]
     state = materialize(nodes, "climb")
     span = 1
-    while span < max_depth:
+    while max_depth is None or span < max_depth:
         active = state.filter(F.col("up").isNotNull())
         if active.isEmpty():
             break
+        if max_depth is None and span > 1 << 10 and span > state.count():
+            break  # longer than all nodes in a row: what is left runs in loops
         far = state.select(
             *keys,
             F.col("id").alias("up"),

@@ -115,6 +115,19 @@ def running(
     )
 
 
+def with_document(pages: DataFrame, docs: DataFrame, *, count: str = "page_count", width: int | None = None) -> DataFrame:
+    """Pages (doc_id, page_no, ...) with the columns of their document's one row in ``docs``.
+
+    The join is on the document and a bucket of its pages; the row of a document past
+    one bucket is repeated for each, so that no key holds more than ``width`` pages.
+    """
+    width = width or WIDTH
+    buckets = F.greatest(F.ceil(F.col(count) / F.lit(width)), F.lit(1)).cast("long")
+    many = docs.withColumn(_BUCKET, F.explode(F.sequence(F.lit(0).cast("long"), buckets - 1)))
+    placed = pages.withColumn(_BUCKET, F.floor((F.col("page_no") - 1) / F.lit(width)).cast("long"))
+    return placed.join(many, ["doc_id", _BUCKET]).drop(_BUCKET)
+
+
 def row_index(
     df: DataFrame, keys: list[str], order: list[str], name: str, split: Column, *, width: int | None = None
 ) -> DataFrame:

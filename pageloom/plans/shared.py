@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_fallback: dict[str, str] = {}
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a local session, which has one machine, may fall back to a temporary folder.
+    A session that names none (``spark.checkpoint.dir``) gets one beside its tables, in
+    the warehouse, which executors share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -22,12 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    app = context.applicationId
-    if app not in _fallback:
-        _fallback[app] = tempfile.mkdtemp(prefix="spark-pageloom-")
-    return _fallback[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_rounds/{context.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -43,3 +36,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of earlier rounds that nothing will read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if "/pageloom/" in path:
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)

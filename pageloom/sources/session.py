@@ -12,6 +12,7 @@ def local_session(cpus: int | str = 8, *, app: str = "pageloom", memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
+        .config("spark.pageloom.spread", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.shuffle.partitions", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

@@ -1,54 +1,84 @@
 """Edit log and job queue kept up to date as events arrive.
 
-Both streams keep mergeable aggregates as state, so the final answer equals the batch
-form. Every micro-batch writes its changed groups as a table in the shared folder; the
-current state is the newest row of a group.
+Both streams keep mergeable aggregates as state, so the answer equals the batch form,
+however late an event is. After each micro-batch the current row of every group is
+written as a new version of the table and the version before the last is dropped; a
+repeated batch writes the same version again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType, TimestampType
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from pageloom.operators.audit import job_state_columns, job_status_of
 from pageloom.plans.shared import new_path
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """A table's parquet files as a stream; times are read as instants, as watermarks need."""
+    """A table, one file or a folder of parts, as a stream; times are read as instants, as watermarks need."""
     fields = [StructField(f.name, TimestampType()) if f.dataType.typeName() == "timestamp_ntz" else f for f in schema.fields]
-    files = StructType(fields)
-    return spark.readStream.schema(files).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # a pattern, as a stream takes a plain path for a folder
+    return spark.readStream.schema(StructType(fields)).parquet(f"{folder}/{name}.parque[t]")
 
 
-def _run(changes: DataFrame, keys: list[str], label: str) -> DataFrame:
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _versions(spark: SparkSession, place: str) -> list[int]:
+    where, files = _files(spark, f"{place}/table")
+    if not files.exists(where):
+        return []
+    found = [s.getPath().getName() for s in files.listStatus(where)]
+    done = [int(n.removeprefix("version=")) for n in found if n.startswith("version=")]
+    return sorted(n for n in done if files.exists(_files(spark, f"{place}/table/version={n}/_SUCCESS")[0]))
+
+
+def _run(changes: DataFrame, keys: list[str], place: str) -> DataFrame:
+    """Take in what is new since the last run with the same ``place``; return the current row of every group."""
     spark = changes.sparkSession
-    out, state = new_path(spark, f"{label}-out"), new_path(spark, f"{label}-state")
+    at = lambda n: f"{place}/table/version={n}"
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        own = batch.sparkSession
+        before = [n for n in _versions(own, place) if n < number]
+        table = batch
+        if before:
+            old = own.read.schema(changes.schema).parquet(at(before[-1]))
+            table = old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+        table.write.mode("overwrite").parquet(at(number))
+        for n in before[:-1]:
+            where, files = _files(own, at(n))
+            files.delete(where, True)
 
     query = (
         changes.writeStream.outputMode("update")
-        .option("checkpointLocation", state)
+        .option("checkpointLocation", f"{place}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(save)
         .start()
     )
     query.awaitTermination()
-    values = [c for c in changes.columns if c not in keys]
-    saved = spark.read.schema(StructType([*changes.schema.fields, StructField("batch", IntegerType())])).parquet(f"{out}/batch=*")
-    return saved.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("s")).select(*keys, "s.*")
+    done = _versions(spark, place)
+    return spark.read.schema(changes.schema).parquet(at(done[-1])) if done else spark.createDataFrame([], changes.schema)
+
 
+def edit_log(edits: DataFrame, *, place: str | None = None, late: str | None = None) -> DataFrame:
+    """Folded rotations per page from a stream of edits; repeated event ids count once.
 
-def edit_log(edits: DataFrame, *, late: str = "7 days") -> DataFrame:
-    """Folded rotations per page from a stream of edits; repeated event ids count once."""
-    once = edits.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+    ``place`` is the folder of checkpoint and table; a later run with the same folder
+    reads only new events. Event ids are remembered for good unless ``late`` bounds
+    that, which drops edits older than so much behind the newest one.
+    """
+    once = edits.dropDuplicates(["event_id"]) if late is None else edits.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
     sums = once.groupBy("doc_id", "page_no").agg(F.sum("degrees").alias("turned"))
-    folded = _run(sums, ["doc_id", "page_no"], "edits")
+    folded = _run(sums, ["doc_id", "page_no"], place or new_path(edits.sparkSession, "edits"))
     return folded.select("doc_id", "page_no", F.pmod("turned", F.lit(360)).cast("int").alias("rotation")).filter("rotation <> 0")
 
 
-def job_status(events: DataFrame) -> DataFrame:
-    """Latest job states from a stream of queue actions."""
-    return job_status_of(_run(events.groupBy("job_id").agg(*job_state_columns()), ["job_id"], "jobs"))
+def job_status(events: DataFrame, *, place: str | None = None) -> DataFrame:
+    """Latest job states from a stream of queue actions; ``place`` as in :func:`edit_log`."""
+    states = events.groupBy("job_id").agg(*job_state_columns())
+    return job_status_of(_run(states, ["job_id"], place or new_path(events.sparkSession, "jobs")))

@@ -92,7 +92,7 @@ def test_compare_needs_equal_shapes(spark):
 
 def _tree(spark, levels):
     rows = [(1, i, lv, f'T"{i}', i) for i, lv in enumerate(levels, 1)]
-    return outline.outline_tree(spark.createDataFrame(rows, "doc_id int, seq int, level int, title string, page int"), max_level=4, width=2)
+    return outline.outline_tree(spark.createDataFrame(rows, "doc_id int, seq int, level int, title string, page int"), width=2)
 
 
 def test_outline_round_trips(spark):
@@ -103,7 +103,7 @@ def test_outline_round_trips(spark):
     nested = json.loads(text)
     assert [len(n["children"]) for n in nested] == [2, 2, 0] and nested[0]["children"][0]["children"][0]["title"] == 'T"3'
     lists = spark.createDataFrame([(1, 8, text), (2, 3, text), (3, 3, "[]")], "doc_id int, page_count int, json string")
-    rows, rejects = outline.outline_import(lists, max_depth=5)
+    rows, rejects = outline.outline_import(lists)
     flat = sorted(((r.path, r.title, r.page, r.depth) for r in rows.collect()))
     assert [f[1] for f in flat] == [f'T"{i}' for i in range(1, 9)] and [f[3] for f in flat] == [1, 2, 3, 2, 1, 2, 2, 1]
     assert [(r.doc_id, r.page) for r in rejects.collect()] == [(2, 4)]
@@ -114,20 +114,20 @@ def test_moving_up_then_down_restores(spark):
     pick = lambda i: spark.createDataFrame([(1, i)], "doc_id int, idx int")
     up = outline.outline_move(tree, pick(3), up=True)
     assert [r.title for r in sorted(up.collect(), key=lambda r: r.idx)] == ['T"4', 'T"5', 'T"1', 'T"2', 'T"3', 'T"6']
-    again = outline.outline_tree(up.select("doc_id", (F.col("idx") + 1).alias("seq"), "level", "title", "page"), max_level=4)
+    again = outline.outline_tree(up.select("doc_id", (F.col("idx") + 1).alias("seq"), "level", "title", "page"))
     down = outline.outline_move(again, pick(0), up=False)
     assert [r.title for r in sorted(down.collect(), key=lambda r: r.idx)] == [f'T"{i}' for i in range(1, 7)]
     assert not outline.outline_move(tree, pick(0), up=True).first().moved
 
 
-def test_destination_chains_end_within_the_hop_limit(spark):
+def test_destination_chains_of_any_length(spark):
     tree = _tree(spark, [1, 1, 2])
     names = [(1, f"n{i}", "direct", "name", None, f"n{i + 1}") for i in range(1, 15)] + [(1, "n15", "direct", "page", 2, None), (1, "n0", "direct", "name", None, "n1"), (1, "n3", "tree", "page", 1, None)]
     dests = spark.createDataFrame(names, "doc_id int, name string, source string, kind string, page int, target string")
     targets = spark.createDataFrame([(1, 0, "name", None, "n1"), (1, 1, "name", None, "n0"), (1, 2, "page", 1, None)], "doc_id int, idx int, kind string, page int, name string")
     docs = spark.createDataFrame([(1, 3)], "doc_id int, page_count int")
     got = outline.outline_destinations(tree, targets, dests, docs)
-    assert [(r.idx, r.page) for r in got.collect()] == [(0, 2)]
+    assert [(r.idx, r.page) for r in got.collect()] == [(0, 2), (1, 2), (2, 1)]
 
 
 def test_pieces_are_not_overwritten(spark, tmp_path):
