@@ -83,13 +83,13 @@ VIEWS: dict[str, str] = {
     "f7_hits": """SELECT r.doc_id, r.line_no, q.rect_id, length(r.text) AS glyphs, count(*) AS removed
  FROM f7_runs r JOIN f7_rects q ON q.page_no = r.page_no AND r.y0 < q.y1 AND r.y1 > q.y0 AND r.x0 < q.x1 AND r.x1 > q.x0, range(0, length(r.text)) AS s(i)
  WHERE 72 + 5.5 * s.i < q.x1 AND 72 + 5.5 * (s.i + 1) > q.x0 GROUP BY r.doc_id, r.line_no, q.rect_id, length(r.text)""",
-    "f8_fields": """SELECT u.doc_id, f.name, f.ftype, f.options FROM (SELECT DISTINCT user_id AS doc_id FROM events) u CROSS JOIN (VALUES ('view', 'Tx', NULL), ('click', 'Btn', NULL), ('signup', 'Ch', '0,1,2'), ('purchase', 'Sig', NULL)) AS f(name, ftype, options)""",
+    "f8_fields": """SELECT u.doc_id, f.name, f.ftype, f.options, CASE WHEN f.ftype <> 'Btn' THEN 0 WHEN u.doc_id % 3 = 1 THEN 65536 WHEN u.doc_id % 3 = 2 THEN 32768 ELSE 0 END AS flags FROM (SELECT DISTINCT user_id AS doc_id FROM events) u CROSS JOIN (VALUES ('view', 'Tx', NULL), ('click', 'Btn', NULL), ('signup', 'Ch', '0,1,2'), ('purchase', 'Sig', NULL)) AS f(name, ftype, options)""",
     "f8_values": """SELECT user_id AS doc_id, event_type AS name, CASE WHEN event_id % 2 = 0 THEN 'text' ELSE 'bool' END AS kind,
  CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 5 AS VARCHAR) ELSE 'true' END AS value FROM events e
  WHERE event_id = (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id AND x.event_type = e.event_type)""",
     "f8_outcome": """SELECT v.doc_id, v.name, CASE WHEN f.name IS NULL THEN 'not_found' WHEN r.reason IS NULL THEN 'filled' ELSE 'unsupported' END AS outcome, r.reason FROM f8_values v
  LEFT JOIN f8_fields f ON f.doc_id = v.doc_id AND f.name = v.name
- LEFT JOIN LATERAL (SELECT CASE WHEN f.ftype = 'Sig' THEN 'signature' WHEN f.ftype = 'Tx' AND v.kind <> 'text' THEN 'text wanted'
+ LEFT JOIN LATERAL (SELECT CASE WHEN f.flags = 65536 THEN 'pushbutton' WHEN f.ftype = 'Btn' AND v.kind = 'text' THEN 'no choice ' || v.value || ' among: on, off' WHEN f.flags = 32768 THEN 'choice name wanted' WHEN f.ftype = 'Sig' THEN 'signature' WHEN f.ftype = 'Tx' AND v.kind <> 'text' THEN 'text wanted'
   WHEN f.ftype = 'Ch' AND v.kind <> 'text' THEN 'option wanted' WHEN f.ftype = 'Ch' AND v.value NOT IN ('0', '1', '2') THEN 'no option ' || v.value || ' among: 0, 1, 2' END AS reason) r ON true""",
     "f9_edits": """SELECT event_id, ts, user_id AS doc_id, CAST(event_id % 7 + 1 AS INT) AS page_no,
  CASE event_type WHEN 'view' THEN 90 WHEN 'click' THEN 180 WHEN 'signup' THEN -90 WHEN 'purchase' THEN 270 ELSE 0 END AS degrees FROM events""",
@@ -145,8 +145,10 @@ SQL: dict[str, str] = {
     "p2_page_range_rejects": "SELECT doc_id, error, detail FROM f12_bad",
     "p3_page_range_unique": "SELECT doc_id, pos, page_no FROM f12_uniq",
     "p4_page_range_canonical": """SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN '1-2' WHEN 6 THEN '1,2' ELSE spec END AS canonical FROM f12_specs WHERE doc_id % 10 < 8""",
-    "s1_scan_corpus": """SELECT d.doc_id, d.source, d.page_count, CAST(coalesce(sum(CAST(size_mb * 1000000 AS BIGINT)), 0) AS BIGINT) AS size_bytes, coalesce(bool_or(crop_inset IS NOT NULL), false) AS cropped
- FROM f1_docs d LEFT JOIN f1_pages p ON p.doc_id = d.doc_id GROUP BY d.doc_id, d.source, d.page_count""",
+    "s1_scan_corpus": """SELECT d.doc_id, d.source, d.page_count, CAST(coalesce(sum(CAST(size_mb * 1000000 AS BIGINT)), 0) AS BIGINT) AS size_bytes, coalesce(bool_or(crop_inset IS NOT NULL), false) AS cropped,
+ any_value(CASE o_orderstatus WHEN 'O' THEN '1.4' WHEN 'F' THEN '1.7' ELSE '2.0' END) AS version, bool_or(o_totalprice > 150000) AS encrypted, 'Order ' || d.doc_id AS title, 'Customer ' || any_value(o_custkey) AS author, any_value(o_orderpriority) AS subject,
+ any_value(o_orderstatus) AS keywords, CASE WHEN d.doc_id % 3 <> 0 THEN 'desk' END AS creator, CAST(NULL AS VARCHAR) AS producer
+ FROM f1_docs d JOIN orders o ON o.o_orderkey = d.doc_id LEFT JOIN f1_pages p ON p.doc_id = d.doc_id GROUP BY d.doc_id, d.source, d.page_count""",
     "s2_merge_inputs": """SELECT d.owner AS merge_id, CAST(row_number() OVER (PARTITION BY d.owner ORDER BY d.doc_id, p.page_no) AS BIGINT) AS page_no, d.doc_id, p.page_no AS source_page
  FROM f1_docs d JOIN f1_pages p ON p.doc_id = d.doc_id""",
     "s2_merge_facts": """SELECT owner AS merge_id, CAST(sum(page_count) AS BIGINT) AS page_count, arg_min(source, doc_id) AS source, max(source) AS version FROM f1_docs GROUP BY owner""",
@@ -175,6 +177,8 @@ SQL: dict[str, str] = {
  FROM f12_uniq GROUP BY doc_id""",
     "s11_page_image_names": """SELECT s.doc_id, s.pos, concat('doc', s.doc_id, '-', lpad(CAST(s.page_no AS VARCHAR), CAST(length(CAST(d.page_count AS VARCHAR)) AS INT), '0'), '.png') AS name FROM f12_sel s JOIN f1_docs d ON d.doc_id = s.doc_id""",
     "s5_write_partitioned": """SELECT doc_id, CAST((page_no - 1) // 2 AS INT) AS chunk, count(*) AS pages, CAST(sum(image_id) AS BIGINT) AS image_sum FROM f1_pages GROUP BY doc_id, (page_no - 1) // 2""",
+    "s5_taken_names": """WITH n AS (SELECT concat('doc', doc_id % 1000, '-', c + 1) AS name FROM (SELECT DISTINCT doc_id, (page_no - 1) // 2 AS c FROM f1_pages))
+ SELECT name FROM n GROUP BY name HAVING count(*) > 1 OR name IN (SELECT concat('doc', doc_id, '-1') FROM f1_docs WHERE doc_id % 10 = 3)""",
     "u4_lost_objects": """SELECT source AS doc_id, doc_id AS id FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id <> (SELECT max(doc_id) FROM documents e WHERE e.source = d.source)""",
     "a12_rescue_choice": """SELECT l_orderkey AS doc_id, CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'rescanned' ELSE 'loaded' END AS version, CAST(count(*) AS INT) AS page_count FROM lineitem GROUP BY l_orderkey""",
     "s7_paginate_text": "SELECT doc_id, page_no, line_no, text FROM f2_lines",
@@ -198,6 +202,7 @@ SQL: dict[str, str] = {
     "a17_size_by_page": "SELECT doc_id, page_no, CAST(strlen(text) AS BIGINT) AS bytes FROM f2_pages",
     "p5_pages_with_text": "SELECT doc_id, page_no, count(*) AS text_lines FROM f3_lines WHERE regexp_matches(text, '[^\\s\\x{A0}]') GROUP BY doc_id, page_no",
     "p7_rotate_pages": "SELECT doc_id, page_no, nullif(CASE WHEN selected THEN (rotate + 90) % 360 ELSE rotate END, 0) AS rotate FROM f12_pages",
+    "p7_rotate_rejects": """SELECT doc_id, error, detail FROM f12_bad UNION ALL SELECT doc_id, 'EmptySelection', NULL FROM f12_specs WHERE page_count = 0 AND doc_id NOT IN (SELECT doc_id FROM f12_bad)""",
     "p8_crop_pages": """SELECT doc_id, page_no, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1 FROM f12_crop WHERE selected AND doc_id NOT IN (SELECT doc_id FROM f12_crop WHERE selected AND (x1 <= x0 OR y1 <= y0))""",
     "p8_crop_rejects": """SELECT doc_id, 'InvalidCropBox' AS error, 'page ' || min(page_no) AS detail FROM f12_crop WHERE selected AND (x1 <= x0 OR y1 <= y0) GROUP BY doc_id""",
     "p9_crop_margins": """SELECT doc_id, page_no, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(y1, 4) AS y1 FROM f12_inset WHERE selected AND doc_id NOT IN (SELECT doc_id FROM f12_inset WHERE selected AND (x1 <= x0 OR y1 <= y0))""",
@@ -205,6 +210,7 @@ SQL: dict[str, str] = {
     "p10_set_mediabox": """SELECT doc_id, page_no, 0.0::DOUBLE AS media_x0, 0.0::DOUBLE AS media_y0, 30.0::DOUBLE AS media_x1, 400.0::DOUBLE AS media_y1,
  CASE WHEN k THEN crop_inset END AS crop_x0, CASE WHEN k THEN crop_inset END AS crop_y0, CASE WHEN k THEN least(page_w - crop_inset, 30) END AS crop_x1, CASE WHEN k THEN least(page_h - crop_inset, 400) END AS crop_y1
  FROM (SELECT *, crop_inset < 30 AS k FROM f12_pages WHERE selected)""",
+    "p10_set_mediabox_rejects": "SELECT doc_id, 'InvalidMediaBox' AS error FROM f12_specs WHERE page_count >= 3 AND doc_id NOT IN (SELECT doc_id FROM f12_bad)",
     "p10_reset_crop": "SELECT doc_id, page_no, CASE WHEN NOT selected THEN crop_inset END AS crop_inset FROM f12_pages",
     "p11_scale_pages": """SELECT doc_id, page_no, tw AS media_w, th AS media_h, round(s, 4) AS scale_x, round(s, 4) AS scale_y, round((tw - page_w * s) / 2, 4) + 0.0 AS offset_x, round((th - page_h * s) / 2, 4) + 0.0 AS offset_y FROM (
  SELECT *, least(tw / page_w, th / page_h) AS s FROM (SELECT *, CAST(CASE WHEN rotate IN (90, 270) THEN 792 ELSE 612 END AS DOUBLE) AS tw, CAST(CASE WHEN rotate IN (90, 270) THEN 612 ELSE 792 END AS DOUBLE) AS th FROM f12_pages WHERE selected))""",
@@ -212,6 +218,9 @@ SQL: dict[str, str] = {
  SELECT doc_id, CAST(2 * page_no - 1 AS INT) AS page_no, round(x0, 4) AS x0, round(y0, 4) AS y0, round(m0, 4) AS x1, round(y1, 4) AS y1 FROM g
  UNION ALL SELECT doc_id, CAST(2 * page_no AS INT), round(m1, 4), round(y0, 4), round(x1, 4), round(y1, 4) FROM g""",
     "p12_halve_rejects": """SELECT doc_id, 'InvalidCropBox' AS error, 'page ' || min(page_no) AS detail FROM f1_halves WHERE m0 <= x0 OR x1 <= m1 OR y1 <= y0 GROUP BY doc_id""",
+    "p12_halve_across_swapped": """WITH h AS (SELECT *, page_h / 2 + 5 AS up, page_h / 2 - 5 AS low FROM f1_halves JOIN (SELECT doc_id, page_no, page_h FROM f1_pages) USING (doc_id, page_no)), g AS (SELECT * FROM h WHERE doc_id NOT IN (SELECT doc_id FROM h WHERE low <= y0 OR y1 <= up OR x1 <= x0))
+ SELECT doc_id, CAST(2 * page_no - 1 AS INT) AS page_no, round(x0, 4) AS x0, round(y0, 4) AS y0, round(x1, 4) AS x1, round(low, 4) AS y1 FROM g
+ UNION ALL SELECT doc_id, CAST(2 * page_no AS INT), round(x0, 4), round(up, 4), round(x1, 4), round(y1, 4) FROM g""",
     "p13_fit_images": """WITH i AS (SELECT image_id, greatest(px_w, 1)::DOUBLE AS a, greatest(px_h, 1)::DOUBLE AS b FROM f6_images), s AS (SELECT *, least(523.276::DOUBLE / a, 769.89::DOUBLE / b) AS k FROM i)
  SELECT image_id, 595.276::DOUBLE AS page_w, 841.89::DOUBLE AS page_h, round((595.276::DOUBLE - a * k) / 2, 4) AS x, round((841.89::DOUBLE - b * k) / 2, 4) AS y, round(a * k, 4) AS w, round(b * k, 4) AS h, 'a4' AS mode FROM s
  UNION ALL SELECT image_id, round(a / 150 * 72, 4), round(b / 150 * 72, 4), 0.0, 0.0, round(a / 150 * 72, 4), round(b / 150 * 72, 4), 'image' FROM i""",
@@ -225,6 +234,10 @@ SQL: dict[str, str] = {
     "w9_nup_layout": """WITH c AS (SELECT *, (page_no - 1) % 6 AS cell, (595.276::DOUBLE - 40 - 16) / 3 AS cw, (841.89::DOUBLE - 40 - 8) / 2 AS ch FROM f1_pages), s AS (SELECT *, cell // 3 AS r, cell % 3 AS k, least(cw / page_w, ch / page_h) AS z FROM c)
  SELECT doc_id, page_no, CAST((page_no - 1) // 6 + 1 AS INT) AS sheet, CAST(r AS INT) AS row_no, CAST(k AS INT) AS col_no, round(20 + k * (cw + 8) + (cw - page_w * z) / 2, 4) AS x, round(841.89::DOUBLE - 20 - (r + 1) * ch - r * 8 + (ch - page_h * z) / 2, 4) AS y, round(z, 4) AS scale_x, round(z, 4) AS scale_y FROM s""",
     # the printed order of one signature, spelled out
+    "w9_nup_by_column": """SELECT doc_id, page_no, CAST((page_no - 1) // 6 + 1 AS INT) AS sheet, CAST((page_no - 1) % 6 % 2 AS INT) AS row_no, CAST((page_no - 1) % 6 // 2 AS INT) AS col_no, round(((page_no - 1) % 6 // 2) * (595.276::DOUBLE / 3), 4) AS x,
+ round(841.89::DOUBLE - ((page_no - 1) % 6 % 2 + 1) * (841.89::DOUBLE / 2), 4) AS y, round(595.276::DOUBLE / 3 / page_w, 4) AS scale_x, round(841.89::DOUBLE / 2 / page_h, 4) AS scale_y FROM f1_pages""",
+    "w10_booklet_long_edge": """WITH o AS (SELECT unnest([8, 1, 2, 7, 6, 3, 4, 5]) AS place, unnest(generate_series(0, 7)) AS k), s AS (SELECT doc_id, page_count, unnest(generate_series(0, (page_count + 7) // 8 - 1)) AS sig FROM f1_docs WHERE page_count > 0)
+ SELECT doc_id, CAST(sig * 8 + k + 1 AS INT) AS slot, CAST((sig * 8 + k) // 2 + 1 AS INT) AS side, CAST((sig * 8 + k) % 2 AS INT) AS row_no, 0 AS col_no, CAST(CASE WHEN sig * 8 + place <= page_count THEN sig * 8 + place END AS INT) AS page_no FROM s, o""",
     "w10_booklet_order": """WITH o AS (SELECT unnest([8, 1, 2, 7, 6, 3, 4, 5]) AS place, unnest(generate_series(0, 7)) AS k), s AS (SELECT doc_id, page_count, unnest(generate_series(0, (page_count + 7) // 8 - 1)) AS sig FROM f1_docs WHERE page_count > 0)
  SELECT doc_id, CAST(sig * 8 + k + 1 AS INT) AS slot, CAST((sig * 8 + k) // 2 + 1 AS INT) AS side, 0 AS row_no, CAST((sig * 8 + k) % 2 AS INT) AS col_no, CAST(CASE WHEN sig * 8 + place <= page_count THEN sig * 8 + place END AS INT) AS page_no FROM s, o""",
     "w11_outline_tree": "SELECT doc_id, idx, CAST(parent AS INT) AS parent, depth, sibling, CAST(descendants AS INT) AS descendants FROM f4_tree",

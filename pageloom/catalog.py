@@ -50,7 +50,7 @@ def p4_page_range_canonical(spark, d):
 
 @query
 def s1_scan_corpus(spark, d):
-    return io.corpus_info(v.docs(spark, d), v.pages(spark, d))
+    return io.corpus_info(v.docs(spark, d), v.pages(spark, d), v.facts(spark, d))
 
 
 def _inputs(spark, d):
@@ -160,6 +160,15 @@ def s5_write_partitioned(spark, d):
     return back.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("pages"), F.sum("image_id").alias("image_sum"))
 
 
+@query
+def s5_taken_names(spark, d):
+    """Names that stop a write: pieces named by document and digits only, in a folder that holds every tenth extract."""
+    stem = F.concat(F.lit("doc"), (F.col("doc_id") % 1000).cast("string"))
+    names = assemble.manifest(assemble.split_every(v.docs(spark, d), 2), "{stem}-{index}", stem).select("name")
+    existing = v.docs(spark, d).filter(F.col("doc_id") % 10 == 3).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit("-1")).alias("name"))
+    return io.taken_names(names, existing)
+
+
 @query
 def u4_lost_objects(spark, d):
     scanned = v.table(spark, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("id"))
@@ -239,6 +248,11 @@ def _crop():
     return g.box(598, 100, 640, 900)
 
 
+@query
+def p7_rotate_rejects(spark, d):
+    return selection.rejects(v.specs(spark, d))
+
+
 @query
 def p8_crop_pages(spark, d):
     return geometry.crop(v.pages(spark, d), v.specs(spark, d), _crop())[0]
@@ -267,6 +281,12 @@ def p10_set_mediabox(spark, d):
     return geometry.set_mediabox(v.pages(spark, d), v.specs(spark, d), g.box(0, 0, 30, 400))
 
 
+@query
+def p10_set_mediabox_rejects(spark, d):
+    # a margin of ten points a page leaves nothing of a narrow box where pages are many
+    return geometry.mediabox_rejects(v.specs(spark, d), g.box(0, 0, 30, 400)._replace(x0=F.col("page_count") * 10.0))
+
+
 @query
 def p10_reset_crop(spark, d):
     return geometry.reset_crop(v.pages(spark, d), v.specs(spark, d))
@@ -287,6 +307,11 @@ def p12_halve_rejects(spark, d):
     return geometry.halve(v.pages(spark, d), "vertical", 250.0)[1]
 
 
+@query
+def p12_halve_across_swapped(spark, d):
+    return geometry.halve(v.pages(spark, d), "horizontal", 5.0, swap=True)[0]
+
+
 @query
 def p13_fit_images(spark, d):
     images_ = v.images(spark, d)
@@ -297,7 +322,8 @@ def p13_fit_images(spark, d):
 @query
 def j7_overlay_pairs(spark, d):
     docs = v.docs(spark, d)
-    pairs = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("overlay_id"), F.col("page_count").alias("overlay_count"))
+    over = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("overlay_id"), F.col("page_count").alias("overlay_count"))
+    pairs = docs.select("doc_id", "page_count").join(over, "doc_id")
     return geometry.overlay_pairs(v.pages(spark, d), pairs)
 
 
@@ -321,6 +347,16 @@ def w9_nup_layout(spark, d):
     return geometry.nup(v.pages(spark, d), 2, 3, "a4", "contain", margin=20.0, gap=8.0)
 
 
+@query
+def w9_nup_by_column(spark, d):
+    return geometry.nup(v.pages(spark, d), 2, 3, "a4", "stretch", column_major=True)
+
+
+@query
+def w10_booklet_long_edge(spark, d):
+    return geometry.booklet(v.pages(spark, d), v.docs(spark, d), 8, long_edge=True)
+
+
 @query
 def w10_booklet_order(spark, d):
     return geometry.booklet(v.pages(spark, d), v.docs(spark, d), 8)

@@ -9,6 +9,7 @@ from pageloom.functions.binding import bind
 from pageloom.functions.labels import fill_tokens
 from pageloom.operators.rejects import first_error, keep_good
 from pageloom.operators.selection import selected
+from pageloom.plans.scan import WIDTH, with_document
 
 
 def media(df_prefix: str = "page_") -> g.Box:
@@ -78,6 +79,11 @@ def set_mediabox(pages: DataFrame, specs: DataFrame, rect: g.Box) -> DataFrame:
     return selected(pages, specs).filter("selected").select("doc_id", "page_no", *rect.columns("media_"), *crop_cols)
 
 
+def mediabox_rejects(specs: DataFrame, rect: g.Box) -> DataFrame:
+    """Documents that ask for a media box without area; nothing of them is changed."""
+    return specs.filter(F.col("error").isNull() & ~rect.has_area).select("doc_id", F.lit("InvalidMediaBox").alias("error"))
+
+
 def reset_crop(pages: DataFrame, specs: DataFrame) -> DataFrame:
     return selected(pages, specs).select(
         "doc_id", "page_no", F.when(~F.col("selected"), F.col("crop_inset")).alias("crop_inset")
@@ -153,15 +159,25 @@ def fit_images(images: DataFrame, paper: str | None, fit: str, margin: float, dp
     )
 
 
-def overlay_pairs(pages: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Base page i with overlay page min(i, last). ``pairs``: doc_id, overlay_id, overlay_count."""
-    over = pages.select(
-        F.col("doc_id").alias("overlay_id"), F.col("page_no").alias("overlay_page"), F.col("page_w").alias("ow"), F.col("page_h").alias("oh")
-    )
-    base = pages.join(pairs.filter(F.col("overlay_count") > 0), "doc_id").withColumn(
+def overlay_pairs(pages: DataFrame, pairs: DataFrame, *, width: int | None = None) -> DataFrame:
+    """Base page i with overlay page min(i, last). ``pairs``: doc_id, page_count, overlay_id, overlay_count.
+
+    All pages past a short overlay meet its last page. They are told apart by buckets of
+    base pages, and the last page is repeated for as many as the longest base has.
+    """
+    width = width or WIDTH
+    usable = pairs.filter(F.col("overlay_count") > 0)
+    late = F.when(F.col("page_no") > F.col("overlay_count"), F.floor((F.col("page_no") - 1) / F.lit(width))).otherwise(0).cast("long")
+    base = with_document(pages, usable, width=width).withColumn("__late", late).withColumn(
         "overlay_page", F.least(F.col("page_no"), F.col("overlay_count"))
     )
-    return base.join(over, ["overlay_id", "overlay_page"]).select(
+    last = usable.groupBy("overlay_id", F.col("overlay_count").alias("overlay_page")).agg(F.max("page_count").alias("__longest"))
+    over = pages.select(
+        F.col("doc_id").alias("overlay_id"), F.col("page_no").alias("overlay_page"), F.col("page_w").alias("ow"), F.col("page_h").alias("oh")
+    ).join(last, ["overlay_id", "overlay_page"], "left")
+    top = F.floor((F.greatest(F.coalesce("__longest", F.lit(1)), F.lit(1)) - 1) / F.lit(width)).cast("long")
+    over = over.withColumn("__late", F.explode(F.sequence(F.lit(0).cast("long"), top))).drop("__longest")
+    return base.join(over, ["overlay_id", "overlay_page", "__late"]).select(
         "doc_id",
         "page_no",
         "overlay_id",

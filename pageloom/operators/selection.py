@@ -22,6 +22,12 @@ def refused(specs: DataFrame) -> DataFrame:
     return specs.filter(F.col("error").isNotNull()).select("doc_id", "error", "detail")
 
 
+def rejects(specs: DataFrame) -> DataFrame:
+    """Documents an operator on selected pages refuses: a bad specification, or one that names no page."""
+    nothing = specs.filter(F.col("error").isNull() & (F.size("unique_spans") == 0))
+    return refused(specs).unionByName(nothing.select("doc_id", F.lit("EmptySelection").alias("error"), F.lit(None).cast("string").alias("detail")))
+
+
 def canonical(specs: DataFrame) -> DataFrame:
     return specs.filter(F.col("canonical").isNotNull()).select("doc_id", "canonical")
 

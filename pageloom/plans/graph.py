@@ -9,64 +9,87 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pageloom.plans.shared import materialize
 
 
-def reachable(refs: DataFrame, roots: DataFrame, keys: list[str], max_rounds: int | None = None) -> DataFrame:
-    """Every node reachable from ``roots`` with its smallest number of hops.
-
-    ``refs`` has keys + (src, dst); ``roots`` has keys + (id). Only the newest nodes
-    are expanded in a round, so each link is followed once.
+def _chains(refs: DataFrame, heads: DataFrame, seeds: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Contract what has a single way in: (nodes, links between the rest).
+
+    A node with one incoming link, unless it is a head, is fully described by the node
+    it comes from, so all such chains and trees shrink by pointer doubling to their
+    ``anchor``: a head, or a node with several ways in or none. ``nodes`` has keys +
+    (id, up, anchor, hops, low), low being the smallest label of the ``seeds`` (id,
+    label) passed, the node's own included; ``up`` is only left on loops without a way
+    in. ``links`` lead from anchors to nodes with several ways in.
     """
-    known = materialize(roots.select(*keys, "id").distinct().withColumn("level", F.lit(0)), "reach")
-    parts = [known]
-    frontier = known
-    level = 0
-    while max_rounds is None or level < max_rounds:
-        level += 1
-        step = (
-            frontier.join(refs.withColumnRenamed("src", "id"), [*keys, "id"])
-            .select(*keys, F.col("dst").alias("id"))
-            .distinct()
-        )
-        for part in parts:
-            step = step.join(part.select(*keys, "id"), [*keys, "id"], "left_anti")
-        frontier = materialize(step.withColumn("level", F.lit(level)), "reach")
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-        if len(parts) > 8:
-            parts = [materialize(_union(parts), "reach")]
-    return _union(parts)
+    once = materialize(refs.select(*keys, "src", "dst").distinct(), "links")
+    one = once.groupBy(*keys, F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("__n"), F.min("src").alias("__from"))
+    ends = once.select(*keys, F.col("src").alias("id")).unionByName(heads.select(*keys, "id")).unionByName(seeds.select(*keys, "id")).distinct()
+    every = (
+        one.join(ends, [*keys, "id"], "full_outer")
+        .join(heads.select(*keys, "id", F.lit(True).alias("__head")), [*keys, "id"], "left")
+        .join(seeds.select(*keys, "id", F.col("label").alias("low")), [*keys, "id"], "left")
+    )
+    up = F.when((F.col("__n") == 1) & F.col("__head").isNull() & (F.col("__from") != F.col("id")), F.col("__from"))
+    nodes = every.select(*keys, "id", up.alias("up"), F.col("id").alias("anchor"), F.when(up.isNotNull(), 1).otherwise(0).alias("hops"), "low")
+    walked = climb(
+        nodes,
+        keys,
+        lambda near, far: {"anchor": far("anchor"), "hops": near("hops") + far("hops"), "low": F.least(near("low"), far("low"))},
+    )
+    several = one.filter("__n > 1").select(*keys, F.col("id").alias("dst"))
+    start = walked.select(*keys, F.col("id").alias("src"), "anchor", "hops", F.col("low").alias("passed"))
+    links = once.join(several, [*keys, "dst"], "left_semi").join(start, [*keys, "src"])
+    links = links.groupBy(*keys, "anchor", "dst").agg(F.min("hops").alias("hops"), F.min("passed").alias("passed"))
+    return walked, materialize(links, "links")
+
+
+def _improve(best: DataFrame, offers: Callable[[DataFrame], DataFrame], keys: list[str], name: str) -> DataFrame:
+    """Repeat ``offers`` (keys + id + offer) of what improved last until no ``name`` gets smaller."""
+    changed = best
+    while True:
+        offered = offers(changed).groupBy(*keys, "id").agg(F.min("offer").alias("offer"))
+        better = offered.join(best, [*keys, "id"], "left").filter(F.col(name).isNull() | (F.col("offer") < F.col(name)))
+        new = materialize(better.select(*keys, "id", F.col("offer").alias(name)), name)
+        if new.isEmpty():
+            return best
+        joined = best.unionByName(new).groupBy(*keys, "id").agg(F.min(name).alias(name))
+        best, changed = materialize(joined, name), new
+
 
+def reachable(refs: DataFrame, roots: DataFrame, keys: list[str]) -> DataFrame:
+    """Every node reachable from ``roots`` with its smallest number of hops.
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    ``refs`` has keys + (src, dst); ``roots`` has keys + (id). Chains and trees are
+    contracted first, so the rounds follow the nodes with several ways in on a path,
+    not its length: a list of a million nodes takes twenty.
+    """
+    heads = roots.select(*keys, "id").distinct()
+    nodes, links = _chains(refs, heads, heads.withColumn("label", F.lit(0)), keys)
+    known = materialize(heads.withColumn("level", F.lit(0)), "level")
+    onward = lambda x: x.withColumnRenamed("id", "anchor").join(links, [*keys, "anchor"]).select(
+        *keys, F.col("dst").alias("id"), (F.col("level") + F.col("hops") + 1).alias("offer")
+    )
+    known = _improve(known, onward, keys, "level").withColumnRenamed("id", "anchor")
+    found = nodes.filter(F.col("up").isNull()).join(known, [*keys, "anchor"])
+    return found.select(*keys, "id", (F.col("level") + F.col("hops")).cast("int").alias("level"))
 
 
 def smallest_label(refs: DataFrame, seeds: DataFrame, keys: list[str]) -> DataFrame:
     """For every node reachable from a seed, the smallest label among those seeds.
 
-    ``seeds`` has keys + (id, label). A node is expanded again only when its label
-    improves.
+    ``seeds`` has keys + (id, label). Rounds as in :func:`reachable`; a seed does not end
+    a chain, its label is passed on.
     """
-    best = materialize(seeds.groupBy(*keys, "id").agg(F.min("label").alias("label")), "label")
-    changed = best
-    while True:
-        offered = (
-            changed.join(refs.withColumnRenamed("src", "id"), [*keys, "id"])
-            .groupBy(*keys, F.col("dst").alias("id"))
-            .agg(F.min("label").alias("offer"))
-        )
-        better = offered.join(best, [*keys, "id"], "left").filter(
-            F.col("label").isNull() | (F.col("offer") < F.col("label"))
-        )
-        changed = materialize(better.select(*keys, "id", F.col("offer").alias("label")), "label")
-        if changed.isEmpty():
-            return best
-        best = materialize(
-            best.unionByName(changed).groupBy(*keys, "id").agg(F.min("label").alias("label")), "label"
-        )
+    own = seeds.groupBy(*keys, "id").agg(F.min("label").alias("label"))
+    nodes, links = _chains(refs, own.limit(0), own, keys)
+    heads = nodes.filter(F.col("up").isNull() & (F.col("id") == F.col("anchor")))
+    best = materialize(heads.filter(F.col("low").isNotNull()).select(*keys, "id", F.col("low").alias("label")), "label")
+    fixed = links.filter(F.col("passed").isNotNull()).select(*keys, F.col("dst").alias("id"), F.col("passed").alias("label"))
+    best = materialize(best.unionByName(fixed).groupBy(*keys, "id").agg(F.min("label").alias("label")), "label")
+    onward = lambda x: x.withColumnRenamed("id", "anchor").join(links, [*keys, "anchor"]).select(
+        *keys, F.col("dst").alias("id"), F.col("label").alias("offer")
+    )
+    best = _improve(best, onward, keys, "label").select(*keys, F.col("id").alias("anchor"), F.col("label").alias("__above"))
+    found = nodes.join(best, [*keys, "anchor"], "left").withColumn("label", F.least("low", "__above"))
+    return found.filter(F.col("label").isNotNull()).select(*keys, "id", "label")
 
 
 def climb(

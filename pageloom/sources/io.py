@@ -16,17 +16,26 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     )
 
 
-def corpus_info(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Declared facts per document: page count, bytes, whether any page is cropped."""
+INFO = ("title", "author", "subject", "keywords", "creator", "producer")
+
+
+def corpus_info(docs: DataFrame, pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts per document: page count, bytes, cropping, version, encryption and six descriptive fields.
+
+    ``facts``: doc_id, version, encrypted and the descriptive fields, blank ones being absent.
+    """
     sizes = pages.groupBy("doc_id").agg(
         F.sum((F.col("size_mb") * 1_000_000).cast("long")).alias("size_bytes"), F.max(F.col("crop_inset").isNotNull()).alias("cropped")
     )
-    return docs.join(sizes, "doc_id", "left").select(
+    return docs.join(sizes, "doc_id", "left").join(facts, "doc_id", "left").select(
         "doc_id",
         "source",
         "page_count",
         F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"),
         F.coalesce("cropped", F.lit(False)).alias("cropped"),
+        "version",
+        F.coalesce("encrypted", F.lit(False)).alias("encrypted"),
+        *[F.nullif(F.trim(c), F.lit("")).alias(c) for c in INFO],
     )
 
 
@@ -37,12 +46,22 @@ def taken_names(manifest: DataFrame, existing: DataFrame) -> DataFrame:
     return clash.union(twice).distinct()
 
 
-def write_pieces(pieces: DataFrame, path: str, *, by: list[str], cluster: list[str], force: bool = False) -> None:
+def write_pieces(
+    pieces: DataFrame, path: str, *, by: list[str], cluster: list[str], force: bool = False, manifest: DataFrame | None = None, existing: DataFrame | None = None
+) -> None:
     """Write rows partitioned by ``by``; an existing path is refused unless forced.
 
+    With a ``manifest`` of all names, they are checked against each other and against
+    ``existing`` ones before the first row is written.
+
     Rows are laid out by hash of ``cluster``, finer than the folders, so one large piece
     is written by many tasks.
     """
+    if manifest is not None:
+        there = existing if existing is not None else manifest.select("name").limit(0)
+        taken = taken_names(manifest, there.limit(0) if force else there).limit(1).collect()
+        if taken:
+            raise FileExistsError(f"NameTaken: {taken[0]['name']}")
     (
         pieces.repartition(*[F.col(c) for c in (*by, *cluster)])
         .write.mode("overwrite" if force else "errorifexists")

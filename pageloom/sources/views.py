@@ -60,6 +60,22 @@ def docs(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, folder, "docs", _docs)
 
 
+def facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What a document says of itself, from its order."""
+    status = F.col("o_orderstatus")
+    return table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("doc_id"),
+        F.when(status == "O", "1.4").when(status == "F", "1.7").otherwise("2.0").alias("version"),
+        (F.col("o_totalprice") > 150_000).alias("encrypted"),
+        F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("author"),
+        F.col("o_orderpriority").alias("subject"),
+        status.alias("keywords"),
+        F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise("desk").alias("creator"),
+        F.lit(None).cast("string").alias("producer"),
+    )
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as pages, numbered 1.. within their order."""
     return _once(spark, folder, "pages", _pages)
@@ -284,10 +300,14 @@ def rects(spark: SparkSession) -> DataFrame:
 
 
 def fields(spark: SparkSession, folder: str) -> DataFrame:
-    """Four form fields for every user."""
+    """Four form fields for every user; the button is a check box, a push button or a radio group."""
+    flags = F.when(F.col("doc_id") % 3 == 1, 1 << 16).when(F.col("doc_id") % 3 == 2, 1 << 15).otherwise(0)
     kinds = F.array(
         *[
-            F.struct(F.lit(n).alias("name"), F.lit(t).alias("ftype"), F.lit(o).cast("string").alias("options"))
+            F.struct(
+                F.lit(n).alias("name"), F.lit(t).alias("ftype"), F.lit(o).cast("string").alias("options"),
+                (flags if t == "Btn" else F.lit(0)).alias("flags"), F.lit("on,off" if t == "Btn" else None).cast("string").alias("states"),
+            )
             for n, t, o in (("view", "Tx", None), ("click", "Btn", None), ("signup", "Ch", "0,1,2"), ("purchase", "Sig", None))
         ]
     )

@@ -119,3 +119,69 @@ def test_streams_take_in_late_and_new_events_once(spark, tmp_path):
 def test_climb_keeps_the_old_limit_where_asked(spark):
     nodes = spark.createDataFrame([(i, i - 1 if i else None, i) for i in range(9)], "id int, up int, v int")
     assert climb(nodes, [], lambda near, far: {"v": far("v")}, max_depth=2).filter("up is not null").count() > 0
+
+
+def _reach(links, roots):
+    level = {r: 0 for r in roots}
+    queue = list(roots)
+    for node in queue:
+        for a, b in links:
+            if a == node and b not in level:
+                level[b] = level[node] + 1
+                queue.append(b)
+    return level
+
+
+def test_reachability_and_labels_by_brute_force(spark, monkeypatch):
+    import random
+
+    from pageloom.plans import graph
+
+    rng = random.Random(3)
+    links = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [(100, 101), (101, 102), (102, 100), (200, 200), (7, 300), (300, 301), (301, 300)]
+    df = spark.createDataFrame(links, "src long, dst long")
+    roots = [3, 7, 200, 101, 999]
+    got = {r.id: r.level for r in graph.reachable(df, spark.createDataFrame([(r,) for r in roots], "id long"), []).collect()}
+    assert got == _reach(links, roots)
+    seeds = {3: 5, 7: 2, 101: 9, 102: 4, 12: 1, 200: 8}
+    want = {}
+    for seed, label in sorted(seeds.items(), key=lambda x: x[1]):
+        for node in _reach(links, [seed]):
+            want.setdefault(node, label)
+    found = graph.smallest_label(df, spark.createDataFrame(list(seeds.items()), "id long, label long"), [])
+    assert {r.id: r.label for r in found.collect()} == want
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from pageloom.plans import graph
+
+    tables = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: tables.append(label) or write(df, label))
+    chain = spark.range(9999).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = graph.reachable(chain, spark.createDataFrame([(0,)], "id long"), [])
+    assert got.agg(F.count("*"), F.max("level")).first()[:] == (10_000, 9_999) and len(tables) <= 20
+
+
+def test_names_are_checked_before_writing(spark, tmp_path):
+    from pageloom.sources import io
+
+    pieces = spark.createDataFrame([(1, 1)], "doc_id int, chunk int")
+    names = spark.createDataFrame([("a",), ("b",)], "name string")
+    path = str(tmp_path / "out")
+    with pytest.raises(FileExistsError):
+        io.write_pieces(pieces, path, by=["chunk"], cluster=["doc_id"], manifest=names.union(names), force=True)
+    with pytest.raises(FileExistsError):
+        io.write_pieces(pieces, path, by=["chunk"], cluster=["doc_id"], manifest=names, existing=names)
+    assert not (tmp_path / "out").exists()
+    io.write_pieces(pieces, path, by=["chunk"], cluster=["doc_id"], manifest=names)
+
+
+def test_overlays_on_a_long_base(spark):
+    from pageloom.operators import geometry
+
+    rows = [(1, p, 10.0, 20.0) for p in range(1, 30)] + [(2, p, 5.0, 20.0) for p in (1, 2)]
+    pages = spark.createDataFrame(rows, "doc_id int, page_no int, page_w double, page_h double")
+    pairs = spark.createDataFrame([(1, 29, 2, 2), (2, 2, 1, 29)], "doc_id int, page_count int, overlay_id int, overlay_count int")
+    got = {(r.doc_id, r.page_no): r.overlay_page for r in geometry.overlay_pairs(pages, pairs, width=4).collect()}
+    assert got == {(1, p): min(p, 2) for p in range(1, 30)} | {(2, 1): 1, (2, 2): 2}
