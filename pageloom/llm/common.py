@@ -16,7 +16,7 @@ from pageloom.plans.shared import materialize
 
 SHINGLE = 5
 #: Word hashes kept per Python worker; the cache is emptied beyond this many.
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000
 #: Odd multipliers, one for each place in a shingle.
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 

@@ -154,6 +154,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         items.select("item_id", "size", F.col("code").alias("item_code"), F.explode(_blocks("code")).alias("x"))
         .select("item_id", "size", "item_code", "x.block", F.explode(F.transform(flips, lambda y: y.bitwiseXOR(F.col("x.value")))).alias("value"))
     )
+    probes = materialize(probes, "probes")  # its size is then known, so that it is broadcast only if small
     # windows of one wording are one row until they are verified
     alike = materialize(seen.groupBy("size", "code", F.xxhash64("shingles").alias("wording")).agg(F.any_value("shingles").alias("shingles")), "alike")
     blocks = alike.select("size", "code", "wording", F.explode(_blocks("code")).alias("x")).select("size", "code", "wording", "x.*")
