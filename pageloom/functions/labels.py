@@ -84,8 +84,8 @@ def pdf_date(raw: Column) -> Column:
     valid = (F.length(digits) >= 4) & (field(8, 0) < 24) & (field(10, 0) < 60) & (field(12, 0) < 60)
     sign = F.substring(zone, 1, 1)
     hour = F.coalesce(F.regexp_extract(zone, "^[+-]([0-9]{2})", 1).try_cast("int"), F.lit(0))
-    minute = F.coalesce(F.regexp_extract(zone, "^[+-]..[^0-9]?([0-9]{2})", 1).try_cast("int"), F.lit(0))
-    total = hour * 60 + minute
+    minute = F.coalesce(F.regexp_extract(zone, "^[+-].{3}([0-9]{2})", 1).try_cast("int"), F.lit(0))
+    total = hour * 60 + minute  # minutes stand after a mark; without one they are not read
     offset = F.when(
         sign.isin("+", "-"),
         F.concat(
@@ -95,7 +95,7 @@ def pdf_date(raw: Column) -> Column:
             F.lpad((total % 60).cast("string"), 2, "0"),
         ),
     ).otherwise(F.lit("+00:00"))
-    return F.when(valid, F.concat(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), offset))
+    return F.when(valid & (total < 24 * 60), F.concat(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), F.lit(" "), offset))
 
 
 def color(spec: Column) -> Column:

@@ -73,6 +73,7 @@ def test_small_expressions(spark):
     assert [one(spark, str(v), lambda c: lab.alpha(c.cast("int"))) for v in (1, 26, 27, 28, 0)] == ["a", "z", "aa", "bb", ""]
     assert [one(spark, str(v), lambda c: lab.roman(c.cast("int"))) for v in (1994, 4, 9, 40, 3888, 0)] == ["mcmxciv", "iv", "ix", "xl", "mmmdccclxxxviii", ""]
     assert one(spark, "D:20240229123456-05'30", lab.pdf_date) == "2024-02-29 12:34:56 -05:30"
+    assert one(spark, "D:20240229123456+0530", lab.pdf_date) == "2024-02-29 12:34:56 +05:00" and one(spark, "D:20240229123456+24'00", lab.pdf_date) is None
     assert one(spark, "D:2024", lab.pdf_date) == "2024-01-01 00:00:00 +00:00" and one(spark, "D:20231332", lab.pdf_date) is None
     for value in ("plain", "Žluťoučký", "é"):
         assert one(spark, value, lambda c: t.decode_text(t.encode_text(c))) == value
