@@ -298,6 +298,8 @@ SQL: dict[str, str] = {
  f AS (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS k2 FROM e WHERE kind <> 'tail')
  SELECT e.doc_id, e.line_no, CASE WHEN e.pk IS NULL THEN '' WHEN e.kind = 'tail' OR (e.kind = 'paragraph' AND e.pk = 'paragraph' AND e.pb = e.block_no AND e.pp = e.page_no) THEN ' ' WHEN e.kind = 'item' AND f.k2 = 'item' THEN chr(10) ELSE chr(10) || chr(10) END
   || CASE e.kind WHEN 'heading' THEN repeat('#', CAST(e.level AS INT)) || ' ' WHEN 'item' THEN '- ' ELSE '' END || e.shown AS fragment FROM e LEFT JOIN f ON f.doc_id = e.doc_id AND f.line_no = e.line_no""",
+    "w15_plain_paragraphs": """SELECT doc_id, line_no, CASE WHEN pb IS NULL THEN '' WHEN pb = block_no AND pp = page_no THEN ' ' ELSE chr(10) || chr(10) END || regexp_replace(trim(text), '[\\s\\x{A0}]+', ' ', 'g') AS fragment
+ FROM (SELECT *, lag(block_no) OVER d AS pb, lag(page_no) OVER d AS pp FROM f3_seen WINDOW d AS (PARTITION BY doc_id ORDER BY line_no))""",
     "j4_redact_area": """SELECT p.doc_id, q.rect_id, count(*) AS pages_redacted, count(*) AS boxes_drawn, CAST(coalesce(max(h.gone), 0) AS BIGINT) AS runs_removed, CAST(coalesce(max(h.cut), 0) AS BIGINT) AS runs_trimmed, CAST(coalesce(max(h.glyphs), 0) AS BIGINT) AS glyphs_removed
  FROM f2_pages p JOIN f7_rects q ON q.page_no = p.page_no LEFT JOIN (SELECT doc_id, rect_id, count(*) FILTER (removed = glyphs) AS gone, count(*) FILTER (removed < glyphs) AS cut, sum(removed) AS glyphs FROM f7_hits GROUP BY ALL) h ON h.doc_id = p.doc_id AND h.rect_id = q.rect_id GROUP BY p.doc_id, q.rect_id""",
     "j4_redact_kept": "SELECT doc_id, line_no, text FROM f7_runs r WHERE NOT EXISTS (SELECT 1 FROM f7_hits h WHERE h.doc_id = r.doc_id AND h.line_no = r.line_no)",

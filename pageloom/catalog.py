@@ -644,6 +644,12 @@ def w15_to_markdown(spark, d):
     return structure.to_markdown(_visible_lines(spark, d))
 
 
+@query
+def w15_plain_paragraphs(spark, d):
+    """Markdown with neither headings nor lists."""
+    return structure.to_markdown(_visible_lines(spark, d), headings=False, lists=False)
+
+
 # ---------------------------------------------------------------- redaction and comparison
 
 

@@ -114,13 +114,14 @@ def _with_anchor(stretches: DataFrame, keys: list[str]) -> DataFrame:
     return counted.join(entries, [*keys, "__k"], "left")
 
 
-def classify(lines: DataFrame, *, fold_lines: int = FOLD_LINES) -> DataFrame:
+def classify(lines: DataFrame, *, fold_lines: int = FOLD_LINES, headings: bool = True, lists: bool = True) -> DataFrame:
     """Kind of every line: heading, item, tail or paragraph.
 
     ``lines`` has doc_id, page_no, block_no, line_no, text, size, x0. Whether a line is
     the tail of a list item depends on the item still open above it. A block is cut
     into stretches of ``fold_lines`` lines; each stretch is summed up as one effect, the
     effects are chained over the block, and every stretch is then read from its anchor.
+    Without ``headings`` or ``lists`` such lines are taken for what else they can be.
     """
     body = body_sizes(lines)
     levels = heading_levels(lines, body)
@@ -130,10 +131,11 @@ def classify(lines: DataFrame, *, fold_lines: int = FOLD_LINES) -> DataFrame:
         lines.withColumn("bucket", size_bucket(F.col("size")))
         .join(levels, ["doc_id", "bucket"], "left")
         .join(edges, ["doc_id", "page_no"])
+        .withColumn("level", F.when(F.lit(headings), F.col("level")))
         .withColumn("__heading", F.col("level").isNotNull())
-        .withColumn("__bullet", bullet.isNotNull())
-        .withColumn("__indented", F.col("x0") >= F.col("page_left") + F.col("size"))
-        .withColumn("__text", F.when(F.col("level").isNull() & bullet.isNotNull(), bullet).otherwise(collapse(F.col("text"))))
+        .withColumn("__bullet", F.lit(lists) & bullet.isNotNull())
+        .withColumn("__indented", F.lit(lists) & (F.col("x0") >= F.col("page_left") + F.col("size")))
+        .withColumn("__text", F.when(F.col("level").isNull() & F.col("__bullet"), bullet).otherwise(collapse(F.col("text"))))
     )
     keys = ["doc_id", "page_no", "block_no"]
     stretches = (
@@ -179,14 +181,16 @@ def classify(lines: DataFrame, *, fold_lines: int = FOLD_LINES) -> DataFrame:
     return entered.select(*keys, F.inline(F.aggregate("rows", start, read, lambda acc: acc["out"])))
 
 
-def to_markdown(lines: DataFrame, *, fold_lines: int = FOLD_LINES, width: int | None = None) -> DataFrame:
+def to_markdown(
+    lines: DataFrame, *, fold_lines: int = FOLD_LINES, width: int | None = None, headings: bool = True, lists: bool = True
+) -> DataFrame:
     """Markdown fragments per line, with the separator that precedes each.
 
     doc_id, line_no, fragment; concatenated in ``line_no`` order and closed by a newline
     they give the document. Lines continue their element with a space; items follow each
     other on the next line; anything else is set off by a blank line.
     """
-    kinds = classify(lines, fold_lines=fold_lines)
+    kinds = classify(lines, fold_lines=fold_lines, headings=headings, lists=lists)
     state = F.struct(F.col("kind").alias("kind"), F.col("block_no").alias("block"), F.col("page_no").alias("page"))
     above = running(
         kinds,
