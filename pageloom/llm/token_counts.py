@@ -13,7 +13,7 @@ from pageloom.llm.vocabulary import SPECIAL, VOCABULARY, pre_token_pattern, toke
 from pageloom.plans.shared import materialize
 
 #: The frequent pre-tokens whose counts are broadcast: at most so many, of at most so many characters,
-#: chosen from the first SAMPLE rows. The choice moves work between broadcast and join, never a result.
+#: chosen from about SAMPLE rows. The choice moves work between broadcast and join, never a result.
 FREQUENT = 200_000
 FREQUENT_CHARS = 48
 SAMPLE = 8_000
@@ -43,7 +43,8 @@ def frequent(docs: DataFrame, name: str = VOCABULARY) -> dict[str, int]:
             kept = {k: v for k, v in total.items() if len(k) <= FREQUENT_CHARS}
             yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["piece", "n"])
 
-    found = in_arrow(docs.select("text").limit(SAMPLE), run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    found = in_arrow(docs.select("text").sample(share, seed=1), run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     top = [row.piece for row in found.orderBy(F.desc("n"), "piece").limit(FREQUENT).select("piece").collect()]
     return dict(zip(top, _pieces(top, name), strict=True))
 
