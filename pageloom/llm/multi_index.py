@@ -24,7 +24,7 @@ LEAST = 2_000
 #: Vectors stored and scored together; a larger cell is split into several such buckets.
 BUCKET_ROWS = 1_024
 #: Queries scored against a bucket together.
-QUERY_ROWS = 2_048
+QUERY_ROWS = 4_096
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -147,13 +147,13 @@ def build(vectors: DataFrame) -> tuple[Index, DataFrame]:
 
 
 def _visits(index: Index, queries: DataFrame, wanted: int) -> DataFrame:
-    """(bucket, query_id, vector, cells): what each query scores in each bucket it visits."""
+    """(bucket, query_id, vector, cells, later): what each query scores in each bucket it visits, later than the first or not."""
     shared = queries.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in arrow_batches(batches, 64):
-            rows, buckets, cells = [], [], []
+            rows, buckets, cells, later = [], [], [], []
             for k, q in enumerate(_matrix(batch.column(1)) if batch.num_rows else []):
                 by_bucket: dict[int, list[int]] = {}
                 for cell in table.visit(q, wanted):
@@ -163,12 +163,13 @@ def _visits(index: Index, queries: DataFrame, wanted: int) -> DataFrame:
                 rows += [k] * len(by_bucket)
                 buckets += by_bucket.keys()
                 cells += by_bucket.values()
+                later += [i > 0 for i in range(len(by_bucket))]
             take = pa.array(rows, pa.int64())
-            columns = [pa.array(buckets, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(cells, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "query_id", "vector", "cells"])
+            columns = [pa.array(buckets, pa.int64()), batch.column(0).take(take), batch.column(1).take(take), pa.array(cells, pa.list_(pa.int32())), pa.array(later, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "query_id", "vector", "cells", "later"])
 
     kind = queries.schema["vector"].dataType.simpleString()
-    return in_arrow(queries.select("id", "vector"), run, f"bucket long, query_id long, vector {kind}, cells array<int>")
+    return in_arrow(queries.select("id", "vector"), run, f"bucket long, query_id long, vector {kind}, cells array<int>, later boolean")
 
 
 def _best(k: int):
@@ -184,7 +185,7 @@ def _best(k: int):
                 open_ = np.array([np.isin(cell, c) for c in part["cells"]]) & (ids[None, :] != own[:, None])
                 near = np.where(open_, q @ x.T, -np.inf)
                 # a margin for rounding; the sums that count follow in one fixed order
-                floor = np.partition(near, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+                floor = np.maximum(np.partition(near, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))], part["floor"].to_numpy())
                 r, c = np.nonzero(open_ & (near >= (floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))))[:, None]))
                 score = (q[r] * x[c]).sum(axis=1)
                 order = np.lexsort((ids[c], -score, r))
@@ -217,11 +218,18 @@ def search(vectors: DataFrame, asked: Column, *, k: int = 20, share: float = SHA
     visits = materialize(_visits(index, queries, max(LEAST, int(np.ceil(share * n)))), "visits")
     copies = materialize(visits.groupBy("bucket").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("copies")), "copies")
     left = stored.join(copies, "bucket").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    right = visits.join(copies, "bucket").withColumn("copy", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int"))
-    pairs = (
-        left.select("bucket", "copy", "id", "vector", "cell").groupBy("bucket", "copy")
-        .cogroup(right.select("bucket", "copy", "query_id", "vector", "cells").groupBy("bucket", "copy"))
-        .applyInPandas(_best(k), "query_id long, vec_id long, score double")
-    )
+    copy = F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int")
+
+    def best(some: DataFrame) -> DataFrame:
+        right = some.join(copies, "bucket").select("bucket", copy.alias("copy"), "query_id", "vector", "cells", "floor")
+        entries = left.select("bucket", "copy", "id", "vector", "cell").groupBy("bucket", "copy")
+        return entries.cogroup(right.groupBy("bucket", "copy")).applyInPandas(_best(k), "query_id long, vec_id long, score double")
+
+    # the first bucket of a query holds its nearest cells; what it finds there bounds what later ones return
+    nothing = F.lit(float("-inf"))
+    near = materialize(best(visits.where("not later").withColumn("floor", nothing)), "near")
+    floors = near.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    far = best(visits.where("later").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", nothing)))
+    pairs = near.unionByName(far)
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
