@@ -29,7 +29,8 @@ def _frequencies(text: str | None) -> tuple[Counter, int]:
 
 
 def _pieces(tokens: list[str], name: str) -> list[int]:
-    return [len(x.ids) for x in tokenizer(name).encode_batch(tokens, add_special_tokens=False)]
+    parts = (tokens[at : at + 4000] for at in range(0, len(tokens), 4000))  # an encoding is far larger than its text
+    return [len(x.ids) for part in parts for x in tokenizer(name).encode_batch(part, add_special_tokens=False)]
 
 
 def frequent(docs: DataFrame, name: str = VOCABULARY) -> dict[str, int]:
