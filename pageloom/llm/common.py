@@ -71,11 +71,17 @@ def ids_crc_mod3(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 3
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from the folder the driver has it in.
 
-    A cluster without that folder gets the package through ``--py-files`` instead.
+    A cluster without that folder gets the package through ``--py-files`` instead. A
+    session with the default size of Arrow batches gets smaller ones, as texts are long.
     """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "2000")
     env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     known = env.get("PYTHONPATH", "")
     if here not in known.split(os.pathsep):
