@@ -44,10 +44,10 @@ def _sized(shingles: np.ndarray, size: int) -> np.ndarray:
     return mix(shingles + np.uint64(size * 0x9E3779B97F4A7C15 % (1 << 64))) % np.uint64(PLACES)
 
 
-def _least(size: int) -> int:
-    """Shingles that a window of ``size`` words shares with an item of that size if they are similar enough."""
-    n = max(1, size - SHINGLE + 1)
-    return int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-9))
+def _least(size: int, words_: int) -> int:
+    """Shingles that a window of ``words_`` words shares with an item of ``size`` words if they are similar enough."""
+    n = max(1, size - SHINGLE + 1) + max(1, words_ - SHINGLE + 1)
+    return int(np.ceil(SIMILARITY / (1 + SIMILARITY) * n - 1e-9))
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,8 @@ def windows(docs: DataFrame, known: np.ndarray, sizes: list[int]) -> DataFrame:
     """Item-sized windows of all texts that hold as many item shingles as the similarity needs, with fingerprints.
 
     A window with fewer cannot be similar enough to any item of its size, so its
-    fingerprint isn't made; the map may let others through, never hold one back.
+    fingerprint isn't made; the map may let others through, never hold one back. A text
+    shorter than an item is one window, the whole text, for items of that size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
@@ -95,17 +96,18 @@ def windows(docs: DataFrame, known: np.ndarray, sizes: list[int]) -> DataFrame:
                 long = _runs(h, SHINGLE)
                 near = in_bitmap(held, long % np.uint64(PLACES)) if len(long) else np.empty(0, dtype=bool)
                 for size in sizes:
-                    if size > len(h):
+                    held_words = min(size, len(h))
+                    span, least = max(1, held_words - SHINGLE + 1), _least(size, held_words)
+                    if least > span or held_words < min(size, SHINGLE):  # too short for an item of this size
                         continue
                     shingles = long if size >= SHINGLE else _runs(h, size)
                     hit = near.copy() if size >= SHINGLE else in_bitmap(held, shingles % np.uint64(PLACES))
                     at = np.flatnonzero(hit)
-                    if len(at) < _least(size):
+                    if len(at) < least:
                         continue
                     hit[at] = in_bitmap(held, _sized(shingles[at], size))
-                    span = max(1, size - SHINGLE + 1)
                     total = np.concatenate([[0], np.cumsum(hit)])
-                    for start in np.flatnonzero(total[span:] - total[:-span] >= _least(size)).tolist():
+                    for start in np.flatnonzero(total[span:] - total[:-span] >= least).tolist():
                         out.append((doc, mark, start, size, fingerprint(h[start : start + size]), shingles[start : start + span].view(np.int64)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
             names = ["doc_id", "mark", "start_word", "size", "code", "shingles"]
@@ -140,7 +142,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A document holds an item if a window of as many words reaches a weighted similarity
     of 0.75 on five-word shingles with it; the best window is named, the first of equal
-    ones. Items and texts that are null or blank match nothing; items without id are
+    ones. A document with fewer words than the item is itself the window. Items and texts that are null or blank match nothing; items without id are
     left out. Rows with the same doc_id are one document; ``mark`` names rows without.
     """
     items = materialize(

@@ -120,6 +120,32 @@ def test_decontamination_equals_brute_force(few, documents):
     assert {(10_000, texts[0][0]), (10_001, texts[1][0])} <= got
 
 
+def brute_leaks_of_short_texts(rows, items):
+    """As brute_leaks, and texts shorter than an item are compared as a whole."""
+    short = {(i, k) for i, t in rows for k, x in items if 0 < len(words(t)) < len(words(x)) and decontaminate.similarity(shingle_hashes(words(t)), shingle_hashes(words(x))) >= 0.75}
+    return brute_leaks(rows, items) | short
+
+
+def test_decontamination_of_texts_shorter_than_the_item(few):
+    """Items of many sizes, texts that are an item less some words at the end, at the start or within."""
+    sizes = [1, 3, 4, 5, 6, 7, 8, 9, 12, 16, 40]
+    items = [(n, " ".join(f"i{n}_{k}" for k in range(n))) for n in sizes]
+    texts = []
+    for n, text in items:
+        w = text.split()
+        for cut in range(1, n // 3 + 2):
+            texts += [" ".join(w[:-cut]), " ".join(w[cut:]), " ".join(w[: n // 2] + w[n // 2 + cut :])]
+    rows = [(k, t) for k, t in enumerate(texts) if t]
+    docs = few.createDataFrame(rows, "doc_id long, text string")
+    bench = few.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == brute_leaks_of_short_texts(rows, items) != brute_leaks(rows, items)
+    assert all(r.start_word == 0 and r.n_windows == 1 for r in found)
+    shorter = next(k for k, t in rows if t == " ".join(items[-1][1].split()[:38]))
+    assert [round(r.similarity, 2) for r in found if r.doc_id == shorter] == [0.94]
+    assert decontaminate.clean(docs, bench).where(f"doc_id = {shorter}").count() == 0
+
+
 def test_decontamination_odd_rows(few, edge, empty):
     bench = few.createDataFrame([(1, "one two three four five six seven eight"), (2, None), (3, " "), (None, "word"), (4, "without id but")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(edge, bench).collect()}
