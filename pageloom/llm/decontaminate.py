@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: fingerprints of item-sized windows, found by Hamming blocks, verified exactly."""
+"""Benchmark passages in documents: fingerprints of item-sized windows, found by Hamming blocks or rare shingles, verified exactly."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from pageloom.llm.common import _PLACE, SHINGLE, arrow_batches, bitmap, in_arrow, in_bitmap, mix, shingle_hashes, word_hashes, words
 from pageloom.plans.shared import materialize
@@ -71,6 +72,19 @@ def _near_blocks() -> list[int]:
     return flips
 
 
+def _rare(items: DataFrame) -> DataFrame:
+    """(size, shingle, item_id, item_code) of the shingles of each item that the fewest items of its size hold.
+
+    A window that is similar enough lacks at most 1 - SIMILARITY of the item's shingles,
+    so it holds one of any that are one more than those. Repeats count as often as they occur.
+    """
+    one = items.select("item_id", "size", F.col("code").alias("item_code"), F.xxhash64("shingles").alias("text"), F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    held = one.groupBy("size", "shingle").agg(F.count("*").alias("held"))
+    first = Window.partitionBy("item_id", "size", "item_code", "text").orderBy("held", "shingle")
+    placed = one.join(held, ["size", "shingle"]).withColumn("place", F.row_number().over(first))
+    return placed.where(F.col("place") <= F.floor((1 - SIMILARITY) * F.col("n") + 1e-9) + 1).select("size", "shingle", "item_id", "item_code").distinct()
+
+
 def _blocks(code: str) -> F.Column:
     part = lambda k: F.shiftrightunsigned(code, k * _WIDTH).bitwiseAND((1 << _WIDTH) - 1)
     return F.array(*[F.struct(F.lit(k).alias("block"), part(k).alias("value")) for k in range(BLOCKS)])
@@ -143,7 +157,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A document holds an item if a window of as many words reaches a weighted similarity
     of 0.75 on five-word shingles with it; the best window is named, the first of equal
     ones. A document with fewer words than the item is itself the window. Items and texts that are null or blank match nothing; items without id are
-    left out. Rows with the same doc_id are one document; ``mark`` names rows without.
+    left out. Pairs within the radius meet by their fingerprints, all others by the rare
+    shingles of the item, so none is missed. Rows with the same doc_id are one document; ``mark`` names rows without.
     """
     items = materialize(
         in_arrow(benchmark.select(F.col("item_id").cast("long"), "text"), _items, "item_id long, size int, code long, shingles array<long>, places array<long>"), "items"
@@ -159,9 +174,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     probes = materialize(probes, "probes")  # its size is then known, so that it is broadcast only if small
     # windows of one wording are one row until they are verified
     alike = materialize(seen.groupBy("size", "code", F.xxhash64("shingles").alias("wording")).agg(F.any_value("shingles").alias("shingles")), "alike")
+    rare = materialize(_rare(items), "rare")
     blocks = alike.select("size", "code", "wording", F.explode(_blocks("code")).alias("x")).select("size", "code", "wording", "x.*")
-    met = blocks.join(probes, ["size", "block", "value"]).where(F.bit_count(F.col("code").bitwiseXOR(F.col("item_code"))) <= RADIUS)
-    met = met.select("size", "code", "wording", "item_id").distinct()
+    apart = F.bit_count(F.col("code").bitwiseXOR(F.col("item_code")))
+    near = blocks.join(probes, ["size", "block", "value"]).where(apart <= RADIUS)
+    held = alike.select("size", "code", "wording", F.explode(F.array_distinct("shingles")).alias("shingle"))
+    far = held.join(rare, ["size", "shingle"]).where(apart > RADIUS)
+    met = near.select("size", "code", "wording", "item_id").union(far.select("size", "code", "wording", "item_id")).distinct()
     pairs = met.join(alike, ["size", "code", "wording"]).join(items.select("item_id", "size", F.col("shingles").alias("item_shingles")), ["item_id", "size"])
     rows = pairs.select("size", "code", "item_id", "wording", "shingles", "item_shingles")
     sure = materialize(in_arrow(rows, _verified, "size int, code long, item_id long, wording long, similarity double"), "sure")

@@ -12,7 +12,7 @@ import pytest
 from llm_rows import ROWS, SF
 
 from pageloom.llm import decontaminate, packing, preference, secrets, setsketch, token_counts, trigrams
-from pageloom.llm.common import groups_of_links, ids_crc_mod3, shingle_hashes, words
+from pageloom.llm.common import groups_of_links, ids_crc_mod3, shingle_hashes, word_hashes, words
 from pageloom.llm.vocabulary import encode, tokenizer
 
 
@@ -146,6 +146,30 @@ def test_decontamination_of_texts_shorter_than_the_item(few):
     assert decontaminate.clean(docs, bench).where(f"doc_id = {shorter}").count() == 0
 
 
+def test_decontamination_beyond_the_radius(few):
+    """Wordings similar enough whose fingerprints are further apart than the radius, and texts of few different words."""
+    rng = np.random.default_rng(6)
+    items, rows = [], []
+    for k in range(3000):
+        item = [f"t{k}_{j}" for j in range(60)]
+        text = [*item[:-8], *(f"n{k}_{j}" for j in range(8))]
+        codes = [decontaminate.fingerprint(word_hashes([x.encode() for x in w])) for w in (item, text)]
+        if ((codes[0] ^ codes[1]) & (2**64 - 1)).bit_count() > decontaminate.RADIUS:
+            items.append((k, " ".join(item)))
+            rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(["before", *text, "after"]))]
+    assert len(items) >= 10
+    items, rows = items[:10], rows[:20]
+    for k in range(30):
+        few_words = rng.choice(["a", "b"], 14).tolist()
+        items.append((5000 + k, " ".join(few_words)))
+        few_words[int(rng.integers(14))] = "c"
+        rows.append((10_000 + k, " ".join([*few_words[: 12 + k % 3], "d"])))
+    found = decontaminate.leaks(few.createDataFrame(rows, "doc_id long, text string"), few.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert got == brute_leaks_of_short_texts(rows, items)
+    assert {(2 * k + more, k) for k, _ in items[:10] for more in (0, 1)} <= got
+
+
 def test_decontamination_odd_rows(few, edge, empty):
     bench = few.createDataFrame([(1, "one two three four five six seven eight"), (2, None), (3, " "), (None, "word"), (4, "without id but")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(edge, bench).collect()}
