@@ -23,8 +23,17 @@ class Rule:
     least: int = 0
     #: The group whose length counts; 0 is the whole match.
     group: int = 0
+    #: What a match goes on with, if it is there; trigrams are only asked of the pattern.
+    rest: str = ""
 
 
+#: A key's body: up to the END line, or, if that is missing, the header fields and base64 lines that follow.
+_GAP = r"(?:\s|\\[nr])"
+_KEY_BODY = (
+    r"(?:[^-]*(?:-(?!----)[^-]*)*-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_GAP}+(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:{_GAP}*[A-Za-z0-9+/]{{16,}}={{0,2}}(?:{_GAP}+[A-Za-z0-9+/]{{16,}}={{0,2}})*)?(?:(?:\r?\n|\\n)[A-Za-z0-9+/]+={{0,2}}(?=\s*$|\r?\n|\\n))?)"
+)
+
 #: The three base kinds, in their order.
 BASE = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 6, 2),
@@ -33,7 +42,7 @@ BASE = (
 )
 #: Further kinds: key blocks and tokens with a fixed mark.
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", rest=_KEY_BODY),
     Rule("marked_token", r"(?:ghp_|gho_|ghs_|glpat-|sk_live_|xoxb-|xoxp-)[A-Za-z0-9_-]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
@@ -49,7 +58,7 @@ def _plan(rules: tuple[Rule, ...]) -> tuple[list[tuple[Rule, re.Pattern, Query]]
     for rule in rules:
         # a run cannot be longer than the pattern's own repeat, so the least length may be asked of the run itself
         pattern = f"{rule.pattern[:-1]}{{{rule.least},}}" if re.fullmatch(r"\[[^\]]+\]\+", rule.pattern) and rule.least else rule.pattern
-        found.append((rule, re.compile(pattern, re.ASCII), trigram_query(rule.pattern)))
+        found.append((rule, re.compile(pattern + rule.rest, re.ASCII), trigram_query(rule.pattern)))
     wanted = sorted(set().union(*(trigrams_in(q) for _, _, q in found)))
     place = np.zeros(1 << 24, dtype=np.uint16)
     for k, t in enumerate(wanted, 1):
