@@ -17,6 +17,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is never shown as text.
 _HIDDEN = frozenset("script style title noscript template svg math iframe object canvas video audio textarea select datalist".split())
+_HIDDEN_END = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in _HIDDEN}
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
     "h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul label".split()
@@ -64,7 +65,6 @@ def parse(html: str | None) -> list[Node]:
     if not html:
         return nodes
     at, end = 0, len(html)
-    low: str | None = None
     while at < end:
         m = _TOKEN.match(html, at)
         token, at = m.group(), m.end()
@@ -82,9 +82,8 @@ def parse(html: str | None) -> list[Node]:
             break
         if tag in _HIDDEN:
             if not closing and not token.endswith("/>"):
-                low = html.lower() if low is None or len(low) != end else low
-                stop = low.find(f"</{tag}", at) if len(low) == end else html.find(f"</{tag}", at)
-                at = end if stop < 0 else stop
+                stop = _HIDDEN_END[tag].search(html, at)
+                at = stop.start() if stop else end
             continue
         if tag in _BLOCK:
             if closing:

@@ -112,6 +112,12 @@ def test_parsing(html, texts):
     assert [n.text for n in dom.parse(html) if n.text is not None] == texts
 
 
+@pytest.mark.parametrize("tag", ["SCRIPT", "Style", "sVg"])
+def test_hidden_elements_end_on_pages_that_lower_casing_lengthens(tag):
+    nodes = dom.parse(f"<p>\u0130stanbul</p><{tag}>hidden</{tag}><p>shown</p>")
+    assert [n.text for n in nodes if n.text is not None] == ["\u0130stanbul", "shown"]
+
+
 def test_marginals_equal_enumeration():
     model = extraction.trained()
     nodes = dom.parse("<div class=post><h1>one two</h1><p>three four five.</p><ul><li><a>x</a></ul></div>")
