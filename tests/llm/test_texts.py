@@ -256,6 +256,17 @@ def test_quality_odd_rows(few, edge, empty):
     assert preference.scored(empty, preference.learn(empty, labels)).count() == 0
 
 
+def test_quality_counts_a_labelled_id_once(few, monkeypatch):
+    rows = [(1, f"word {k} of a document held by very many rows.") for k in range(300)] + [(2, "a b"), (3, "c d e")]
+    labels = few.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(preference, "fit", lambda x, y: seen.append((x, y)))
+    for order in (rows, rows[::-1]):
+        preference.learn(few.createDataFrame(order, "doc_id long, text string"), labels)
+    assert [len(x) for x, _ in seen] == [3, 3] and (seen[0][0] == seen[1][0]).all() and (seen[0][1] == seen[1][1]).all()
+    assert seen[0][0][0].tolist() == min(preference.features(t) for i, t in rows if i == 1)
+
+
 def test_token_counts_equal_the_library(documents):
     texts = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
     for r in token_counts.token_counts(documents).collect():
