@@ -48,13 +48,12 @@ def first_map(shards: int = SHARDS, slots: int = SLOTS) -> np.ndarray:
 def edited(current: np.ndarray, load: np.ndarray, shards: int) -> np.ndarray:
     """A new version of the map: slots leave the heaviest shard for the lightest while that brings them closer.
 
-    New shards (numbers not in use before) start empty and give nothing back; slots of
-    shards that are no more (numbers from ``shards`` on) are dealt out first. Each step
-    moves the slot nearest to half the difference, or exchanges two slots if no single
-    one helps, so few slots move when little has changed.
+    New shards (numbers not in use before) start empty; slots of shards that are no more
+    (numbers from ``shards`` on) are dealt out first. Each step moves the slot nearest to
+    half the difference, or exchanges two slots if no single one helps, so few slots move
+    when little has changed.
     """
     out = current.copy()
-    new = set(range(shards)) - set(current.tolist())
     total = np.bincount(out, weights=load, minlength=shards).astype(np.int64)
     for slot in sorted(np.flatnonzero(out >= shards).tolist(), key=lambda s: (-load[s], s)):
         to = int(np.argmin(total[:shards]))
@@ -66,12 +65,12 @@ def edited(current: np.ndarray, load: np.ndarray, shards: int) -> np.ndarray:
         high, low = int(np.argmax(total)), int(np.argmin(total))
         gap = int(total[high] - total[low])
         mine, theirs = np.flatnonzero((out == high) & (load > 0)), np.flatnonzero(out == low)
-        if gap < 2 or not len(mine) or high in new:
+        if gap < 2 or not len(mine):
             return out
         move = mine[np.argmin(np.abs(load[mine] * 2 - gap))]
         change = int(load[move])
         other = None
-        if abs(gap - 2 * change) > max(1, gap // 8) and len(theirs) and low not in new:
+        if abs(gap - 2 * change) > max(1, gap // 8) and len(theirs):
             order = theirs[np.argsort(load[theirs], kind="stable")]
             # for each slot of the heaviest, the partner that leaves the two closest
             want = load[mine] - gap / 2
