@@ -21,6 +21,8 @@ ROUNDS = 10
 #: A query visits cells until they hold this share of all vectors (and at least LEAST of them).
 SHARE = 0.45
 LEAST = 2_000
+#: How many times the usual error an inner product of halves may pass its centroid's.
+REACH = 1.5
 #: Vectors stored and scored together; a larger cell is split into several such buckets.
 BUCKET_ROWS = 1_024
 #: Queries scored against a bucket together.
@@ -45,12 +47,20 @@ def _means(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return c
 
 
+def _spread(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Mean distance by coordinate of the rows around each centroid."""
+    near = _nearest(x, c)
+    apart = np.bincount(near, ((x - c[near]) ** 2).sum(axis=1), minlength=len(c))
+    return np.sqrt(apart / np.maximum(np.bincount(near, minlength=len(c)), 1) / max(x.shape[1], 1))
+
+
 @dataclass(frozen=True)
 class Index:
-    """Centroids of both halves, vectors in each cell, and the buckets that hold a cell. Bounded by CENTROIDS squared."""
+    """Centroids of both halves, spread around them, vectors in each cell, and the buckets that hold a cell. Bounded by CENTROIDS squared."""
 
     first: np.ndarray
     second: np.ndarray
+    spread: tuple[np.ndarray, np.ndarray]
     counts: np.ndarray
     bucket: np.ndarray
     parts: np.ndarray
@@ -59,10 +69,15 @@ class Index:
         return _cells(self.first, self.second, x)
 
     def visit(self, q: np.ndarray, wanted: int) -> list[int]:
-        """Cells by rising sum of the two centroid distances until they hold ``wanted`` vectors."""
+        """Cells by rising sum of the two centroid distances until they hold ``wanted`` vectors.
+
+        The distance is that to the best a centroid's vectors are likely to hold: minus
+        the inner product of the halves, less REACH times its usual error there, so that
+        long vectors, which lie farther around their centroid, are not passed over.
+        """
         half = self.first.shape[1]
-        d1 = ((self.first - q[:half]) ** 2).sum(axis=1)
-        d2 = ((self.second - q[half:]) ** 2).sum(axis=1)
+        d1 = -(self.first @ q[:half]) - REACH * np.linalg.norm(q[:half]) * self.spread[0]
+        d2 = -(self.second @ q[half:]) - REACH * np.linalg.norm(q[half:]) * self.spread[1]
         o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
         s1, s2 = d1[o1].tolist(), d2[o2].tolist()
         o1, o2, counts, width = o1.tolist(), o2.tolist(), self.counts, len(s2)
@@ -111,6 +126,7 @@ def build(vectors: DataFrame) -> tuple[Index, DataFrame]:
     x = np.array(sample["vector"].tolist(), dtype=np.float64).reshape(len(sample), -1)
     half = x.shape[1] // 2
     first, second = _means(x[:, :half], CENTROIDS, 1), _means(x[:, half:], CENTROIDS, 2)
+    spread = _spread(x[:, :half], first), _spread(x[:, half:], second)
     shared = vectors.sparkSession.sparkContext.broadcast((first, second))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +149,7 @@ def build(vectors: DataFrame) -> tuple[Index, DataFrame]:
         room -= int(counts[cell])
         if parts[cell] > 1:
             at, room = at + int(parts[cell]) - 1, 0
-    table = Index(first, second, counts, bucket, parts)
+    table = Index(first, second, spread, counts, bucket, parts)
     own = vectors.sparkSession.sparkContext.broadcast((bucket, parts))
 
     def to_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

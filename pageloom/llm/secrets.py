@@ -27,11 +27,12 @@ class Rule:
     rest: str = ""
 
 
-#: A key's body: up to the END line, or, if that is missing, the header fields and base64 lines that follow.
+#: A key's body: header fields and base64 lines, and its END line if that is what follows them. Other words end it.
 _GAP = r"(?:\s|\\[nr])"
 _KEY_BODY = (
-    r"(?:[^-]*(?:-(?!----)[^-]*)*-----END [A-Z ]*PRIVATE KEY-----"
-    rf"|(?:{_GAP}+(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:{_GAP}*[A-Za-z0-9+/]{{16,}}={{0,2}}(?:{_GAP}+[A-Za-z0-9+/]{{16,}}={{0,2}})*)?(?:(?:\r?\n|\\n)[A-Za-z0-9+/]+={{0,2}}(?=\s*$|\r?\n|\\n))?)"
+    rf"(?:{_GAP}+(?:Proc-Type|DEK-Info):[^\n\\]*)*"
+    rf"(?:{_GAP}*[A-Za-z0-9+/]{{16,}}={{0,2}}(?:{_GAP}+[A-Za-z0-9+/]{{16,}}={{0,2}})*)?"
+    rf"(?:(?:{_GAP}+[A-Za-z0-9+/]+={{0,2}})?{_GAP}*-----END [A-Z ]*PRIVATE KEY-----|(?:\r?\n|\\n)[A-Za-z0-9+/]+={{0,2}}(?=\s*$|\r?\n|\\n))?"
 )
 
 #: The three base kinds, in their order.

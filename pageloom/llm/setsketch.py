@@ -89,14 +89,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(set_key(found) if len(found) else None)
             regs.append(registers(found).tobytes() if len(found) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(regs, pa.binary())],
-            ["doc_id", "n_shingles", "node", "regs"],
+            [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(regs, pa.binary())],
+            ["doc_id", "text_key", "n_shingles", "node", "regs"],
         )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (a name of the distinct shingle set, null if empty) and its registers."""
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _sketched, "doc_id long, n_shingles long, node long, regs binary")
+    """doc_id, text_key (a hash of the text), n_shingles, node (a name of the distinct shingle set, null if empty) and its registers."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+    return in_arrow(texts, _sketched, "doc_id long, text_key long, n_shingles long, node long, regs binary")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -164,6 +165,44 @@ _LINKED = f"100 * (n_head - size(gone)) >= {PERCENT} * (n + size(gone))"
 _NEAR = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of all rows, the nodes (distinct sets) among them, and labels of the nodes that have links."""
+    rows = materialize(sketches(docs), "sketches")
+    nodes = materialize(
+        rows.where("node is not null and doc_id is not null")
+        .groupBy("node")
+        .agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("x"))
+        .select("node", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.regs"),
+        "nodes",
+    )
+    return rows, nodes, materialize(node_groups(docs, nodes), "labels")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of linked sets, that with the smallest doc_id (then hash of the text).
+
+    What counts is a row's own text: rows that share a doc_id but not their wording are
+    judged each. Of rows alike in id and text one stays, the first by its other columns.
+    Rows without id, and null or blank texts, stay.
+    """
+    rows, _, labels = _grouped(docs)
+    rows = rows.where("node is not null and doc_id is not null").select("node", "doc_id", "text_key")
+    own = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.count("*").alias("n"))
+    own = own.join(labels.select(F.col("id").alias("node"), "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    own = materialize(own, "own")
+    groups = materialize(own.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1"), "groups")
+    stays = materialize(own.select("node", "label").join(groups, "label").select("node", "first"), "stays")
+    mine = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    fate = rows.join(stays, "node").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    fate = materialize(fate.agg(F.max(mine).alias("__stays"), F.count("*").alias("__n")).where("__n > 1 or not __stays"), "copies")
+    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    once = docs.join(fate, same, "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(c) for c in others]) if others else F.lit(None)
+    again = docs.join(fate.where("__stays"), same, "left_semi").groupBy("doc_id", "text").agg(F.min_by(rest, F.to_json(rest) if others else F.lit(0)).alias("__rest"))
+    return once.unionByName(again.select("doc_id", "text", *[F.col("__rest").getField(c).alias(c) for c in others]))
+
+
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, ...).
 
@@ -177,15 +216,7 @@ def components(docs: DataFrame) -> DataFrame:
     Null or blank texts have an empty set and stand alone. A row without doc_id links
     nothing: component_id null, kept true. Repeated rows get the same answer each.
     """
-    rows = materialize(sketches(docs), "sketches")
-    nodes = materialize(
-        rows.where("node is not null and doc_id is not null")
-        .groupBy("node")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("x"))
-        .select("node", "x.doc_id", F.col("x.n_shingles").alias("n"), "x.regs"),
-        "nodes",
-    )
-    labels = materialize(node_groups(docs, nodes), "labels")
+    rows, nodes, labels = _grouped(docs)
     named = materialize(
         labels.join(nodes.select(F.col("node").alias("id"), "doc_id"), "id").groupBy("label").agg(F.min("doc_id").alias("component_id")), "named"
     )

@@ -18,7 +18,7 @@ sys.path.insert(0, str(ROOT))
 
 import corpus_pipeline  # noqa: E402
 
-from pageloom.llm import decontaminate, dom, extraction, fixity, labelled_pages, multi_index, preference, preferences, queries, secrets  # noqa: E402
+from pageloom.llm import decontaminate, dom, extraction, fixity, labelled_pages, multi_index, preference, preferences, queries, secrets, setsketch  # noqa: E402
 
 
 def nearest(ids, x, i, k=20):
@@ -49,11 +49,26 @@ def test_cells_are_visited_by_rising_distance():
     rng = np.random.default_rng(1)
     a, b, q = rng.normal(size=(9, 3)), rng.normal(size=(7, 4)), rng.normal(size=7)
     counts = rng.integers(0, 3, 63)
-    index = multi_index.Index(a, b, counts, np.zeros(63, int), np.ones(63, int))
-    d = (((a - q[:3]) ** 2).sum(axis=1)[:, None] + ((b - q[3:]) ** 2).sum(axis=1)[None, :]).ravel()
+    spread = rng.random(9), rng.random(7)
+    index = multi_index.Index(a, b, spread, counts, np.zeros(63, int), np.ones(63, int))
+    far = lambda c, x, s: -(c @ x) - multi_index.REACH * np.linalg.norm(x) * s
+    d = (far(a, q[:3], spread[0])[:, None] + far(b, q[3:], spread[1])[None, :]).ravel()
     assert index.visit(q, 10**9) == [c for c in np.argsort(d).tolist() if counts[c]]
 
 
+@pytest.mark.parametrize("sigma", [0.0, 0.5, 1.0])
+def test_recall_on_vectors_of_unequal_length(few, sigma):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64))
+    x *= (rng.lognormal(0, sigma, 6000) / np.linalg.norm(x, axis=1))[:, None]
+    table = few.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = multi_index.search(table, F.col("id") % 300 == 0).collect()
+    ids, found = np.arange(6000), 0
+    for i in range(0, 6000, 300):
+        found += len({r["vec_id"] for r in got if r["query_id"] == i} & {v for v, _ in nearest(ids, x, i)})
+    assert found >= 0.9 * 20 * 20
+
+
 def test_vectors_odd_rows(few):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0, 3.0]), (20, [1.0, 2.0, 3.0]), (3, [1.0, 2.0, 3.0]), (4, None), (40, [0.0, 0.0, 0.0]), (60, [1.0, nan, 1.0]), (80, [1.0, inf, 1.0])]
@@ -216,3 +231,35 @@ def test_stages_on_odd_and_empty_rows(few, edge, empty):
     kept = corpus_pipeline.near_duplicates(few, edge, SF)
     assert Counter(r.doc_id for r in kept.select("doc_id").collect()) == Counter([None, None, 1, 2, 3, 4, 6, 8, 9])
     assert len(ROWS) == 12
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(few):
+    """A text of its own stays whatever else its id holds; of a group one row stays, repeated rows too."""
+    own = ["alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine", "red orange yellow green blue indigo violet grey"]
+    rows = [(1, own[0], "a"), (1, own[1], "b"), (2, own[1], "c"), (2, own[2], "d"), (2, own[2], "e"), (3, own[2] + " ", "f"), (4, "", "g"), (4, "", "h"), (None, own[0], "i")]
+    docs = few.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = setsketch.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.source for r in kept.collect()) == ["a", "b", "d", "g", "h", "i"]
+
+
+def test_html_comments_and_nested_hidden_elements():
+    text = lambda html: [n.text for n in dom.parse(html) if n.text]
+    assert text("<p>a</p><!--><p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert text("<p>a</p><!---><p>b</p>") == ["a", "b"]
+    assert text("<p>a</p><!-- x --!><p>b</p><!-- y --><p>c</p><!-- z") == ["a", "b", "c"]
+    assert text("<object>x<object>y</object>z</object><p>a</p>") == ["a"]
+    assert text("<svg><g/><svg/>q</svg><p>a</p><script>if (a < b) '</scripty>'</SCRIPT ><p>b</p>") == ["a", "b"]
+    assert text("<div><p>a</div></p></span></div><p>b</p>") == ["a", "b"]
+
+
+def test_many_stray_tags_take_linear_time():
+    import time
+
+    spent = []
+    for n in (4_000, 32_000):
+        page = "<div>" * n + "</section>" * n + "<p>end</p>" + "</div>" * n
+        start = time.perf_counter()
+        assert [x.text for x in dom.parse(page) if x.text] == ["end"]
+        spent.append(time.perf_counter() - start)
+    assert spent[1] < 24 * spent[0]

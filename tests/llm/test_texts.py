@@ -224,6 +224,10 @@ def test_private_keys_are_masked_with_their_body():
     assert got == ["see *\nthen words - and more"] * 9 + ["a *"] * 5 + ["a *\n* b"]
     prose = f"the line {head} starts a key - mostly"
     assert secrets._masked(prose, secrets.spans_of([prose])[0], "*") == "the line * starts a key - mostly"
+    prose = f"A key begins with {head} and what follows is secret; only much later in the file {end} closes it."
+    assert secrets._masked(prose, secrets.spans_of([prose])[0], "*") == prose.replace(head, "*")
+    mixed = f"{head}\n{body}\nthen prose without any key at all\n{end}"
+    assert secrets._masked(mixed, secrets.spans_of([mixed])[0], "*") == f"*\nthen prose without any key at all\n{end}"
     assert secrets._masked(f"{head}\nMIIEvQ", secrets.spans_of([f"{head}\nMIIEvQ"])[0], "*") == "*"
 
 
