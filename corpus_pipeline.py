@@ -7,7 +7,7 @@ so a lost executor costs one stage's tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from pageloom.llm import decontaminate, packing, preference, secrets, setsketch
 from pageloom.llm.common import ids_crc_mod3, read
@@ -24,17 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest doc_id.
-
-    Rows with one doc_id count as copies too: one of them stays. Rows without doc_id stay.
-    """
-    ids = setsketch.components(docs).where("doc_id is not null").groupBy("doc_id")
-    ids = materialize(ids.agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("n > 1 or not kept"), "copies")
-    leave = ids.select(F.col("doc_id").alias("__id"), "kept")
-    same = F.col("doc_id").cast("long") == F.col("__id")
-    once = docs.join(leave, same, "left_anti")
-    again = docs.join(leave.where("kept"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    """One document of each group of near copies stays, that with the smallest doc_id; rows are judged by their own text."""
+    return setsketch.one_of_each(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
