@@ -58,6 +58,24 @@ VIEWS: dict[str, str] = {
  UNION ALL SELECT l.doc_id, l.seq, d.depth + 1 FROM f4_links l JOIN f4_depth d ON d.doc_id = l.doc_id AND d.seq = l.pseq""",
     "f4_tree": """SELECT l.doc_id, l.seq - 1 AS idx, l.level, l.title, l.page, l.pseq - 1 AS parent, d.depth, l.nseq - l.seq - 1 AS descendants,
  CAST(row_number() OVER (PARTITION BY l.doc_id, l.pseq ORDER BY l.seq) AS INT) AS sibling FROM f4_links l JOIN f4_depth d ON d.doc_id = l.doc_id AND d.seq = l.seq""",
+    # seven edits of each outline, one after the other, on lists
+    "f4_replay": """WITH RECURSIVE e AS (SELECT doc_id, unnest([
+   {'step': 1, 'op': 'add', 'target': doc_id % 5, 'title': 'Added first', 'page': 1}, {'step': 2, 'op': 'remove', 'target': (doc_id + 1) % 4, 'title': NULL, 'page': NULL},
+   {'step': 3, 'op': 'up', 'target': doc_id % 3 + 1, 'title': NULL, 'page': NULL}, {'step': 4, 'op': 'add', 'target': 2, 'title': 'Added later', 'page': 2},
+   {'step': 5, 'op': 'down', 'target': 0, 'title': NULL, 'page': NULL}, {'step': 6, 'op': 'remove', 'target': 50, 'title': NULL, 'page': NULL}, {'step': 7, 'op': 'up', 'target': 2, 'title': NULL, 'page': NULL}]) AS e FROM f4_docs),
+  s AS (SELECT doc_id, 0 AS step, list({'level': CAST(level AS INT), 'depth': CAST(depth AS INT), 'title': title, 'page': CAST(page AS INT)} ORDER BY idx) AS l, false AS changed, CAST(NULL AS VARCHAR) AS error FROM f4_tree GROUP BY doc_id
+   UNION ALL SELECT doc_id, step + 1, CASE WHEN top THEN l || [{'level': 1, 'depth': 1, 'title': title, 'page': page}] WHEN NOT found THEN l
+     WHEN op = 'add' THEN l[1:z] || [{'level': l[k + 1].level + 1, 'depth': l[k + 1].depth + 1, 'title': title, 'page': page}] || l[z + 1:]
+     WHEN op = 'remove' THEN l[1:k] || l[z + 1:]
+     WHEN op = 'up' AND l[p + 1].depth = l[k + 1].depth THEN l[1:p] || l[k + 1:z] || l[p + 1:k] || l[z + 1:]
+     WHEN op = 'down' AND z < len(l) AND l[z + 1].depth = l[k + 1].depth THEN l[1:k] || l[z + 1:y] || l[k + 1:z] || l[y + 1:] ELSE l END,
+    top OR (found AND (op IN ('add', 'remove') OR (op = 'up' AND coalesce(l[p + 1].depth = l[k + 1].depth, false)) OR (op = 'down' AND z < len(l) AND coalesce(l[z + 1].depth = l[k + 1].depth, false)))),
+    CASE WHEN NOT top AND NOT found THEN 'NoSuchBookmark' END FROM (
+    SELECT *, coalesce(list_min(list_filter(range(z + 1, len(l)), lambda i: l[i + 1].depth <= l[z + 1].depth)), len(l)) AS y, list_max(list_filter(range(0, k), lambda i: l[i + 1].depth <= l[k + 1].depth)) AS p FROM (
+     SELECT *, coalesce(list_min(list_filter(range(k + 1, len(l)), lambda i: l[i + 1].depth <= l[k + 1].depth)), len(l)) AS z FROM (
+      SELECT s.doc_id, s.step, s.l, e.op, e.title, e.page, e.target - CASE WHEN e.op = 'add' THEN 1 ELSE 0 END AS k, e.op = 'add' AND e.target = 0 AS top,
+       e.target - CASE WHEN e.op = 'add' THEN 1 ELSE 0 END BETWEEN 0 AND len(s.l) - 1 AS found FROM s JOIN (SELECT doc_id, unnest(e) FROM e) e ON e.doc_id = s.doc_id AND e.step = s.step + 1))))
+ SELECT * FROM s""",
     "f5_tree": """SELECT concat('r', CAST(r_regionkey AS VARCHAR)) AS id, CAST(NULL AS VARCHAR) AS parent, r_name AS tag, CAST(0 AS INT) AS rot FROM region
  UNION ALL SELECT concat('n', CAST(n_nationkey AS VARCHAR)), concat('r', CAST(n_regionkey AS VARCHAR)), NULL, CASE WHEN n_nationkey % 2 = 0 THEN CAST((n_nationkey % 4) * 90 AS INT) END FROM nation
  UNION ALL SELECT concat('c', CAST(c_custkey AS VARCHAR)), concat('n', CAST(c_nationkey AS VARCHAR)), CASE WHEN c_acctbal < 0 THEN c_mktsegment END, NULL FROM customer
@@ -244,6 +262,8 @@ SQL: dict[str, str] = {
     "w12_outline_add": """WITH a AS (SELECT d.doc_id, CAST(CASE WHEN d.doc_id % 5 = 0 THEN page_count ELSE t.idx + t.descendants + 1 END AS INT) AS spot, CASE WHEN d.doc_id % 5 = 0 THEN 1 ELSE t.level + 1 END AS level FROM f4_docs d LEFT JOIN f4_tree t ON t.doc_id = d.doc_id AND t.idx = d.doc_id % 5 - 1 WHERE d.doc_id % 5 = 0 OR t.idx IS NOT NULL)
  SELECT doc_id, spot AS idx, level, 'Added' AS title, 1 AS page FROM a UNION ALL SELECT t.doc_id, CASE WHEN t.idx >= spot THEN t.idx + 1 ELSE t.idx END, t.level, t.title, t.page FROM f4_tree t JOIN a ON a.doc_id = t.doc_id""",
     "w12_outline_add_rejects": "SELECT doc_id, 'NoSuchBookmark' AS error FROM f4_docs WHERE doc_id % 5 > page_count",
+    "w12_outline_edits": "SELECT doc_id, CAST(i - 1 AS INT) AS idx, l[i].level AS level, l[i].depth AS depth, l[i].title AS title, l[i].page AS page FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM f4_replay WHERE step = 7)",
+    "w12_outline_edit_outcomes": "SELECT doc_id, CAST(step AS BIGINT) AS step, changed, error FROM f4_replay WHERE step > 0",
     "w13_outline_remove_rejects": "SELECT doc_id, 'NoSuchBookmark' AS error FROM f4_docs WHERE doc_id % 5 >= page_count",
     "w13_outline_remove": """SELECT t.doc_id, CAST(row_number() OVER (PARTITION BY t.doc_id ORDER BY t.idx) - 1 AS INT) AS idx, t.level, t.title, t.page FROM f4_tree t JOIN f4_tree k ON k.doc_id = t.doc_id AND k.idx = k.doc_id % 5 WHERE t.idx < k.idx OR t.idx > k.idx + k.descendants""",
     "w14_outline_move": """WITH k AS (SELECT n.doc_id, n.idx AS i, n.descendants AS d, o.idx AS oi FROM f4_tree n LEFT JOIN f4_tree o ON o.doc_id = n.doc_id AND o.parent IS NOT DISTINCT FROM n.parent AND o.sibling = n.sibling - 1 WHERE n.idx = n.doc_id % 5)

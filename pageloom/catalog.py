@@ -405,6 +405,28 @@ def w14_outline_move(spark, d):
     return outline.outline_move(_outline(spark, d), _picks(spark, d), up=True)
 
 
+def _outline_edits(spark, d):
+    """Seven edits of each outline, one of them out of range."""
+    doc, one = F.col("doc_id"), lambda step, op, target, title=None, page=None: F.struct(
+        F.lit(step).alias("step"), F.lit(op).alias("op"), target.cast("int").alias("target"), F.lit(title).cast("string").alias("title"), F.lit(page).cast("int").alias("page")
+    )
+    edits = [
+        one(1, "add", F.pmod(doc, F.lit(5)), "Added first", 1), one(2, "remove", F.pmod(doc + 1, F.lit(4))), one(3, "up", F.pmod(doc, F.lit(3)) + 1),
+        one(4, "add", F.lit(2), "Added later", 2), one(5, "down", F.lit(0)), one(6, "remove", F.lit(50)), one(7, "up", F.lit(2)),
+    ]
+    return _outline_docs(spark, d).select("doc_id", F.inline(F.array(*edits)))
+
+
+@query
+def w12_outline_edits(spark, d):
+    return outline.outline_edit(_outline(spark, d), _outline_edits(spark, d))[0]
+
+
+@query
+def w12_outline_edit_outcomes(spark, d):
+    return outline.outline_edit(_outline(spark, d), _outline_edits(spark, d))[1]
+
+
 @query
 def s9_outline_export(spark, d):
     return outline.outline_export(_outline(spark, d))

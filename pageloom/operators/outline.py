@@ -2,52 +2,118 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.plans.graph import climb
-from pageloom.plans.scan import Running, running
-from pageloom.plans.shared import materialize
+from pageloom.plans.scan import Running, expand, running
+from pageloom.plans.shared import materialize, with_package
+
+
+#: Items scanned as one array; blocks of a document in one group; nothing in the plan depends on levels.
+BLOCK = 256
+GROUP = 1024
+
+
+def _above(stack: Column, level: Column, *, ties: bool = False) -> Column:
+    """The nearest entry of a stack with a lower level (or an equal one, with ``ties``); null if there is none."""
+    lower = F.filter(stack, lambda e: e["level"] <= level if ties else e["level"] < level)
+    return F.try_element_at(lower, F.lit(-1))
+
+
+def _onto(far: Column, near: Column) -> Column:
+    """The stack of a stretch from those of its two parts: what no entry of the nearer part hides stays."""
+    floor = F.get(near, F.lit(0))["level"]
+    return F.when(F.size(near) == 0, far).otherwise(F.concat(F.filter(far, lambda e: e["level"] < floor), near))
+
+
+def _scan(items: Column, *, ties: bool) -> Column:
+    """(out, stack) of an array of (seq, level): for each item the nearest lower one, how many there are, and the lowest level so far."""
+    entry = "struct<level:int,seq:int>"
+    start = F.struct(
+        F.array().cast("array<struct<near:int,open:int,low:int>>").alias("out"), F.array().cast(f"array<{entry}>").alias("stack")
+    )
+
+    def step(state: Column, item: Column) -> Column:
+        level = item["level"].cast("int")
+        under = F.filter(state["stack"], lambda e: e["level"] < level)
+        found = F.struct(
+            _above(state["stack"], level, ties=ties)["seq"].alias("near"),
+            F.size(under).alias("open"),
+            F.least(F.get(state["stack"], F.lit(0))["level"], level).alias("low"),
+        )
+        mine = F.struct(level.alias("level"), item["seq"].cast("int").alias("seq"))
+        return F.struct(F.array_append(state["out"], found).alias("out"), F.array_append(under, mine).alias("stack"))
+
+    return F.aggregate(items, start, step)
+
 
+def _carried(stacks: DataFrame, order: str, keys: list[str], name: str, *, backwards: bool) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): for each row of ``stacks`` the stack of all rows before it under ``keys``, and the stack of all of them.
 
-def outline_tree(items: DataFrame, *, max_level: int | None = None, large: DataFrame | None = None, width: int | None = None) -> DataFrame:
+    ``stacks`` has keys + (order, stack). A group is one array, so callers keep groups bounded.
+    """
+    held = F.sort_array(F.collect_list(F.struct(order, "stack")), asc=not backwards)
+    empty = F.array().cast("array<struct<level:int,seq:int>>")
+    start = F.struct(F.array().cast("array<array<struct<level:int,seq:int>>>").alias("out"), empty.alias("stack"))
+    folded = F.aggregate("held", start, lambda s, b: F.struct(F.array_append(s["out"], s["stack"]).alias("out"), _onto(s["stack"], b["stack"]).alias("stack")))
+    grouped = stacks.groupBy(*keys).agg(held.alias("held")).select(*keys, "held", folded.alias("f"))
+    rows = grouped.select(*keys, F.explode(F.arrays_zip(F.col(f"held.{order}").alias(order), F.col("f.out").alias(name))).alias("x"))
+    return rows.select(*keys, f"x.{order}", f"x.{name}"), grouped.select(*keys, F.col("f.stack").alias("stack"))
+
+
+def outline_tree(items: DataFrame, *, block: int = BLOCK, group: int = GROUP, width: int | None = None) -> DataFrame:
     """Parent, depth, sibling rank and descendant count of level-tagged items.
 
     ``items``: doc_id, seq (from 1, no gaps), level from 1, title, page. ``idx`` is the
-    pre-order number from 0. The deepest level in use is looked up unless it is given.
+    pre-order number from 0. A parent is the nearest earlier item of a lower level, a
+    subtree ends before the nearest later item of the same level or a lower one. Both are
+    found by stacks of rising levels: blocks of consecutive items are scanned alone, the
+    stacks they leave are merged over groups of blocks and over groups, and each block
+    gets the merged stack of what lies before and after it. A stack holds each level
+    once; the plan is the same for any number of levels, and nothing runs beforehand.
     """
-    if max_level is None:
-        max_level = items.agg(F.max("level")).first()[0] or 1
-    seq, level = F.col("seq"), F.col("level")
-    levels = range(1, max_level + 1)
-    back = {f"__p{v}": Running("last", F.when(level == v, seq), inclusive=False) for v in levels}
-    ahead = {f"__n{v}": Running("min", F.when(level <= v, seq), inclusive=False) for v in levels}
-    final = {"__end": Running("max", seq)}
-    first = running(items, ["doc_id"], "seq", back, large=large, width=width)
-    both = running(first, ["doc_id"], "seq", {**ahead, **final}, large=large, width=width, descending=True)
-
-    def newest(upto: int) -> Column:
-        cols = [F.col(f"__p{v}") for v in range(1, upto)]
-        if not cols:
-            return F.lit(None).cast("int")
-        return cols[0] if len(cols) == 1 else F.greatest(*cols)
-
-    parent = F.lit(None).cast("int")
-    until = F.lit(None).cast("int")
-    depth = F.lit(1)
-    for v in levels:
-        parent = F.when(level == v, newest(v)).otherwise(parent)
-        until = F.when(level == v, F.col(f"__n{v}")).otherwise(until)
-        opened = F.col(f"__p{v}").isNotNull() & (F.coalesce(newest(v), F.lit(0)) < F.col(f"__p{v}"))
-        depth = depth + F.when((level > v) & opened, 1).otherwise(0)
-    tree = both.select(
+    tagged = items.withColumn("__block", F.floor((F.col("seq") - 1) / F.lit(block)).cast("long"))
+    row = F.struct("seq", "level", "title", "page")
+    blocks = tagged.groupBy("doc_id", "__block").agg(F.sort_array(F.collect_list(row)).alias("items"))
+    blocks = blocks.withColumn("fore", _scan(F.col("items"), ties=False)).withColumn("back", _scan(F.reverse("items"), ties=True))
+
+    past = blocks.filter("__block > 0").select("doc_id").distinct()  # at most one for each block of items
+    ends = blocks.join(past, "doc_id", "left_semi").select("doc_id", "__block", F.floor(F.col("__block") / F.lit(group)).alias("__group"), "fore.stack", F.col("back.stack").alias("rear"), F.element_at("items", -1)["seq"].alias("last"))
+    carry = ends.groupBy("doc_id", "__group").agg(F.max("last").alias("last"))
+    carry = carry.groupBy("doc_id").agg(F.max("last").alias("__last")).join(ends.select("doc_id", "__block", "__group"), "doc_id")
+    for side, column in (("__before", "stack"), ("__after", "rear")):
+        own = ends.select("doc_id", "__group", "__block", F.col(column).alias("stack"))
+        near, groups = _carried(own, "__block", ["doc_id", "__group"], "near", backwards=side == "__after")
+        far, _ = _carried(groups, "__group", ["doc_id"], "far", backwards=side == "__after")
+        merged = near.join(far, ["doc_id", "__group"]).select("doc_id", "__block", _onto(F.col("far"), F.col("near")).alias(side))
+        carry = carry.join(merged, ["doc_id", "__block"])
+    placed = blocks.join(carry.drop("__group"), ["doc_id", "__block"], "left")
+    none = F.array().cast("array<struct<level:int,seq:int>>")
+    flat = placed.select(
+        "doc_id",
+        F.coalesce("__before", none).alias("__before"),
+        F.coalesce("__after", none).alias("__after"),
+        F.coalesce("__last", F.element_at("items", -1)["seq"]).alias("__last"),
+        F.explode(F.arrays_zip("items", F.col("fore.out").alias("fore"), F.reverse("back.out").alias("back"))).alias("x"),
+    )
+    level = F.col("x.items.level").cast("int")
+    parent = F.coalesce("x.fore.near", _above(F.col("__before"), level)["seq"])
+    until = F.coalesce(F.col("x.back.near"), _above(F.col("__after"), level, ties=True)["seq"], F.col("__last") + 1)
+    depth = F.size(F.filter("__before", lambda e: e["level"] < F.col("x.fore.low"))) + F.col("x.fore.open") + 1
+    seq = F.col("x.items.seq")
+    tree = flat.select(
         "doc_id",
         (seq - 1).alias("idx"),
-        "level",
-        "title",
-        "page",
+        F.col("x.items.level").alias("level"),
+        F.col("x.items.title").alias("title"),
+        F.col("x.items.page").alias("page"),
         (parent - 1).cast("int").alias("parent"),
         depth.cast("int").alias("depth"),
-        (F.coalesce(until, F.col("__end") + 1) - seq - 1).cast("int").alias("descendants"),
+        (until - seq - 1).cast("int").alias("descendants"),
     )
     ranked = running(
         tree.withColumn("__parent", F.coalesce("parent", F.lit(-1))),
@@ -59,70 +125,253 @@ def outline_tree(items: DataFrame, *, max_level: int | None = None, large: DataF
     return ranked.drop("__parent").withColumn("sibling", F.col("sibling").cast("int"))
 
 
-def outline_add(tree: DataFrame, additions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Append one item per document under pre-order node ``parent`` - 1 (0 is the top level).
+class _Replay:
+    """A document's outline as parts of (depth, level, source) columns, edited in place.
 
-    ``additions``: doc_id, parent, title, page, item_count.
+    ``source`` is the item's number before all edits, or -1 - k for what the k-th edit
+    added. Edits cut parts and look only at the lowest depth of those they pass, so an
+    edit costs about the number of parts plus one part's items.
     """
-    host = tree.select("doc_id", (F.col("idx") + 1).alias("parent"), F.col("descendants").alias("d"), F.col("level").alias("l"))
-    found = additions.join(host, ["doc_id", "parent"], "left")
-    top = F.col("parent") == 0
-    placed = found.filter(top | F.col("d").isNotNull()).select(
-        "doc_id",
-        F.when(top, F.col("item_count")).otherwise(F.col("parent") + F.col("d")).cast("int").alias("at"),
-        F.when(top, 1).otherwise(F.col("l") + 1).cast("int").alias("level"),
-        "title",
-        "page",
-    )
-    moved = tree.join(placed.select("doc_id", "at"), "doc_id").select(
-        "doc_id", (F.col("idx") + (F.col("idx") >= F.col("at")).cast("int")).alias("idx"), "level", "title", "page"
+
+    SIZE = 1024
+
+    def __init__(self, parts: list[np.ndarray]) -> None:
+        self.parts = parts
+        self.settle()
+
+    def settle(self) -> None:
+        whole = np.concatenate(self.parts, axis=1) if self.parts else np.empty((3, 0), np.int64)
+        self.parts = [whole[:, i : i + self.SIZE] for i in range(0, whole.shape[1], self.SIZE)]
+        self.low = [int(p[0].min()) for p in self.parts]
+        self.size, self.most = whole.shape[1], 4 * len(self.parts) + 64
+
+    def at(self, index: int) -> np.ndarray:
+        for part in self.parts:
+            if index < part.shape[1]:
+                return part[:, index]
+            index -= part.shape[1]
+        raise IndexError(index)
+
+    def end(self, index: int, depth: int) -> int:
+        """The next item no deeper than ``depth`` after ``index``, or the end."""
+        start = 0
+        for part, low in zip(self.parts, self.low, strict=True):
+            stop = start + part.shape[1]
+            if stop > index + 1 and low <= depth:
+                skip = max(index + 1 - start, 0)
+                hits = np.flatnonzero(part[0, skip:] <= depth)
+                if len(hits):
+                    return start + skip + int(hits[0])
+            start = stop
+        return self.size
+
+    def before(self, index: int, depth: int) -> int | None:
+        """The last item no deeper than ``depth`` before ``index``."""
+        stop = self.size
+        for part, low in zip(reversed(self.parts), reversed(self.low), strict=True):
+            start = stop - part.shape[1]
+            if start < index and low <= depth:
+                hits = np.flatnonzero(part[0, : index - start] <= depth)
+                if len(hits):
+                    return start + int(hits[-1])
+            stop = start
+        return None
+
+    def split(self, at: int) -> int:
+        """The number of the part that begins at ``at``."""
+        for k, part in enumerate(self.parts):
+            if at < part.shape[1]:
+                if at:
+                    self.parts[k : k + 1] = [part[:, :at], part[:, at:]]
+                    self.low[k : k + 1] = [int(part[0, :at].min()), int(part[0, at:].min())]
+                    return k + 1
+                return k
+            at -= part.shape[1]
+        return len(self.parts)
+
+    def cut(self, start: int, stop: int) -> list[np.ndarray]:
+        a, b = self.split(start), self.split(stop)
+        out = self.parts[a:b]
+        del self.parts[a:b], self.low[a:b]
+        self.size -= stop - start
+        return out
+
+    def put(self, at: int, parts: list[np.ndarray]) -> None:
+        k = self.split(at)
+        self.parts[k:k] = parts
+        self.low[k:k] = [int(p[0].min()) for p in parts]
+        self.size += sum(p.shape[1] for p in parts)
+        if len(self.parts) > self.most:
+            self.settle()
+
+    def apply(self, number: int, op: str | None, target: int | None) -> tuple[bool, str | None]:
+        """(whether anything changed, the error)."""
+        if op not in ("add", "remove", "up", "down"):
+            return False, "InvalidEdit"
+        index = -1 if target is None else target - 1 if op == "add" else target
+        if op == "add" and target == 0:
+            self.put(self.size, [np.array([[1], [1], [-1 - number]], dtype=np.int64)])
+            return True, None
+        if not 0 <= index < self.size:
+            return False, "NoSuchBookmark"
+        depth, level, _ = self.at(index).tolist()
+        end = self.end(index, depth)
+        if op == "add":
+            self.put(end, [np.array([[depth + 1], [level + 1], [-1 - number]], dtype=np.int64)])
+        elif op == "remove":
+            self.cut(index, end)
+        else:
+            other = self.before(index, depth) if op == "up" else end if end < self.size else None
+            if other is None or self.at(other)[0] != depth:
+                return False, None
+            if op == "up":
+                self.put(other, self.cut(index, end))
+            else:
+                self.put(index, self.cut(other, self.end(other, depth)))
+        return True, None
+
+    def runs(self) -> list[tuple[int, int, int, int, int]]:
+        """(start, source, length, depth, level): stretches of consecutive old items, and new items alone."""
+        whole = np.concatenate(self.parts, axis=1) if self.parts else np.empty((3, 0), np.int64)
+        source = whole[2]
+        if not len(source):
+            return []
+        before = np.concatenate([[-1], source[:-1]])
+        fresh = np.flatnonzero((source != before + 1) | (source < 0) | (before < 0))
+        stops = np.append(fresh[1:], len(source))
+        return [(int(a), int(source[a]), int(b - a), int(whole[0, a]), int(whole[1, a])) for a, b in zip(fresh, stops, strict=True)]
+
+
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents one after the other: their blocks, then their edits in order, to runs of items and outcomes of edits."""
+    names = ["doc_id", "step", "start", "source", "length", "depth", "level", "title", "page", "changed", "error"]
+    kinds: list[pa.DataType] = []
+    doc, parts, outline, edits, out = None, [], None, [], []
+
+    def close() -> None:
+        if outline is None:
+            return
+        for start, source, length, depth, level in outline.runs():
+            title, page = edits[-1 - source] if source < 0 else (None, None)
+            out.append((doc, None, start, source, length, depth, level, title, page, None, None))
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    for batch in batches:
+        kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), pa.string()]
+        for row in batch.to_pylist():
+            if row["doc_id"] != doc:
+                close()
+                doc, parts, outline, edits = row["doc_id"], [], None, []
+            if row["depths"] is not None:
+                source = np.arange(row["first"], row["first"] + len(row["depths"]))
+                parts.append(np.array([row["depths"], row["levels"], source], dtype=np.int64))
+                continue
+            if outline is None:
+                outline, parts = _Replay(parts), []
+            edits.append((row["title"], row["page"]))
+            changed, error = (False, row["error"]) if row["error"] else outline.apply(len(edits) - 1, row["op"], row["target"])
+            out.append((doc, row["step"], None, None, None, None, None, None, None, changed, error))
+        if len(out) > 4096:
+            yield batch_of(out)
+            out = []
+    close()
+    if out:
+        yield batch_of(out)
+
+
+def outline_edit(tree: DataFrame, edits: DataFrame, *, docs: DataFrame | None = None, width: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Replay any number of edits of each outline in order: (items, outcomes).
+
+    ``edits``: doc_id, step (their order), op, target, title, page. Targets are pre-order
+    numbers in the outline as earlier edits left it: ``add`` appends an item at the end of
+    the children of item target - 1 (0: at the top level), ``remove`` takes the item with
+    all under it, ``up`` and ``down`` swap it with the sibling before or after. An edit
+    that cannot be done (NoSuchBookmark, InvalidEdit, or PageOutOfRange if ``docs`` has
+    page counts) is refused alone; the next one meets the outline unchanged.
+
+    ``items``: doc_id, idx, level, depth, title, page of all documents, edited or not;
+    ``outcomes``: doc_id, step, changed, error of every edit. Only depths and levels of
+    edited documents, packed by blocks, pass through the replay, and what leaves it are
+    runs of items that stay together; titles are joined to those afterwards.
+    """
+    page = F.col("page").cast("long")
+    edits = edits.filter(F.col("doc_id").isNotNull())
+    asked = edits.select("doc_id", F.col("step").cast("long").alias("step"), "op", F.col("target").cast("long").alias("target"), F.col("title").cast("string").alias("title"), page.alias("page"))
+    if docs is None:
+        asked = asked.withColumn("error", F.lit(None).cast("string"))
+    else:
+        asked = asked.join(docs.select("doc_id", F.col("page_count").alias("__n")), "doc_id", "left")
+        outside = (F.col("op") == "add") & ~F.coalesce(F.col("page").between(1, F.col("__n")), F.lit(False))
+        asked = asked.withColumn("error", F.when(outside, "PageOutOfRange")).drop("__n")
+    edited = materialize(edits.select("doc_id").distinct(), "edited")
+    held = tree.join(edited, "doc_id", "left_semi").withColumn("__block", F.floor(F.col("idx") / F.lit(BLOCK)).cast("long"))
+    packed = held.groupBy("doc_id", "__block").agg(F.sort_array(F.collect_list(F.struct("idx", "depth", "level"))).alias("x"))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    blocks = packed.select(
+        "doc_id", F.lit(0).alias("__kind"), F.col("__block").alias("step"), F.get("x", F.lit(0))["idx"].cast("long").alias("first"),
+        F.col("x.depth").cast("array<int>").alias("depths"), F.col("x.level").cast("array<int>").alias("levels"),
+        none("string", "op"), none("long", "target"), none("string", "title"), none("long", "page"), none("string", "error"),
+    )
+    orders = asked.select(
+        "doc_id", F.lit(1).alias("__kind"), "step", none("long", "first"), none("array<int>", "depths"), none("array<int>", "levels"), "op", "target", "title", "page", "error"
     )
-    added = placed.select("doc_id", F.col("at").alias("idx"), "level", "title", "page")
-    rejects = found.filter(~top & F.col("d").isNull()).select("doc_id", F.lit("NoSuchBookmark").alias("error"))
-    return moved.unionByName(added), rejects
+    dealt = blocks.unionByName(orders).repartition("doc_id").sortWithinPartitions("doc_id", "__kind", "step", "op", "target", "title", "page")
+    kind = tree.schema["doc_id"].dataType.simpleString()
+    shape = f"doc_id {kind}, step long, start long, source long, length long, depth int, level int, title string, page long, changed boolean, error string"
+    with_package(tree.sparkSession)
+    found = materialize(dealt.mapInArrow(_replayed, shape), "replayed")
+    runs = found.filter(F.col("start").isNotNull())
+    kept = runs.filter("source >= 0").select("doc_id", "start", "source", "length")
+    places = expand(kept, F.col("length"), "__i", bound=F.col("length"), spread=["doc_id", "start"], width=width)
+    places = places.select("doc_id", (F.col("source") + F.col("__i")).alias("__from"), (F.col("start") + F.col("__i")).alias("__to"))
+    old = tree.withColumn("__from", F.col("idx").cast("long")).join(places, ["doc_id", "__from"])
+    types = {c: tree.schema[c].dataType for c in ("idx", "title", "page")}
+    shown = ["doc_id", "idx", "level", "depth", "title", "page"]
+    added = runs.filter("source < 0").select("doc_id", F.col("start").cast(types["idx"]).alias("idx"), "level", "depth", F.col("title").cast(types["title"]).alias("title"), F.col("page").cast(types["page"]).alias("page"))
+    moved = old.select("doc_id", F.col("__to").cast(types["idx"]).alias("idx"), "level", "depth", "title", "page")
+    still = tree.join(edited, "doc_id", "left_anti").select(*shown)
+    outcomes = found.filter(F.col("start").isNull()).select("doc_id", "step", "changed", "error")
+    return still.unionByName(moved).unionByName(added), outcomes
+
+
+def _edits(rows: DataFrame, op: str, target: str) -> DataFrame:
+    """One edit for each row; several of a document follow in the order of ``step`` if there is such a column, else of their targets."""
+    step = F.col("step") if "step" in rows.columns else F.lit(0)
+    text = [F.col(c) if c in rows.columns else F.lit(None).alias(c) for c in ("title", "page")]
+    return rows.select("doc_id", step.alias("step"), F.lit(op).alias("op"), F.col(target).alias("target"), *text)
+
+
+def _edited_alone(tree: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items of documents with an edit that was done, outcomes by document, refused edits)."""
+    items, outcomes = outline_edit(tree, edits)
+    done = outcomes.filter("error is null").groupBy("doc_id").agg(F.max("changed").alias("moved"))
+    rejects = outcomes.filter("error is not null").select("doc_id", "error")
+    return items.join(done, "doc_id").select("doc_id", "idx", "level", "title", "page", "moved"), done, rejects
+
 
+def outline_add(tree: DataFrame, additions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Append items under pre-order node ``parent`` - 1 (0 is the top level): (items of the documents added to, rejects).
 
-def _node(tree: DataFrame, picks: DataFrame) -> DataFrame:
-    return picks.join(tree, ["doc_id", "idx"])
+    ``additions``: doc_id, parent, title, page, and ``step`` where a document has several.
+    """
+    items, _, rejects = _edited_alone(tree, _edits(additions, "add", "parent"))
+    return items.drop("moved"), rejects
 
 
 def outline_remove(tree: DataFrame, picks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Remove the item at pre-order ``idx`` and everything under it. ``picks``: doc_id, idx."""
-    cut = _node(tree, picks).select("doc_id", F.col("idx").alias("__a"), (F.col("idx") + F.col("descendants")).alias("__b"))
-    gap = F.col("__b") - F.col("__a") + 1
-    left = (
-        tree.join(cut, "doc_id")
-        .filter((F.col("idx") < F.col("__a")) | (F.col("idx") > F.col("__b")))
-        .select("doc_id", (F.col("idx") - F.when(F.col("idx") > F.col("__b"), gap).otherwise(0)).alias("idx"), "level", "title", "page")
-    )
-    rejects = picks.join(tree.select("doc_id", "idx"), ["doc_id", "idx"], "left_anti").select("doc_id", F.lit("NoSuchBookmark").alias("error"))
-    return left, rejects
+    """Remove items at pre-order ``idx`` and everything under them, one after the other. ``picks``: doc_id, idx, and ``step`` if several."""
+    items, _, rejects = _edited_alone(tree, _edits(picks, "remove", "idx"))
+    return items.drop("moved"), rejects
 
 
 def outline_move(tree: DataFrame, picks: DataFrame, *, up: bool) -> DataFrame:
-    """Swap an item with the sibling before (or after) it, subtrees included.
+    """Swap items with the sibling before (or after) them, subtrees included. ``picks`` as in :func:`outline_remove`.
 
-    At the end of its list nothing changes and ``moved`` is false.
+    At the end of its list nothing changes; ``moved`` tells whether anything of the document did.
     """
-    node = _node(tree, picks).select(
-        "doc_id", F.coalesce("parent", F.lit(-1)).alias("__p"), F.col("sibling").alias("__s"), F.col("idx").alias("__i"), F.col("descendants").alias("__d")
-    )
-    other = tree.select(
-        "doc_id",
-        F.coalesce("parent", F.lit(-1)).alias("__p"),
-        (F.col("sibling") + (1 if up else -1)).alias("__s"),
-        F.col("idx").alias("__oi"),
-        F.col("descendants").alias("__od"),
-    )
-    pair = node.join(other, ["doc_id", "__p", "__s"], "left").select("doc_id", "__i", "__d", "__oi", "__od")
-    idx = F.col("idx")
-    mine = (idx >= F.col("__i")) & (idx <= F.col("__i") + F.col("__d"))
-    theirs = (idx >= F.col("__oi")) & (idx <= F.col("__oi") + F.col("__od"))
-    sign = -1 if up else 1
-    shifted = F.when(mine & F.col("__oi").isNotNull(), idx + sign * (F.col("__od") + 1)).when(theirs, idx - sign * (F.col("__d") + 1)).otherwise(idx)
-    return tree.join(pair, "doc_id").select(
-        "doc_id", shifted.cast("int").alias("idx"), "level", "title", "page", F.col("__oi").isNotNull().alias("moved")
-    )
+    return _edited_alone(tree, _edits(picks, "up" if up else "down", "idx"))[0]
 
 
 def outline_export(tree: DataFrame, *, width: int | None = None) -> DataFrame:

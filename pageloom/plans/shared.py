@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,14 @@ def discard(*tables: DataFrame) -> None:
             if "/pageloom/" in path:
                 where = spark._jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def with_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder the driver has it in.
+
+    A cluster without that folder gets the package through ``--py-files`` instead.
+    """
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    known = env.get("PYTHONPATH", "")
+    if here not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (here, known) if x)
