@@ -18,51 +18,42 @@ BLOCK = 256
 GROUP = 1024
 
 
-def _above(stack: Column, level: Column, *, ties: bool = False) -> Column:
-    """The nearest entry of a stack with a lower level (or an equal one, with ``ties``); null if there is none."""
-    lower = F.filter(stack, lambda e: e["level"] <= level if ties else e["level"] < level)
-    return F.try_element_at(lower, F.lit(-1))
+_ENTRIES = "array<struct<level:int,seq:int>>"
 
 
-def _onto(far: Column, near: Column) -> Column:
-    """The stack of a stretch from those of its two parts: what no entry of the nearer part hides stays."""
-    floor = F.get(near, F.lit(0))["level"]
-    return F.when(F.size(near) == 0, far).otherwise(F.concat(F.filter(far, lambda e: e["level"] < floor), near))
+def _above(stack: str, level: str, *, ties: bool = False) -> str:
+    """Expression: the item of the nearest entry of a stack with a lower level (or an equal one, with ``ties``), or null."""
+    return f"try_element_at(filter({stack}, e -> e.level {'<=' if ties else '<'} {level}), -1).seq"
 
 
-def _scan(items: Column, *, ties: bool) -> Column:
-    """(out, stack) of an array of (seq, level): for each item the nearest lower one, how many there are, and the lowest level so far."""
-    entry = "struct<level:int,seq:int>"
-    start = F.struct(
-        F.array().cast("array<struct<near:int,open:int,low:int>>").alias("out"), F.array().cast(f"array<{entry}>").alias("stack")
-    )
+def _onto(far: str, near: str) -> str:
+    """Expression: the stack of a stretch from those of its two parts. What no entry of the nearer part hides stays."""
+    return f"if(size({near}) = 0, {far}, concat(filter({far}, f -> f.level < {near}[0].level), {near}))"
 
-    def step(state: Column, item: Column) -> Column:
-        level = item["level"].cast("int")
-        under = F.filter(state["stack"], lambda e: e["level"] < level)
-        found = F.struct(
-            _above(state["stack"], level, ties=ties)["seq"].alias("near"),
-            F.size(under).alias("open"),
-            F.least(F.get(state["stack"], F.lit(0))["level"], level).alias("low"),
-        )
-        mine = F.struct(level.alias("level"), item["seq"].cast("int").alias("seq"))
-        return F.struct(F.array_append(state["out"], found).alias("out"), F.array_append(under, mine).alias("stack"))
 
-    return F.aggregate(items, start, step)
+def _scan(items: str, *, ties: bool) -> str:
+    """Expression: (out, stack) of an array of items; for each the nearest lower one, how many there are, and the lowest level so far."""
+    under = "filter(s.stack, e -> e.level < x.level)"
+    out = f"named_struct('near', {_above('s.stack', 'x.level', ties=ties)}, 'open', size({under}), 'low', int(least(get(s.stack, 0).level, x.level)))"
+    start = f"named_struct('out', cast(array() AS array<struct<near:int,open:int,low:int>>), 'stack', cast(array() AS {_ENTRIES}))"
+    step = f"named_struct('out', array_append(s.out, {out}), 'stack', array_append({under}, named_struct('level', int(x.level), 'seq', int(x.seq))))"
+    return f"aggregate({items}, {start}, (s, x) -> {step})"
+
 
+def _merged(held: str) -> str:
+    """Expression: (out, stack) of an array of stacks; for each what those before it come to, and what all of them do."""
+    start = f"named_struct('out', cast(array() AS array<{_ENTRIES}>), 'stack', cast(array() AS {_ENTRIES}))"
+    return f"aggregate({held}, {start}, (s, x) -> named_struct('out', array_append(s.out, s.stack), 'stack', {_onto('s.stack', 'x')}))"
 
-def _carried(stacks: DataFrame, order: str, keys: list[str], name: str, *, backwards: bool) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): for each row of ``stacks`` the stack of all rows before it under ``keys``, and the stack of all of them.
 
-    ``stacks`` has keys + (order, stack). A group is one array, so callers keep groups bounded.
+def _carried(stacks: DataFrame, order: str, keys: list[str]) -> DataFrame:
+    """Rows of ``stacks`` (keys, order, fore, rear, last) as one array for each group, with both merged stacks.
+
+    A group is one array, so callers keep groups bounded.
     """
-    held = F.sort_array(F.collect_list(F.struct(order, "stack")), asc=not backwards)
-    empty = F.array().cast("array<struct<level:int,seq:int>>")
-    start = F.struct(F.array().cast("array<array<struct<level:int,seq:int>>>").alias("out"), empty.alias("stack"))
-    folded = F.aggregate("held", start, lambda s, b: F.struct(F.array_append(s["out"], s["stack"]).alias("out"), _onto(s["stack"], b["stack"]).alias("stack")))
-    grouped = stacks.groupBy(*keys).agg(held.alias("held")).select(*keys, "held", folded.alias("f"))
-    rows = grouped.select(*keys, F.explode(F.arrays_zip(F.col(f"held.{order}").alias(order), F.col("f.out").alias(name))).alias("x"))
-    return rows.select(*keys, f"x.{order}", f"x.{name}"), grouped.select(*keys, F.col("f.stack").alias("stack"))
+    held = F.expr(f"sort_array(collect_list(struct({order}, fore, rear, last))) AS held")
+    grouped = stacks.groupBy(*keys).agg(held, F.max("last").alias("last"))
+    return grouped.selectExpr(*keys, "held", "last", f"{_merged('held.fore')} AS ahead", f"{_merged('reverse(held.rear)')} AS behind")
 
 
 def outline_tree(items: DataFrame, *, block: int = BLOCK, group: int = GROUP, width: int | None = None) -> DataFrame:
@@ -77,43 +68,35 @@ def outline_tree(items: DataFrame, *, block: int = BLOCK, group: int = GROUP, wi
     once; the plan is the same for any number of levels, and nothing runs beforehand.
     """
     tagged = items.withColumn("__block", F.floor((F.col("seq") - 1) / F.lit(block)).cast("long"))
-    row = F.struct("seq", "level", "title", "page")
-    blocks = tagged.groupBy("doc_id", "__block").agg(F.sort_array(F.collect_list(row)).alias("items"))
-    blocks = blocks.withColumn("fore", _scan(F.col("items"), ties=False)).withColumn("back", _scan(F.reverse("items"), ties=True))
-
-    past = blocks.filter("__block > 0").select("doc_id").distinct()  # at most one for each block of items
-    ends = blocks.join(past, "doc_id", "left_semi").select("doc_id", "__block", F.floor(F.col("__block") / F.lit(group)).alias("__group"), "fore.stack", F.col("back.stack").alias("rear"), F.element_at("items", -1)["seq"].alias("last"))
-    carry = ends.groupBy("doc_id", "__group").agg(F.max("last").alias("last"))
-    carry = carry.groupBy("doc_id").agg(F.max("last").alias("__last")).join(ends.select("doc_id", "__block", "__group"), "doc_id")
-    for side, column in (("__before", "stack"), ("__after", "rear")):
-        own = ends.select("doc_id", "__group", "__block", F.col(column).alias("stack"))
-        near, groups = _carried(own, "__block", ["doc_id", "__group"], "near", backwards=side == "__after")
-        far, _ = _carried(groups, "__group", ["doc_id"], "far", backwards=side == "__after")
-        merged = near.join(far, ["doc_id", "__group"]).select("doc_id", "__block", _onto(F.col("far"), F.col("near")).alias(side))
-        carry = carry.join(merged, ["doc_id", "__block"])
-    placed = blocks.join(carry.drop("__group"), ["doc_id", "__block"], "left")
-    none = F.array().cast("array<struct<level:int,seq:int>>")
-    flat = placed.select(
+    blocks = tagged.groupBy("doc_id", "__block").agg(F.expr("sort_array(collect_list(struct(seq, level, title, page))) AS items"))
+    blocks = blocks.selectExpr("doc_id", "__block", "items", f"{_scan('items', ties=False)} AS fore", f"{_scan('reverse(items)', ties=True)} AS back")
+
+    # a first block that is not full is its whole document
+    ends = blocks.filter(f"__block > 0 or size(items) = {block}").selectExpr(
+        "doc_id", "__block", f"__block div {group} AS __group", "fore.stack AS fore", "back.stack AS rear", "element_at(items, -1).seq AS last"
+    )
+    groups = _carried(ends, "__block", ["doc_id", "__group"])
+    whole = _carried(groups.selectExpr("doc_id", "__group", "ahead.stack AS fore", "behind.stack AS rear", "last"), "__group", ["doc_id"])
+    far = whole.selectExpr("doc_id", "last AS __last", "inline(arrays_zip(held.__group, ahead.out, reverse(behind.out))) AS (__group, __a, __b)")
+    near = groups.selectExpr("doc_id", "__group", "inline(arrays_zip(held.__block, ahead.out, reverse(behind.out))) AS (__block, __c, __d)")
+    carry = near.join(far, ["doc_id", "__group"]).selectExpr("doc_id", "__block", "__last", f"{_onto('__a', '__c')} AS __before", f"{_onto('__b', '__d')} AS __after")
+    none = f"cast(array() AS {_ENTRIES})"
+    flat = blocks.join(carry, ["doc_id", "__block"], "left").selectExpr(
         "doc_id",
-        F.coalesce("__before", none).alias("__before"),
-        F.coalesce("__after", none).alias("__after"),
-        F.coalesce("__last", F.element_at("items", -1)["seq"]).alias("__last"),
-        F.explode(F.arrays_zip("items", F.col("fore.out").alias("fore"), F.reverse("back.out").alias("back"))).alias("x"),
+        f"coalesce(__before, {none}) AS __before",
+        f"coalesce(__after, {none}) AS __after",
+        "coalesce(__last, element_at(items, -1).seq) AS __last",
+        "inline(arrays_zip(items, fore.out, reverse(back.out))) AS (x, f, b)",
     )
-    level = F.col("x.items.level").cast("int")
-    parent = F.coalesce("x.fore.near", _above(F.col("__before"), level)["seq"])
-    until = F.coalesce(F.col("x.back.near"), _above(F.col("__after"), level, ties=True)["seq"], F.col("__last") + 1)
-    depth = F.size(F.filter("__before", lambda e: e["level"] < F.col("x.fore.low"))) + F.col("x.fore.open") + 1
-    seq = F.col("x.items.seq")
-    tree = flat.select(
+    tree = flat.selectExpr(
         "doc_id",
-        (seq - 1).alias("idx"),
-        F.col("x.items.level").alias("level"),
-        F.col("x.items.title").alias("title"),
-        F.col("x.items.page").alias("page"),
-        (parent - 1).cast("int").alias("parent"),
-        depth.cast("int").alias("depth"),
-        (until - seq - 1).cast("int").alias("descendants"),
+        "x.seq - 1 AS idx",
+        "x.level AS level",
+        "x.title AS title",
+        "x.page AS page",
+        f"int(coalesce(f.near, {_above('__before', 'x.level')}) - 1) AS parent",
+        "int(size(filter(__before, e -> e.level < f.low)) + f.open + 1) AS depth",
+        f"int(coalesce(b.near, {_above('__after', 'x.level', ties=True)}, __last + 1) - x.seq - 1) AS descendants",
     )
     ranked = running(
         tree.withColumn("__parent", F.coalesce("parent", F.lit(-1))),
