@@ -132,7 +132,8 @@ def _reach(links, roots):
     return level
 
 
-def test_reachability_and_labels_by_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("core", [0, 20_000])
+def test_reachability_and_labels_by_brute_force(spark, core):
     import random
 
     from pageloom.plans import graph
@@ -141,17 +142,43 @@ def test_reachability_and_labels_by_brute_force(spark, monkeypatch):
     links = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [(100, 101), (101, 102), (102, 100), (200, 200), (7, 300), (300, 301), (301, 300)]
     df = spark.createDataFrame(links, "src long, dst long")
     roots = [3, 7, 200, 101, 999]
-    got = {r.id: r.level for r in graph.reachable(df, spark.createDataFrame([(r,) for r in roots], "id long"), []).collect()}
+    got = {r.id: r.level for r in graph.reachable(df, spark.createDataFrame([(r,) for r in roots], "id long"), [], core=core).collect()}
     assert got == _reach(links, roots)
     seeds = {3: 5, 7: 2, 101: 9, 102: 4, 12: 1, 200: 8}
     want = {}
     for seed, label in sorted(seeds.items(), key=lambda x: x[1]):
         for node in _reach(links, [seed]):
             want.setdefault(node, label)
-    found = graph.smallest_label(df, spark.createDataFrame(list(seeds.items()), "id long, label long"), [])
+    found = graph.smallest_label(df, spark.createDataFrame(list(seeds.items()), "id long, label long"), [], core=core)
     assert {r.id: r.label for r in found.collect()} == want
 
 
+@pytest.mark.parametrize("core", [2_000, 20_000])
+def test_a_deep_ladder_takes_few_rounds(spark, monkeypatch, core):
+    """Two rails with rungs: every node but the first has two ways in, so no chain can be contracted."""
+    from pageloom.plans import graph
+
+    tables = []
+    write = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, label: tables.append(label) or write(df, label))
+    steps = spark.range(2000)
+    rails = [steps.select((2 * F.col("id") + a).alias("src"), (2 * F.col("id") + 2 + b).alias("dst")) for a in (0, 1) for b in (0, 1)]
+    links = rails[0].union(rails[1]).union(rails[2]).union(rails[3])
+    got = graph.reachable(links, spark.createDataFrame([(0,)], "id long"), [], core=core)
+    levels = {r.id: r.level for r in got.collect()}
+    assert levels == {0: 0, **{i: i // 2 for i in range(2, 4002)}}
+    assert sum(t == "links" for t in tables) <= 16
+
+
+def test_keys_and_names_keep_their_types(spark):
+    from pageloom.plans import graph
+
+    links = spark.createDataFrame([(k, a, b) for k in (1, 2) for a, b in [("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("c", "d"), ("b", "d")]], "doc int, src string, dst string")
+    got = graph.reachable(links, spark.createDataFrame([(1, "r"), (2, "b")], "doc int, id string"), ["doc"])
+    assert dict(got.dtypes) == {"doc": "int", "id": "string", "level": "int"}
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (1, "b", 1), (1, "c", 2), (1, "d", 2), (1, "r", 0), (2, "a", 2), (2, "b", 0), (2, "c", 1), (2, "d", 1)]
+
+
 def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     from pageloom.plans import graph
 
