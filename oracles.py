@@ -119,6 +119,15 @@ VIEWS: dict[str, str] = {
     "f9_annots": """SELECT user_id AS doc_id, CAST(event_id % 5 + 1 AS INT) AS page_no, event_id AS annot_id,
  CASE event_type WHEN 'purchase' THEN 'Widget' WHEN 'click' THEN 'Link' WHEN 'signup' THEN 'Popup' WHEN 'view' THEN 'Highlight' ELSE 'Stamp' END AS subtype,
  event_id % 3 <> 0 AS has_appearance, event_id % 11 = 0 AS hidden FROM events""",
+    # starts that hold, one leading to the next
+    "f9_queue": """SELECT user_id % 16 AS queue, event_id AS seq, user_id AS job_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'cancel' WHEN 'purchase' THEN 'done' ELSE 'failed' END AS action FROM events""",
+    "f9_start": """SELECT q.queue, q.seq, q.ended, (SELECT min(n.seq) FROM f9_queue n WHERE n.queue = q.queue AND n.action = 'running' AND n.seq > q.ended) AS next
+ FROM (SELECT s.queue, s.seq, (SELECT min(e.seq) FROM f9_queue e WHERE e.queue = s.queue AND e.job_id = s.job_id AND e.action IN ('done', 'failed') AND e.seq > s.seq) AS ended FROM f9_queue s WHERE s.action = 'running') q""",
+    "f9_held": """SELECT s.* FROM f9_start s JOIN (SELECT queue, min(seq) AS seq FROM f9_start GROUP BY queue) f ON f.queue = s.queue AND f.seq = s.seq
+ UNION ALL SELECT s.* FROM f9_held h JOIN f9_start s ON s.queue = h.queue AND s.seq = h.next""",
+    "f9_run": """SELECT v.*, CASE WHEN action = 'running' AND NOT held THEN 'AlreadyRunning' WHEN action IN ('done', 'failed') AND NOT held THEN 'NotRunning'
+  WHEN action = 'cancel' AND coalesce(last_value(CASE WHEN held OR action IN ('queued', 'cancel') THEN action END IGNORE NULLS) OVER (PARTITION BY queue, job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') <> 'queued' THEN 'NotWaiting' END AS reason
+ FROM (SELECT q.*, q.seq IN (SELECT seq FROM f9_held UNION ALL SELECT ended FROM f9_held WHERE ended IS NOT NULL) AS held FROM f9_queue q) v""",
     "f10_pairs": """SELECT a.vec_id AS pair_id, a.embedding AS left_s, b.embedding AS right_s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 2 = 0""",
     "f11_ranges": """SELECT d.doc_id, r.start_page, r.style, r.prefix, r.first FROM f1_docs d JOIN (VALUES ('1-URGENT',1,'lower-roman','',1),('1-URGENT',3,'decimal','A-',1),('2-HIGH',2,'upper-alpha','',26),
  ('5-LOW',1,'none','Cover',1),('5-LOW',2,'decimal','',1)) AS r(source,start_page,style,prefix,first) ON r.source = d.source""",
@@ -360,6 +369,8 @@ SQL: dict[str, str] = {
     "t1_job_status": "SELECT job_id, status, status IN ('done', 'failed', 'cancelled') AS finished FROM f9_status WHERE status <> 'none'",
     "t1_queue_summary": "SELECT status, count(*) AS jobs FROM f9_status WHERE status <> 'none' GROUP BY status",
     "t1_job_status_stream": "SELECT job_id, status, status IN ('done', 'failed', 'cancelled') AS finished FROM f9_status WHERE status <> 'none'",
+    "t1_queue_run": "SELECT queue, seq, job_id, action, reason IS NULL AS accepted, reason FROM f9_run",
+    "t1_queue_run_stream": "SELECT queue, seq, job_id, action, reason IS NULL AS accepted, reason FROM f9_run",
     "t2_edit_log_stream": "SELECT doc_id, page_no, rotation FROM f9_fold",
     "j10_form_fill": "SELECT doc_id, name, outcome, reason FROM f8_outcome",
     "j10_form_report": "SELECT doc_id, count(*) FILTER (outcome = 'filled') AS filled, count(*) FILTER (outcome = 'not_found') AS not_found, count(*) FILTER (outcome = 'unsupported') AS unsupported FROM f8_outcome GROUP BY doc_id",

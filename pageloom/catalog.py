@@ -871,6 +871,16 @@ def t1_job_status_stream(spark, d):
     return logs.job_status(v.jobs_of(_streamed(spark, d)))
 
 
+@query
+def t1_queue_run(spark, d):
+    return audit.queue_run(v.queues_of(v.jobs(spark, d)))
+
+
+@query
+def t1_queue_run_stream(spark, d):
+    return logs.queue_run(v.queues_of(v.jobs_of(_streamed(spark, d))))
+
+
 @query
 def t2_edit_log_stream(spark, d):
     return logs.edit_log(v.edits_of(_streamed(spark, d)))

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pageloom.plans.graph import walk_chain
+from pageloom.plans.scan import Running, running
+from pageloom.plans.shared import materialize
+
 # What an archival document must not carry.
 SCRIPT = r"(?is)<script[^>]*>.*?</script>"
 LAUNCH = r'(?i) href="file:[^"]*"'
@@ -180,3 +184,35 @@ def job_status_of(folded: DataFrame) -> DataFrame:
 def job_status(events: DataFrame) -> DataFrame:
     """Latest state of every job that was ever queued."""
     return job_status_of(events.groupBy("job_id").agg(*job_state_columns()))
+
+
+def queue_run(events: DataFrame, *, width: int | None = None) -> DataFrame:
+    """Outcome of every event (queue, seq, job_id, action) of queues that run one job at a time.
+
+    A job may start while none runs (else AlreadyRunning), end while it runs (NotRunning)
+    and be cancelled while it waits (NotWaiting). ``seq`` is unique in a queue. Which
+    starts hold depends on those before: each start leads to the first one after its own
+    job's end, so the starts that hold are a chain, followed by pointer doubling however
+    long a queue is. Everything else is windows over buckets of the queue.
+    """
+    action, seq = F.col("action"), F.col("seq")
+    end = action.isin("done", "failed")
+    rows = materialize(events.select("queue", seq.cast("long").alias("seq"), F.col("job_id").cast("long").alias("job_id"), "action"), "queue")
+    ahead = running(rows, ["queue"], "seq", {"next_start": Running("min", F.when(action == "running", seq), inclusive=False)}, width=width, descending=True)
+    ended = F.when(end, F.struct(seq.alias("seq"), F.col("next_start").alias("next")))
+    starts = running(ahead, ["queue", "job_id"], "seq", {"end": Running("last", ended, inclusive=False)}, width=width, descending=True).filter(action == "running")
+    starts = materialize(starts.select("queue", F.col("seq").alias("node"), F.col("end.next").alias("next"), F.col("end.seq").alias("end")), "starts")
+    first = starts.groupBy("queue").agg(F.min("node").alias("node"))
+    held = walk_chain(starts, first, ["queue"], []).select("queue", "node")
+    held = materialize(starts.join(held, ["queue", "node"]), "held")
+    counts = held.select("queue", F.col("node").alias("seq")).unionByName(held.filter("end is not null").select("queue", F.col("end").alias("seq"))).withColumn("__held", F.lit(True))
+    marked = rows.join(counts, ["queue", "seq"], "left")
+    matters = F.when(F.col("__held") | action.isin("queued", "cancel"), action)
+    known = running(marked, ["queue", "job_id"], "seq", {"before": Running("last", matters, inclusive=False)}, width=width)
+    reason = (
+        F.when((action == "running") & F.col("__held").isNull(), "AlreadyRunning")
+        .when(end & F.col("__held").isNull(), "NotRunning")
+        .when((action == "cancel") & ~F.coalesce(F.col("before") == "queued", F.lit(False)), "NotWaiting")
+        .when(~F.coalesce(action.isin("queued", "running", "done", "failed", "cancel"), F.lit(False)), "UnknownAction")
+    )
+    return known.select("queue", "seq", "job_id", "action", reason.isNull().alias("accepted"), reason.alias("reason"))

@@ -362,6 +362,11 @@ def jobs_of(events: DataFrame) -> DataFrame:
     )
 
 
+def queues_of(jobs: DataFrame) -> DataFrame:
+    """Jobs dealt to sixteen queues."""
+    return jobs.select(F.pmod("job_id", F.lit(16)).alias("queue"), "seq", "job_id", "action")
+
+
 def attachments(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         F.col("user_id").alias("doc_id"), F.col("event_type").alias("name"), F.col("props").alias("payload"), F.col("event_id").alias("seq")
