@@ -90,6 +90,10 @@ def _blocks(code: str) -> F.Column:
     return F.array(*[F.struct(F.lit(k).alias("block"), part(k).alias("value")) for k in range(BLOCKS)])
 
 
+#: Shingles of windows that wait in a task before they are passed on.
+HELD_SHINGLES = 1 << 19
+
+
 def windows(docs: DataFrame, known: np.ndarray, sizes: list[int]) -> DataFrame:
     """Item-sized windows of all texts that hold as many item shingles as the similarity needs, with fingerprints.
 
@@ -101,8 +105,14 @@ def windows(docs: DataFrame, known: np.ndarray, sizes: list[int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        names = ["doc_id", "mark", "start_word", "size", "code", "shingles"]
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], names)
+
         for batch in arrow_batches(batches, 1000):
-            out = []
+            out, waiting = [], 0
             for doc, mark, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 h = word_hashes(words(text))
                 if not len(h):
@@ -123,9 +133,11 @@ def windows(docs: DataFrame, known: np.ndarray, sizes: list[int]) -> DataFrame:
                     total = np.concatenate([[0], np.cumsum(hit)])
                     for start in np.flatnonzero(total[span:] - total[:-span] >= least).tolist():
                         out.append((doc, mark, start, size, fingerprint(h[start : start + size]), shingles[start : start + span].view(np.int64)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            names = ["doc_id", "mark", "start_word", "size", "code", "shingles"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names)
+                        waiting += span
+                        if waiting >= HELD_SHINGLES:  # one long text may have any number of such windows
+                            yield made(out)
+                            out, waiting = [], 0
+            yield made(out)
 
     return in_arrow(_marked(docs).select(F.col("doc_id").cast("long"), "mark", "text"), run, "doc_id long, mark long, start_word long, size int, code long, shingles array<long>")
 

@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.llm.common import arrow_batches, in_arrow, ship
 from pageloom.llm.vocabulary import VOCABULARY, encode
+from pageloom.plans.shared import materialize
 
 TIERS = (2048, 1024, 512, 256)
 END = 1
-#: Input rows packed together in one task; the number of tasks follows the input.
+#: Pieces packed together in one task; the number of tasks follows that of the pieces.
 SHARD_ROWS = 16_384
 #: Tokens of one step group.
 GROUP_TOKENS = 1 << 16
@@ -119,13 +120,14 @@ def pack(docs: DataFrame, *, name: str = VOCABULARY, end: int = END) -> DataFram
 
     Documents longer than the longest tier give full windows. The rest of each goes to
     the tier of its length (2048, 1024, 512, 256), opens a window there, and gaps are
-    filled from shorter ones. A null or empty text is its final id alone. Rows are
+    filled from shorter ones. A null or empty text is its final id alone. Pieces are
     dealt to packing tasks by number, not by key, so repeated ids, a long document or a
     large source do not meet in one task; each task leaves at most one window unfilled.
     """
     spark = docs.sparkSession
     ship(spark)
-    shards = max(1, -(-docs.count() // SHARD_ROWS))
-    dealt = pieces(docs, name=name, end=end).withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(shards)))
+    cut = materialize(pieces(docs, name=name, end=end), "pieces")
+    shards = max(1, -(-cut.count() // SHARD_ROWS))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("row", "start"), F.lit(shards)))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
     return dealt.groupBy("shard").applyInPandas(_pack, schema)
