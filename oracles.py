@@ -204,6 +204,7 @@ SQL: dict[str, str] = {
  FROM f12_uniq GROUP BY doc_id""",
     "s11_page_image_names": """SELECT s.doc_id, s.pos, concat('doc', s.doc_id, '-', lpad(CAST(s.page_no AS VARCHAR), CAST(length(CAST(d.page_count AS VARCHAR)) AS INT), '0'), '.png') AS name FROM f12_sel s JOIN f1_docs d ON d.doc_id = s.doc_id""",
     "s5_write_partitioned": """SELECT doc_id, CAST((page_no - 1) // 2 AS INT) AS chunk, count(*) AS pages, CAST(sum(image_id) AS BIGINT) AS image_sum FROM f1_pages GROUP BY doc_id, (page_no - 1) // 2""",
+    "s5_atomic_save": """SELECT doc_id, CAST((page_no - 1) // 2 AS INT) AS chunk, count(*) AS pages, CAST(sum(image_id) AS BIGINT) AS image_sum FROM f1_pages WHERE doc_id % 3 <> 1 GROUP BY doc_id, (page_no - 1) // 2""",
     "s5_taken_names": """WITH n AS (SELECT concat('doc', doc_id % 1000, '-', c + 1) AS name FROM (SELECT DISTINCT doc_id, (page_no - 1) // 2 AS c FROM f1_pages))
  SELECT name FROM n GROUP BY name HAVING count(*) > 1 OR name IN (SELECT concat('doc', doc_id, '-1') FROM f1_docs WHERE doc_id % 10 = 3)""",
     "u4_lost_objects": """SELECT source AS doc_id, doc_id AS id FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id <> (SELECT max(doc_id) FROM documents e WHERE e.source = d.source)""",
@@ -280,6 +281,8 @@ SQL: dict[str, str] = {
     "s9_outline_export": """SELECT doc_id, idx, concat(CASE WHEN sibling > 1 THEN ',' ELSE '' END, '{"title":', to_json(title), ',"page":', page, ',"children":[', repeat(']}', CAST(greatest(depth - coalesce(lead(depth) OVER (PARTITION BY doc_id ORDER BY idx), 1) + 1, 0) AS INT))) AS fragment FROM f4_tree""",
     "s9_outline_import": """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS s, unnest(generate_series(1, len(ls))) AS i, len(ls) AS n FROM l)
  SELECT doc_id, CASE WHEN i % 2 = 1 THEN lpad(CAST((i + 1) // 2 AS VARCHAR), 10, '0') ELSE lpad(CAST(i // 2 AS VARCHAR), 10, '0') || '/0000000001' END AS path, CASE WHEN i % 2 = 1 THEN 1 ELSE 2 END AS depth, s AS title, CAST(i AS BIGINT) AS page FROM x WHERE n <= 12""",
+    "s9_outline_import_deep": """WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '')[1:10] AS ls FROM documents), x AS (SELECT doc_id, unnest(ls) AS s, unnest(generate_series(1, len(ls))) AS i FROM l)
+ SELECT doc_id, repeat('0000000001/', CAST(i - 1 AS INT)) || '0000000001' AS path, CAST(i AS INT) AS depth, s AS title, CAST(i AS BIGINT) AS page FROM x""",
     "s9_outline_import_rejects": """SELECT doc_id, 'PageOutOfRange' AS error, CAST(13 AS BIGINT) AS page FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) > 12""",
     "j1_outline_destinations": """WITH hop AS (SELECT doc_id, seq, CASE WHEN seq % 3 = 0 THEN seq + 1 END AS up, CASE WHEN seq % 3 <> 0 THEN seq END AS page FROM f4_outline),
  walk AS (SELECT doc_id, seq AS start, seq AS at, 1 AS n FROM hop UNION ALL SELECT w.doc_id, w.start, h.up, n + 1 FROM walk w JOIN hop h ON h.doc_id = w.doc_id AND h.seq = w.at WHERE h.up IS NOT NULL AND n < 16),

@@ -160,6 +160,24 @@ def s5_write_partitioned(spark, d):
     return back.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("pages"), F.sum("image_id").alias("image_sum"))
 
 
+@query
+def s5_atomic_save(spark, d):
+    """Three saves to one folder: two that are published and, between them, one stopped by a name that is taken."""
+    path, stem = new_path(spark, "saved"), F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    pieces = v.pages(spark, d).select(
+        F.pmod("doc_id", F.lit(16)).cast("int").alias("shelf"), "doc_id", "page_no", F.floor((F.col("page_no") - 1) / 2).cast("int").alias("chunk"), "image_id"
+    )
+    names = assemble.manifest(assemble.split_every(v.docs(spark, d), 2), "{stem}-{index}", stem).select("doc_id", "name")
+    part = lambda df, *turns: df.filter(F.pmod("doc_id", F.lit(3)).isin(*turns))
+    for turns in ((0,), (0, 1), (2,)):
+        try:
+            io.save_pieces(part(pieces, *turns), path, by=["shelf"], cluster=["doc_id", "chunk"], names=part(names, *turns))
+        except FileExistsError:
+            continue
+    back = io.read_pieces(spark, path)
+    return back.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("pages"), F.sum("image_id").alias("image_sum"))
+
+
 @query
 def s5_taken_names(spark, d):
     """Names that stop a write: pieces named by document and digits only, in a folder that holds every tenth extract."""
@@ -461,6 +479,18 @@ def s9_outline_import_rejects(spark, d):
     return outline.outline_import(_nested_lists(spark, d))[1]
 
 
+def _deep_lists(spark, d):
+    """The first ten lines of each text, each under the one before."""
+    lines = F.slice(F.filter(F.split("text", "\n"), lambda s: s != ""), 1, 10)
+    quoted = F.transform(lines, lambda s, i: F.concat(F.substr(F.to_json(F.struct(s.alias("title"))), F.lit(1), F.length(F.to_json(F.struct(s.alias("title")))) - 1), F.lit(',"page":'), (i + 1).cast("string"), F.lit(',"children":[')))
+    return v.text_table(spark, d).select("doc_id", F.lit(10).alias("page_count"), F.concat(F.lit("["), F.array_join(quoted, ""), F.repeat(F.lit("]}"), F.size(lines)), F.lit("]")).alias("json"))
+
+
+@query
+def s9_outline_import_deep(spark, d):
+    return outline.outline_import(_deep_lists(spark, d))[0]
+
+
 def _dest_name(number):
     return F.concat(F.lit("n"), number.cast("string"))
 

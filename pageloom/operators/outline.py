@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -372,54 +373,81 @@ def outline_export(tree: DataFrame, *, width: int | None = None) -> DataFrame:
     return ahead.select("doc_id", "idx", F.concat(head, F.repeat(F.lit("]}"), closers)).alias("fragment"))
 
 
+def _strict_pairs(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    found = dict(pairs)
+    if len(found) != len(pairs):
+        raise ValueError("a name given twice")
+    return found
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(name)
+
+
+def _flat(text: str | None, page_count: int | None) -> tuple[str | None, int | None, list[tuple[str, int, str, int]]]:
+    """(error, page, rows) of one JSON list; rows are (path, depth, title, page) in pre-order."""
+    try:
+        top = json.loads(text or "", object_pairs_hook=_strict_pairs, parse_constant=_no_constant)
+    except (ValueError, RecursionError):
+        return "InvalidOutline", None, []
+    rows: list[tuple[str, int, str, int]] = []
+    outside = None
+    waiting = [(iter(enumerate(top, 1)), "", 1)] if isinstance(top, list) else []
+    if not isinstance(top, list):
+        return "InvalidOutline", None, []
+    while waiting:
+        items, above, depth = waiting[-1]
+        number, item = next(items, (0, None))
+        if not number:
+            waiting.pop()
+            continue
+        kids = item.get("children") if isinstance(item, dict) else None
+        title, page = (item.get("title"), item.get("page")) if isinstance(item, dict) else (None, None)
+        whole = type(page) is int and -(1 << 63) <= page < 1 << 63
+        if not isinstance(title, str) or not whole or not (kids is None or isinstance(kids, list)):
+            return "InvalidOutline", None, []
+        path = f"{above}{number:010d}"
+        rows.append((path, depth, title.encode("utf-8", "replace").decode(), page))
+        if outside is None and not (page_count is None or 1 <= page <= page_count):
+            outside = page
+        if kids:
+            waiting.append((iter(enumerate(kids, 1)), path + "/", depth + 1))
+    return ("PageOutOfRange", outside, []) if outside is not None else (None, None, rows)
+
+
+def _imported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "path", "depth", "title", "error", "page"]
+    for batch in batches:
+        kinds = [batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()]
+        out: list[tuple] = []
+        for k in range(batch.num_rows):  # one list at a time: a batch may hold many long ones
+            doc, count, text = (column[k].as_py() for column in batch.columns)
+            error, page, rows = _flat(text, count)
+            out += [(doc, None, None, None, error, page)] if error else [(doc, path, depth, title, None, at) for path, depth, title, at in rows]
+            if len(out) >= 4096 or k + 1 == batch.num_rows:
+                for at in range(0, len(out), 4096):
+                    part = out[at : at + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*part, strict=True), kinds, strict=True)], names)
+                out = []
+
+
 def outline_import(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nested JSON lists of any depth to flat rows: (items with a sortable ``path``, rejects).
 
-    ``lists``: doc_id, page_count, json. All items of a level are opened together, so
-    there are as many rounds as the deepest list has levels. Text that is not a list of
-    objects with a title and a page refuses the document (InvalidOutline), and so does a
-    page outside it (PageOutOfRange, with the first such page in pre-order). An empty
-    list leaves no rows.
+    ``lists``: doc_id, page_count, json. Each list is read once, where it is, whatever
+    its depth, with a stack in place of a round for each level; nothing is shuffled, and
+    the one job writes items and rejects together. Text that is not a list of objects with
+    a title and a whole page, or that gives a name twice, refuses the document
+    (InvalidOutline), and so does a page outside it (PageOutOfRange, with the first such
+    page in pre-order). An empty list leaves no rows.
     """
-    shape = "array<variant>"
-    parsed = lists.select("doc_id", "page_count", F.try_parse_json("json").alias("v"))
-    level = parsed.select("doc_id", "page_count", F.lit("").alias("above"), F.lit(0).alias("depth"), F.try_variant_get("v", "$", shape).alias("list"))
-    levels: list[DataFrame] = []
-    broken = [level.filter(F.col("list").isNull()).select("doc_id", "above")]
-    while True:
-        opened = level.filter(F.size("list") > 0).select("doc_id", "page_count", "above", "depth", F.posexplode("list").alias("i", "x"))
-        children = F.try_variant_get("x", "$.children", shape)
-        has_children = F.schema_of_variant(F.try_variant_get("x", "$.children", "variant"))
-        items = opened.select(
-            "doc_id",
-            "page_count",
-            F.concat("above", F.lpad((F.col("i") + 1).cast("string"), 10, "0")).alias("path"),
-            (F.col("depth") + 1).alias("depth"),
-            F.when(F.schema_of_variant(F.try_variant_get("x", "$.title", "variant")) == "STRING", F.try_variant_get("x", "$.title", "string")).alias("title"),
-            F.when(F.schema_of_variant(F.try_variant_get("x", "$.page", "variant")) == "BIGINT", F.try_variant_get("x", "$.page", "bigint")).alias("page"),
-            F.when(has_children.isNull() | (has_children == "VOID"), F.array().cast(shape)).otherwise(children).alias("list"),
-        )
-        found = materialize(items, "outline")
-        if found.isEmpty():
-            break
-        levels.append(found)
-        bad = F.col("title").isNull() | F.col("page").isNull() | F.col("list").isNull()
-        broken.append(found.filter(bad).select("doc_id", F.col("path").alias("above")))
-        level = found.filter(F.size("list") > 0).select("doc_id", "page_count", F.concat("path", F.lit("/")).alias("above"), "depth", "list")
-    refused = broken[0]
-    for part in broken[1:]:
-        refused = refused.unionByName(part)
-    refused = refused.select("doc_id").distinct().select("doc_id", F.lit("InvalidOutline").alias("error"), F.lit(None).cast("bigint").alias("page"))
-    if not levels:
-        none = lists.limit(0).select("doc_id", F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit("").alias("title"), F.lit(0).cast("bigint").alias("page"))
-        return none, refused
-    rows = levels[0]
-    for part in levels[1:]:
-        rows = rows.unionByName(part)
-    outside = rows.filter((F.col("page") < 1) | (F.col("page") > F.col("page_count"))).join(refused, "doc_id", "left_anti")
-    beyond = outside.groupBy("doc_id").agg(F.min_by(rows["page"], rows["path"]).alias("page")).select("doc_id", F.lit("PageOutOfRange").alias("error"), "page")
-    rejects = materialize(refused.unionByName(beyond), "refused")
-    return rows.join(rejects, "doc_id", "left_anti").select("doc_id", "path", "depth", "title", "page"), rejects
+    with_package(lists.sparkSession)
+    kind = lists.schema["doc_id"].dataType.simpleString()
+    shape = f"doc_id {kind}, path string, depth int, title string, error string, page long"
+    read = lists.select("doc_id", F.col("page_count").cast("long").alias("page_count"), "json").mapInArrow(_imported, shape)
+    found = materialize(read, "outline")
+    rejects = found.filter("error is not null").select("doc_id", "error", "page")
+    return found.filter("error is null").select("doc_id", "path", "depth", "title", "page"), rejects
 
 
 def outline_destinations(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -46,6 +48,98 @@ def taken_names(manifest: DataFrame, existing: DataFrame) -> DataFrame:
     return clash.union(twice).distinct()
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _records(spark: SparkSession, path: str) -> list[str]:
+    where, files = _files(spark, f"{path}/commits")
+    return sorted(s.getPath().getName() for s in files.listStatus(where)) if files.exists(where) else []
+
+
+def commits(spark: SparkSession, path: str) -> list[str]:
+    """Names of the stages that make up a folder of pieces, oldest first.
+
+    A commit is one numbered record that holds the name of its stage, with ``only`` where
+    that replaces all before it. It is moved to its place complete, so readers never see
+    part of a write.
+    """
+    out: list[str] = []
+    for name in _records(spark, path):
+        where, files = _files(spark, f"{path}/commits/{name}")
+        stream = files.open(where)
+        stage, *only = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        stream.close()
+        out = [stage] if only else [*out, stage]
+    return out
+
+
+def read_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """All published rows of a folder of pieces; what was staged but not published is not read."""
+    parts = [f"{path}/stages/{name}/rows" for name in commits(spark, path)]
+    if not parts:
+        raise FileNotFoundError(f"nothing published in {path}")
+    rows = spark.read.parquet(parts[0])
+    for part in parts[1:]:
+        rows = rows.unionByName(spark.read.parquet(part))
+    return rows
+
+
+def published_names(spark: SparkSession, path: str) -> DataFrame:
+    """Names of all pieces that a folder holds."""
+    parts = [f"{path}/stages/{name}/names" for name in commits(spark, path)]
+    if not parts:
+        return spark.createDataFrame([], "name string")
+    return spark.read.schema("name string").parquet(*parts)
+
+
+def _publish(spark: SparkSession, path: str, stage: str, number: int, only: bool) -> bool:
+    """Move a record to its place; false if another writer has taken the number."""
+    draft, files = _files(spark, f"{path}/stages/{stage}/record")
+    out = files.create(draft, True)
+    out.write(bytearray(f"{stage} only" if only else stage, "ascii"))
+    out.close()
+    record, _ = _files(spark, f"{path}/commits/{number:012d}")
+    files.mkdirs(record.getParent())
+    return not files.exists(record) and files.rename(draft, record)
+
+
+def save_pieces(pieces: DataFrame, path: str, *, by: list[str], cluster: list[str], names: DataFrame, force: bool = False) -> None:
+    """Publish ``pieces`` in a folder all at once, or nothing of them.
+
+    Rows and names are staged where no reader looks. Then all ``names`` are checked,
+    against each other and (unless ``force``, which replaces what is there) against those
+    published, and one record makes the stage part of the folder. A failed task, a taken
+    name or a lost driver leaves at most an unread stage. Where another writer published
+    meanwhile, names are checked again before the next try. The record is moved by a
+    rename that fails if the number is taken, as file systems with real renames have it.
+    Rows are laid out by hash of ``cluster``, finer than the folders, so one large piece
+    is written by many tasks.
+    """
+    spark = pieces.sparkSession
+    stage = uuid.uuid4().hex
+    at = f"{path}/stages/{stage}"
+    names.select(F.col("name").cast("string").alias("name")).write.parquet(f"{at}/names")
+    manifest = spark.read.schema("name string").parquet(f"{at}/names")
+    staged = False
+    while True:
+        records = _records(spark, path)
+        there = manifest.limit(0) if force else published_names(spark, path)
+        taken = taken_names(manifest, there).limit(1).collect()
+        if taken:
+            where, files = _files(spark, at)
+            files.delete(where, True)
+            raise FileExistsError(f"NameTaken: {taken[0]['name']}")
+        if not staged:
+            pieces.repartition(*[F.col(c) for c in (*by, *cluster)]).write.partitionBy(*by).parquet(f"{at}/rows")
+            staged = True
+            if _records(spark, path) != records:
+                continue
+        if _publish(spark, path, stage, len(records), force):
+            return
+
+
 def write_pieces(
     pieces: DataFrame, path: str, *, by: list[str], cluster: list[str], force: bool = False, manifest: DataFrame | None = None, existing: DataFrame | None = None
 ) -> None:
