@@ -15,36 +15,42 @@ from pageloom.plans.shared import materialize, with_package
 CORE = 20_000
 
 
-def _chains(refs: DataFrame, heads: DataFrame, seeds: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Contract what has a single way in: (nodes, links between the rest).
+def _chains(refs: DataFrame, heads: DataFrame | None, seeds: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Contract what has a single way in: (nodes, links between the rest, or None if there are none).
 
     A node with one incoming link, unless it is a head, is fully described by the node
     it comes from, so all such chains and trees shrink by pointer doubling to their
     ``anchor``: a head, or a node with several ways in or none. ``nodes`` has keys +
     (id, up, anchor, hops, low), low being the smallest label of the ``seeds`` (id,
     label) passed, the node's own included; ``up`` is only left on loops without a way
-    in. ``links`` lead from anchors to nodes with several ways in.
+    in. ``links`` lead from anchors to nodes with several ways in. What is known of a
+    node comes together in one aggregation; its ways in are several if the smallest and
+    the largest differ.
     """
-    once = materialize(refs.select(*keys, "src", "dst").distinct(), "links")
-    one = once.groupBy(*keys, F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("__n"), F.min("src").alias("__from"))
-    ends = once.select(*keys, F.col("src").alias("id")).unionByName(heads.select(*keys, "id")).unionByName(seeds.select(*keys, "id")).distinct()
-    every = (
-        one.join(ends, [*keys, "id"], "full_outer")
-        .join(heads.select(*keys, "id", F.lit(True).alias("__head")), [*keys, "id"], "left")
-        .join(seeds.select(*keys, "id", F.col("label").alias("low")), [*keys, "id"], "left")
-    )
-    up = F.when((F.col("__n") == 1) & F.col("__head").isNull() & (F.col("__from") != F.col("id")), F.col("__from"))
-    nodes = every.select(*keys, "id", up.alias("up"), F.col("id").alias("anchor"), F.when(up.isNotNull(), 1).otherwise(0).alias("hops"), "low")
+    every = materialize(refs.select(*keys, "src", "dst"), "links")
+    label = seeds.schema["label"].dataType
+    none = {"__from": F.lit(None).cast(refs.schema["src"].dataType), "__head": F.lit(None).cast("boolean"), "low": F.lit(None).cast(label)}
+    row = lambda df, id_, **known: df.select(*keys, F.col(id_).alias("id"), *[known.get(c, v).alias(c) for c, v in none.items()])
+    marks = row(every, "dst", __from=F.col("src")).unionByName(row(every, "src")).unionByName(row(seeds, "id", low=F.col("label")))
+    if heads is not None:
+        marks = marks.unionByName(row(heads, "id", __head=F.lit(True)))
+    known = marks.groupBy(*keys, "id").agg(F.min("__from").alias("__from"), F.max("__from").alias("__to"), F.max("__head").alias("__head"), F.min("low").alias("low"))
+    one = (F.col("__from") == F.col("__to")) & F.col("__head").isNull() & (F.col("__from") != F.col("id"))
+    up = F.when(one, F.col("__from"))
+    several = F.coalesce(F.col("__from") != F.col("__to"), F.lit(False)).alias("__several")
+    nodes = known.select(*keys, "id", up.alias("up"), F.col("id").alias("anchor"), F.when(up.isNotNull(), 1).otherwise(0).alias("hops"), "low", several)
     walked = climb(
         nodes,
         keys,
         lambda near, far: {"anchor": far("anchor"), "hops": near("hops") + far("hops"), "low": F.least(near("low"), far("low"))},
     )
-    several = one.filter("__n > 1").select(*keys, F.col("id").alias("dst"))
+    joints = walked.filter("__several").select(*keys, F.col("id").alias("dst"))
+    if joints.isEmpty():
+        return walked.drop("__several"), None
     start = walked.select(*keys, F.col("id").alias("src"), "anchor", "hops", F.col("low").alias("passed"))
-    links = once.join(several, [*keys, "dst"], "left_semi").join(start, [*keys, "src"])
+    links = every.join(joints, [*keys, "dst"], "left_semi").join(start, [*keys, "src"])
     links = links.groupBy(*keys, "anchor", "dst").agg(F.min("hops").alias("hops"), F.min("passed").alias("passed"))
-    return walked, materialize(links, "links")
+    return walked.drop("__several"), materialize(links, "links")
 
 
 def _improve(links: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
@@ -149,7 +155,7 @@ def reachable(refs: DataFrame, roots: DataFrame, keys: list[str], *, core: int =
     heads = roots.select(*keys, "id").distinct()
     nodes, links = _chains(refs, heads, heads.withColumn("label", F.lit(0)), keys)
     known = heads.withColumn("value", F.lit(0).cast("long"))
-    if not links.isEmpty():
+    if links is not None:
         known = least(links.select(*keys, F.col("anchor").alias("src"), "dst", (F.col("hops") + 1).cast("long").alias("w")), known, keys, core=core)
     found = nodes.filter(F.col("up").isNull()).join(known.withColumnRenamed("id", "anchor"), [*keys, "anchor"])
     return found.select(*keys, "id", (F.col("value") + F.col("hops")).cast("int").alias("level"))
@@ -162,9 +168,9 @@ def smallest_label(refs: DataFrame, seeds: DataFrame, keys: list[str], *, core:
     its label is passed on.
     """
     own = seeds.groupBy(*keys, "id").agg(F.min("label").alias("label"))
-    nodes, links = _chains(refs, own.limit(0), own, keys)
+    nodes, links = _chains(refs, None, own, keys)
     kind = seeds.schema["label"].dataType
-    if links.isEmpty():
+    if links is None:
         above = nodes.filter(F.col("up").isNull() & (F.col("id") == F.col("anchor"))).select(*keys, "anchor", F.col("low").alias("__above"))
     else:
         heads = nodes.filter(F.col("up").isNull() & (F.col("id") == F.col("anchor")))
