@@ -313,6 +313,7 @@ SQL: dict[str, str] = {
  SELECT n.doc_id, c.turn AS thread_id, CASE WHEN c.turn = 0 THEN c.text ELSE 'Untitled' END AS title, n.beads, CAST(c.turn + 1 AS INT) AS first_page FROM n JOIN conversations c ON c.conv_id = n.doc_id AND c.turn <= 1""",
     "g2_chain_rank": "SELECT conv_id AS doc_id, turn AS node, turn + 1 AS pos FROM conversations",
     "a5_dedup_exact": "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents",
+    "a5_dedup_by_dictionary": "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text, lang, source) AS canonical FROM documents",
     "a5_rewrite_refs": """WITH c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS canonical FROM documents)
  SELECT l.quality AS src, coalesce(c.canonical, l.doc_id) AS dst, c.canonical <> l.doc_id AS moved, count(*) AS refs FROM labels l LEFT JOIN c ON c.doc_id = l.doc_id GROUP BY ALL""",
     "a4_optimize_report": """WITH o AS (SELECT source, text, doc_id IN (SELECT doc_id FROM labels) AS live, coalesce(strlen(text), 0) AS size FROM documents),
@@ -336,6 +337,10 @@ SQL: dict[str, str] = {
  FROM f2_pages p JOIN f7_rects q ON q.page_no = p.page_no LEFT JOIN (SELECT doc_id, rect_id, count(*) FILTER (removed = glyphs) AS gone, count(*) FILTER (removed < glyphs) AS cut, sum(removed) AS glyphs FROM f7_hits GROUP BY ALL) h ON h.doc_id = p.doc_id AND h.rect_id = q.rect_id GROUP BY p.doc_id, q.rect_id""",
     "j4_redact_kept": "SELECT doc_id, line_no, text FROM f7_runs r WHERE NOT EXISTS (SELECT 1 FROM f7_hits h WHERE h.doc_id = r.doc_id AND h.line_no = r.line_no)",
     "j5_redact_find": """SELECT doc_id, needle, count(*) AS runs_removed, CAST(sum(length(text)) AS BIGINT) AS glyphs_removed, count(DISTINCT page_no) AS pages_redacted FROM f7_runs JOIN (VALUES ('the'), ('est'), ('ou'), ('zzqx')) AS n(needle) ON contains(text, needle) GROUP BY doc_id, needle""",
+    "j5_redact_requests": """WITH q AS (SELECT DISTINCT doc_id, unnest([substr(text, 5, 6), substr(text, 1, 1), substr(text, 20, 2), substr(text, 40, 3), 'zzqx']) AS needle FROM documents)
+ SELECT q.doc_id, needle, count(*) AS runs_removed, CAST(sum(length(r.text)) AS BIGINT) AS glyphs_removed, count(DISTINCT page_no) AS pages_redacted FROM q JOIN f7_runs r ON r.doc_id = q.doc_id AND contains(r.text, needle) WHERE needle <> '' GROUP BY q.doc_id, needle""",
+    "j5_request_rejects": """WITH q AS (SELECT DISTINCT doc_id, unnest([substr(text, 5, 6), substr(text, 1, 1), substr(text, 20, 2), substr(text, 40, 3), 'zzqx']) AS needle FROM documents)
+ SELECT doc_id, needle, CASE WHEN needle = '' THEN 'EmptySearchText' ELSE 'TextNotFound' END AS error FROM q WHERE needle = '' OR NOT EXISTS (SELECT 1 FROM f7_runs r WHERE r.doc_id = q.doc_id AND contains(r.text, q.needle))""",
     "j5_redact_rejects": """SELECT d.doc_id, needle, 'TextNotFound' AS error FROM documents d CROSS JOIN (VALUES ('the'), ('est'), ('ou'), ('zzqx')) AS n(needle) WHERE NOT EXISTS (SELECT 1 FROM f7_runs r WHERE r.doc_id = d.doc_id AND contains(r.text, needle))""",
     "j6_redact_paths": """SELECT doc_id, rect_id, count(*) AS paths_removed FROM (SELECT *, CASE WHEN line_no % 2 = 0 THEN 2 ELSE 0 END AS g FROM f7_runs WHERE line_no % 7 <> 0) r JOIN (VALUES (1, 1, 60, 300, 600, 800), (2, 2, 71, 100, 300, 770)) AS q(rect_id, page_no, a0, b0, a1, b1) ON q.page_no = r.page_no
  WHERE x0 - g >= a0 AND y0 - g >= b0 AND x1 + g <= a1 AND y1 + g <= b1 GROUP BY doc_id, rect_id""",
@@ -379,6 +384,7 @@ SQL: dict[str, str] = {
     "j10_form_report": "SELECT doc_id, count(*) FILTER (outcome = 'filled') AS filled, count(*) FILTER (outcome = 'not_found') AS not_found, count(*) FILTER (outcome = 'unsupported') AS unsupported FROM f8_outcome GROUP BY doc_id",
     "j10_form_data": "SELECT event_id AS doc_id, 'name' AS name, 'text' AS kind, event_type || event_id AS value FROM events WHERE event_id % 5 = 0 UNION ALL SELECT event_id, 'agree', 'bool', CASE WHEN event_id % 5 = 0 OR value > 10 THEN 'true' ELSE 'false' END FROM events WHERE event_id % 5 IN (0, 4)",
     "j10_form_data_rejects": """SELECT event_id AS doc_id, 'InvalidFormData' AS error, CASE event_id % 5 WHEN 1 THEN 'value of k is number' WHEN 2 THEN 'value of a is null' ELSE 'not an object' END AS detail FROM events WHERE event_id % 5 IN (1, 2, 3)""",
+    "j12_attachment_rejects": "SELECT user_id AS doc_id, event_id AS seq, 'InvalidAttachment' AS error FROM events WHERE event_id % 10 = 0",
     "j12_attachments_upsert": "SELECT user_id AS doc_id, event_type AS name, arg_max(props, event_id) AS payload, CAST(strlen(arg_max(props, event_id)) AS BIGINT) AS size FROM events GROUP BY user_id, event_type",
     "j12_extract_found": """SELECT user_id AS doc_id, event_type AS name, props AS payload, CAST(strlen(props) AS BIGINT) AS size FROM events e WHERE event_type IN ('click', 'signup')
  AND event_id = (SELECT max(event_id) FROM events x WHERE x.user_id = e.user_id AND x.event_type = e.event_type)""",
@@ -394,6 +400,19 @@ SQL: dict[str, str] = {
 }
 
 
+#: Views of Markdown, and the same over odd pages alone.
+_MARKDOWN = ("f3_seen", "w15_size", "w15_left", "w15_level", "w15_line", "w15_walk")
+
+
+def _of_odd_pages(sql: str) -> str:
+    return re.sub(rf"\b({'|'.join(_MARKDOWN)})\b", r"\1_odd", sql)
+
+
+VIEWS |= {f"{name}_odd": _of_odd_pages(VIEWS[name]) for name in _MARKDOWN}
+VIEWS["f3_seen_odd"] += " AND page_no % 2 = 1"
+SQL["w15_markdown_of_pages"] = _of_odd_pages(SQL["w15_to_markdown"])
+
+
 def _needed(sql: str) -> list[str]:
     names: list[str] = []
 

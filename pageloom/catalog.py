@@ -53,6 +53,13 @@ def s1_scan_corpus(spark, d):
     return io.corpus_info(v.docs(spark, d), v.pages(spark, d), v.facts(spark, d))
 
 
+@query
+def s1_file_corpus(spark, d):
+    """Every file of the document tables with its length and rows."""
+    names = ("orders", "lineitem", "documents", "pages", "events")
+    return io.file_corpus(spark, d, "*.parquet", {n: v.table(spark, d, n) for n in names}).filter("name is not null")
+
+
 def _inputs(spark, d):
     return v.docs(spark, d).select(F.col("owner").alias("merge_id"), F.col("doc_id").alias("input_ord"), "doc_id", "page_count", "source")
 
@@ -646,6 +653,12 @@ def a5_dedup_exact(spark, d):
     return objects.exact_copies(_text_objects(spark, d), [], F.col("text"))
 
 
+@query
+def a5_dedup_by_dictionary(spark, d):
+    objs = v.text_table(spark, d).select(F.col("doc_id").alias("id"), "text", "lang", "source")
+    return objects.exact_copies(objs, [], F.col("text"), attributes=["lang", "source"])
+
+
 @query
 def a5_rewrite_refs(spark, d):
     refs = v.table(spark, d, "labels").select(F.col("quality").alias("src"), F.col("doc_id").alias("dst"))
@@ -696,6 +709,12 @@ def w15_to_markdown(spark, d):
     return structure.to_markdown(_visible_lines(spark, d))
 
 
+@query
+def w15_markdown_of_pages(spark, d):
+    lines = _visible_lines(spark, d)
+    return structure.to_markdown(lines, picks=lines.select("doc_id", "page_no").filter(F.col("page_no") % 2 == 1))
+
+
 @query
 def w15_plain_paragraphs(spark, d):
     """Markdown with neither headings nor lists."""
@@ -728,6 +747,22 @@ def j5_redact_rejects(spark, d):
     return redact.find_rejects(v.runs(spark, d), v.table(spark, d, "documents"), _NEEDLES)
 
 
+def _requests(spark, d):
+    """Four needles of each document from its own text, of one to six characters, and one that is nowhere."""
+    at = [F.substring("text", 5, 6), F.substring("text", 1, 1), F.substring("text", 20, 2), F.substring("text", 40, 3), F.lit("zzqx")]
+    return v.text_table(spark, d).select("doc_id", F.explode(F.array(*at)).alias("needle"))
+
+
+@query
+def j5_redact_requests(spark, d):
+    return redact.requests_report(redact.find_requests(v.runs(spark, d), _requests(spark, d))[0])
+
+
+@query
+def j5_request_rejects(spark, d):
+    return redact.find_requests(v.runs(spark, d), _requests(spark, d))[1]
+
+
 @query
 def j6_redact_paths(spark, d):
     n = F.col("line_no")
@@ -948,6 +983,12 @@ def j10_form_data_rejects(spark, d):
     return forms.read_form_data(_form_rows(spark, d))[1]
 
 
+@query
+def j12_attachment_rejects(spark, d):
+    adds = v.attachments(spark, d).withColumn("name", F.when(F.col("seq") % 10 == 0, F.lit(" \t")).otherwise(F.col("name")))
+    return forms.attachments(adds)[1]
+
+
 @query
 def j12_attachments_upsert(spark, d):
     return forms.attachments(v.attachments(spark, d))[0]

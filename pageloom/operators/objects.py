@@ -86,13 +86,21 @@ def prune(objects: DataFrame, refs: DataFrame, roots: DataFrame, keys: list[str]
     return running(kept, keys, "num", {"new_id": Running("sum", F.lit(1))}, width=width).select(*keys, "id", "new_id")
 
 
-def exact_copies(objects: DataFrame, keys: list[str], content: Column) -> DataFrame:
+def _digest(content: Column, attributes: list[str] | None) -> Column:
+    if not attributes:
+        return F.sha2(content.cast("binary"), 256)
+    return F.sha2(F.concat(F.to_json(F.struct(*attributes)), F.lit("\n"), F.sha2(content.cast("binary"), 256)).cast("binary"), 256)
+
+
+def exact_copies(objects: DataFrame, keys: list[str], content: Column, *, attributes: list[str] | None = None) -> DataFrame:
     """Canonical id (the lowest) of every object: keys + (id, canonical).
 
+    Copies have the same content and, where ``attributes`` names columns, the same values in them.
+
     Contents are hashed once, and only groups of several are joined back: both sides of
     that join are written tables, so a hash that most objects share is split.
     """
-    hashed = objects.select(*keys, "id", F.sha2(content.cast("binary"), 256).alias("__h"), F.octet_length(content).alias("__n"))
+    hashed = objects.select(*keys, "id", _digest(content, attributes).alias("__h"), F.octet_length(content).alias("__n"))
     marked = materialize(hashed, "hashes")
     groups = marked.groupBy(*keys, "__h", "__n").agg(F.min("id").alias("canonical"), F.count(F.lit(1)).alias("__m"))
     first = materialize(groups.filter("__m > 1").drop("__m"), "copies")

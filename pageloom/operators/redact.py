@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pageloom.functions import geometry as g
+from pageloom.plans.shared import materialize
 
 GLYPH = 5.5
 BROADCAST_RECTS = 20_000
@@ -117,6 +118,46 @@ def find_rejects(runs: DataFrame, docs: DataFrame, needles: list[str]) -> DataFr
     return asked.join(hit, ["doc_id", "needle"], "left_anti").withColumn("error", F.lit("TextNotFound"))
 
 
+def _grams(text: str, size: str) -> str:
+    """Expression: all pieces of ``size`` characters, each once."""
+    return f"array_distinct(transform(sequence(1, greatest(length({text}) - {size} + 1, 1)), i -> substr({text}, i, {size})))"
+
+
+def find_requests(runs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits, rejects) of any number of (doc_id, needle) requests; hits are runs with a ``needle`` they hold.
+
+    Each request meets only the runs of its document that hold its rarest piece of three
+    characters (the whole needle if it is shorter): pieces of runs are joined with the
+    pieces that some request of the document has, counted, and the rarest one of each
+    needle is looked up. Candidates are then compared with the whole needle, case
+    counting. Neither documents and needles nor runs and needles are ever multiplied, and
+    the keys are (document, piece), so one large document is spread over its pieces.
+    Rejects: EmptySearchText for null or empty needles, TextNotFound where no run holds one.
+    """
+    asked = requests.select("doc_id", F.col("needle").cast("string").alias("needle")).distinct()
+    sized = asked.filter("needle <> ''").selectExpr("doc_id", "needle", "least(length(needle), 3) AS __size")
+    pieces = materialize(sized.selectExpr("doc_id", "needle", f"explode({_grams('needle', '__size')}) AS __gram"), "pieces")
+    sizes = sized.groupBy("doc_id").agg(F.collect_set("__size").alias("__sizes"))
+    known = pieces.select("doc_id", "__gram").distinct()
+    held = runs.select("doc_id", "line_no", "text").join(sizes, "doc_id").selectExpr(
+        "doc_id", "line_no", f"explode(array_distinct(flatten(transform(filter(__sizes, z -> z <= length(text)), z -> {_grams('text', 'z')})))) AS __gram"
+    )
+    posted = materialize(held.join(known, ["doc_id", "__gram"], "left_semi"), "postings")
+    counts = posted.groupBy("doc_id", "__gram").agg(F.count(F.lit(1)).alias("__n"))
+    rarest = pieces.join(counts, ["doc_id", "__gram"], "left").groupBy("doc_id", "needle").agg(F.expr("min(struct(coalesce(__n, 0) AS n, __gram AS gram)) AS r"))
+    looked = rarest.filter("r.n > 0").selectExpr("doc_id", "needle", "r.gram AS __gram")
+    candidates = materialize(posted.join(looked, ["doc_id", "__gram"]).select("doc_id", "line_no", "needle"), "candidates")
+    hits = materialize(runs.join(candidates, ["doc_id", "line_no"]).filter("contains(text, needle)"), "found")
+    missing = asked.filter("needle <> ''").join(hits.select("doc_id", "needle").distinct(), ["doc_id", "needle"], "left_anti").withColumn("error", F.lit("TextNotFound"))
+    return hits, missing.unionByName(asked.filter("coalesce(needle, '') = ''").withColumn("error", F.lit("EmptySearchText")))
+
+
+def requests_report(hits: DataFrame) -> DataFrame:
+    """Per document and needle: runs and glyphs removed, pages that lost something."""
+    per_page = hits.groupBy("doc_id", "needle", "page_no").agg(F.count(F.lit(1)).alias("r"), F.sum(F.length("text")).alias("g"))
+    return per_page.groupBy("doc_id", "needle").agg(F.sum("r").alias("runs_removed"), F.sum("g").alias("glyphs_removed"), F.count(F.lit(1)).alias("pages_redacted"))
+
+
 def redact_paths(paths: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
     """Painted paths wholly inside a rectangle, stroked ones grown by their line width.
 

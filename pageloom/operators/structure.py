@@ -182,14 +182,25 @@ def classify(lines: DataFrame, *, fold_lines: int = FOLD_LINES, headings: bool =
 
 
 def to_markdown(
-    lines: DataFrame, *, fold_lines: int = FOLD_LINES, width: int | None = None, headings: bool = True, lists: bool = True
+    lines: DataFrame,
+    *,
+    picks: DataFrame | None = None,
+    fold_lines: int = FOLD_LINES,
+    width: int | None = None,
+    headings: bool = True,
+    lists: bool = True,
 ) -> DataFrame:
     """Markdown fragments per line, with the separator that precedes each.
 
+    With ``picks`` (doc_id, page_no) only those pages count, for the sizes too: what is a
+    heading among all pages need not be one among the chosen.
+
     doc_id, line_no, fragment; concatenated in ``line_no`` order and closed by a newline
     they give the document. Lines continue their element with a space; items follow each
     other on the next line; anything else is set off by a blank line.
     """
+    if picks is not None:
+        lines = lines.join(picks.select("doc_id", "page_no").distinct(), ["doc_id", "page_no"], "left_semi").select(*lines.columns)
     kinds = classify(lines, fold_lines=fold_lines, headings=headings, lists=lists)
     state = F.struct(F.col("kind").alias("kind"), F.col("block_no").alias("block"), F.col("page_no").alias("page"))
     above = running(

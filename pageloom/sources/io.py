@@ -18,6 +18,22 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     )
 
 
+def file_corpus(spark: SparkSession, folder: str, pattern: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """Files of a folder whose names fit ``pattern`` with the rows that each holds: name, file, length, rows.
+
+    Only listed names and lengths come from the files themselves (pruned by the pattern
+    before anything is opened); rows are counted by the hidden file column of the tables
+    and joined by path. A file that no table reads has no rows.
+    """
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    listed = scan_files(spark, folder, pattern).select(plain("path").alias("path"), "length")
+    counts = None
+    for name, rows in tables.items():
+        held = rows.select(plain("_metadata.file_path").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(name))
+        counts = held if counts is None else counts.unionByName(held)
+    return listed.join(counts, "path", "left").select("name", F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 INFO = ("title", "author", "subject", "keywords", "creator", "producer")
 
 

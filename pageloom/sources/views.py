@@ -22,13 +22,20 @@ WRAP = wrap_width(PAPER["a4"][0])
 PER_PAGE = lines_per_page(PAPER["a4"][1])
 
 
-_schemas: dict[tuple[str, str], StructType] = {}
+def _stamp(spark: SparkSession, path: str) -> str:
+    """Names, lengths and times of the files of a table: another stamp, other rows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return ";".join(sorted(f"{s.getPath().getName()}:{s.getLen()}:{s.getModificationTime()}" for s in files.listStatus(where)))
+
+
+_schemas: dict[tuple[str, str, str], StructType] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A parquet table; its footer is read once per path, not at every use."""
+    """A parquet table; its footer is read once while its files stay the same, not at every use."""
     path = f"{folder}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    key = (spark.sparkContext.applicationId, path, _stamp(spark, path))
     if key not in _schemas:
         _schemas[key] = spark.read.parquet(path).schema
     return spark.read.schema(_schemas[key]).parquet(path)
@@ -44,12 +51,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(parts), key) if parts else df
 
 
-_written: dict[tuple[str, str, str], DataFrame] = {}
+_written: dict[tuple[str, ...], DataFrame] = {}
 
 
-def _once(spark: SparkSession, folder: str, name: str, make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """A view that many queries start from, written to the shared folder once per session."""
-    key = (spark.sparkContext.applicationId, folder, name)
+def _once(spark: SparkSession, folder: str, name: str, sources: tuple[str, ...], make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """A view that many queries start from, written to the shared folder once for the files its ``sources`` have now."""
+    key = (spark.sparkContext.applicationId, folder, name, *[_stamp(spark, f"{folder}/{t}.parquet") for t in sources])
     if key not in _written:
         _written[key] = materialize(make(spark, folder), name)
     return _written[key].select("*")
@@ -57,7 +64,7 @@ def _once(spark: SparkSession, folder: str, name: str, make: Callable[[SparkSess
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as documents with a page count; orders without lines are empty documents."""
-    return _once(spark, folder, "docs", _docs)
+    return _once(spark, folder, "docs", ("orders", "lineitem"), _docs)
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,7 +85,7 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as pages, numbered 1.. within their order."""
-    return _once(spark, folder, "pages", _pages)
+    return _once(spark, folder, "pages", ("lineitem",), _pages)
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:

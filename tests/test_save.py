@@ -77,3 +77,25 @@ def test_a_writer_that_comes_second_checks_again(spark, monkeypatch):
     with pytest.raises(FileExistsError):
         save(spark, path, 9)
     assert found(spark, path) == [7, 8, 9]
+
+
+def test_files_are_listed_by_pattern_and_counted(spark, tmp_path):
+    for name, n in (("a", 5), ("b", 7)):
+        spark.range(n).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    (tmp_path / "note.txt").write_text("x")
+    tables = {n: spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in "ab"}
+    got = io.file_corpus(spark, str(tmp_path), "part-*.parquet", tables).collect()
+    assert sorted((r.name, r.rows) for r in got) == [("a", 5), ("b", 7)]
+    sizes = {f.name: f.stat().st_size for f in tmp_path.rglob("part-*.parquet")}
+    assert {r.file: r.length for r in got} == sizes
+
+
+def test_views_follow_their_files(spark, tmp_path):
+    from pageloom.sources import views
+
+    folder = str(tmp_path)
+    spark.range(3).write.parquet(f"{folder}/t.parquet")
+    view = lambda: views._once(spark, folder, "seen", ("t",), lambda s, f: views.table(s, f, "t")).count()
+    assert view() == 3 and view() == 3
+    spark.range(4).write.mode("append").parquet(f"{folder}/t.parquet")
+    assert view() == 7
