@@ -10,14 +10,15 @@ from pageloom.plans.shared import materialize
 GLYPH = 5.5
 BROADCAST_RECTS = 20_000
 BAND = 64.0
+#: Tasks that share the boxes of a cell, by document.
+TURNS = 16
 
 
 def _with_rects(boxes: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
-    """Pair boxes with the rectangles of their page that meet them vertically.
+    """Pair boxes with the rectangles of their page that may meet them.
 
     Few rectangles are broadcast after their number is checked. More than that are cut
-    into horizontal bands, so the join stays a hash join on page and band; a pair is kept
-    only in the band where both are first present.
+    into cells, so the join stays a hash join.
     """
     named = rects.select(*keys, "rect_id", *[F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")])
     if len(rects.select("rect_id").take(BROADCAST_RECTS + 1)) <= BROADCAST_RECTS:
@@ -26,16 +27,32 @@ def _with_rects(boxes: DataFrame, rects: DataFrame, keys: list[str]) -> DataFram
 
 
 def banded_join(boxes: DataFrame, named: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of boxes and rectangles of one page that share a cell of BAND points square.
+
+    The key is page, cell and a turn by document: first pages of all documents, the hottest
+    key otherwise, go to TURNS tasks for each cell. A pair is kept in the cell alone in
+    which both are present first.
+    """
+
     def band(edge: str) -> Column:
         return F.floor(F.col(edge) / F.lit(BAND))
 
-    left = boxes.withColumn("__b", F.explode(F.sequence(band("y0"), band("y1"))))
-    right = named.withColumn("__b", F.explode(F.sequence(band("r_y0"), band("r_y1"))))
-    return (
-        left.join(right, [*keys, "__b"])
-        .filter(F.col("__b") == F.greatest(band("y0"), band("r_y0")))
-        .drop("__b")
-    )
+    def cells(x0: str, y0: str, x1: str, y1: str) -> Column:
+        over = lambda a, b: F.sequence(band(a), F.greatest(band(a), band(b)))
+        return F.explode(F.flatten(F.transform(over(y0, y1), lambda y: F.transform(over(x0, x1), lambda x: F.struct(y.alias("y"), x.alias("x"))))))
+
+    left = boxes.withColumn("__turn", _turn()).withColumn("__cell", cells("x0", "y0", "x1", "y1"))
+    right = _every_turn(named).withColumn("__cell", cells("r_x0", "r_y0", "r_x1", "r_y1"))
+    first = (F.col("__cell.y") == F.greatest(band("y0"), band("r_y0"))) & (F.col("__cell.x") == F.greatest(band("x0"), band("r_x0")))
+    return left.join(right, [*keys, "__turn", "__cell"]).filter(first).drop("__cell", "__turn")
+
+
+def _turn() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(TURNS)).cast("int")
+
+
+def _every_turn(rects: DataFrame) -> DataFrame:
+    return rects.withColumn("__turn", F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))))
 
 
 def glyph_hits(runs: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,9 +80,9 @@ def redact_area(runs: DataFrame, pages: DataFrame, rects: DataFrame, keys: list[
     )
     marked = rects.select(*keys, "rect_id")
     few = len(marked.take(BROADCAST_RECTS + 1)) <= BROADCAST_RECTS
+    asked = pages.select("doc_id", "page_no")
     boxes = (
-        pages.select("doc_id", "page_no")
-        .join(F.broadcast(marked) if few else marked, keys)
+        (asked.join(F.broadcast(marked), keys) if few else asked.withColumn("__turn", _turn()).join(_every_turn(marked), [*keys, "__turn"]))
         .groupBy("doc_id", "rect_id")
         .agg(F.count(F.lit(1)).alias("boxes_drawn"))
     )

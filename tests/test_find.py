@@ -31,3 +31,18 @@ def test_no_requests(spark):
     runs = spark.createDataFrame([(1, 1, 1, "abc")], "doc_id int, page_no int, line_no int, text string")
     got, rejects = redact.find_requests(runs, spark.createDataFrame([], "doc_id int, needle string"))
     assert got.count() == 0 and rejects.count() == 0
+
+
+def test_many_rectangles_by_cells_equal_the_broadcast(spark, monkeypatch):
+    rng = random.Random(6)
+    runs = [(k % 7, k % 3 + 1, k, "x" * rng.randrange(1, 60), 0.0, 0.0, 0.0, 0.0) for k in range(300)]
+    runs = [(d, p, n, t, x := rng.uniform(-50, 500), y := rng.uniform(-20, 800), x + 5.5 * len(t), y + 11) for d, p, n, t, *_ in runs]
+    boxes = spark.createDataFrame(runs, "doc_id int, page_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    rects = [(r, rng.randrange(1, 4), x := rng.uniform(-60, 500), y := rng.uniform(-60, 800), x + rng.choice([0.5, 30, 300]), y + rng.choice([0.5, 30, 300])) for r in range(80)]
+    area = spark.createDataFrame(rects, "rect_id int, page_no int, x0 double, y0 double, x1 double, y1 double")
+    pages = boxes.select("doc_id", "page_no").distinct()
+    few = sorted(map(tuple, redact.redact_area(boxes, pages, area, ["page_no"]).collect()))
+    left = sorted(r.line_no for r in redact.untouched(boxes, area, ["page_no"]).collect())
+    monkeypatch.setattr(redact, "BROADCAST_RECTS", 10)
+    assert sorted(map(tuple, redact.redact_area(boxes, pages, area, ["page_no"]).collect())) == few and few
+    assert sorted(r.line_no for r in redact.untouched(boxes, area, ["page_no"]).collect()) == left
