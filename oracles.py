@@ -203,6 +203,7 @@ SQL: dict[str, str] = {
  UNION ALL SELECT doc_id, 1, concat('doc', doc_id, '-extract-', CASE WHEN min(page_no) = max(page_no) THEN CAST(min(page_no) AS VARCHAR) WHEN count(*) = max(page_no) - min(page_no) + 1 THEN concat(min(page_no), '-', max(page_no)) ELSE string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) END)
  FROM f12_uniq GROUP BY doc_id""",
     "s11_page_image_names": """SELECT s.doc_id, s.pos, concat('doc', s.doc_id, '-', lpad(CAST(s.page_no AS VARCHAR), CAST(length(CAST(d.page_count AS VARCHAR)) AS INT), '0'), '.png') AS name FROM f12_sel s JOIN f1_docs d ON d.doc_id = s.doc_id""",
+    "s1_file_corpus": "SELECT 'orders' AS name, count(*) AS rows, true AS readable FROM orders UNION ALL SELECT 'lineitem' AS name, count(*) AS rows, true AS readable FROM lineitem UNION ALL SELECT 'documents' AS name, count(*) AS rows, true AS readable FROM documents UNION ALL SELECT 'pages' AS name, count(*) AS rows, true AS readable FROM pages UNION ALL SELECT 'events' AS name, count(*) AS rows, true AS readable FROM events",
     "s5_write_partitioned": """SELECT doc_id, CAST((page_no - 1) // 2 AS INT) AS chunk, count(*) AS pages, CAST(sum(image_id) AS BIGINT) AS image_sum FROM f1_pages GROUP BY doc_id, (page_no - 1) // 2""",
     "s5_atomic_save": """SELECT doc_id, CAST((page_no - 1) // 2 AS INT) AS chunk, count(*) AS pages, CAST(sum(image_id) AS BIGINT) AS image_sum FROM f1_pages WHERE doc_id % 3 <> 1 GROUP BY doc_id, (page_no - 1) // 2""",
     "s5_taken_names": """WITH n AS (SELECT concat('doc', doc_id % 1000, '-', c + 1) AS name FROM (SELECT DISTINCT doc_id, (page_no - 1) // 2 AS c FROM f1_pages))

@@ -55,9 +55,10 @@ def s1_scan_corpus(spark, d):
 
 @query
 def s1_file_corpus(spark, d):
-    """Every file of the document tables with its length and rows."""
+    """Rows in the files of each document table, and whether every file has bytes."""
     names = ("orders", "lineitem", "documents", "pages", "events")
-    return io.file_corpus(spark, d, "*.parquet", {n: v.table(spark, d, n) for n in names}).filter("name is not null")
+    files = io.file_corpus(spark, d, "*.parquet", {n: v.table(spark, d, n) for n in names}).filter("name is not null")
+    return files.groupBy("name").agg(F.sum("rows").alias("rows"), (F.min("length") > 0).alias("readable"))
 
 
 def _inputs(spark, d):
