@@ -12,6 +12,9 @@ BROADCAST_RECTS = 20_000
 BAND = 64.0
 #: Tasks that share the boxes of a cell, by document.
 TURNS = 16
+#: Needles of a document, and their characters, up to which each of its runs is searched for all of them.
+FEW_NEEDLES = 256
+FEW_CHARS = 20_000
 
 
 def _with_rects(boxes: DataFrame, rects: DataFrame, keys: list[str]) -> DataFrame:
@@ -143,16 +146,39 @@ def _grams(text: str, size: str) -> str:
 def find_requests(runs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, rejects) of any number of (doc_id, needle) requests; hits are runs with a ``needle`` they hold.
 
-    Each request meets only the runs of its document that hold its rarest piece of three
-    characters (the whole needle if it is shorter): pieces of runs are joined with the
-    pieces that some request of the document has, counted, and the rarest one of each
-    needle is looked up. Candidates are then compared with the whole needle, case
-    counting. Neither documents and needles nor runs and needles are ever multiplied, and
-    the keys are (document, piece), so one large document is spread over its pieces.
+    Needles of a document with at most FEW_NEEDLES of them (FEW_CHARS together) travel as
+    one array, and each run is searched for them where it lies, so that only runs are
+    shuffled. Documents with more go through an index of pieces (``_by_pieces``). Case
+    counts. Both are lazy: neither hits nor rejects are written.
     Rejects: EmptySearchText for null or empty needles, TextNotFound where no run holds one.
     """
-    asked = requests.select("doc_id", F.col("needle").cast("string").alias("needle")).distinct()
-    sized = asked.filter("needle <> ''").selectExpr("doc_id", "needle", "least(length(needle), 3) AS __size")
+    asked = materialize(requests.select("doc_id", F.col("needle").cast("string").alias("needle")).distinct(), "requests")
+    sized = asked.filter("needle <> ''")
+    load = sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"), F.sum(F.length("needle")).alias("__chars"))
+    few = (F.col("__n") <= FEW_NEEDLES) & (F.col("__chars") <= FEW_CHARS)
+    lists = sized.join(load.filter(few).select("doc_id"), "doc_id").groupBy("doc_id").agg(F.collect_list("needle").alias("__needles"))
+    # joined on a hash beside the id, so that a later grouping by document has a shuffle of its own and the join of a long document may be split
+    at = F.xxhash64("doc_id")
+    hits = runs.withColumn("__at", at).join(lists.withColumn("__at", at), ["__at", "doc_id"]).select(
+        *runs.columns, F.explode(F.filter("__needles", lambda n: F.contains(F.col("text"), n))).alias("needle")
+    )
+    many = load.filter(~few).select("doc_id")
+    if many.take(1):
+        hits = hits.unionByName(_by_pieces(runs.join(many, "doc_id", "left_semi"), sized.join(many, "doc_id", "left_semi")))
+    missing = sized.join(hits.select("doc_id", "needle").distinct(), ["doc_id", "needle"], "left_anti").withColumn("error", F.lit("TextNotFound"))
+    return hits, missing.unionByName(asked.filter("coalesce(needle, '') = ''").withColumn("error", F.lit("EmptySearchText")))
+
+
+def _by_pieces(runs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Hits of documents with many needles, without comparing every run with every needle.
+
+    Each needle meets only the runs of its document that hold its rarest piece of three
+    characters (the whole needle if it is shorter): pieces of runs are joined with the
+    pieces that some needle of the document has, counted, and the rarest one of each
+    needle is looked up. Candidates are then compared with the whole needle. The keys are
+    (document, piece), so one large document is spread over its pieces.
+    """
+    sized = asked.selectExpr("doc_id", "needle", "least(length(needle), 3) AS __size")
     pieces = materialize(sized.selectExpr("doc_id", "needle", f"explode({_grams('needle', '__size')}) AS __gram"), "pieces")
     sizes = sized.groupBy("doc_id").agg(F.collect_set("__size").alias("__sizes"))
     known = pieces.select("doc_id", "__gram").distinct()
@@ -163,10 +189,8 @@ def find_requests(runs: DataFrame, requests: DataFrame) -> tuple[DataFrame, Data
     counts = posted.groupBy("doc_id", "__gram").agg(F.count(F.lit(1)).alias("__n"))
     rarest = pieces.join(counts, ["doc_id", "__gram"], "left").groupBy("doc_id", "needle").agg(F.expr("min(struct(coalesce(__n, 0) AS n, __gram AS gram)) AS r"))
     looked = rarest.filter("r.n > 0").selectExpr("doc_id", "needle", "r.gram AS __gram")
-    candidates = materialize(posted.join(looked, ["doc_id", "__gram"]).select("doc_id", "line_no", "needle"), "candidates")
-    hits = materialize(runs.join(candidates, ["doc_id", "line_no"]).filter("contains(text, needle)"), "found")
-    missing = asked.filter("needle <> ''").join(hits.select("doc_id", "needle").distinct(), ["doc_id", "needle"], "left_anti").withColumn("error", F.lit("TextNotFound"))
-    return hits, missing.unionByName(asked.filter("coalesce(needle, '') = ''").withColumn("error", F.lit("EmptySearchText")))
+    candidates = materialize(posted.join(looked, ["doc_id", "__gram"]).select("doc_id", "line_no", "needle").distinct(), "candidates")
+    return runs.join(candidates, ["doc_id", "line_no"]).filter("contains(text, needle)").select(*runs.columns, "needle")
 
 
 def requests_report(hits: DataFrame) -> DataFrame:

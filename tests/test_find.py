@@ -27,6 +27,25 @@ def test_ten_thousand_requests_equal_plain_search(spark):
     }
 
 
+def test_few_needles_meet_runs_where_they_lie(spark, monkeypatch):
+    runs = [(1, 1, 1, "abcab"), (1, 2, 2, "bca"), (1, 1, 1, "abcab"), (2, 1, 1, "zzz"), (3, 1, 1, None)]
+    runs = spark.createDataFrame(runs, "doc_id int, page_no int, line_no int, text string")
+    asked = spark.createDataFrame([(1, "ab"), (1, "ca"), (1, "x"), (2, "zz"), (3, "a"), (4, "a"), (2, "")], "doc_id int, needle string")
+    want = [(1, 1, 1, "ab"), (1, 1, 1, "ab"), (1, 1, 1, "ca"), (1, 1, 1, "ca"), (1, 2, 2, "ca"), (2, 1, 1, "zz")]
+    gone = [(1, "x", "TextNotFound"), (2, "", "EmptySearchText"), (3, "a", "TextNotFound"), (4, "a", "TextNotFound")]
+
+    def found():
+        hits, rejects = redact.find_requests(runs, asked)
+        assert sorted((r.doc_id, r.page_no, r.line_no, r.needle) for r in hits.collect()) == want and sorted(map(tuple, rejects.collect())) == gone
+
+    for limit in (2, 0):  # some, then all documents by pieces
+        with monkeypatch.context() as m:
+            m.setattr(redact, "FEW_NEEDLES", limit)
+            found()
+    monkeypatch.setattr(redact, "_grams", None)  # few needles make no pieces, which are many times the text
+    found()
+
+
 def test_no_requests(spark):
     runs = spark.createDataFrame([(1, 1, 1, "abc")], "doc_id int, page_no int, line_no int, text string")
     got, rejects = redact.find_requests(runs, spark.createDataFrame([], "doc_id int, needle string"))
