@@ -144,11 +144,12 @@ def signature_fields(listings: DataFrame) -> DataFrame:
     return listings.groupBy("doc_id", "obj").agg(F.min("src").alias("src"), F.min_by("name", "src").alias("name"))
 
 
-def verify_digest(signed: DataFrame, contents: DataFrame) -> DataFrame:
+def verify_digest(signed: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Hash the two committed spans again and compare with the recorded digest.
 
-    ``signed``: doc_id, span (array of offsets), digest; ``contents``: doc_id, content (binary).
-    Being intact says nothing about trust.
+    ``signed``: doc_id, span (array of offsets), digest; ``contents``: doc_id, content (binary),
+    one for each doc_id. Without ``contents``, ``signed`` has the content beside the digest,
+    and ids may repeat. Being intact says nothing about trust.
     """
     span, raw = F.col("span"), F.col("content")
     o1, l1, o2, l2 = (F.get(span, F.lit(i)) for i in range(4))
@@ -163,4 +164,5 @@ def verify_digest(signed: DataFrame, contents: DataFrame) -> DataFrame:
         .when(F.col("digest").isNull(), "no digest")
         .when(again != F.col("digest"), "changed")
     )
-    return signed.join(contents, "doc_id").select("doc_id", reason.isNull().alias("intact"), F.coalesce(reason, F.lit("equal")).alias("reason"))
+    both = signed if contents is None else signed.join(contents, "doc_id")
+    return both.select("doc_id", reason.isNull().alias("intact"), F.coalesce(reason, F.lit("equal")).alias("reason"))
