@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pageloom.llm.common import arrow_batches, in_arrow
+from pageloom.llm.common import arrow_batches, bitmap, in_arrow, in_bitmap
+from pageloom.plans.shared import materialize
 
-#: Labelled rows the model is fitted on, at most, chosen by a hash of their id.
-SAMPLE_ROWS = 20_000
+#: Labelled rows fitted in one place; more are dealt to groups of about as many.
+GROUP_ROWS = 20_000
+#: Bits that tell which texts may have a label, by a hash of their id.
+PLACES = 1 << 23
+#: Pairs compared at once.
+CHUNK = 1 << 15
 #: Preference pairs drawn for each labelled row of the rarer label.
 PAIRS_EACH = 24
 RIDGE = 1e-3
@@ -97,49 +102,156 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ranker:
         return Ranker(np.zeros(width), np.zeros(width), np.ones(width), math.inf if len(bad) else -math.inf)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.clip((x - mean) / scale, -8, 8)
-    rng = np.random.default_rng(7)
-    few, many = (good, bad) if len(good) < len(bad) else (bad, good)
-    a, b = np.repeat(few, PAIRS_EACH), rng.choice(many, len(few) * PAIRS_EACH)
-    diff = z[a] - z[b] if few is good else z[b] - z[a]
+    better, worse = _pairs(y, len(good) < len(bad), np.random.default_rng(7))
+
+    def sums(w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        return len(better), *_sums(z, better, worse, w)
+
+    w = _climb(width, sums)
+    scores = np.sort(z @ w)
+    cut = min(max(len(bad), 1), len(scores) - 1)
+    return Ranker(w, mean, scale, float((scores[cut - 1] + scores[cut]) / 2))
+
+
+def _pairs(y: np.ndarray, good_is_rarer: bool, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(better, worse) row numbers: each row of the rarer label with PAIRS_EACH of the other."""
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    few, many = (good, bad) if good_is_rarer else (bad, good)
+    a = np.repeat(few, PAIRS_EACH) if len(many) else few[:0]
+    b = rng.choice(many, len(a)) if len(a) else a
+    return (a, b) if good_is_rarer else (b, a)
+
+
+def _sums(z: np.ndarray, better: np.ndarray, worse: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the pairs' log-likelihood, not yet divided by their number."""
+    gradient, curve = np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for at in range(0, len(better), CHUNK):
+        diff = z[better[at : at + CHUNK]] - z[worse[at : at + CHUNK]]
+        p = 1 / (1 + np.exp(-np.clip(diff @ w, -40, 40)))
+        gradient += diff.T @ (1 - p)
+        curve += (diff * (p * (1 - p))[:, None]).T @ diff
+    return gradient, curve
+
+
+def _climb(width: int, sums: Callable[[np.ndarray], tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Newton steps on what ``sums`` gives for some weights: number of pairs, gradient, curvature."""
     w = np.zeros(width)
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -40, 40)))
-        gradient = diff.T @ (1 - p) / len(diff) - RIDGE * w
-        curve = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + RIDGE * np.eye(width)
-        step = np.linalg.solve(curve, gradient)
+        n, gradient, curve = sums(w)
+        step = np.linalg.solve(curve / n + RIDGE * np.eye(width), gradient / n - RIDGE * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    scores = np.sort(z @ w)
-    cut = min(max(len(bad), 1), len(scores) - 1)
-    return Ranker(w, mean, scale, float((scores[cut - 1] + scores[cut]) / 2))
+    return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, where: Column | None = None) -> Ranker:
-    """Fits a ranker on at most ``rows`` labelled rows whose label is 0 or 1, without a row that ``where`` excludes.
+def learn(docs: DataFrame, labels: DataFrame, *, rows: int = GROUP_ROWS, where: Column | None = None) -> Ranker:
+    """Fits a ranker on all labelled rows whose label is 0 or 1, without a row that ``where`` excludes.
 
     Documents that share a labelled doc_id count as one, with the smallest of their
-    features, so that no more than ``rows`` rows reach the driver.
+    features. Features are taken where the texts lie, of those that may have a label.
+    Up to ``rows`` labels are fitted on the driver (:func:`fit`), more of them in groups
+    of about ``rows`` (:func:`fit_groups`).
     """
     marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
     if where is not None:
         marked = marked.where(where)
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
-    found = _with_features(texts).groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
+    marked = marked.distinct()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("at")
+    known = bitmap(marked.select(place), "at", PLACES)
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").select("doc_id", place, "text")
+    found = _with_features(texts, known).join(marked, "doc_id").groupBy("doc_id", "quality").agg(F.min("features").alias("features"))
+    n = marked.count()
+    if n > rows:
+        return fit_groups(found, -(-n // rows))
     found = found.toPandas().sort_values(["doc_id", "quality"], kind="stable")
     if found.empty:
         return fit(np.empty((0, len(FEATURES))), np.empty(0))
     return fit(np.array(found["features"].tolist()), found["quality"].to_numpy())
 
 
-def _with_features(texts: DataFrame) -> DataFrame:
+def fit_groups(found: DataFrame, groups: int) -> Ranker:
+    """As :func:`fit`, from any number of rows (doc_id, quality, features) in ``groups`` groups by a hash of the id.
+
+    Means, scales and the threshold are those of all rows. Rows are paired within their
+    group, so that a round is one pass over the written groups and gives a gradient and
+    a curvature (4 kB) for each; a group that lacks a label has no pairs.
+    """
+    width = len(FEATURES)
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("quality", "ascending")]).combine_chunks()
+        x = np.array(group["features"].to_pylist(), float)
+        return pa.table({"g": group["g"][:1], "x": pa.array([x.tobytes()], pa.binary()), "y": pa.array([group["quality"].to_numpy().astype(np.int8).tobytes()], pa.binary())})
+
+    dealt = found.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(groups)))
+    packed = materialize(dealt.groupBy("g").applyInArrow(pack, "g long, x binary, y binary"), "groups")
+
+    def over(what: Callable[[int, np.ndarray, np.ndarray], list[np.ndarray]]) -> list[list[np.ndarray]]:
+        """What a function gives for each group, in the order of groups."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for g, x, y in zip(*(batch.column(k) for k in range(3)), strict=True):
+                    out = what(g.as_py(), np.frombuffer(x.as_buffer(), float).reshape(-1, width), np.frombuffer(y.as_buffer(), np.int8))
+                    yield pa.RecordBatch.from_arrays([pa.array([g.as_py()]), pa.array([[v.ravel().tolist() for v in out]], pa.list_(pa.list_(pa.float64())))], ["g", "v"])
+
+        return [[np.array(v) for v in r.v] for r in sorted(in_arrow(packed, run, "g long, v array<array<double>>").collect())]
+
+    parts = over(lambda g, x, y: [np.array([(y == 1).sum(), (y == 0).sum()], float), x.sum(axis=0)])
+    good, bad = (int(sum(p[0][k] for p in parts)) for k in (0, 1))
+    if not good or not bad:
+        return Ranker(np.zeros(width), np.zeros(width), np.ones(width), math.inf if bad else -math.inf)
+    mean = sum(p[1] for p in parts) / (good + bad)
+    scale = np.sqrt(sum(p[0] for p in over(lambda g, x, y: [np.square(x - mean).sum(axis=0)])) / (good + bad)) + 1e-9
+
+    def sums(w: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        def one(g: int, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+            better, worse = _pairs(y, good < bad, np.random.default_rng((7, g)))
+            return [np.array([len(better)], float), *_sums(np.clip((x - mean) / scale, -8, 8), better, worse, w)]
+
+        out = over(one)
+        return max(1, int(sum(p[0][0] for p in out))), sum(p[1] for p in out), sum(p[2] for p in out).reshape(width, width)
+
+    ranker = Ranker(_climb(width, sums), mean, scale, 0.0)
+
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(ranker.raw(np.frombuffer(x.as_buffer(), float).reshape(-1, width)))], ["score"])
+
+    cut = min(max(bad, 1), good + bad - 1)
+    low, high = _ranked(materialize(in_arrow(packed, raw, "score double"), "scores"), good + bad, cut)
+    return Ranker(ranker.weights, mean, scale, (low + high) / 2)
+
+
+def _ranked(scores: DataFrame, n: int, cut: int) -> tuple[float, float]:
+    """The values at places cut - 1 and cut (from 0) of all scores in order.
+
+    Approximate quantiles on both sides enclose them; what lies between is counted.
+    """
+    margin = 4e-4
+    while True:
+        ends = [max(0.0, (cut - 1) / n - margin), min(1.0, (cut + 1) / n + margin)]
+        lo, hi = scores.select(F.percentile_approx("score", ends, 10_000)).first()[0]
+        below = scores.where(F.col("score") < lo).count()
+        near = sorted(tuple(r) for r in scores.where(F.col("score").between(lo, hi)).groupBy("score").count().collect())
+        values, last = [v for v, _ in near], below + np.cumsum([c for _, c in near])
+        if below <= cut - 1 and last[-1] > cut:
+            return tuple(values[int(np.searchsorted(last, at, side="right"))] for at in (cut - 1, cut))
+        margin *= 4
+
+
+def _with_features(texts: DataFrame, known: np.ndarray) -> DataFrame:
+    """doc_id and features of the rows (doc_id, at, text) whose place is in the bitmap."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrow_batches(batches):
-            values = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "quality", "features"])
+            batch = batch.filter(pa.array(in_bitmap(known, batch.column(1).to_numpy())))
+            values = [features(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], ["doc_id", "features"])
 
-    return in_arrow(texts.select("doc_id", "text", "quality"), run, "doc_id long, quality int, features array<double>")
+    return in_arrow(texts, run, "doc_id long, features array<double>")
 
 
 def scored(docs: DataFrame, ranker: Ranker, *, keep: bool = False) -> DataFrame:

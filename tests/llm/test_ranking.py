@@ -56,3 +56,26 @@ def test_query_equals_plain_scoring(few, documents):
         z = np.clip((np.array(preference.features(texts[r.doc_id])) - ranker.mean) / ranker.scale, -8, 8)
         score = 1 / (1 + math.exp(-(float(z @ ranker.weights) - ranker.threshold)))
         assert math.isclose(r.score, score, rel_tol=1e-9, abs_tol=1e-12) and r.predicted == (score >= 0.5)
+
+
+def test_groups_take_in_every_labelled_row(few, documents, monkeypatch):
+    labels = few.read.parquet(f"{SF}/labels.parquet")
+    rows, fit = [], preference.fit
+    monkeypatch.setattr(preference, "fit", lambda x, y: rows.append((x, y)) or fit(x, y))
+    whole = preference.learn(documents, labels)
+    spread = preference.learn(documents, labels, rows=24)
+    (x, y), = rows
+    assert len(y) == labels.where("quality in (0, 1)").count() > 48
+    assert np.allclose(spread.mean, x.mean(axis=0)) and np.allclose(spread.scale, x.std(axis=0) + 1e-9)
+    scores = np.sort(spread.raw(x))
+    cut = int((y == 0).sum())
+    assert math.isclose(spread.threshold, (scores[cut - 1] + scores[cut]) / 2, rel_tol=1e-9)
+    assert np.mean((spread.score(x) >= 0.5) == (whole.score(x) >= 0.5)) > 0.95
+    assert loss(spread.weights, (x - spread.mean) / spread.scale, y) < 1.5 * loss(whole.weights, (x - whole.mean) / whole.scale, y) + 0.02
+
+
+def test_places_in_order_among_ties(few):
+    values = sorted([0.5] * 400 + [k / 7 for k in range(300)] + [-2.0, 9.0] * 3)
+    scores = few.createDataFrame([(v,) for v in values], "score double")
+    for cut in (1, 2, 3, 200, len(values) // 2, len(values) - 1):
+        assert preference._ranked(scores, len(values), cut) == (values[cut - 1], values[cut])
