@@ -46,17 +46,12 @@ def rotate(pages: DataFrame, specs: DataFrame, degrees: int) -> DataFrame:
 
 
 def _gated(df: DataFrame, result: g.Box, error: str) -> tuple[DataFrame, DataFrame]:
-    named = bind(df, F.struct(*[v.alias(f"n_{n}") for n, v in zip(("x0", "y0", "x1", "y1"), result)]))
-    bad = F.col("selected") & ~g.named_box("n_").has_area
-    ok = keep_good(named, ["doc_id"], bad).filter("selected").select("doc_id", "page_no", *g.named_box("n_").columns())
-    rejects = first_error(
-        named,
-        ["doc_id"],
-        F.when(bad, F.lit(error)),
-        F.concat(F.lit("page "), F.col("page_no").cast("string")),
-        F.col("page_no"),
-    )
-    return ok, rejects
+    """(boxes of the selected pages, rejects); bad pages are found by plain expressions, which reach below the joins of ``df``."""
+    bad = df.filter(F.col("selected") & ~result.has_area)
+    good = df.filter("selected").join(bad.select("doc_id").distinct(), "doc_id", "left_anti")
+    ok = bind(good, F.struct(*[v.alias(f"n_{n}") for n, v in zip(("x0", "y0", "x1", "y1"), result)])).select("doc_id", "page_no", *g.named_box("n_").columns())
+    detail = F.concat(F.lit("page "), F.col("page_no").cast("string"))
+    return ok, first_error(bad, ["doc_id"], F.lit(error), detail, F.col("page_no"))
 
 
 def crop(pages: DataFrame, specs: DataFrame, rect: g.Box) -> tuple[DataFrame, DataFrame]:
@@ -186,12 +181,16 @@ def overlay_pairs(pages: DataFrame, pairs: DataFrame, *, width: int | None = Non
     )
 
 
+def _stamp(template: str) -> Column:
+    return fill_tokens(template, [("{total}", F.col("page_count")), ("{n}", F.col("page_no"))])
+
+
 def stamp_text(pages: DataFrame, template: str, anchor: str, *, margin: float, font_size: float) -> DataFrame:
     """A line of text per page: ``{total}`` first, then ``{n}``; width is half an em per character.
 
     ``pages`` carries page_count, the document-wide total.
     """
-    text = fill_tokens(template, [("{total}", F.col("page_count")), ("{n}", F.col("page_no"))])
+    text = _stamp(template)
     width = F.length(text) * F.lit(font_size * 0.5)
     x, y = g.anchor_point(anchor, F.col("page_w"), F.col("page_h"), width, F.lit(font_size), margin)
     return pages.select(
@@ -205,14 +204,17 @@ def stamp_text(pages: DataFrame, template: str, anchor: str, *, margin: float, f
 
 
 def header_footer(pages: DataFrame, header: str | None, footer: str | None, *, margin: float, font_size: float) -> DataFrame:
+    """Both lines of every page, made in its one row, so that what ``pages`` is joined from runs once."""
     if header is None and footer is None:
         raise ValueError("a header or a footer is needed")
-    parts = [
-        stamp_text(pages, text, anchor, margin=margin, font_size=font_size)
-        for text, anchor in ((header, "top-center"), (footer, "bottom-center"))
-        if text is not None
-    ]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    stamps = [(text, anchor) for text, anchor in ((header, "top-center"), (footer, "bottom-center")) if text is not None]
+    size = F.lit(font_size)
+    lines = []
+    for template, anchor in stamps:
+        text = _stamp(template)
+        x, y = g.anchor_point(anchor, F.col("page_w"), F.col("page_h"), F.length(text) * F.lit(font_size * 0.5), size, margin)
+        lines.append(F.struct(F.lit(anchor).alias("anchor"), text.alias("text"), F.round(x, 4).alias("x"), F.round(y, 4).alias("y")))
+    return pages.select("doc_id", "page_no", F.inline(F.array(*lines)))
 
 
 def nup(
