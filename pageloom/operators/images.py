@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from pageloom.plans.scan import Running, running
+from pageloom.plans.scan import Running, groups_past, running
 
 # Target resolution by level, and when recompression is worth it.
 TARGETS = {"screen": 72.0, "ebook": 150.0, "print": 300.0}
@@ -90,13 +90,17 @@ def filter_report(picks: DataFrame, uses: DataFrame, images: DataFrame) -> DataF
 
 
 def filter_targets(picks: DataFrame, uses: DataFrame, *, width: int | None = None) -> DataFrame:
-    """Distinct images of the picked pages in first-use order. ``uses``: doc_id, page_no, image_id."""
+    """Distinct images of the picked pages in first-use order. ``uses``: doc_id, page_no, image_id.
+
+    ``pos`` of the picks counts from 1 within a document, so few documents reach past a bucket.
+    """
     first = (
         picks.join(uses, ["doc_id", "page_no"])
         .groupBy("doc_id", "image_id")
         .agg(F.min("pos").alias("first_pos"))
     )
-    return running(first, ["doc_id"], "first_pos", {"ord": Running("sum", F.lit(1))}, width=width).select(
+    large = groups_past(picks, ["doc_id"], "pos", width)
+    return running(first, ["doc_id"], "first_pos", {"ord": Running("sum", F.lit(1))}, large=large, width=width).select(
         "doc_id", "image_id", F.col("ord").cast("int").alias("ord")
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pageloom.functions.labels import STYLES, label_number
 from pageloom.operators.rejects import first_error
-from pageloom.plans.scan import WIDTH, Running, running
+from pageloom.plans.scan import WIDTH, Running, groups_past, running
 
 
 def page_labels(pages: DataFrame, docs: DataFrame, label_ranges: DataFrame, *, width: int | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def page_labels(pages: DataFrame, docs: DataFrame, label_ranges: DataFrame, *, w
 
 
 def check_ranges(specs: DataFrame, *, width: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Read ``START:STYLE[:PREFIX[:FIRST]]`` rows (doc_id, pos, spec): (ranges, rejects).
+    """Read ``START:STYLE[:PREFIX[:FIRST]]`` rows (doc_id, pos, spec): (ranges, rejects); ``pos`` counts them within a document.
 
     Starts must be at least 1 and grow in the order given, first numbers at least 1.
     """
@@ -42,14 +42,13 @@ def check_ranges(specs: DataFrame, *, width: int | None = None) -> tuple[DataFra
     read = specs.select(
         "doc_id",
         "pos",
-        "spec",
         whole(0).alias("start_page"),
         F.get(part, F.lit(1)).alias("style"),
         F.coalesce(F.get(part, F.lit(2)), F.lit("")).alias("prefix"),
         F.when(F.size(part) == 4, whole(3)).otherwise(F.lit(1)).alias("first"),
         F.size(part).alias("__parts"),
     )
-    before = running(read, ["doc_id"], "pos", {"__prev": Running("last", F.col("start_page"), inclusive=False)}, width=width)
+    before = running(read, ["doc_id"], "pos", {"__prev": Running("last", F.col("start_page"), inclusive=False)}, large=groups_past(specs, ["doc_id"], "pos", width), width=width)
     detail = (
         F.when(F.col("__parts") < 2, F.lit("needs START:STYLE"))
         .when(F.col("start_page").isNull(), F.lit("START is not a number"))
