@@ -126,6 +126,18 @@ def place_of(spans: Column, page: Column) -> Column:
     return F.aggregate(spans, start, step)["found"]
 
 
+def places_of(spans: Column, page: Column) -> Column:
+    """Every place, from 1 and ascending, where spans as written name the page."""
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.array().cast("array<bigint>").alias("found"))
+
+    def step(acc: Column, s: Column) -> Column:
+        inside = F.when(s["back"], s["hi"] - page).otherwise(page - s["lo"])
+        found = F.when((page >= s["lo"]) & (page <= s["hi"]), F.concat(acc["found"], F.array(acc["before"] + inside + 1))).otherwise(acc["found"])
+        return F.struct((acc["before"] + s["hi"] - s["lo"] + 1).alias("before"), found.alias("found"))
+
+    return F.aggregate(spans, start, step)["found"]
+
+
 def expand_spans(df: DataFrame, spans: str, keep: list[str], *, width: int | None = None) -> DataFrame:
     """One row per named page: ``keep`` + (pos, page_no), pos from 1 in reading order.
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pageloom.functions import ranges
 from pageloom.functions.labels import fill_tokens
 from pageloom.functions.text import zero_pad
+from pageloom.operators.selection import resolve
 from pageloom.plans.graph import walk_chain
 from pageloom.plans.scan import WIDTH, Running, expand, running, with_document
 
@@ -48,6 +49,30 @@ def arrange(pages: DataFrame, picks: DataFrame, columns: list[str]) -> DataFrame
     )
 
 
+#: Parts of a specification that are looked through for each page; longer ones are resolved into rows.
+FEW_PARTS = 64
+
+
+def arrange_named(pages: DataFrame, specs: DataFrame, columns: list[str], *, dealt: bool = False) -> DataFrame:
+    """As :func:`arrange` by resolved specifications, with places worked out from the intervals.
+
+    One join on the document, and no row per page picked before it. ``dealt`` as in ``with_document``.
+    """
+    pages = pages.select("doc_id", "page_no", *columns)
+    good = specs.filter(F.col("error").isNull() & (F.size("spans") > 0))
+    few = good.filter(F.size("spans") <= FEW_PARTS).select("doc_id", F.col("page_count").alias("__count"), "spans")
+    placed = with_document(pages, few, count="__count", dealt=dealt).withColumn(
+        "__places", ranges.places_of(F.col("spans"), F.col("page_no").cast("bigint"))
+    )
+    out = placed.select("doc_id", F.col("page_no").alias("source_page"), *columns, F.posexplode("__places").alias("__copy", "__pos")).select(
+        "doc_id", F.col("__pos").cast("int").alias("page_no"), "source_page", (F.col("__copy") + 1).alias("copy_no"), *columns
+    )
+    # a part takes one character and a comma
+    if specs.filter(F.length("spec") > 2 * FEW_PARTS).isEmpty():
+        return out
+    return out.unionByName(arrange(pages, resolve(good.filter(F.size("spans") > FEW_PARTS)), columns))
+
+
 def _with_spans(pages: DataFrame, specs: DataFrame) -> DataFrame:
     good = specs.filter(F.col("error").isNull()).select("doc_id", "page_count", "unique_spans")
     return with_document(pages.select("doc_id", "page_no"), good)

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 WIDTH = 1 << 20
 
+#: Cells of hashed keys that are counted to find large groups.
+CELLS = 1 << 13
+
 _BUCKET = "__bucket"
 
 
@@ -115,12 +118,17 @@ def running(
     )
 
 
-def with_document(pages: DataFrame, docs: DataFrame, *, count: str = "page_count", width: int | None = None) -> DataFrame:
+def with_document(
+    pages: DataFrame, docs: DataFrame, *, count: str = "page_count", dealt: bool = False, width: int | None = None
+) -> DataFrame:
     """Pages (doc_id, page_no, ...) with the columns of their document's one row in ``docs``.
 
     The join is on the document and a bucket of its pages; the row of a document past
     one bucket is repeated for each, so that no key holds more than ``width`` pages.
+    Pages ``dealt`` by document, none of them past one bucket, are joined where they lie.
     """
+    if dealt:
+        return pages.join(docs, "doc_id")
     width = width or WIDTH
     buckets = F.greatest(F.ceil(F.col(count) / F.lit(width)), F.lit(1)).cast("long")
     many = docs.withColumn(_BUCKET, F.explode(F.sequence(F.lit(0).cast("long"), buckets - 1)))
@@ -128,6 +136,20 @@ def with_document(pages: DataFrame, docs: DataFrame, *, count: str = "page_count
     return placed.join(many, ["doc_id", _BUCKET]).drop(_BUCKET)
 
 
+def large_groups(df: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+    """The keys of groups of more than ``width`` rows, of which there are at most rows/width.
+
+    Rows are first counted by cells of hashed keys: a large group makes its cell large, so
+    only rows of large cells, mostly none, are shuffled to be counted by key.
+    """
+    width = width or WIDTH
+    many = F.count(F.lit(1)) > F.lit(width)
+    tagged = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(CELLS)).alias("__cell"))
+    full = tagged.groupBy("__cell").agg(many.alias("__many")).filter("__many").select("__cell")
+    counted = tagged.join(F.broadcast(full), "__cell", "left_semi").groupBy(*keys).agg(many.alias("__many"))
+    return counted.filter("__many").select(*keys)
+
+
 def row_index(
     df: DataFrame, keys: list[str], order: list[str], name: str, split: Column, *, width: int | None = None
 ) -> DataFrame:
@@ -138,12 +160,7 @@ def row_index(
     groups are numbered by one window.
     """
     width = width or WIDTH
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > F.lit(width))
-        .select(*keys, F.lit(True).alias("__large"))
-    )
+    large = large_groups(df, keys, width).withColumn("__large", F.lit(True))
     tagged = df.join(F.broadcast(large), keys, "left").withColumn(
         _BUCKET, F.when(F.col("__large"), split.cast("long")).otherwise(F.lit(0).cast("long"))
     )

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from pageloom.functions import ranges
 from pageloom.functions.binding import bind
 from pageloom.functions.text import lines_per_page, wrap_lines, wrap_width
 from pageloom.functions.geometry import PAPER
-from pageloom.plans.scan import row_index
+from pageloom.plans.scan import large_groups, row_index
 from pageloom.plans.shared import materialize
 
 WRAP = wrap_width(PAPER["a4"][0])
@@ -54,9 +54,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 _written: dict[tuple[str, ...], DataFrame] = {}
 
 
+def _view_key(spark: SparkSession, folder: str, name: str, sources: tuple[str, ...]) -> tuple[str, ...]:
+    return (spark.sparkContext.applicationId, folder, name, *[_stamp(spark, f"{folder}/{t}.parquet") for t in sources])
+
+
 def _once(spark: SparkSession, folder: str, name: str, sources: tuple[str, ...], make: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """A view that many queries start from, written to the shared folder once for the files its ``sources`` have now."""
-    key = (spark.sparkContext.applicationId, folder, name, *[_stamp(spark, f"{folder}/{t}.parquet") for t in sources])
+    key = _view_key(spark, folder, name, sources)
     if key not in _written:
         _written[key] = materialize(make(spark, folder), name)
     return _written[key].select("*")
@@ -88,6 +92,24 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return _once(spark, folder, "pages", ("lineitem",), _pages)
 
 
+_PAGE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def dealt_pages(spark: SparkSession, folder: str, columns: list[str], *, width: int | None = None) -> tuple[DataFrame, bool]:
+    """Pages with some ``columns``, for a query that joins them to their documents once, and whether they lie by document.
+
+    They are numbered where they are read, moved once with what these columns need and not written. Where
+    the view is there already, or an order has more lines than one bucket, they come from the view instead.
+    """
+    lines = table(spark, folder, "lineitem")
+    if _view_key(spark, folder, "pages", ("lineitem",)) in _written or not large_groups(lines, ["l_orderkey"], width).isEmpty():
+        return pages(spark, folder).select("doc_id", "page_no", *columns), False
+    # lines that tie in this much of the order are alike in these columns
+    known = max([{"rotate": 1, "image_id": 2}.get(c, len(_PAGE_ORDER)) for c in columns], default=1)
+    number = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*_PAGE_ORDER[:known]))
+    return _as_pages(lines.withColumn("page_no", number)).select("doc_id", "page_no", *columns), True
+
+
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
     counted = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     return (
@@ -106,10 +128,14 @@ def _pages(spark: SparkSession, folder: str) -> DataFrame:
     numbered = row_index(
         table(spark, folder, "lineitem"),
         ["l_orderkey"],
-        ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"],
+        _PAGE_ORDER,
         "page_no",
         F.shiftleft(F.col("l_linenumber").cast("long"), 40) + F.shiftright(F.col("l_partkey"), 14),
     )
+    return _as_pages(numbered)
+
+
+def _as_pages(numbered: DataFrame) -> DataFrame:
     flag = F.col("l_returnflag")
     return numbered.select(
         F.col("l_orderkey").alias("doc_id"),

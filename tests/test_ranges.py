@@ -89,3 +89,18 @@ def test_move_and_delete_refuse(spark):
 def test_arranging_everything_in_order_changes_nothing(spark):
     picks = selection.resolve(read(spark, [("all", 5)]))
     assert [(r.page_no, r.source_page, r.copy_no) for r in assemble.arrange(five(spark), picks, []).collect()].sort() == [(p, p, 1) for p in range(1, 6)].sort()
+
+
+def test_arranging_by_intervals_equals_arranging_by_rows(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(",".join(rng.choice(["1", "3-1", "2-", "-4", "2,2", "5-2"]) for _ in range(rng.randint(1, 9))), 5) for _ in range(60)]
+    specs = read(spark, [*rows, ("all", 5), ("all", 0), ("1,,2", 5), ("9", 5)])
+    pages = spark.createDataFrame([(i, p, 10 * i + p) for i in range(64) for p in range(1, 6)], "doc_id long, page_no int, image_id long")
+    want = sorted(map(tuple, assemble.arrange(pages, selection.resolve(specs), ["image_id"]).collect()))
+    assert len(want) > 500
+    for few in (64, 3):  # with 3, most specifications are resolved into rows
+        monkeypatch.setattr(assemble, "FEW_PARTS", few)
+        for dealt in (False, True):
+            got = assemble.arrange_named(pages, specs, ["image_id"], dealt=dealt)
+            assert got.columns == ["doc_id", "page_no", "source_page", "copy_no", "image_id"]
+            assert sorted(map(tuple, got.collect())) == want
