@@ -21,6 +21,8 @@ from pageloom.plans.shared import new_path, with_package
 
 #: Segments of a tier that are merged into one of the next.
 FAN = 4
+#: Rows that the queue's processor hands back at once.
+OUT_ROWS = 100_000
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -157,8 +159,9 @@ class QueueProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         running = self.running.get()[0] if self.running.exists() else None
         seen = self.seen.get()[0] if self.seen.exists() else None
-        events = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        out = []
+        events = pd.concat(list(rows))[["seq", "job_id", "action"]].sort_values("seq", kind="stable", ignore_index=True)
+        # every call to the state is a message to another process: a job is asked for and saved at most once
+        known, new, counted, reasons = seen is not None, {}, {}, []
         for seq, job, action in zip(events["seq"].tolist(), events["job_id"].tolist(), events["action"].tolist(), strict=True):
             reason = None
             if seen is not None and seq <= seen:
@@ -170,22 +173,29 @@ class QueueProcessor(StatefulProcessor):
                 reason = None if running == job else "NotRunning"
                 running = None if running == job else running
             elif action == "cancel":
-                waits = self.last.containsKey((job,)) and self.last.getValue((job,))[0] == "queued"
-                reason = None if waits else "NotWaiting"
+                if job not in new and job not in counted:
+                    counted[job] = self.last.getValue((job,))[0] if known and self.last.containsKey((job,)) else None
+                reason = None if new.get(job, counted.get(job)) == "queued" else "NotWaiting"
             elif action != "queued":
                 reason = "UnknownAction"
             if reason != "OutOfOrder":
                 seen = seq
                 if reason is None or action == "cancel":
-                    self.last.updateValue((job,), (action,))
-            out.append((key[0], seq, job, action, reason is None, reason))
+                    new[job] = action
+            reasons.append(reason)
+        for job, action in new.items():
+            self.last.updateValue((job,), (action,))
         if seen is not None:
             self.seen.update((seen,))
         if running is None:
             self.running.clear()
         else:
             self.running.update((running,))
-        yield pd.DataFrame(out, columns=["queue", "seq", "job_id", "action", "accepted", "reason"])
+        events.insert(0, "queue", key[0])
+        events["reason"] = pd.Series(reasons, dtype=object)
+        events["accepted"] = events["reason"].isna()
+        for start in range(0, len(events), OUT_ROWS):
+            yield events.iloc[start : start + OUT_ROWS][["queue", "seq", "job_id", "action", "accepted", "reason"]]
 
     def close(self) -> None:
         pass

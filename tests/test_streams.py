@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from pageloom.operators import audit
@@ -117,3 +118,53 @@ def test_a_queue_that_never_ends_a_job(spark):
     events = [(1, s, s, "running") for s in range(5)]
     got = audit.queue_run(spark.createDataFrame(events, EVENTS)).orderBy("seq").select(F.col("accepted")).collect()
     assert [r.accepted for r in got] == [True, False, False, False, False]
+
+
+class Held:
+    """A value or map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def call(self, fn, *args):
+        self.calls += 1
+        return fn(*args)
+
+    def exists(self):
+        return () in self.rows
+
+    def get(self):
+        return self.rows[()]
+
+    def update(self, value):
+        self.rows[()] = value
+
+    def clear(self):
+        self.rows.clear()
+
+    def containsKey(self, key):  # noqa: N802
+        return self.call(self.rows.__contains__, key)
+
+    def getValue(self, key):  # noqa: N802
+        return self.call(self.rows.__getitem__, key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.call(self.rows.__setitem__, key, value)
+
+
+def test_a_queue_asks_its_state_by_job_and_not_by_event(monkeypatch):
+    monkeypatch.setattr(logs, "OUT_ROWS", 700)
+    rng, jobs = random.Random(4), 20
+    events = [(3, seq, rng.randrange(jobs), rng.choice(["queued", "running", "done", "failed", "cancel", "pause"])) for seq in range(6_000)]
+    processor = logs.QueueProcessor()
+    processor.running, processor.seen, processor.last = Held(), Held(), Held()
+    got = []
+    for run in range(3):
+        part = pd.DataFrame(rng.sample(events[run * 2_000 : run * 2_000 + 2_000], 2_000), columns=["queue", "seq", "job_id", "action"])
+        processor.last.calls = 0
+        out = list(processor.handleInputRows((3,), iter([part[:900], part[900:]]), None))
+        assert [len(x) for x in out] == [700, 700, 600] and processor.last.calls <= 3 * jobs
+        got += [tuple(r) for x in out for r in x.itertuples(index=False)]
+    assert got == plain_queue(events)
+    late = list(processor.handleInputRows((3,), iter([part[:1]]), None))[0]
+    assert late["reason"].tolist() == ["OutOfOrder"] and late["accepted"].tolist() == [False]
