@@ -73,16 +73,16 @@ def arrange_named(pages: DataFrame, specs: DataFrame, columns: list[str], *, dea
     return out.unionByName(arrange(pages, resolve(good.filter(F.size("spans") > FEW_PARTS)), columns))
 
 
-def _with_spans(pages: DataFrame, specs: DataFrame) -> DataFrame:
+def _with_spans(pages: DataFrame, specs: DataFrame, dealt: bool) -> DataFrame:
     good = specs.filter(F.col("error").isNull()).select("doc_id", "page_count", "unique_spans")
-    return with_document(pages.select("doc_id", "page_no"), good)
+    return with_document(pages.select("doc_id", "page_no"), good, dealt=dealt)
 
 
-def delete(pages: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drop the selected pages and close the gaps; deleting all of them is refused."""
+def delete(pages: DataFrame, specs: DataFrame, *, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Drop the selected pages and close the gaps; deleting all of them is refused. ``dealt`` as in ``with_document``."""
     gone = ranges.span_length(F.col("unique_spans"))
     page = F.col("page_no")
-    kept = _with_spans(pages, specs.filter(gone < F.col("page_count"))).filter(~ranges.holds(F.col("unique_spans"), page))
+    kept = _with_spans(pages, specs.filter(gone < F.col("page_count")), dealt).filter(~ranges.holds(F.col("unique_spans"), page))
     ok = kept.select(
         "doc_id", (page - ranges.held_before(F.col("unique_spans"), page)).cast("int").alias("page_no"), page.alias("source_page")
     )
@@ -92,10 +92,11 @@ def delete(pages: DataFrame, specs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ok, rejects
 
 
-def move(pages: DataFrame, specs: DataFrame, before: Column) -> tuple[DataFrame, DataFrame]:
+def move(pages: DataFrame, specs: DataFrame, before: Column, *, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
     """Put the selected pages, in the order named, just before the old position ``before`` (from 1).
 
     ``before`` may be one past the end. New positions are arithmetic on the intervals.
+    ``dealt`` as in ``with_document``.
     """
     target = before.cast("long")
     count = ranges.span_length(F.col("unique_spans"))
@@ -111,7 +112,7 @@ def move(pages: DataFrame, specs: DataFrame, before: Column) -> tuple[DataFrame,
     stayed = page - ranges.held_before(spans, page) + F.when(page >= F.col("__target"), ranges.span_length(spans)).otherwise(0)
     good = checked.filter(F.col("__error").isNull()).select("doc_id", "page_count", "unique_spans", "__target")
     ok = (
-        with_document(pages.select("doc_id", "page_no"), good)
+        with_document(pages.select("doc_id", "page_no"), good, dealt=dealt)
         .select(
             "doc_id",
             F.when(ranges.holds(spans, page), moved).otherwise(stayed).cast("int").alias("page_no"),
